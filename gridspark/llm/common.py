@@ -12,6 +12,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,3 +62,8 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` with more fields."""
+    return T.StructType(df.schema.fields + [T.StructField(k, T.StructType.fromDDL(f"{k} {v}")[k].dataType) for k, v in kinds.items()])

@@ -51,5 +51,27 @@ SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, CASE WHEN bound < 0
 FROM p LEFT JOIN best USING (host, path) LEFT JOIN rep ON rep.host = p.host
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter}
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents that aren't held out."""
+    from .language import identify, learn_profiles
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
+    profiles = learn_profiles(docs.where("not held_out").select("text", "lang"))
+    return identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def held_out():
+    """crc32 of the doc_id's text (empty if null) leaves 2 modulo 4."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate component of every document."""
+    from .simhash import hexed, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hexed().alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op4_language": op4_language, "op5_simhash": op5_simhash}
 ORACLES = {"op1_url_filter": OP1_SQL}
