@@ -73,5 +73,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed().alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op4_language": op4_language, "op5_simhash": op5_simhash}
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Huffman-coded token files of all documents, written and read back."""
+    import public_tokenizers
+
+    from .token_output import read_files, token_files
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_files(token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op4_language": op4_language, "op5_simhash": op5_simhash, "op9_token_output": op9_token_output}
 ORACLES = {"op1_url_filter": OP1_SQL}
