@@ -73,6 +73,15 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed().alias("fingerprint"), "component_id")
 
 
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' targets by the cube method."""
+    from .mixing import mix, word_count
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mix(docs.withColumnRenamed("size", "words"), size=F.col("words"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Huffman-coded token files of all documents, written and read back."""
     import public_tokenizers
@@ -83,5 +92,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_files(token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op4_language": op4_language, "op5_simhash": op5_simhash, "op9_token_output": op9_token_output}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in every document, with its alignment score."""
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op4_language, op5_simhash, op8_mix, op9_token_output, op10_decontaminate)}
 ORACLES = {"op1_url_filter": OP1_SQL}
