@@ -51,6 +51,31 @@ SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, CASE WHEN bound < 0
 FROM p LEFT JOIN best USING (host, path) LEFT JOIN rep ON rep.host = p.host
 """
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives all pages and reads them back through the index."""
+    from .warc import archive, read_index, read_records
+
+    directory = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    return read_records(read_index(directory)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest integer inner products of every hundredth vector with all others."""
+    from .topk import integer_vectors, top_k
+
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.where("id % 100 = 0"))
+
+
+OP3_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.v, d.v)::BIGINT AS score FROM e q JOIN e d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that aren't held out."""
     from .language import identify, learn_profiles
@@ -73,6 +98,26 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed().alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base patterns and network findings in every document; the network learns from at most 4,000 findings and 4,000 others."""
+    from .secrets import labelled_findings, scan_secrets, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    examples = labelled_findings(docs)
+    found = scan_secrets(docs, train([w for w, _ in examples], [y for _, y in examples])).select("doc_id", "found")
+    base = F.filter("found", lambda s: s["kind"] != "net")
+    written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    number = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence texts and notices in every document, with matched coverage and spans."""
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets by the cube method."""
     from .mixing import mix, word_count
@@ -99,5 +144,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op4_language, op5_simhash, op8_mix, op9_token_output, op10_decontaminate)}
-ORACLES = {"op1_url_filter": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate)}
+ORACLES = {"op1_url_filter": OP1_SQL, "op3_topk": OP3_SQL}
