@@ -153,8 +153,8 @@ def banded(template: np.ndarray, words: np.ndarray, low: int, high: int) -> list
 
 
 def matches(index: Index, text: str | None, least: float) -> list[dict]:
-    """Each stretch of a text that covers at least ``least`` of a template, by start; a stretch inside a longer one of the same
-    template is left out."""
+    """Each stretch of a text that covers at least ``least`` of a template, by start. Of stretches that overlap, the one with the
+    most matched words times coverage stays, of equal ones the shortest, the first, then the first name."""
     if not text or not index.candidates(index.numbers(words_of(text))):
         return []
     found = list(WORD.finditer(text))
@@ -166,8 +166,11 @@ def matches(index: Index, text: str | None, least: float) -> list[dict]:
         if pairs and len(pairs) >= least * len(index.words[k]):
             start, end = found[pairs[0][1]].start(), found[pairs[-1][1]].end()
             out[index.names[k], start, end] = {"license": index.names[k], "coverage": len(pairs) / len(index.words[k]), "matched": len(pairs), "start": start, "end": end}
-    inside = lambda r: any(o is not r and o["license"] == r["license"] and o["start"] <= r["start"] and r["end"] <= o["end"] for o in out.values())
-    return sorted((r for r in out.values() if not inside(r)), key=lambda r: (r["start"], r["license"], r["end"]))
+    kept: list[dict] = []
+    for r in sorted(out.values(), key=lambda r: (-r["coverage"] * r["matched"], r["end"] - r["start"], r["start"], r["license"])):
+        if all(r["end"] <= o["start"] or o["end"] <= r["start"] for o in kept):
+            kept.append(r)
+    return sorted(kept, key=lambda r: r["start"])
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
