@@ -2,5 +2,27 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+from collections.abc import Callable
+
+from gridspark.sources.views import SQL
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, views: bool = True):
+    """Registers a function (spark, sf_dir) under its own name; ``sql`` may use the views."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = (SQL if views else "") + sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    for name in ("scans", "neighbours", "counts", "ordered", "values", "composite", "verify", "streams"):
+        importlib.import_module(f"gridspark.plans.{name}")
