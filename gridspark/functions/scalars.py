@@ -27,7 +27,7 @@ def f32(x: Column) -> Column:
 
 
 #: Sizes of the parts of a recipe id, lowest part first.
-RECIPE = (("paint", 32), ("shape", 6), ("variant", 32), ("type", 1024), ("kind", 4))
+RECIPE = (("paint", 32), ("shape", 6), ("variant", 32), ("type", 1024), ("kind", 8))
 
 
 def recipe_id(**parts: Column) -> Column:

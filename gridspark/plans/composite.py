@@ -1 +1,189 @@
+"""Queries: composite operators."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridspark.operators import aggs, terrain, tracing
+from gridspark.plans import audit, overview
+from gridspark.plans.counts import CELLS, MEANS, OMISSIONS, omissions
+from gridspark.plans.neighbours import ASSETS_SQL, MASK4, REQUESTED_SQL, assets, requested
+from gridspark.plans.registry import query
+from gridspark.sources import views
+
+C = F.col
+TILE, WALL = "kind >= 0", "level % 3 = 0"
+
+
+@query(
+    f""", p AS (SELECT x, y FROM g_dense WHERE kind >= 0), t AS (SELECT x, y, {MASK4} AS tile_mask FROM g_dense g), q AS (SELECT x, y FROM g_dense WHERE level % 3 = 0), w AS (SELECT x, y, {MASK4.replace('FROM p', 'FROM q').replace('p.', 'q.')} AS wall_mask FROM g_dense g)
+SELECT x, y, tile_mask, wall_mask, (CASE WHEN wall_mask = 15 THEN 15 + [0, 1, 2, 1, 2, 0, 2, 0, 1][x % 3 * 3 + y % 3 + 1] ELSE wall_mask END)::INT AS wall_variant FROM t JOIN w USING (x, y)"""
+)
+def dm01_terrain_masks(spark, d):
+    return terrain.terrain_masks(views.g_dense(spark, d), F.expr(TILE), F.expr(WALL))
+
+
+RULES = [(1, "n", 0, True), (1, "s", 0, True), (1, "n", 2, False), (1, "w", 1, True), (1, "e", 1, True), (2, "n", 0, True), (2, "w", 0, True), (2, "e", 0, True), (2, "s", 3, True), (2, "nw", 0, True), (2, "se", 1, True), (2, "sw", 2, False)]
+
+
+@query(
+    ", rules(family, dir, shape, connects) AS (VALUES " + ", ".join(f"({f}, '{k}', {s}, {str(c).upper()})" for f, k, s, c in RULES) + """),
+c AS (SELECT x, y, kind, (1 + level % 2)::INT AS family, (level % 4)::INT AS shape, level % 5 = 0 AS hidden FROM g_dense),
+dirs(dir, dx, dy, bit) AS (VALUES ('n', 0, -1, 1), ('w', -1, 0, 2), ('e', 1, 0, 4), ('s', 0, 1, 8), ('nw', -1, -1, 16), ('ne', 1, -1, 32), ('sw', -1, 1, 64), ('se', 1, 1, 128)),
+m AS (SELECT c.x, c.y, sum(CASE WHEN r.connects AND o.kind <> -2 AND o.hidden = c.hidden THEN bit ELSE 0 END)::INT AS bits FROM c CROSS JOIN dirs LEFT JOIN c o ON o.x = c.x + dx AND o.y = c.y + dy LEFT JOIN rules r ON r.family = c.family AND r.dir = dirs.dir AND r.shape = o.shape GROUP BY 1, 2)
+SELECT x, y, bits & 15 AS mask, (CASE WHEN bits & 3 = 3 THEN bits & 16 ELSE 0 END + CASE WHEN bits & 5 = 5 THEN bits & 32 ELSE 0 END + CASE WHEN bits & 10 = 10 THEN bits & 64 ELSE 0 END + CASE WHEN bits & 12 = 12 THEN bits & 128 ELSE 0 END)::INT AS corners FROM m"""
+)
+def dm02_connect8(spark, d):
+    rules = spark.createDataFrame(RULES, "family int, dir string, shape int, connects boolean")
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "kind", "cast(1 + level % 2 AS int) AS family", "cast(level % 4 AS int) AS shape", "level % 5 = 0 AS hidden")
+    return terrain.connect8(cells, rules, attaches=C("kind") != -2)
+
+
+@query(
+    """, c AS (SELECT x, y, CASE WHEN kind >= 0 THEN level ELSE 0 END AS wet, kind = -2 AS solid FROM g_dense)
+SELECT c.x, c.y, c.wet AS level, NOT coalesce(l.solid OR l.wet > 0, TRUE) AS open_left, NOT coalesce(r.solid OR r.wet > 0, TRUE) AS open_right, NOT coalesce(u.solid OR u.wet > 0, TRUE) AS open_top,
+    ceil(c.wet / 255.0::DOUBLE * 16)::INT AS height, coalesce(u.wet, 0) = 0 AS surface FROM c LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 WHERE c.wet > 0"""
+)
+def dm03_liquid_surface(spark, d):
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "CASE WHEN kind >= 0 THEN level ELSE 0L END AS level", "kind = -2 AS is_solid")
+    return terrain.liquid_surface(cells)
+
+
+@query(
+    """, c AS (SELECT x, y, CASE WHEN kind >= 0 THEN level ELSE 0 END AS wet, kind = -2 AS solid, level % 6 = 0 AS half FROM g_dense),
+n AS (SELECT c.*, coalesce(u.wet > 0, FALSE) AS uw, coalesce(l.wet > 0, FALSE) AS lw, coalesce(r.wet > 0, FALSE) AS rw, coalesce(d.half, FALSE) AS dh FROM c LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c d ON d.x = c.x AND d.y = c.y + 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y)
+SELECT x, y, CASE WHEN wet = 0 AND NOT (uw OR lw OR rw) THEN 'dry' WHEN solid AND NOT half THEN 'occluded' WHEN half OR dh THEN 'full rules' ELSE 'ordinary' END AS class, uw::INT + 2 * lw::INT + 4 * rw::INT AS bits FROM n"""
+)
+def dm04_liquid_candidates(spark, d):
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "CASE WHEN kind >= 0 THEN level ELSE 0L END AS level", "kind = -2 AS is_solid", "level % 6 = 0 AS half")
+    return terrain.liquid_candidates(cells)
+
+
+SOURCES = """, c AS (SELECT x, y, kind, level % 5 = 0 AS half, CASE WHEN kind >= 0 THEN level * 2 % 256 ELSE 0 END AS wet, (1 + level % 4)::INT AS liquid, kind = -2 AS solid FROM g_dense),
+n AS (SELECT c.*, u.x IS NULL OR u.solid OR u.wet = 0 AS dry_above, CASE WHEN l.wet > 160 THEN l.liquid END AS ll, CASE WHEN r.wet > 160 THEN r.liquid END AS rl, coalesce(l.wet = 0 AND NOT l.solid, FALSE) AS lo, coalesce(r.wet = 0 AND NOT r.solid, FALSE) AS ro
+    FROM c LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y),
+s AS (SELECT x, y, CASE WHEN 2 IN (ll, rl) THEN 2 WHEN 3 IN (ll, rl) THEN 3 WHEN 4 IN (ll, rl) THEN 4 ELSE 1 END AS liquid FROM n WHERE half AND dry_above AND (ll IS NOT NULL OR rl IS NOT NULL) AND (lo OR ro)),
+o AS (SELECT *, (row_number() OVER (ORDER BY x, y) - 1)::INT AS idx FROM s)"""
+
+
+def sources(spark, d, cap=300):
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "level % 5 = 0 AS half", "CASE WHEN kind >= 0 THEN level * 2 % 256 ELSE 0L END AS level", "cast(1 + level % 4 AS int) AS liquid", "kind = -2 AS is_solid")
+    return terrain.detect_sources(cells, cap)
+
+
+@query(SOURCES + " SELECT x, y, liquid, idx FROM o WHERE idx < 300")
+def dm05_detect_sources(spark, d):
+    return sources(spark, d).select("x", "y", "liquid", "idx")
+
+
+@query(
+    SOURCES + """, f AS (SELECT o.idx, o.x, o.y, (SELECT min(c.y) FROM c WHERE c.x = o.x AND c.y > o.y AND c.solid) AS wall, (SELECT min(c.y) FROM c WHERE c.x = o.x AND c.y > o.y AND NOT c.solid AND c.wet > 0) AS pool FROM o WHERE idx < 300),
+e AS (SELECT *, least(coalesce(wall, 64), coalesce(pool, 64), 64, y + 21) AS stop FROM f)
+SELECT idx, x, y + 1 + k AS y, (k + 1)::INT AS step, CASE WHEN stop = wall THEN 'solid' WHEN stop = pool THEN 'liquid' WHEN stop = 64 THEN 'end' ELSE 'limit' END AS reason FROM e, LATERAL (SELECT unnest(range(0, stop - y - 1)) AS k)"""
+)
+def dm06_trace_vertical(spark, d):
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "CASE WHEN kind >= 0 THEN level * 2 % 256 ELSE 0L END AS level", "kind = -2 AS is_solid")
+    return tracing.trace_vertical(sources(spark, d), cells, height=64, most=20)
+
+
+PATHS = """, c AS (SELECT x, y, kind <> 0 AND level % 2 = 0 AS solid FROM g_dense),
+o AS (SELECT (row_number() OVER (ORDER BY x, y) - 1)::INT AS idx, x, y FROM g_dense WHERE kind = 1 AND level % 5 = 0),
+t AS (SELECT idx, 0 AS step, x, y, 0 AS dir, 0 AS turns, NULL::VARCHAR AS reason FROM o
+UNION ALL SELECT t.idx, t.step + 1, CASE WHEN m.move = 'down' OR m.move IS NULL THEN t.x WHEN m.move = 'right' THEN t.x + 1 WHEN m.move = 'left' THEN t.x - 1 ELSE t.x END,
+    CASE WHEN m.move = 'down' THEN t.y + 1 ELSE t.y END, CASE m.move WHEN 'down' THEN 0 WHEN 'right' THEN 1 WHEN 'left' THEN -1 ELSE t.dir END, CASE WHEN m.move IN ('right', 'left') AND t.dir <> 0 AND t.dir <> CASE m.move WHEN 'right' THEN 1 ELSE -1 END THEN t.turns + 1 ELSE t.turns END,
+    CASE WHEN m.move IS NULL THEN m.why WHEN m.move IN ('right', 'left') AND t.dir <> 0 AND t.dir <> CASE m.move WHEN 'right' THEN 1 ELSE -1 END AND t.turns >= 1 THEN 'reversed' END
+FROM t JOIN LATERAL (SELECT CASE WHEN d.x IS NULL THEN NULL WHEN NOT d.solid THEN 'down' WHEN t.dir >= 0 AND r.x IS NOT NULL AND NOT r.solid THEN 'right' WHEN l.x IS NOT NULL AND NOT l.solid THEN 'left' WHEN r.x IS NOT NULL AND NOT r.solid THEN 'right' END AS move,
+        CASE WHEN d.x IS NULL THEN 'edge' ELSE 'blocked' END AS why
+    FROM (SELECT 1) LEFT JOIN c d ON d.x = t.x AND d.y = t.y + 1 LEFT JOIN c r ON r.x = t.x + 1 AND r.y = t.y LEFT JOIN c l ON l.x = t.x - 1 AND l.y = t.y) m ON TRUE WHERE t.reason IS NULL AND t.step < 12)
+SELECT idx, step, x, y, reason FROM t"""
+
+
+@query(PATHS)
+def dm07_trace_paths(spark, d):
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "kind <> 0 AND level % 2 = 0 AS is_solid")
+    origins = views.g_dense(spark, d).where("kind = 1 AND level % 5 = 0")
+    from gridspark.operators.windows import register_capped
+
+    return tracing.trace_paths(register_capped(origins, 1_000_000)[0].select("idx", "x", "y"), cells, 12)
+
+
+@query(
+    """, c AS (SELECT x, y, kind, level FROM g_dense), o AS (SELECT x AS x0, y AS y0, kind FROM g_dense WHERE level % 11 = 0),
+t AS (SELECT x0, y0, kind, x0 AS x, y0 AS y, 0 AS shifts, 0 AS step FROM o
+UNION ALL SELECT t.x0, t.y0, t.kind, n.x, n.y, t.shifts + (n.x <> t.x)::INT, t.step + 1 FROM t JOIN LATERAL (SELECT q.x, q.y FROM c q WHERE q.kind = t.kind AND q.y = t.y + 1 AND (q.x = t.x OR (t.shifts = 0 AND abs(q.x - t.x) = 1)) ORDER BY q.x <> t.x, q.x LIMIT 1) n ON TRUE WHERE t.step < 16)
+SELECT x0, y0, arg_max(x, step) AS root_x, arg_max(y, step) AS root_y, (max(step))::INT AS steps, (CASE arg_max(b.kind, step) WHEN -2 THEN 'rock' WHEN -1 THEN 'soil' WHEN 0 THEN 'sand' WHEN 1 THEN 'snow' END) AS class FROM (SELECT t.*, b.kind AS bk FROM t LEFT JOIN c b ON b.x = t.x AND b.y = t.y + 1) b GROUP BY x0, y0""".replace("arg_max(b.kind, step)", "arg_max(coalesce(bk, 99), step)")
+)
+def dm08_trace_root(spark, d):
+    cells = views.g_dense(spark, d).select("x", "y", "kind")
+    classes = {-2: "rock", -1: "soil", 0: "sand", 1: "snow"}
+    return tracing.trace_root(views.g_dense(spark, d).where("level % 11 = 0").selectExpr("x AS x0", "y AS y0", "kind"), cells, classes, 16)
+
+
+@query(
+    """, n AS (SELECT x, y, kind, (SELECT min(b.y) FROM g_sparse b WHERE b.x = g.x AND b.y > g.y AND b.y <= g.y + 3 AND b.kind <> g.kind) AS ground_y FROM g_sparse g)
+SELECT n.x, n.y, ground_y, b.kind AS ground, ((n.x >= 3000)::INT + (n.x >= 7000)::INT + (n.x >= 11000)::INT)::INT AS zone, CASE WHEN ground_y IS NULL THEN 'none' ELSE concat(b.kind, '-', ['p', 'q', 'r', 's'][1 + (n.x >= 3000)::INT + (n.x >= 7000)::INT + (n.x >= 11000)::INT]) END AS style
+FROM n LEFT JOIN g_sparse b ON b.x = n.x AND b.y = n.ground_y"""
+)
+def dm09_attribute_ground(spark, d):
+    zones = spark.createDataFrame([([3000, 7000, 11000], ["p", "q", "r", "s"])], "cuts array<int>, styles array<string>")
+    return terrain.attribute_ground(views.g_sparse(spark, d), zones, 3)
+
+
+PLAN_SQL = f""", p AS (SELECT x, y FROM g_dense WHERE kind >= 0), v AS (SELECT g.*, solid, layer, family_mask, {MASK4} AS mask FROM g_dense g LEFT JOIN d_kind USING (kind)),
+a AS (SELECT x, y, kind, level, mask, CASE WHEN kind = -1 THEN 'invisible' WHEN level % 13 = 0 THEN 'hidden' WHEN layer IS NULL THEN 'unknown layer' WHEN family_mask & 3 = 0 THEN 'unsupported family' WHEN level % 17 = 0 THEN 'unsupported shape' END AS reason, layer FROM v)"""
+
+
+@query(PLAN_SQL + " SELECT x, y, concat('tile_', kind + 3, '.png') AS asset, layer, mask % 4 * 18 AS sx, mask // 4 * 18 AS sy, (row_number() OVER (ORDER BY CASE layer WHEN 'solid' THEN 7 ELSE 3 END, x, y) - 1)::BIGINT AS seq FROM a WHERE reason IS NULL")
+def dm10_plan_commands(spark, d):
+    return audit.numbered(audit.plan(views.g_dense(spark, d), views.d_kind(spark)).commands)
+
+
+@query(PLAN_SQL + " SELECT reason, kind, count(*) AS cells, first(x ORDER BY x // 128, y // 128, x, y) AS x, first(y ORDER BY x // 128, y // 128, x, y) AS y FROM a WHERE reason IS NOT NULL AND reason NOT IN ('invisible', 'hidden') GROUP BY reason, kind")
+def dm10_plan_omissions(spark, d):
+    found = audit.plan(views.g_dense(spark, d), views.d_kind(spark)).omissions
+    return aggs.first_example(found, ["reason", "kind"]).select("reason", "kind", F.col("n").alias("cells"), "x", "y")
+
+
+AUDIT_SQL = PLAN_SQL + """, assets(asset, width, height) AS (VALUES ('tile_1.png', 72, 72), ('tile_4.png', 60, 72)),
+m AS (SELECT x // 100 AS world_id, reason, concat('tile_', kind + 3, '.png') AS asset, mask % 4 * 18 AS sx, mask // 4 * 18 AS sy FROM a),
+k AS (SELECT m.*, s.asset IS NULL AS missing, s.asset IS NOT NULL AND (sx + 16 > width OR sy + 16 > height) AS bad FROM m LEFT JOIN assets s USING (asset)),
+t AS (SELECT world_id, count(*) FILTER (reason IS DISTINCT FROM 'invisible') AS visible, count(*) FILTER (reason IS NULL) AS planned, count(*) FILTER (reason = 'hidden') AS hidden,
+    count(*) FILTER (reason IN ('unknown layer', 'unsupported family', 'unsupported shape')) AS unsupported, count(*) FILTER (reason IS NULL AND missing) AS missing, count(*) FILTER (reason IS NULL AND bad) AS invalid FROM k GROUP BY 1)
+SELECT *, planned - missing - invalid AS rendered, visible = planned + hidden + unsupported AS balanced FROM t"""
+
+
+@query(AUDIT_SQL)
+def dm11_audit(spark, d):
+    return audit.audit_query(spark, d)
+
+
+@query(OMISSIONS + ", m AS (SELECT x, y, bit_or(code) AS code FROM om GROUP BY x, y) SELECT i % 128 AS x, i // 128 AS y, coalesce(code, 0) AS code, CASE WHEN code IS NULL THEN 'covered' ELSE concat_ws('+', CASE WHEN code & 1 <> 0 THEN 'row' END, CASE WHEN code & 2 <> 0 THEN 'column' END, CASE WHEN code & 4 <> 0 THEN 'wide' END, CASE WHEN code & 8 <> 0 THEN 'low' END) END AS legend FROM range(0, 8192) t(i) LEFT JOIN m ON m.x = i % 128 AND m.y = i // 128")
+def dm12_coverage_map(spark, d):
+    cells = spark.range(128 * 64).selectExpr("id % 128 AS x", "id div 128 AS y")
+    return overview.coverage_map(cells, omissions(spark, d), {1: "row", 2: "column", 4: "wide", 8: "low"})
+
+
+@query(f", inner_pix AS (SELECT * FROM pix WHERE x >= 64 AND x < 320 AND y >= 16 AND y < 64) SELECT f::INT AS factor, x // f AS x, (y // f)::BIGINT AS y, {MEANS.replace('pix.', '')} FROM inner_pix, (VALUES (1), (2), (4), (8)) v(f) GROUP BY f, inner_pix.x // f, inner_pix.y // f")
+def dm13_overview(spark, d):
+    return overview.overview(views.pix(spark, d), [1, 2, 4, 8], (64, 16, 256, 48))
+
+
+@query("SELECT x // 8 AS x, (y // 8)::BIGINT AS y, CASE WHEN count(*) FILTER (kind = 1) >= greatest(count(*) FILTER (kind = 0), 1) AND count(*) FILTER (kind = 1) >= count(*) FILTER (kind = -2) THEN 1 WHEN count(*) FILTER (kind = 0) >= greatest(count(*) FILTER (kind = -2), 1) THEN 0 WHEN count(*) FILTER (kind = -2) > 0 THEN -2 END AS majority FROM g_dense GROUP BY 1, 2")
+def dm13_overview_kinds(spark, d):
+    return overview.overview_kinds(views.g_dense(spark, d), 8, [1, 0, -2])
+
+
+@query(
+    REQUESTED_SQL + """, a AS (SELECT request_id, count(*) AS cells, sum(level)::BIGINT AS level FROM v JOIN g_dense g ON g.x >= v.rx AND g.x < v.rx + v.rw AND g.y >= v.ry AND g.y < v.ry + v.rh GROUP BY 1),
+b AS (SELECT request_id, count(*) AS commands, max(seq) AS top FROM v JOIN cmds ON dx < (rx + rw) * 16 AND rx * 16 < dx + dw AND dy < (ry + rh) * 16 AND ry * 16 < dy + dh GROUP BY 1)
+SELECT request_id, coalesce(cells, 0) AS cells, level, coalesce(commands, 0) AS commands, top FROM v LEFT JOIN a USING (request_id) LEFT JOIN b USING (request_id)"""
+)
+def dm14_query_viewports(spark, d):
+    return overview.query_viewports(requested(spark, d), views.g_dense(spark, d), views.cmds(spark, d))
+
+
+@query("SELECT DISTINCT concat(lower(replace(p_brand, '#', '_')), '_', p_size, '.png') AS asset, variant::INT AS variant, shape::INT AS shape, paint::INT AS paint, ((((2::BIGINT * 1024 + p_size) * 32 + variant) * 6 + shape) * 32 + paint)::BIGINT AS recipe FROM part, range(0, 4) v(variant), range(0, 6) s(shape), range(0, 3) q(paint) WHERE p_size % 5 = 0")
+def dm15_compile_frames(spark, d):
+    parts = views.table(spark, d, "part").selectExpr("concat(lower(replace(p_brand, '#', '_')), '_', p_size, '.png') AS asset", "p_size AS type")
+    present = parts.where("type % 5 = 0").select("asset").distinct()
+    return overview.compile_frames(parts.distinct(), present, variants=4, shapes=6, paints=3)

@@ -161,3 +161,12 @@ def jn17_frame_lookup(spark, d):
 @query("SELECT g.x, g.y, CASE WHEN g.kind = 1 THEN coalesce(nullif(w.kind, -1), nullif(e.kind, -1), nullif(n.kind, -1)) END AS chosen FROM g_dense g LEFT JOIN g_dense w ON w.x = g.x - 1 AND w.y = g.y LEFT JOIN g_dense e ON e.x = g.x + 1 AND e.y = g.y LEFT JOIN g_dense n ON n.x = g.x AND n.y = g.y - 1")
 def jn18_neighbor_priority(spark, d):
     return joins.neighbor_priority(views.g_dense(spark, d), "kind", ["w", "e", "n"], F.col("kind") == 1, none=-1)
+
+
+REQUESTED_SQL = ", v AS (SELECT event_id AS request_id, user_id * 3 % 480 AS rx, event_id % 50 AS ry, 4 + event_id % 20 AS rw, 3 + user_id % 12 AS rh FROM events WHERE event_type = 'view')"
+
+
+def requested(spark, d):
+    """Viewports that users asked for, in cells."""
+    views_of = views.table(spark, d, "events").where("event_type = 'view'")
+    return views_of.selectExpr("event_id AS request_id", "user_id * 3 % 480 AS rx", "event_id % 50 AS ry", "4 + event_id % 20 AS rw", "3 + user_id % 12 AS rh")

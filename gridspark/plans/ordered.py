@@ -1 +1,159 @@
+"""Queries: windows, orders and sets."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridspark.operators import order, sets, windows
+from gridspark.plans.registry import query
+from gridspark.sources import views
+
+
+@query("SELECT g.x, g.y, a.level AS above, b.level AS below FROM g_sparse g LEFT JOIN g_sparse a ON a.x = g.x AND a.y = g.y - 1 LEFT JOIN g_sparse b ON b.x = g.x AND b.y = g.y + 1")
+def wn01_vertical_context(spark, d):
+    return windows.vertical_context(views.g_sparse(spark, d), "level").select("x", "y", "above", "below")
+
+
+@query("SELECT x, y, (n - 1)::INT AS idx FROM (SELECT x, y, row_number() OVER (ORDER BY x, y) AS n FROM g_dense WHERE kind = 1) WHERE n <= 500")
+def wn02_register_capped(spark, d):
+    return windows.register_capped(views.g_dense(spark, d).where("kind = 1"), 500)[0].select("x", "y", "idx")
+
+
+@query("SELECT x // 100 AS world_id, count(*) AS eligible, least(count(*), 100) AS registered, count(*) - least(count(*), 100) AS capped FROM g_dense WHERE kind = 1 GROUP BY 1")
+def wn02_register_report(spark, d):
+    cells = views.g_dense(spark, d).where("kind = 1").withColumn("world_id", F.expr("x div 100"))
+    return windows.register_capped(cells, 100, ["world_id"])[1]
+
+
+@query(", c AS (SELECT seq, dx, dy, asset, lag(asset) OVER (PARTITION BY dx, dy ORDER BY seq) AS b FROM cmds) SELECT seq, (sum((b IS NOT NULL AND b <> asset)::INT) OVER (PARTITION BY dx, dy ORDER BY seq))::BIGINT AS stack FROM c")
+def wn03_layer_stack(spark, d):
+    return windows.layer_stack(views.cmds(spark, d), ["dx", "dy"], "seq").select("seq", "stack")
+
+
+@query("SELECT asset, min(seq) AS first_seq, (dense_rank() OVER (ORDER BY min(seq)))::INT AS place FROM cmds GROUP BY asset")
+def wn04_first_appearance_rank(spark, d):
+    return windows.first_appearance_rank(views.cmds(spark, d), "asset")
+
+
+@query(
+    """, c AS (SELECT x, y, CASE WHEN kind >= 0 THEN 1 + level % 2 ELSE 0 END AS liquid, CASE WHEN kind >= 0 THEN level ELSE 0 END AS level FROM g_dense),
+j AS (SELECT c.*, CASE WHEN u.level > 0 AND d.level > 0 AND u.liquid = d.liquid THEN (u.level + d.level)::FLOAT / 2 END AS v, CASE WHEN l.level > 0 AND r.level > 0 AND l.liquid = r.liquid THEN (l.level + r.level)::FLOAT / 2 END AS h FROM c
+    LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c d ON d.x = c.x AND d.y = c.y + 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y)
+SELECT x, y, (CASE WHEN level > 0 THEN level ELSE coalesce(greatest(v, h), 0) END)::FLOAT AS bridged FROM j"""
+)
+def wn05_bridge_levels(spark, d):
+    return windows.bridge_levels(wet(spark, d)).select("x", "y", "bridged")
+
+
+def wet(spark, d):
+    cells = views.g_dense(spark, d)
+    return cells.selectExpr("x", "y", "CASE WHEN kind >= 0 THEN 1 + level % 2 ELSE 0 END AS liquid", "CASE WHEN kind >= 0 THEN level ELSE 0L END AS level")
+
+
+@query(
+    """, c AS (SELECT x, y, CASE WHEN level > 180 THEN level ELSE 0 END AS level, kind = -2 AS solid FROM g_dense),
+s AS (SELECT c.x, c.y, c.level AS own, c.solid, (SELECT max(s.y) FROM c s WHERE s.x = c.x AND s.level > 0 AND NOT s.solid AND s.y BETWEEN c.y - 10 AND c.y - 1) AS sy, (SELECT max(b.y) FROM c b WHERE b.x = c.x AND b.solid AND b.y BETWEEN c.y - 10 AND c.y - 1) AS wall FROM c)
+SELECT s.x, s.y, CASE WHEN sy IS NOT NULL AND NOT s.solid AND own = 0 AND (wall IS NULL OR wall < sy) THEN floor(q.level * (11 - (s.y - sy)) / 11.0)::BIGINT ELSE 0 END AS fallen FROM s LEFT JOIN c q ON q.x = s.x AND q.y = s.sy"""
+)
+def wn06_fall_levels_single(spark, d):
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "CASE WHEN level > 180 THEN level ELSE 0L END AS level", "kind = -2 AS is_solid")
+    return windows.fall_levels_single(cells).select("x", "y", "fallen")
+
+
+@query()
+def wn06_fall_levels_chained(spark, d):
+    """Falls that feed falls; tests compare with a brute-force pass."""
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "cast(1 + level % 4 AS int) AS liquid", "CASE WHEN level > 150 THEN level ELSE 0L END AS level", "kind = -2 AS is_solid")
+    return windows.fall_levels(cells).select("x", "y", "fallen", "fall_kind")
+
+
+@query("SELECT g.x, g.y, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN (2 * g.level + a.level + b.level) / 4.0::DOUBLE ELSE g.level::DOUBLE END AS smooth FROM g_dense g LEFT JOIN g_dense a ON a.y = g.y AND a.x = g.x - 1 LEFT JOIN g_dense b ON b.y = g.y AND b.x = g.x + 1")
+def wn07_smooth121(spark, d):
+    return windows.smooth121(views.g_dense(spark, d), "level", "x").select("x", "y", "smooth")
+
+
+@query("SELECT x, y, least(1.0::DOUBLE, (max(y) OVER (PARTITION BY x) - y + 1) / 10.0::DOUBLE) AS opacity FROM g_events")
+def wn08_fade(spark, d):
+    return windows.fade(views.g_events(spark, d), ["x"], "y").select("x", "y", "opacity")
+
+
+@query("SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS delta, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS peak FROM events")
+def wn09_phase_delta(spark, d):
+    return windows.phase_delta(views.table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", "delta", "peak")
+
+
+@query("SELECT x, y, kind, level FROM g_dense ORDER BY x, y")
+def so01_column_major(spark, d):
+    return order.column_major(views.g_dense(spark, d))
+
+
+@query(
+    """, p AS (SELECT seq, dx, dy, CASE kind WHEN 'F' THEN 0 WHEN 'O' THEN 3 ELSE 11 END AS phase_no FROM cmds)
+SELECT seq, phase_no, row_number() OVER (ORDER BY phase_no, dx, dy, seq) AS place FROM p"""
+)
+def so02_draw_order(spark, d):
+    """The place of every command; the numbering window is for the comparison only."""
+    from pyspark.sql import Window
+
+    phase = F.expr("CASE kind WHEN 'F' THEN 'wall' WHEN 'O' THEN 'non-solid tile' END")
+    keyed = order.draw_order(views.cmds(spark, d), phase, ["dx", "dy", "seq"])
+    return keyed.select("seq", "phase_no", F.row_number().over(Window.orderBy("draw_key")).cast("long").alias("place"))
+
+
+@query("SELECT o_orderkey AS k, 1 AS source FROM orders UNION ALL SELECT event_id, 0 FROM events WHERE event_type = 'error'")
+def so03_merge_ordered(spark, d):
+    owners = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    specials = views.table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("k"))
+    return order.merge_ordered(owners, specials, "k")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20")
+def so04_top_k(spark, d):
+    counts = views.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    return order.top_k(counts, [F.desc("n"), F.col("user_id")], 20)
+
+
+@query("SELECT event_type, event_id, value, (row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id))::INT AS place FROM events QUALIFY place <= 10")
+def so04_top_k_per_group(spark, d):
+    events = views.table(spark, d, "events").select("event_type", "event_id", "value")
+    return order.top_k_per_group(events, ["event_type"], [F.desc("value"), F.col("event_id")], 10)
+
+
+@query("SELECT kind, count(*) AS n FROM cmds GROUP BY kind")
+def so05_guard_budget(spark, d):
+    """A budget that holds: the counts go through unchanged."""
+    return order.guard_budget(views.cmds(spark, d).groupBy("kind").agg(F.count("*").alias("n")), 1000)
+
+
+@query("SELECT seq, asset, 0 AS layer, NULL::BIGINT AS dw FROM cmds WHERE kind = 'F' UNION ALL SELECT seq, NULL, 1, dw FROM cmds WHERE kind = 'O'")
+def st01_layered_union(spark, d):
+    c = views.cmds(spark, d)
+    return sets.layered_union([c.where("kind = 'F'").select("seq", "asset"), c.where("kind = 'O'").select("seq", "dw")])
+
+
+@query(
+    """, b AS (SELECT o_orderkey AS k, o_orderpriority AS reason FROM orders WHERE o_orderkey % 2 = 0), r AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 6 = 0),
+f AS (SELECT o_orderkey AS k, min('failed ' || o_orderstatus) AS reason FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1)
+SELECT b.k, coalesce(f.reason, b.reason) AS reason FROM b LEFT JOIN f USING (k) WHERE b.k NOT IN (SELECT k FROM r)
+UNION ALL SELECT k, reason FROM f WHERE k NOT IN (SELECT k FROM b) AND k NOT IN (SELECT k FROM r)"""
+)
+def st02_replace_omissions(spark, d):
+    o = views.table(spark, d, "orders")
+    base = o.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "o_orderpriority AS reason")
+    failed = o.where("o_orderkey % 5 = 0").selectExpr("o_orderkey AS k", "'failed ' || o_orderstatus AS reason")
+    return sets.replace_omissions(base, o.where("o_orderkey % 6 = 0").selectExpr("o_orderkey AS k"), failed, ["k"])
+
+
+@query("SELECT doc_id, 'missing' AS status FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'additional' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM documents)")
+def st03_manifest_vs_actual(spark, d):
+    return sets.manifest_vs_actual(views.table(spark, d, "documents"), views.table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT text, count(*) AS rows, count(*) > 1 AS repeated FROM documents GROUP BY text")
+def st04_distinct_rows(spark, d):
+    return sets.distinct_rows(views.table(spark, d, "documents"), ["text"])
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def st05_common(spark, d):
+    return sets.common(views.table(spark, d, "documents"), views.table(spark, d, "labels"), ["doc_id"])

@@ -1 +1,134 @@
+"""Queries: scalar functions, each over a whole table."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridspark.functions import scalars as S
+from gridspark.plans.registry import query
+from gridspark.sources import views
+
+C = F.col
+
+
+@query("SELECT x, y, (((kind * 7 - level) % 16) + 16) % 16 AS mod16, floor(kind * level / 7.0::DOUBLE + 0.5)::BIGINT AS rounded, trunc(kind * level / 7.0::DOUBLE)::BIGINT AS truncated, floor(kind * level / 7.0::DOUBLE)::BIGINT AS floored, ceil(kind * level / 7.0::DOUBLE)::BIGINT AS ceiled, greatest(least(kind * level, 100), -50) AS clamped FROM g_dense")
+def sc01_to_sc03_rounding(spark, d):
+    v = C("kind") * C("level")
+    q = v / F.lit(7.0)
+    return views.g_dense(spark, d).select("x", "y", F.pmod(C("kind") * 7 - C("level"), F.lit(16).cast("long")).alias("mod16"), S.half_up(q).alias("rounded"), q.cast("long").alias("truncated"), F.floor(q).alias("floored"), F.ceil(q).alias("ceiled"), S.clamp(v, 100 * 0 - 50, 100).alias("clamped"))
+
+
+@query("SELECT x, y, ((level::FLOAT * 0.3::FLOAT)::FLOAT + y::FLOAT)::FLOAT AS v FROM g_dense")
+def sc04_f32(spark, d):
+    return views.g_dense(spark, d).select("x", "y", S.f32(S.f32(S.f32(C("level")) * S.f32(F.lit(0.3))) + S.f32(C("y"))).alias("v"))
+
+
+@query("SELECT x, y, level & 12 AS a, level | 3 AS o, xor(level, 85) AS e, level << 3 AS l, level >> 2 AS r, (level >> 4) & 1 AS bit, bit_count(level)::INT AS ones, (x << 16) | (y << 8) | level AS packed FROM g_dense")
+def sc05_bits(spark, d):
+    v = C("level")
+    packed = F.shiftleft(C("x"), 16).bitwiseOR(F.shiftleft(C("y").cast("long"), 8)).bitwiseOR(v)
+    return views.g_dense(spark, d).select("x", "y", v.bitwiseAND(12).alias("a"), v.bitwiseOR(3).alias("o"), v.bitwiseXOR(85).alias("e"), F.shiftleft(v, 3).alias("l"), F.shiftright(v, 2).alias("r"), F.getbit(v, F.lit(4)).cast("long").alias("bit"), F.bit_count(v).alias("ones"), packed.alias("packed"))
+
+
+@query("SELECT doc_id, hex(encode(source)) AS h, decode(unhex(hex(encode(text)))) = text AS back, octet_length(encode(text))::INT AS bytes, sha256(text) AS sha FROM documents")
+def sc06_sc07_bytes(spark, d):
+    data = C("text").cast("binary")
+    return views.table(spark, d, "documents").select("doc_id", F.hex(C("source").cast("binary")).alias("h"), (F.decode(F.unhex(F.hex(data)), "UTF-8") == C("text")).alias("back"), F.octet_length(data).alias("bytes"), F.sha2(data, 256).alias("sha"))
+
+
+@query()
+def sc07_crc32(spark, d):
+    """CRC-32 of each text; tests compare with a byte-wise one."""
+    return views.table(spark, d, "documents").select("doc_id", F.crc32(C("text").cast("binary")).alias("crc"))
+
+
+@query("SELECT p_partkey, concat(lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')), '_', p_size, '.png') AS asset, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g')) AS kind, p_size AS type FROM part")
+def sc08_asset_names(spark, d):
+    name = S.asset_name(F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "")), C("p_size"))
+    named = views.table(spark, d, "part").withColumn("asset", name)
+    kind, number = S.parse_asset(C("asset"))
+    return named.select("p_partkey", "asset", kind.alias("kind"), number.alias("type"))
+
+
+@query("SELECT event_id, (props->>'k')::INT AS k, '{\"k\":' || (props->>'k') || ',\"t\":\"' || event_type || '\"}' AS out, len(list_filter(json_keys(props), lambda k: k <> 'z'))::INT AS unknown FROM events")
+def sc09_json(spark, d):
+    k = F.from_json("props", "k int")["k"]
+    return views.table(spark, d, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"), C("event_type").alias("t"))).alias("out"), F.size(S.unknown_keys(C("props"), ["z"])).alias("unknown"))
+
+
+@query("SELECT vec_id, embedding[1]::DOUBLE AS first, len(embedding)::INT AS size, list_sort(embedding)[1]::DOUBLE AS least, len(list_filter(embedding, lambda v: v > 0.4)) > 0 AS any_high, len(list_filter(embedding, lambda v: v <= -0.6)) = 0 AS none_low, label AS via_map FROM embeddings")
+def sc10_arrays(spark, d):
+    e = C("embedding")
+    via = F.element_at(F.map_from_entries(F.array(F.struct(F.lit("label"), C("label")))), "label")
+    return views.table(spark, d, "embeddings").select("vec_id", F.element_at(e, 1).cast("double").alias("first"), F.size(e).alias("size"), F.element_at(F.array_sort(e), 1).cast("double").alias("least"), F.exists(e, lambda v: v > 0.4).alias("any_high"), F.forall(e, lambda v: v > -0.6).alias("none_low"), via.alias("via_map"))
+
+
+@query("SELECT x, y, ((((kind + 3) * 1024 + level) * 32 + y % 32) * 6 + x % 6) * 32 + (x * 5 + y) % 32 AS recipe, (kind + 3)::BIGINT AS kind, level AS type, (y % 32)::BIGINT AS variant, x % 6 AS shape, (x * 5 + y) % 32 AS paint FROM g_dense")
+def sc11_recipe(spark, d):
+    recipe = S.recipe_id(kind=C("kind") + 3, type=C("level"), variant=C("y") % 32, shape=C("x") % 6, paint=(C("x") * 5 + C("y")) % 32)
+    cells = views.g_dense(spark, d).select("x", "y", recipe.alias("recipe"))
+    return cells.withColumns(S.recipe_decode(C("recipe")))
+
+
+@query("SELECT seq, concat(asset, ':', kind, ':', dw, ':', dh) AS k FROM cmds")
+def sc12_frame_key(spark, d):
+    return views.cmds(spark, d).select("seq", S.frame_key(["asset", "kind", "dw", "dh"]).alias("k"))
+
+
+def _paint_sql(c: str, names: str) -> str:
+    p = [k for k, v in S.PAINT_CHANNELS.items() if c in v]
+    deep = ", ".join(str(k + 12) for k in p)
+    return f"""(CASE WHEN p = 0 THEN {c} WHEN p IN ({', '.join(map(str, p))}) THEN top WHEN p <= 12 THEN low WHEN p IN ({deep}) THEN top WHEN p <= 24 THEN 0 WHEN p = 25 THEN floor((top + low) * 0.15::DOUBLE + 0.5)
+    WHEN p = 26 THEN floor(top * 0.7::DOUBLE + (r + g + b - top - low) * 0.3::DOUBLE + 0.5) WHEN p = 27 THEN floor(top * 0.5::DOUBLE + 0.5) WHEN p = 28 THEN 0 WHEN p = 29 THEN 255 - {c} WHEN p = 30 THEN top ELSE {c} END)::INT AS {names}"""
+
+
+@query(f", q AS (SELECT x, y, r, g, b, greatest(r, g, b) AS top, least(r, g, b) AS low, (x + y) % 32 AS p FROM pix) SELECT x, y, {_paint_sql('r', 'pr')}, {_paint_sql('g', 'pg')}, {_paint_sql('b', 'pb')} FROM q")
+def sc13_paint_color(spark, d):
+    painted = views.pix(spark, d).withColumn("c", S.paint_color(C("r"), C("g"), C("b"), (C("x") + C("y")) % 32))
+    return painted.select("x", "y", C("c.r").alias("pr"), C("c.g").alias("pg"), C("c.b").alias("pb"))
+
+
+@query(
+    """, h AS (SELECT *, greatest(r, g, b)::DOUBLE AS top, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS span FROM pix),
+s AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN top = r THEN (g - b) / span WHEN top = g THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END AS part, CASE WHEN top > 0 THEN span / top ELSE 0 END AS sat FROM h),
+u AS (SELECT *, CASE WHEN part < 0 THEN part + 6 ELSE part END / 6 AS hue FROM s)
+SELECT x, y, hue >= 0.2 AND hue <= 0.6 AND sat >= 0.3 AS hit, NOT ((hue >= 0.8 OR hue <= 0.1) AND sat >= 0.5) AS inverted FROM u"""
+)
+def sc14_hue_sat_mask(spark, d):
+    rgb = C("r"), C("g"), C("b")
+    return views.pix(spark, d).select("x", "y", S.hue_sat_mask(*rgb, 0.2, 0.6, 0.3).alias("hit"), S.hue_sat_mask(*rgb, 0.8, 0.1, 0.5, invert=True).alias("inverted"))
+
+
+@query("SELECT x, y, floor(r * g / 255.0::DOUBLE + 0.5)::INT AS product, least(r, a) AS over, r - least(r, a) AS additive FROM pix")
+def sc15_colors(spark, d):
+    over, additive = S.split_premultiplied(C("r"), C("a"))
+    return views.pix(spark, d).select("x", "y", S.multiply_color(C("r"), C("g")).alias("product"), over.alias("over"), additive.alias("additive"))
+
+
+@query("SELECT x, y, ceil(level / 255.0::DOUBLE * 16)::INT AS height FROM g_dense")
+def sc16_fill_height(spark, d):
+    return views.g_dense(spark, d).select("x", "y", S.fill_height(C("level")).alias("height"))
+
+
+@query("SELECT x, y, (CASE WHEN level % 16 = 15 THEN 15 + [0, 1, 2, 1, 2, 0, 2, 0, 1][x % 3 * 3 + y % 3 + 1] ELSE level % 16 END)::BIGINT AS variant FROM g_dense")
+def sc17_wall_variant(spark, d):
+    return views.g_dense(spark, d).select("x", "y", S.wall_variant(C("level") % 16, C("x"), C("y")).alias("variant"))
+
+
+@query("SELECT x, y, CASE level % 8 WHEN 0 THEN kind >= 0 WHEN 1 THEN kind < 0 WHEN 2 THEN y > 30 WHEN 3 THEN CASE WHEN x % 3 > 0 THEN x % 3 = 1 END WHEN 4 THEN TRUE WHEN 5 THEN FALSE END AS harvestable FROM g_dense")
+def sc18_harvestable(spark, d):
+    rain = F.when(C("x") % 3 > 0, C("x") % 3 == 1)
+    return views.g_dense(spark, d).select("x", "y", S.harvestable(C("level") % 8, C("y"), 30, C("kind") >= 0, rain).alias("harvestable"))
+
+
+@query("SELECT x, y, CASE level % 7 WHEN 1 THEN '0,8;16,8;16,16;0,16' WHEN 2 THEN '0,0;16,16;0,16' WHEN 3 THEN '16,0;16,16;0,16' WHEN 4 THEN '0,0;16,0;0,16' WHEN 5 THEN '0,0;16,0;16,16' END AS points FROM g_dense")
+def sc19_polygon(spark, d):
+    points = S.polygon_of(C("level") % 7)
+    return views.g_dense(spark, d).select("x", "y", F.when(points.isNotNull(), F.concat_ws(";", F.transform(points, lambda p: F.concat_ws(",", p.cast("array<string>"))))).alias("points"))
+
+
+@query("SELECT x, y, ((((kind + 3)::BIGINT * 1024 + level) * 32 + y % 32) * 6 + x % 6) * 32 AS recipe, ceil(level / 255.0::DOUBLE * 16)::INT AS height, (CASE WHEN level % 16 = 15 THEN 15 + [0, 1, 2, 1, 2, 0, 2, 0, 1][x % 3 * 3 + y % 3 + 1] ELSE level % 16 END)::INT AS variant FROM g_dense")
+def sql_functions(spark, d):
+    """The registered SQL functions in use."""
+    S.register_sql_functions(spark)
+    return views.g_dense(spark, d).selectExpr("x", "y", "grid_recipe_id(kind + 3, cast(level AS int), y % 32, cast(x % 6 AS int), 0) AS recipe", "grid_fill_height(cast(level AS int)) AS height", "grid_wall_variant(cast(level % 16 AS int), x, y) AS variant")
