@@ -7,6 +7,7 @@ store that Spark and ``pyarrow.fs`` both reach (a shared mount, HDFS, an object
 from __future__ import annotations
 
 import posixpath
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()  # a path without a scheme is on the default store
+    return re.sub("^file:/(?!//)", "file:///", full).rstrip("/")
 
 
 def new_dir(spark: SparkSession, tag: str) -> str:
