@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,26 +34,46 @@ class WordEncoder:
         self.special = [k.content.encode() for k in self.library.get_added_tokens_decoder().values()]
         self.mark = max(self.special, key=len, default=b"")
         self.by_word &= bool(self.mark) and not any(set(x) & set(b" \n\t\r\x0b\x0c") for x in self.special)
-        self.mark_id = self.library.token_to_id(self.mark.decode())
+        vocab = self.library.get_vocab()
+        self.is_mark = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.is_mark[vocab.get(self.mark.decode(), 0)] = True
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        self.is_end = np.zeros_like(self.is_mark) if suffix else None
+        if suffix:
+            self.is_end[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _send(self, words: list[bytes], mark: bytes, ends: np.ndarray) -> None:
+        """``ends[id]``: whether an id ends a word (kept with it), or is the mark between words (not kept)."""
+        ids = np.array(self.library.encode_batch_fast([mark.join(words).decode("utf-8")], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if mark == self.mark:
+            cuts = np.append(cuts, len(ids) + 1)
+        if len(cuts) != len(words):
+            if mark == self.mark:
+                raise ValueError("a special token within a word")
+            return self._send(words, self.mark, self.is_mark)
+        data, width, drop = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, int(mark == self.mark)
+        for word, a, b in zip(words, [0, *cuts[:-1].tolist()], cuts.tolist()):
+            self.known[word] = data[a * width : (b - drop) * width]
+
     def learn(self, words: list[bytes]) -> None:
-        """Words without special tokens: sent as one text, with a special token between them that marks where each ends."""
-        at = 0
-        while at < len(words):
-            size, end = 0, at
-            while end < len(words) and (size < AT_ONCE or end == at):
-                size += len(words[end]) + len(self.mark)
-                end += 1
-            ids = np.array(self.library.encode_batch_fast([self.mark.join(words[at:end]).decode("utf-8")], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(ids == self.mark_id)
-            data, width = ids.astype(self.dtype).tobytes(), self.dtype.itemsize
-            for word, a, b in zip(words[at:end], [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                self.known[word] = data[a * width : b * width]
-            at = end
+        """Words without special tokens, many in one text: letters alone with blanks between them, where a word's last token shows it;
+        others with a special token between them."""
+        plain = [w for w in words if self.is_end is not None and w.decode("utf-8").isalpha()]
+        letters = set(plain)
+        for group, mark, ends in ((plain, b" ", self.is_end), ([w for w in words if w not in letters], self.mark, self.is_mark)):
+            at = 0
+            while at < len(group):
+                size, end = 0, at
+                while end < len(group) and (size < AT_ONCE or end == at):
+                    size += len(group[end]) + 1
+                    end += 1
+                self._send(group[at:end], mark, ends)
+                at = end
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``; null: none."""
@@ -62,20 +83,23 @@ class WordEncoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new: set[bytes] = set()
-        tails: dict[bytes, tuple[bytes, bytes]] = {}
-        for words in split:
-            for word in set(words or ()).difference(known):
+        found = [words and list(map(known.get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found) if words and None in ids for w, i in zip(words, ids) if i is None}
+        if missing:
+            new: set[bytes] = set()
+            tails: dict[bytes, tuple[bytes, bytes]] = {}
+            for word in missing:
                 core = word.rstrip(TAIL)
                 if core and core != word and 97 <= core[-1] <= 122:
                     tails[word] = core, word[len(core) :]
                     new.update(tails[word])
                 else:
                     new.add(word)
-        self.learn([w for w in new if w not in known])
-        for word, (core, tail) in tails.items():
-            known[word] = known[core] + known[tail]
-        return [self.whole(x) if words is None else b"".join([known[w] for w in words]) for x, words in zip(texts, split)]
+            self.learn(sorted(w for w in new if w not in known))
+            for word, (core, tail) in tails.items():
+                known[word] = known[core] + known[tail]
+            found = [[i if i is not None else known[w] for w, i in zip(words, ids)] if words and None in ids else ids for words, ids in zip(split, found)]
+        return [self.whole(x) if words is None else b"".join(ids) for x, words, ids in zip(texts, split, found)]
 
 
 def encoder(path: str) -> WordEncoder:
