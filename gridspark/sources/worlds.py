@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,49 +162,58 @@ def column_starts(data: bytes, framed: bytes, bounds: tuple[int, int], width: in
     return [*starts, c.pos], records
 
 
-def _open(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for path, data in zip(frame["path"], frame["content"]):
-            data = bytes(data)
+OPENED_SCHEMA = "world_id string, error string, signature string, version int, name string, seed string, id int, width int, height int, world_surface double, tree_x array<int>, records long, x0 int, ends array<int>, content binary, framed binary"
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in zip(batch["path"].to_pylist(), batch["content"]):
+            data = data.as_py()
             try:
                 world, framed, bounds = read_header(data)
                 starts, records = column_starts(data, framed, bounds, world["width"], world["height"])
             except FormatError as e:
-                yield pd.DataFrame([{"world_id": path, "error": str(e)}], columns=OPENED)
+                yield _batch([{"world_id": path, "error": str(e)}], OPENED_SCHEMA)
                 continue
-            yield pd.DataFrame([{"world_id": path, "records": records} | world], columns=OPENED)
+            yield _batch([{"world_id": path, "records": records} | world], OPENED_SCHEMA)
             for x in range(0, world["width"], SLICE):
                 last = min(world["width"], x + SLICE)
-                yield pd.DataFrame([{"world_id": path, "x0": x, "ends": [s - starts[x] for s in starts[x + 1 : last + 1]], "content": data[starts[x] : starts[last]], "framed": framed}], columns=OPENED)
+                ends = [s - starts[x] for s in starts[x + 1 : last + 1]]
+                yield _batch([{"world_id": path, "x0": x, "ends": ends, "content": data[starts[x] : starts[last]], "framed": framed}], OPENED_SCHEMA)
 
 
-OPENED_SCHEMA = "world_id string, error string, signature string, version int, name string, seed string, id int, width int, height int, world_surface double, tree_x array<int>, records long, x0 int, ends array<int>, content binary, framed binary"
-OPENED = [part.split()[0] for part in OPENED_SCHEMA.split(", ")]
+ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
 
 
-def _decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for world, x, ends, data, framed in zip(frame["world_id"], frame["x0"], frame["ends"], frame["content"], frame["framed"]):
-            c, rows, data = Cursor(bytes(data)), [], bytes(data)
-            for k, end in enumerate(ends):
+def _batch(rows: list[dict], ddl: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema([(name, ARROW[kind]) for name, kind in (part.split() for part in ddl.split(", "))]))
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in batch.to_pylist():
+            data, rows = part["content"], []
+            c = Cursor(data)
+            for k, end in enumerate(part["ends"]):
                 y = 0
                 while c.pos < end:
                     start = c.pos
-                    tile, repeats, cut = read_record(c, framed)
+                    tile, repeats, cut = read_record(c, part["framed"])
                     raw = bytes([data[start] & 63]) + data[start + 1 : cut]
-                    rows.append({"world_id": world, "x": int(x) + k, "y0": y, "run_len": repeats + 1, **tile, "raw": raw})
+                    rows.append({"world_id": part["world_id"], "x": part["x0"] + k, "y0": y, "run_len": repeats + 1, **tile, "raw": raw})
                     y += repeats + 1
-            yield pd.DataFrame(rows)[RUN_COLUMNS]
+            yield _batch(rows, RUNS)
 
 
 RUNS = f"world_id string, x int, y0 int, run_len int, {TILE}, raw binary"
-RUN_COLUMNS = [part.split()[0] for part in RUNS.split(", ")]
 
 
 def ingest_worlds(spark: SparkSession, path: str, mode: str = "permissive") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(worlds, runs, errors) of all files under ``path``. ``failfast``: the first bad file is an error."""
+    """(worlds, runs, errors) of all files under ``path``. ``failfast``: the first bad file is an error.
+
+    Spark doesn't list files of no bytes: they give no row."""
     files = spark.read.format("binaryFile").load(path)
-    opened = stored(files.select("path", "content").mapInPandas(_open, OPENED_SCHEMA))
+    opened = stored(files.select("path", "content").mapInArrow(_open, OPENED_SCHEMA))
     errors = opened.where("error is not null").select("world_id", "error")
     if mode == "failfast" and (bad := errors.first()):
         raise FormatError(f"{bad.world_id}: {bad.error}")
@@ -212,4 +221,4 @@ def ingest_worlds(spark: SparkSession, path: str, mode: str = "permissive") -> t
     names = [part.split()[0] for part in WORLD.split(", ")]
     worlds = opened.where("version is not null").drop("error").join(digest, "world_id").select(*names)
     slices = opened.where("x0 is not null").select("world_id", "x0", "ends", "content", "framed").repartition("world_id", "x0")
-    return worlds, slices.mapInPandas(_decode, RUNS), errors
+    return worlds, slices.mapInArrow(_decode, RUNS), errors
