@@ -44,6 +44,7 @@ def ngram_codes(text: str | None) -> np.ndarray:
         return np.empty(0, np.int64)
     keep = letter.copy()
     keep[1:] |= letter[:-1]
+    keep[np.flatnonzero(letter)[-1] + 1 :] = False
     points = np.where(letter, points & MASK, BOUNDARY)[keep].astype(np.int64)
     marks = np.empty(points.size + 2, np.int64)
     marks[0] = marks[-1] = BOUNDARY
