@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
 The benchmark's n-grams are counted in all documents first. A seed is an n-gram that is rare for its item: in at most
-``rare`` of the documents, or at most four times as many as the lower quartile of the item's own n-grams, so that an
-item copied into many documents keeps its seeds. A document's seed hits on near diagonals make a passage, which is aligned
+``rare`` of the documents, or at most four times as many as the lower quartile of those of the item's n-grams that occur,
+so that an item copied into many documents keeps its seeds. A document's seed hits on near diagonals make a passage, which is aligned
 with the item word by word; the score is the alignment's share of the item's full score.
 
 The benchmark is held in blocks of at most ``BLOCK_WORDS`` words, each scanned over all documents; documents never move.
@@ -93,8 +93,9 @@ class Items:
         """Keeps the rare n-grams of each item; ``places`` lists where each occurs."""
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for item, numbers in enumerate(self.posts):
-            if len(numbers):
-                most = max(rare * documents, 4 * np.quantile(df[numbers], 0.25))
+            seen = df[numbers][df[numbers] > 0]
+            if len(seen):
+                most = max(rare * documents, 4 * np.quantile(seen, 0.25))
                 for offset, number in enumerate(numbers.tolist()):
                     if df[number] <= most:
                         self.places[number].append((item, offset))
