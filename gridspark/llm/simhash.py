@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import parts
 from .common import partitions, stored, with_fields
 from .components import connected_components
 
@@ -31,23 +32,31 @@ BLOCK = 1024
 STEP = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The text's unsigned 64-bit fingerprint: A-Z lower-cased, words split at ASCII white space; no words: zero."""
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle, repeats included: A-Z lower-cased, words split at ASCII white space; fewer words: all of them as one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(lengths) - 1
     starts = ends - lengths + 1
-    width = min(width, len(words))
-    ends, count, n = ends[width - 1 :], np.zeros(64, np.int64), len(words) - width + 1
+    ends = ends[min(width, len(words)) - 1 :]
     hash64 = xxhash.xxh64_intdigest
-    for at in range(0, n, STEP):
-        spans = zip(starts[at : min(n, at + STEP)].tolist(), ends[at : at + STEP].tolist())
-        hashes = np.array([hash64(joined[a:b], seed) for a, b in spans], "<u8")
-        count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(count * 2 > n, bitorder="little").view("<u8")[0])
+    return np.array([hash64(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())], "<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits, each set if set in more than half of the hashes; none: zero."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), STEP):
+        count += np.unpackbits(hashes[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """The text's fingerprint; no words: zero."""
+    return simhash(shingle_hashes(text, width, seed))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
@@ -185,23 +194,40 @@ def near_duplicates(docs: DataFrame, tau: int = 3, segments: int = 7, width: int
     the same doc_id each keep their own text's fingerprint. Other columns are not read.
     """
     own = stored(with_fingerprint(docs.select("doc_id", "text"), width=width).select("doc_id", "fp"), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    nodes = stored(nodes, "nodes")
-    roots = connected_components(stored(linked(nodes.select("fp"), tau, segments), "links"))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return _grouped(own, tau, segments)
+
+
+def _grouped(own: DataFrame, tau: int, segments: int) -> DataFrame:
+    nodes = stored(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    edges = stored(linked(nodes.select("fp"), tau, segments), "links")
+    return own.join(_named(nodes, "fp", edges), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """(key, component_id): the smallest ``least`` of ``nodes (key, least)`` in each component of the edges."""
+    roots = connected_components(edges).withColumnRenamed("node", "_node")
+    named = nodes.join(roots, F.col(key) == F.col("_node"), "left").select(key, "least", F.coalesce("root", key).alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return own.join(named.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "root").select(key, "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, tau: int = 3, segments: int = 7, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group: the row with the group's smallest doc_id.
 
-    Rows repeated under one doc_id count as copies: the one with the smallest text stays (null first). Rows with a null
-    doc_id can't be told apart and stay. All columns stay.
+    Groups are made twice: by links of fingerprints, and then, among the documents that stay, by shingle similarity (see parts.py),
+    because fingerprints of texts with a similarity of 0.8 mostly differ in more than ``tau`` bits. Rows repeated under one
+    doc_id count as copies: the one with the smallest text stays (null first). Rows with a null doc_id can't be told apart and
+    stay. All columns stay.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), **how)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    mine = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    known = docs.where("doc_id is not null")
+    own = stored(parts.with_parts(known.select("doc_id", "text"), width).drop("text"), "profiles")
+    found = _grouped(own.select("doc_id", "fp"), tau, segments)
+    first = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "first")
+    rest = own.join(first, "doc_id", "left_semi")
+    edges = stored(parts.similar(rest, similarity), "similar")
+    nodes = rest.groupBy("node").agg(F.min("doc_id").alias("least"))
+    kept = _named(nodes, "node", edges).select(F.col("component_id").alias("_kept")).distinct()
+    mine = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text")
     mine = mine.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
     return mine.unionByName(docs.where("doc_id is null"))
