@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_place
+
 
 def inventory(runs: DataFrame, by: Sequence[str], counters: Mapping[str, Column] | None = None) -> DataFrame:
     """Cells, weighted by run length, for each value of ``by``; runs are never expanded. ``counters``: conditions to count."""
@@ -148,10 +150,10 @@ def majority(cells: DataFrame, by: Sequence[str], value: str, precedence: Sequen
 def intern_frames(commands: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(frames, commands): distinct frames with a dense id by first use and their number of uses; the commands with ``frame_id``.
 
-    Ids come from a window over the distinct frames, which are few beside the commands.
+    Commands without an order of their own (equal first uses) can't be told apart: seq must be unique.
     """
     frames = commands.groupBy(*columns).agg(F.min("seq").alias("first_seq"), F.count("*").alias("uses"))
-    frames = frames.withColumn("frame_id", F.row_number().over(Window.orderBy("first_seq")) - 1)
+    frames = with_place(frames, ["first_seq"], "frame_id")
     match = [F.col(f"_c.{c}").eqNullSafe(F.col(f"_f.{c}")) for c in columns]
     joined = commands.alias("_c").join(frames.alias("_f"), match).select("_c.*", "_f.frame_id")
     return frames, joined
@@ -160,8 +162,10 @@ def intern_frames(commands: DataFrame, columns: Sequence[str]) -> tuple[DataFram
 def dictionary_encode(rows: DataFrame, value: str, position: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(palette, ids): distinct values with ids in the order of first appearance, and the rows with ``id`` in place of the value."""
     first = rows.groupBy(*by, value).agg(F.min(position).alias("first_at"))
-    order = (Window.partitionBy(*by) if by else Window).orderBy("first_at", value)
-    palette = first.withColumn("id", F.row_number().over(order) - 1)
+    if by:
+        palette = first.withColumn("id", F.row_number().over(Window.partitionBy(*by).orderBy("first_at", value)) - 1)
+    else:
+        palette = with_place(first, ["first_at", value], "id")
     match = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_p.{c}")) for c in (*by, value)]
     ids = rows.alias("_r").join(palette.alias("_p"), match).select("_r.*", "_p.id").drop(value)
     return palette, ids

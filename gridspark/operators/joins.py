@@ -181,7 +181,8 @@ def bracketed(cells: DataFrame, match: Column, gap: Column, up: int = 5, span: i
 def zone_join(points: DataFrame, zones: DataFrame, world: Sequence[str] = ()) -> DataFrame:
     """Adds ``zone`` (0 to 3) and ``style``: ``zones (world..., cuts array, styles array)`` has one small row a world."""
     zone = F.aggregate("cuts", F.lit(0), lambda n, cut: n + F.when(F.col("x") >= cut, 1).otherwise(0))
-    joined = points.join(zones, list(world)) if world else points.crossJoin(F.broadcast(zones.limit(1)))
+    one = {c: zones.select(c).scalar() for c in ("cuts", "styles")} if not world else {}
+    joined = points.join(zones, list(world)) if world else points.withColumns(one)
     return joined.withColumn("zone", zone).withColumn("style", F.element_at("styles", F.col("zone") + 1)).drop("cuts", "styles")
 
 

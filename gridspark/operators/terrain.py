@@ -45,7 +45,7 @@ def connect8(cells: DataFrame, rules: DataFrame, attaches: Column, world: Sequen
     seen = _seen(marked, list(DIRECTIONS), ["shape", "hidden", "_attaches"], world)
     sides = F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(bit).alias("bit"), F.col(f"at_{d}").alias("o")) for d, (_, _, bit) in DIRECTIONS.items()]))
     asked = seen.select(*world, "x", "y", "family", "hidden", sides.alias("s")).select(*world, "x", "y", "family", "hidden", "s.dir", "s.bit", F.col("s.o.shape").alias("shape"), F.when(F.col("s.o._attaches") & (F.col("s.o.hidden") == F.col("hidden")), True).otherwise(False).alias("fits"))
-    judged = asked.join(F.broadcast(rules), ["family", "dir", "shape"], "left")
+    judged = asked.join(rules, ["family", "dir", "shape"], "left")
     bits = judged.groupBy(*world, "x", "y").agg(F.sum(F.when(F.col("fits") & F.col("connects"), F.col("bit")).otherwise(0)).cast("int").alias("_b"))
     corner = lambda sides, bit: F.when(F.col("_b").bitwiseAND(sides) == sides, F.col("_b").bitwiseAND(bit)).otherwise(0)
     return bits.select(*world, "x", "y", F.col("_b").bitwiseAND(15).alias("mask"), (corner(3, 16) + corner(5, 32) + corner(10, 64) + corner(12, 128)).alias("corners"))

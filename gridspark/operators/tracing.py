@@ -6,33 +6,16 @@ is written to the shared folder, so a lost executor repeats one round at most. T
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import stored
 from .terrain import _seen
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is made and set only where that is unset (one machine)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def trace_vertical(origins: DataFrame, cells: DataFrame, height: int, most: int, world: Sequence[str] = ()) -> DataFrame:
     """Straight falls from ``origins (idx, x, y)``: idx, x, y, step and the path's end ``reason``: solid, liquid, end (of the world) or limit.
 

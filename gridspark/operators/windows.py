@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_place
+
 #: Rows over which a falling liquid fades, by kind.
 FALL_LENGTH = {1: 10, 2: 3, 3: 2, 4: 10}
 
@@ -21,9 +23,9 @@ def vertical_context(cells: DataFrame, value: str, world: Sequence[str] = ()) ->
 
 def register_capped(candidates: DataFrame, cap: int, world: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(registered, report): candidates with ``idx`` in column-major order, the first ``cap`` of each world; eligible, registered, capped."""
-    keys = [*world] or [F.lit(0)]
-    order = Window.partitionBy(*keys).orderBy("x", "y")
-    kept = candidates.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < cap)
+    order = Window.partitionBy(*(world or [F.lit(0)])).orderBy("x", "y")
+    few = candidates if world else candidates.orderBy("x", "y").limit(cap)  # then the one window holds no more than the cap
+    kept = few.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < cap)
     counts = candidates.groupBy(*world).agg(F.count("*").alias("eligible"))
     least = F.least(F.col("eligible"), F.lit(cap))
     return kept, counts.withColumns({"registered": least, "capped": F.col("eligible") - least})
@@ -37,9 +39,9 @@ def layer_stack(commands: DataFrame, origin: Sequence[str], order: str, asset: s
 
 
 def first_appearance_rank(commands: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    """Each value of ``key`` with its first use and its place in the order of first uses. The window is over distinct values."""
+    """Each value of ``key`` with its first use and its place (from 1) in the order of first uses."""
     first = commands.groupBy(key).agg(F.min(order).alias("first_seq"))
-    return first.withColumn("place", F.dense_rank().over(Window.orderBy("first_seq")))
+    return with_place(first, ["first_seq"], "place").withColumn("place", F.col("place") + 1)
 
 
 def bridge_levels(cells: DataFrame, world: Sequence[str] = ()) -> DataFrame:

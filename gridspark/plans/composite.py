@@ -8,6 +8,7 @@ from gridspark.operators import aggs, terrain, tracing
 from gridspark.plans import audit, overview
 from gridspark.plans.counts import CELLS, MEANS, OMISSIONS, omissions
 from gridspark.plans.neighbours import ASSETS_SQL, MASK4, REQUESTED_SQL, assets, requested
+from gridspark.operators.ranks import with_place
 from gridspark.plans.registry import query
 from gridspark.sources import views
 
@@ -102,9 +103,7 @@ SELECT idx, step, x, y, reason FROM t"""
 def dm07_trace_paths(spark, d):
     cells = views.g_dense(spark, d).selectExpr("x", "y", "kind <> 0 AND level % 2 = 0 AS is_solid")
     origins = views.g_dense(spark, d).where("kind = 1 AND level % 5 = 0")
-    from gridspark.operators.windows import register_capped
-
-    return tracing.trace_paths(register_capped(origins, 1_000_000)[0].select("idx", "x", "y"), cells, 12)
+    return tracing.trace_paths(with_place(origins.select("x", "y"), ["x", "y"], "idx"), cells, 12)
 
 
 @query(

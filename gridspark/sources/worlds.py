@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.operators.tracing import stored
+from gridspark.operators.storage import stored
 
 #: Supported versions, accepted signatures and size limits.
 VERSIONS, SIGNATURES = range(269, 327), (b"relogic", b"xindong")

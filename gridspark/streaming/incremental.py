@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.operators.tracing import shared_dir
+from gridspark.operators.storage import shared_dir
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
