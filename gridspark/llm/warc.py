@@ -31,7 +31,7 @@ BLOCK_LINES = 3000
 #: An archive file is closed at about this many bytes.
 FILE_BYTES = 64 << 20
 #: A directory of more blocks than this isn't broadcast; look-ups then join with the decoded blocks.
-MAX_DIRECTORY = 1_000_000
+MAX_DIRECTORY = 200_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
