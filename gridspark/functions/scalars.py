@@ -151,10 +151,30 @@ SQL_FUNCTIONS = {
     "grid_fill_height": "(level INT) RETURNS INT RETURN cast(ceil(level / 255.0D * 16) AS INT)",
     "grid_multiply": "(a INT, b INT) RETURNS INT RETURN cast(floor(a * b / 255.0D + 0.5) AS INT)",
     "grid_wall_variant": "(mask INT, x BIGINT, y BIGINT) RETURNS INT RETURN CASE WHEN mask = 15 THEN 15 + element_at(array(0, 1, 2, 1, 2, 0, 2, 0, 1), cast(pmod(x, 3) * 3 + pmod(y, 3) + 1 AS INT)) ELSE mask END",
-    "grid_hue_top": "(r INT, g INT, b INT) RETURNS INT RETURN greatest(r, g, b)",
+    "grid_recipe_part": "(recipe BIGINT, part STRING) RETURNS BIGINT RETURN CASE part WHEN 'paint' THEN recipe % 32 WHEN 'shape' THEN recipe div 32 % 6 WHEN 'variant' THEN recipe div 192 % 32 WHEN 'type' THEN recipe div 6144 % 1024 WHEN 'kind' THEN recipe div 6291456 END",
+    "grid_frame_key": "(asset STRING, sx INT, sy INT, sw INT, sh INT) RETURNS STRING RETURN concat_ws(':', coalesce(asset, ''), coalesce(cast(sx AS STRING), ''), coalesce(cast(sy AS STRING), ''), coalesce(cast(sw AS STRING), ''), coalesce(cast(sh AS STRING), ''))",
+    "grid_saturation": "(r INT, g INT, b INT) RETURNS DOUBLE RETURN CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / cast(greatest(r, g, b) AS DOUBLE) ELSE 0D END",
+    "grid_hue": "(r INT, g INT, b INT) RETURNS DOUBLE RETURN CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0D ELSE pmod(CASE greatest(r, g, b) WHEN r THEN (g - b) / cast(greatest(r, g, b) - least(r, g, b) AS DOUBLE) WHEN g THEN 2 + (b - r) / cast(greatest(r, g, b) - least(r, g, b) AS DOUBLE) ELSE 4 + (r - g) / cast(greatest(r, g, b) - least(r, g, b) AS DOUBLE) END, 6D) / 6 END",
+    "grid_source_over": "(value INT, alpha INT) RETURNS INT RETURN least(value, alpha)",
+    "grid_additive": "(value INT, alpha INT) RETURNS INT RETURN value - least(value, alpha)",
+    "grid_harvestable": "(style INT, y INT, surface INT, day BOOLEAN, raining BOOLEAN) RETURNS BOOLEAN RETURN CASE style WHEN 0 THEN day WHEN 1 THEN NOT day WHEN 2 THEN y > surface WHEN 3 THEN raining WHEN 4 THEN true WHEN 5 THEN false END",
 }
 
 
+def _paint_body(channel: str) -> str:
+    """SQL of one channel of paint_color (for tiles)."""
+    hues = ", ".join(str(p) for p, c in PAINT_CHANNELS.items() if channel in c)
+    deep = ", ".join(str(p + 12) for p, c in PAINT_CHANNELS.items() if channel in c)
+    top, low = "greatest(r, g, b)", "least(r, g, b)"
+    cases = [f"paint = 0 THEN {channel}", f"paint IN ({hues}) THEN {top}", f"paint BETWEEN 1 AND 12 THEN {low}", f"paint IN ({deep}) THEN {top}", "paint BETWEEN 13 AND 24 THEN 0"]
+    cases += [f"paint = 25 THEN floor(({top} + {low}) * 0.15D + 0.5)", f"paint = 26 THEN floor({top} * 0.7D + (r + g + b - {top} - {low}) * 0.3D + 0.5)", f"paint = 27 THEN floor({top} * 0.5D + 0.5)"]
+    cases += ["paint = 28 THEN 0", f"paint = 29 THEN 255 - {channel}", f"paint = 30 THEN {top}"]
+    return f"(r INT, g INT, b INT, paint INT) RETURNS INT RETURN cast(CASE WHEN {' WHEN '.join(cases)} ELSE {channel} END AS INT)"
+
+
+SQL_FUNCTIONS |= {f"grid_paint_{name}": _paint_body(name[0]) for name in ("red", "green", "blue")}
+
+
 def register_sql_functions(spark: SparkSession) -> list[str]:
     """Makes the functions known to SQL of this session."""
     for name, body in SQL_FUNCTIONS.items():

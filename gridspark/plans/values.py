@@ -132,3 +132,14 @@ def sql_functions(spark, d):
     """The registered SQL functions in use."""
     S.register_sql_functions(spark)
     return views.g_dense(spark, d).selectExpr("x", "y", "grid_recipe_id(kind + 3, cast(level AS int), y % 32, cast(x % 6 AS int), 0) AS recipe", "grid_fill_height(cast(level AS int)) AS height", "grid_wall_variant(cast(level % 16 AS int), x, y) AS variant")
+
+
+@query(
+    """, q AS (SELECT x, y, r, g, b, greatest(r, g, b) AS top, least(r, g, b) AS low, greatest(r, g, b)::DOUBLE AS t, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS span, (x + y) % 32 AS p FROM pix),
+h AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN t = r THEN (g - b) / span WHEN t = g THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END AS part FROM q)
+SELECT x, y, """ + _paint_sql("g", "green") + """, round(CASE WHEN part < 0 THEN part + 6 ELSE part END / 6, 9) AS hue, round(CASE WHEN t > 0 THEN span / t ELSE 0 END, 9) AS saturation, (r // 32 % 6)::BIGINT AS shape FROM h"""
+)
+def sql_functions_of_colors(spark, d):
+    S.register_sql_functions(spark)
+    cells = views.pix(spark, d).selectExpr("x", "y", "cast(r AS int) AS r", "cast(g AS int) AS g", "cast(b AS int) AS b")
+    return cells.selectExpr("x", "y", "grid_paint_green(r, g, b, cast((x + y) % 32 AS int)) AS green", "round(grid_hue(r, g, b), 9) AS hue", "round(grid_saturation(r, g, b), 9) AS saturation", "grid_recipe_part(r, 'shape') AS shape")

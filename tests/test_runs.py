@@ -161,3 +161,18 @@ def test_canonical_raw_clears_run_bits(spark):
 
 def test_crc_check_vector(spark):
     assert spark.range(1).select(F.crc32(F.lit("123456789").cast("binary"))).first()[0] == 3421780262
+
+
+def test_sql_functions_agree_with_columns(spark):
+    S.register_sql_functions(spark)
+    df = spark.range(5000).selectExpr("cast(id % 256 AS int) AS r", "cast(id * 7 % 256 AS int) AS g", "cast(id * 31 % 256 AS int) AS b", "cast(id % 32 AS int) AS p")
+    c = S.paint_color(F.col("r"), F.col("g"), F.col("b"), F.col("p"))
+    both = df.select(c.alias("c"), F.expr("grid_paint_red(r, g, b, p) AS pr"), F.expr("grid_paint_green(r, g, b, p) AS pg"), F.expr("grid_paint_blue(r, g, b, p) AS pb"))
+    assert both.where("c.r <> pr OR c.g <> pg OR c.b <> pb").count() == 0
+    kept = spark.sql("SELECT grid_harvestable(2, 9, 8, null, null) AS a, grid_harvestable(9, 1, 1, true, true) AS b, grid_frame_key('t', 1, null, 3, 4) AS k, grid_source_over(9, 5) + 10 * grid_additive(9, 5) AS s").first()
+    assert tuple(kept) == (True, None, "t:1::3:4", 45)
+
+
+def test_approximate_count(spark):
+    n = aggs.count_distinct(spark.range(20_000), "id", approximate=True).first().n
+    assert abs(n - 20_000) < 2_000
