@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker remembers, and characters of words that are sent to the library at once.
-REMEMBERED, AT_ONCE = 1_500_000, 200_000
+#: Words whose ids a worker remembers (and as many older ones), and characters of words that are sent to the library at once.
+REMEMBERED, AT_ONCE = 300_000, 5_000
 #: Trailing characters that are always tokens of their own after a letter.
 TAIL = b".,;:!?%$&*#|)"
 
@@ -42,10 +42,18 @@ class WordEncoder:
         if suffix:
             self.is_end[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _again(self, word: bytes) -> bool:
+        """Takes a word over from the older ones, if it is there."""
+        ids = self.older.get(word)
+        if ids is not None:
+            self.known[word] = ids
+        return ids is not None
+
     def _send(self, words: list[bytes], mark: bytes, ends: np.ndarray) -> None:
         """``ends[id]``: whether an id ends a word (kept with it), or is the mark between words (not kept)."""
         ids = np.array(self.library.encode_batch_fast([mark.join(words).decode("utf-8")], add_special_tokens=False)[0].ids, np.int64)
@@ -80,22 +88,24 @@ class WordEncoder:
         if not self.by_word:
             return [self.whole(x) if x else b"" for x in texts]
         split = [None if x and "<" in x and any(m.decode() in x.lower() or m.decode() in x for m in self.special) else (x or "").encode("utf-8").lower().split() for x in texts]
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         found = [words and list(map(known.get, words)) for words in split]
         missing = {w for words, ids in zip(split, found) if words and None in ids for w, i in zip(words, ids) if i is None}
         if missing:
             new: set[bytes] = set()
             tails: dict[bytes, tuple[bytes, bytes]] = {}
             for word in missing:
+                if self._again(word):
+                    continue
                 core = word.rstrip(TAIL)
                 if core and core != word and 97 <= core[-1] <= 122:
                     tails[word] = core, word[len(core) :]
                     new.update(tails[word])
                 else:
                     new.add(word)
-            self.learn(sorted(w for w in new if w not in known))
+            self.learn(sorted(w for w in new if w not in known and not self._again(w)))
             for word, (core, tail) in tails.items():
                 known[word] = known[core] + known[tail]
             found = [[i if i is not None else known[w] for w, i in zip(words, ids)] if words and None in ids else ids for words, ids in zip(split, found)]
