@@ -169,6 +169,6 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     """
     dtype = encoder(tokenizer).dtype.str
     size = max(encoder(tokenizer).library.get_vocab_size(), end_id + 1)
-    ids = stored(with_ids(docs, tokenizer, end_id), "ids")
+    ids = stored(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, end_id), "ids")
     lengths = code_lengths(id_counts(ids, size, dtype))
     return write_files(ids, lengths, dtype, folder or new_dir(docs.sparkSession, "token-files"))
