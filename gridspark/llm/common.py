@@ -59,6 +59,18 @@ def write_bytes(uri: str, chunks) -> int:
     return size
 
 
+#: Rows of texts that a task exchanges with Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; from now on its session hands texts to Python in batches of ``BATCH_ROWS`` rows at most, as they may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, BATCH_ROWS)
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Words of benchmark items that a task holds at once.
 BLOCK_WORDS = 500_000
 
@@ -137,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: float
     total = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = -(-total // (BLOCK_WORDS * 4))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, score double, start_word long, end_word long"
-    docs = docs.select("doc_id", "text").where("text is not null")
+    docs = small_batches(docs).select("doc_id", "text").where("text is not null")
     found = [spark.createDataFrame([], schema)]
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()

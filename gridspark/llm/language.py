@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import small_batches, with_fields
 
 BITS, MASK = 13, 8191
 BOUNDARY = 32
@@ -119,7 +119,7 @@ def learn_profiles(labelled: DataFrame, size: int = 400) -> Profiles:
 
     Only ``size`` rows for each language reach the driver.
     """
-    counts = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
+    counts = small_batches(labelled).where("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, code long, n long")
     total = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = total.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).collect()
@@ -146,4 +146,4 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
             found = [shared.value.predict(x.as_py()) for x in batch[text]]
             yield batch.append_column("lang_pred", pa.array([f[0] for f in found], pa.string())).append_column("score", pa.array([f[1] for f in found], pa.float64()))
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
 from .decontaminate import words_of
 
 GRAM, WINDOW = 3, 2
@@ -187,7 +188,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
             blocks, size = [*blocks, []], 0
         blocks[-1].append((name, text))
         size += len(text) // 4
-    return reduce(DataFrame.unionByName, [_scan(docs.select("doc_id", "text"), Index(b), least, schema) for b in blocks])
+    return reduce(DataFrame.unionByName, [_scan(small_batches(docs).select("doc_id", "text"), Index(b), least, schema) for b in blocks])
 
 
 def _scan(docs: DataFrame, index: Index, least: float, schema: str) -> DataFrame:

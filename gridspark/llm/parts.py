@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import small_batches, with_fields
 
 #: Parts of a level that make keys, shingles of a part at least on the coarser level, and bins of the minima.
 KEYS, LEAST, BINS = 12, 4, 256
@@ -69,7 +69,7 @@ def with_parts(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame
                     piece = piece.append_column(name, column)
                 yield piece
 
-    return docs.mapInArrow(run, with_fields(docs, fp="long", node="long", keys="array<long>", minima="binary"))
+    return small_batches(docs).mapInArrow(run, with_fields(docs, fp="long", node="long", keys="array<long>", minima="binary"))
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import parts
-from .common import partitions, stored, with_fields
+from .common import partitions, small_batches, stored, with_fields
 from .components import connected_components
 
 #: Fingerprints of a block; a group with more is dealt out by pairs of blocks.
@@ -68,7 +68,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", width: int = 3) -> Dat
             fps = np.array([fingerprint(x.as_py(), width) for x in batch[text]], np.uint64).view(np.int64)
             yield batch.append_column("fp", pa.array(fps))
 
-    return docs.mapInArrow(run, with_fields(docs, fp="long"))
+    return small_batches(docs).mapInArrow(run, with_fields(docs, fp="long"))
 
 
 def ring(segments: int) -> list[int]:

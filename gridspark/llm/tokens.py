@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from .common import small_batches
+
 #: Words whose ids a worker remembers (and as many older ones), and characters of words that are sent to the library at once.
 REMEMBERED, AT_ONCE = 300_000, 5_000
 #: Trailing characters that are always tokens of their own after a letter.
@@ -133,4 +135,4 @@ def with_ids(docs: DataFrame, path: str, end_id: int, text: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return small_batches(docs).select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ids binary")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_dir, partitions, stored, write_bytes
+from .common import filesystem, new_dir, partitions, small_batches, stored, write_bytes
 
 BLOCK_LINES = 3000
 #: An archive file is closed at about this many bytes.
@@ -128,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
         if rows:
             yield close()
 
-    return stored(classified(pages, min_bytes).mapInArrow(run, "key string, page_id long, file string, start long, length long"), "captures")
+    return stored(small_batches(classified(pages, min_bytes)).mapInArrow(run, "key string, page_id long, file string, start long, length long"), "captures")
 
 
 CAPTURES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
