@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from .common import small_batches
 
 #: Words whose ids a worker remembers (and as many older ones), and characters of words that are sent to the library at once.
-REMEMBERED, AT_ONCE = 300_000, 5_000
+REMEMBERED, AT_ONCE = 500_000, 5_000
 #: Trailing characters that are always tokens of their own after a letter.
 TAIL = b".,;:!?%$&*#|)"
 
