@@ -134,7 +134,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_output import read_files, token_files
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_files(token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+    return read_files(token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, remembered=1_200_000))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import filesystem, new_dir, partitions, stored, write_bytes
 from .huffman import BLOCK, Codec, code_lengths
-from .tokens import encoder, with_ids
+from .tokens import REMEMBERED, encoder, with_ids
 
 MAGIC = b"HUFIDS1\n"
 #: A file is closed when it holds this many ids; a document is never split.
@@ -161,7 +161,7 @@ def read_files(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Encodes ``docs (doc_id, text)`` with the tokenizer file at path ``tokenizer``, writes the files, and returns their list.
 
     Null texts are empty: their ids are ``end_id`` alone. Null doc_ids come first. Rows repeated under a doc_id each have
@@ -169,6 +169,6 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     """
     dtype = encoder(tokenizer).dtype.str
     size = max(encoder(tokenizer).library.get_vocab_size(), end_id + 1)
-    ids = stored(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, end_id), "ids")
+    ids = stored(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, end_id, remembered=remembered), "ids")
     lengths = code_lengths(id_counts(ids, size, dtype))
     return write_files(ids, lengths, dtype, folder or new_dir(docs.sparkSession, "token-files"))

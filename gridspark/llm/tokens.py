@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from .common import small_batches
 
 #: Words whose ids a worker remembers (and as many older ones), and characters of words that are sent to the library at once.
-REMEMBERED, AT_ONCE = 500_000, 5_000
+REMEMBERED, AT_ONCE = 300_000, 5_000
 #: Trailing characters that are always tokens of their own after a letter.
 TAIL = b".,;:!?%$&*#|)"
 
@@ -43,6 +43,7 @@ class WordEncoder:
         self.is_end = np.zeros_like(self.is_mark) if suffix else None
         if suffix:
             self.is_end[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+        self.remembered = REMEMBERED
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -90,7 +91,7 @@ class WordEncoder:
         if not self.by_word:
             return [self.whole(x) if x else b"" for x in texts]
         split = [None if x and "<" in x and any(m.decode() in x.lower() or m.decode() in x for m in self.special) else (x or "").encode("utf-8").lower().split() for x in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         known = self.known
         found = [words and list(map(known.get, words)) for words in split]
@@ -121,12 +122,14 @@ def encoder(path: str) -> WordEncoder:
     return _OPEN[path]
 
 
-def with_ids(docs: DataFrame, path: str, end_id: int, text: str = "text") -> DataFrame:
+def with_ids(docs: DataFrame, path: str, end_id: int, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, ids): the ids of the whole text with ``end_id`` after them, as little-endian integers of 2 bytes for
-    vocabularies up to 65,536, else 4. Null and empty texts have the end id alone."""
+    vocabularies up to 65,536, else 4. Null and empty texts have the end id alone. Each worker remembers the
+    ids of ``remembered`` words, and of as many older ones: more take memory and save time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        own.remembered = remembered
         end = np.array([end_id], own.dtype).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
