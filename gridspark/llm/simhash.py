@@ -224,7 +224,7 @@ def keep_one(docs: DataFrame, tau: int = 3, segments: int = 7, width: int = 5, s
     found = _grouped(own.select("doc_id", "fp"), tau, segments)
     first = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "first")
     rest = own.join(first, "doc_id", "left_semi")
-    edges = stored(parts.similar(rest, similarity), "similar")
+    edges = stored(parts.similar(rest, similarity, known, width), "similar")
     nodes = rest.groupBy("node").agg(F.min("doc_id").alias("least"))
     kept = _named(nodes, "node", edges).select(F.col("component_id").alias("_kept")).distinct()
     mine = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")

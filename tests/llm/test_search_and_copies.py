@@ -172,3 +172,49 @@ def test_similar_sets_link_and_others_do_not(spark):
     high = [k for k, j in truth.items() if 0.87 <= j < 1]
     assert len(high) > 30 and len(found & set(high)) >= 0.97 * len(high)
     assert not found & {k for k, j in truth.items() if j < 0.7}
+
+
+def graph_keeps(rows, tau=3, similarity=0.8):
+    """Smallest doc_id of each component of the whole graph: equal sets, fingerprints or similarity."""
+    sets = [set(S.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    fps = [S.fingerprint(t, 5) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for k in range(len(rows)):
+        for m in range(k):
+            if (fps[k] ^ fps[m]).bit_count() <= tau or len(sets[k] & sets[m]) >= similarity * len(sets[k] | sets[m]):
+                parent[find(k)] = find(m)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(i, least.get(find(k), i))
+    return sorted(least.values())
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.sample(range(len(words)), n):
+        out[at] = "new" + str(rng.randrange(10**6))
+    return out
+
+
+@pytest.mark.parametrize("block", [50, 512])
+def test_a_base_and_its_edited_copies_are_one_group(spark, monkeypatch, block):
+    """The copies are similar to the base only, and the base leads few of the keys."""
+    from gridspark.llm import parts as P
+
+    monkeypatch.setattr(P, "BLOCK", block)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(k, " ".join(edited(rng, base, 4) if k != 150 else base)) for k in range(300)] + [(1000, " ".join(f"x{k}" for k in range(200)))]
+    profiles = P.with_parts(spark.createDataFrame(rows, "doc_id long, text string"))
+    nodes = {r.node: r.doc_id for r in profiles.select("node", "doc_id").collect()}
+    found = connected_components(P.similar(profiles)).collect()
+    sets = [set(S.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    expected = {k for k in range(300) if len(sets[k] & sets[150]) >= 0.8 * len(sets[k] | sets[150])}
+    assert len(expected) > 290 and expected <= {nodes[r.node] for r in found}
+    assert len({r.root for r in found if nodes[r.node] in expected}) == 1 and 1000 not in {nodes[r.node] for r in found}
