@@ -214,18 +214,21 @@ def _named(nodes: DataFrame, key: str, edges: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, tau: int = 3, segments: int = 7, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without all but one document of each near-duplicate group: the row with the group's smallest doc_id.
 
-    Groups are made twice: by links of fingerprints, and then, among the documents that stay, by shingle similarity (see parts.py),
-    because fingerprints of texts with a similarity of 0.8 mostly differ in more than ``tau`` bits. Rows repeated under one
+    Groups are the components of one graph over all distinct texts: links of fingerprints, pairs with a shingle similarity of
+    ``similarity`` (see parts.py; fingerprints of such texts mostly differ in more than ``tau`` bits), and equal fingerprints or
+    shingle sets. So texts that only a dropped document connects are one group. Rows repeated under one
     doc_id count as copies: the one with the smallest text stays (null first). Rows with a null doc_id can't be told apart and
     stay. All columns stay.
     """
     known = docs.where("doc_id is not null")
     own = stored(parts.with_parts(known.select("doc_id", "text"), width).drop("text"), "profiles")
-    found = _grouped(own.select("doc_id", "fp"), tau, segments)
-    first = stored(found.where("doc_id = component_id").select("doc_id").distinct(), "first")
-    rest = own.join(first, "doc_id", "left_semi")
-    edges = stored(parts.similar(rest, similarity, known, width), "similar")
-    nodes = rest.groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = own.groupBy("node").agg(F.min("doc_id").alias("least"))
+    of = own.select("fp", "node").distinct()
+    first = stored(of.groupBy("fp").agg(F.min("node").alias("first")), "first")  # a fingerprint's own node
+    named = lambda k: first.select(F.col("fp").alias(k), F.col("first").alias(f"n{k}"))
+    near = linked(first.select("fp"), tau, segments).join(named("u"), "u").join(named("v"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    equal = of.join(first, "fp").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    edges = stored(near.union(equal).union(parts.similar(own, similarity, known, width)).where("u <> v").distinct(), "edges")
     kept = _named(nodes, "node", edges).select(F.col("component_id").alias("_kept")).distinct()
     mine = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text")

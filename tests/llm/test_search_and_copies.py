@@ -218,3 +218,18 @@ def test_a_base_and_its_edited_copies_are_one_group(spark, monkeypatch, block):
     expected = {k for k in range(300) if len(sets[k] & sets[150]) >= 0.8 * len(sets[k] | sets[150])}
     assert len(expected) > 290 and expected <= {nodes[r.node] for r in found}
     assert len({r.root for r in found if nodes[r.node] in expected}) == 1 and 1000 not in {nodes[r.node] for r in found}
+
+
+def test_groups_are_those_of_the_whole_graph(spark):
+    """Chains of texts in which a document that links two others by different rules goes itself."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(3):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(40):
+            texts.append(" ".join(words))
+            words = edited(rng, words, rng.choice([1, 2, 3, 4]))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    kept = sorted(r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == graph_keeps(rows)
