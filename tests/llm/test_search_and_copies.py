@@ -233,3 +233,21 @@ def test_groups_are_those_of_the_whole_graph(spark):
     rows = list(enumerate(texts))
     kept = sorted(r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert kept == graph_keeps(rows)
+
+
+def test_similarity_is_decided_exactly():
+    """Around 0.8, for sets of many sizes: a pair links if and only if its exact similarity reaches it."""
+    from gridspark.llm import parts as P
+
+    rng = np.random.default_rng(8)
+    for size in (9, 45, 90, 450):
+        for off in range(-3, 4):
+            shared = size * 8 // 9 + off  # two sets of one size are at 0.8 when they share 8 of 9
+            pool = rng.permutation(10**6)[: 2 * size].astype(np.uint64)
+            if not 0 < shared <= size:
+                continue
+            a, b = np.sort(pool[:size]), np.sort(np.r_[pool[:shared], pool[size : 2 * size - shared]])
+            other = np.sort(rng.permutation(10**6)[:size].astype(np.uint64) + np.uint64(10**7))
+            linked = [(1, 2)] if 10 * shared >= 8 * (2 * size - shared) else []
+            assert P.forest(np.array([1, 2]), [a, b], 0.8) == linked
+            assert P.forest(np.array([1, 3, 2]), [a, other, b], 0.8) == linked
