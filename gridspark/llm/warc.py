@@ -42,7 +42,7 @@ def url_key(url: str | None) -> str:
         return ")" + _safe(url or "")
     host, tail = re.match(r"([^/?#]*)(.*)", rest, re.S).groups()
     host = re.sub(r":(80|443)?$", "", host.rpartition("@")[2].lower())
-    return ",".join(reversed(host.split("."))) + ")" + _safe(tail.partition("#")[0] or "/")
+    return _safe(",".join(reversed(host.split(".")))) + ")" + _safe(tail.partition("#")[0] or "/")
 
 
 def _safe(url: str) -> str:
@@ -170,7 +170,7 @@ def read_range(uri: str, start: int, length: int) -> bytes:
 
 def block_lines(uri: str, start: int, length: int) -> Iterator[dict]:
     """The captures of a block."""
-    for line in gzip.decompress(read_range(uri, start, length)).decode().splitlines():
+    for line in gzip.decompress(read_range(uri, start, length)).decode().split("\n")[:-1]:  # other line ends occur in urls
         url, stamp, rest = line.split(" ", 2)
         yield dict(zip(("key", "page_id", "file", "start", "length"), [f"{url} {stamp}", *json.loads(rest)]))
 

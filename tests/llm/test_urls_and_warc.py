@@ -122,3 +122,14 @@ def test_url_keys():
     assert W.url_key("http://www.Example.org:80/a?b#c") == "org,example,www)/a?b"
     assert W.url_key("https://u@x.net") == "net,x)/"
     assert W.url_key(None) == ")"
+
+
+def test_urls_with_blanks_and_line_ends(spark):
+    """Blanks and Unicode line ends in host and path break neither the index nor other pages."""
+    urls = ["http://a b.com/x", "http://a.com/x y", "http://a\x85b.com/x", "http://a.com/x\x85y", "http://a\u2028b.com/x", "http://a.com/x\u2028y\u2029z", "http://a\nb.com/\n", "http://plain.org/"]
+    pages = spark.createDataFrame([(k, u, f"page {k}") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    directory = W.archive(pages)
+    assert sorted(r.page_id for r in W.read_records(W.read_index(directory)).collect()) == list(range(len(urls)))
+    found = W.look_up(pages.select("url"), directory).collect()
+    assert sorted((r.page_id, r.url) for r in found) == list(enumerate(urls))
+    assert W.url_key("http://a b.com/x") == "com,a%20b)/x"
