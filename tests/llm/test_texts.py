@@ -220,3 +220,14 @@ def test_contamination_of_the_tables(spark):
     items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
     found = {(r.doc_id, r.item_id) for r in op10_decontaminate(spark, DATA).collect()}
     assert {(i, k) for i, t in docs.items() for k, b in items.items() if b in t} <= found
+
+
+def test_each_whole_licence_is_its_own():
+    """Every template is found as itself with its whole span; a BSD text without its disclaimer is no whole BSD text."""
+    index, texts = C.Index(C.TEMPLATES), dict(C.TEMPLATES)
+    for name, text in texts.items():
+        (found,) = C.matches(index, f"before {text} after", 0.8)
+        assert (found["license"], found["coverage"], found["start"]) == (name, 1.0, 7) and found["end"] >= 7 + len(text) - 2
+    assert {"BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "LGPL-3.0-notice", "AGPL-3.0-notice", "MPL-2.0-notice", "CC0-1.0-notice", "Unlicense"} <= set(texts)
+    assert not C.matches(index, texts["BSD-2-Clause"].partition("THIS SOFTWARE IS")[0], 0.8)
+    assert "IN NO EVENT" in texts["ISC"]
