@@ -2,8 +2,8 @@
 
 Each record is a gzip member of its own. Records with equal payloads are stored once: the one with the largest page_id
 is the response, the others revisit it. The index has a line for each capture, sorted by reversed-host URL key, in
-compressed blocks of ``BLOCK_LINES`` lines; the sparse directory has the first key and the place of each block. A
-look-up binary-searches the directory, reads one block, and then the record's own range of bytes.
+compressed blocks of ``BLOCK_LINES`` lines; each index file ends with its sparse directory, the first and last key and the place of each
+block. A look-up binary-searches the files and then a file's directory, reads one block, and then the record's own range of bytes.
 
 Files are written under names of their own and count only when the finished write lists them, so what a lost task
 left behind is never read.
@@ -19,7 +19,7 @@ import json
 import re
 import urllib.parse
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,8 +30,6 @@ from .common import filesystem, new_dir, partitions, small_batches, stored, writ
 BLOCK_LINES = 3000
 #: An archive file is closed at about this many bytes.
 FILE_BYTES = 64 << 20
-#: A directory of more blocks than this isn't broadcast; look-ups then join with the decoded blocks.
-MAX_DIRECTORY = 200_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -89,9 +87,9 @@ def classified(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``pages (page_id, url, html)`` with size, kind, refers_to; a revisit's html is null."""
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.octet_length(body).cast("long").alias("size"), F.sha2(body, 256).alias("same"), F.sha1(body).alias("sha1"))
-    first = rows.where(F.col("size") >= min_bytes).groupBy("same").agg(F.max("page_id").alias("first"))
-    rows = rows.join(first, "same", "left")
-    revisit = (F.col("size") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
+    first = rows.where(F.col("size") >= min_bytes).groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(first.drop("n"), "same", "left")  # Spark splits the partition of a payload with very many rows
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     kind: Column = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     return rows.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "sha1", kind.alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
 
@@ -132,19 +130,20 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
 
 
 CAPTURES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())])
-DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("lines", pa.int64())])
+DIRECTORY = pa.schema([("first_key", pa.string()), ("last_key", pa.string()), ("file", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("blocks", pa.int64()), ("lines", pa.int64())])
 
 
 def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes the sorted, compressed blocks and returns their directory: first_key, last_key, file, start, length, lines."""
+    """Writes the sorted, compressed blocks, each file's block directory behind its blocks, and returns one row for each file: first_key,
+    last_key, file, start and length of its directory, blocks, lines. There are as many files as shuffle partitions at most."""
     rows = captures.repartitionByRange(partitions(captures.sparkSession), "key", "page_id", "file", "start").sortWithinPartitions("key", "page_id", "file", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uri, blocks, out, lines = f"{folder}/index-{uuid.uuid4().hex}.cdx.gz", [], [], []
+        uri, blocks, places, lines = f"{folder}/index-{uuid.uuid4().hex}.cdx.gz", [], [], []
 
         def close() -> None:
-            data = gzip.compress("".join(f"{r['key']} {json.dumps([r['page_id'], r['file'], r['start'], r['length']])}\n" for r in lines).encode(), 6, mtime=0)
-            out.append({"first_key": lines[0]["key"], "last_key": lines[-1]["key"], "file": uri, "start": sum(map(len, blocks)), "length": len(data), "lines": len(lines)})
+            data = packed(f"{r['key']} {json.dumps([r['page_id'], r['file'], r['start'], r['length']])}" for r in lines)
+            places.append([lines[0]["key"], lines[-1]["key"], sum(p[3] for p in places), len(data), len(lines)])
             blocks.append(data)
             lines.clear()
 
@@ -155,11 +154,17 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
                     close()
         if lines:
             close()
-        if out:
-            write_bytes(uri, blocks)
-            yield pa.RecordBatch.from_pylist(out, DIRECTORY)
+        if places:
+            tail = packed(map(json.dumps, places))
+            write_bytes(uri, [*blocks, tail])
+            row = {"first_key": places[0][0], "last_key": places[-1][1], "file": uri, "start": sum(map(len, blocks)), "length": len(tail), "blocks": len(places), "lines": sum(p[4] for p in places)}
+            yield pa.RecordBatch.from_pylist([row], DIRECTORY)
 
-    return stored(rows.mapInArrow(run, "first_key string, last_key string, file string, start long, length long, lines long"), "directory")
+    return stored(rows.mapInArrow(run, "first_key string, last_key string, file string, start long, length long, blocks long, lines long"), "directory")
+
+
+def packed(lines: Iterable[str]) -> bytes:
+    return gzip.compress("".join(f"{line}\n" for line in lines).encode(), 6, mtime=0)
 
 
 def read_range(uri: str, start: int, length: int) -> bytes:
@@ -168,23 +173,29 @@ def read_range(uri: str, start: int, length: int) -> bytes:
         return f.read_at(length, start)
 
 
+def lines_of(uri: str, start: int, length: int) -> list[str]:
+    """The lines of a compressed range; other line ends than \\n occur in urls."""
+    return gzip.decompress(read_range(uri, start, length)).decode().split("\n")[:-1]
+
+
 def block_lines(uri: str, start: int, length: int) -> Iterator[dict]:
     """The captures of a block."""
-    for line in gzip.decompress(read_range(uri, start, length)).decode().split("\n")[:-1]:  # other line ends occur in urls
+    for line in lines_of(uri, start, length):
         url, stamp, rest = line.split(" ", 2)
         yield dict(zip(("key", "page_id", "file", "start", "length"), [f"{url} {stamp}", *json.loads(rest)]))
 
 
 def read_index(directory: DataFrame) -> DataFrame:
-    """All captures, from the blocks."""
+    """All captures, from all blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist(list(block_lines(r["file"], r["start"], r["length"])), CAPTURES)
+                for _, _, start, length, _ in map(json.loads, lines_of(r["file"], r["start"], r["length"])):
+                    yield pa.RecordBatch.from_pylist(list(block_lines(r["file"], start, length)), CAPTURES)
 
-    blocks = directory.select("file", "start", "length").repartition(partitions(directory.sparkSession), "file", "start")
-    return blocks.mapInArrow(run, "key string, page_id long, file string, start long, length long")
+    files = directory.select("file", "start", "length").repartition(partitions(directory.sparkSession), "file", "start")
+    return files.mapInArrow(run, "key string, page_id long, file string, start long, length long")
 
 
 def read_records(captures: DataFrame, payload: bool = False) -> DataFrame:
@@ -213,38 +224,74 @@ def read_records(captures: DataFrame, payload: bool = False) -> DataFrame:
     return captures.select("file", "start", "length").repartition(n, "file", near).sortWithinPartitions("file", "start").mapInArrow(run, kinds)
 
 
-def look_up(urls: DataFrame, directory: DataFrame) -> DataFrame:
-    """(url, page_id, file, start, length): the captures of each distinct row of ``urls (url)``."""
-    spark = urls.sparkSession
-    urls = urls.select("url").distinct()
-    blocks = directory.orderBy("first_key", "last_key").limit(MAX_DIRECTORY + 1).collect()
-    if len(blocks) > MAX_DIRECTORY:
-        keyed = urls.mapInArrow(_with_key, "url string, prefix string")
-        return read_index(directory).withColumn("prefix", F.substring_index("key", " ", 1)).join(keyed, "prefix").select("url", "page_id", "file", "start", "length")
-    shared = spark.sparkContext.broadcast(([b.first_key for b in blocks], [b.last_key for b in blocks], [(b.file, b.start, b.length) for b in blocks]))
+def keyed(urls: DataFrame) -> DataFrame:
+    """(url, key) of each row of ``urls (url)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts, lasts, places = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["url"], pa.array([url_key(x) for x in batch["url"].to_pylist()], pa.string())], ["url", "key"])
+
+    return urls.select("url").mapInArrow(run, "url string, key string")
+
+
+def find(keys: DataFrame, directory: DataFrame) -> DataFrame:
+    """The captures of all distinct ``keys (key)``: key, page_id, file, start, length; absent keys give no row.
+
+    Keys are sorted; for each, a binary search in the list of files (one row a file) and one in that file's block directory give the
+    blocks that may hold it. Blocks then are dealt out, and each is read and decoded once for all of its keys: a key with
+    captures in many blocks is spread over as many tasks.
+    """
+    spark = keys.sparkSession
+    files = spark.sparkContext.broadcast(sorted(map(tuple, directory.select("first_key", "last_key", "file", "start", "length").collect())))
+    asked = keys.select("key").distinct().repartitionByRange(partitions(spark), "key").sortWithinPartitions("key")
+    place = [("file", pa.string()), ("start", pa.int64()), ("length", pa.int64())]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, places, lasts = None, [], []
+        ends = [f[1] for f in files.value]
         for batch in batches:
             out = []
-            for url in batch["url"].to_pylist():
-                key = url_key(url) + " "
-                at = max(0, bisect.bisect_left(firsts, key) - 1)
-                while at < len(firsts) and firsts[at] <= key + "~":
-                    if lasts[at] >= key:
-                        out += [{"url": url, "page_id": r["page_id"], "file": r["file"], "start": r["start"], "length": r["length"]} for r in block_lines(*places[at]) if r["key"].startswith(key)]
+            for key in batch["key"].to_pylist():
+                low, high = f"{key} ", f"{key}!"  # a line's key goes on with a blank and its stamp
+                at = bisect.bisect_left(ends, low)
+                while at < len(ends) and files.value[at][0] < high:
+                    if at != now:  # keys come in order, so each file's directory is read once
+                        places = [json.loads(x) for x in lines_of(*files.value[at][2:])]
+                        now, lasts = at, [p[1] for p in places]
+                    for p in places[bisect.bisect_left(lasts, low) :]:
+                        if p[0] >= high:
+                            break
+                        out.append((key, files.value[at][2], p[2], p[3]))
                     at += 1
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("url", pa.string()), *list(CAPTURES)[1:]]))
+            yield pa.RecordBatch.from_pylist([dict(zip(("key", "file", "start", "length"), o)) for o in out], pa.schema([("key", pa.string()), *place]))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, wanted = None, set()
 
-    return urls.mapInArrow(run, "url string, page_id long, file string, start long, length long")
+        def read() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([r | {"key": url} for r in block_lines(*now) if (url := r["key"].partition(" ")[0]) in wanted], CAPTURES)
 
+        for batch in batches:
+            for key, *at in zip(*(batch[c].to_pylist() for c in ("key", "file", "start", "length"))):
+                if at != now:
+                    if now:
+                        yield read()
+                    now, wanted = at, set()
+                wanted.add(key)
+        if now:
+            yield read()
+
+    blocks = asked.mapInArrow(search, "key string, file string, start long, length long").repartition(partitions(spark), "file", "start")
+    return blocks.sortWithinPartitions("file", "start").mapInArrow(decode, "key string, page_id long, file string, start long, length long")
 
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch["url"], pa.array([url_key(x) for x in batch["url"].to_pylist()], pa.string())], ["url", "prefix"])
+
+def look_up(urls: DataFrame, directory: DataFrame) -> DataFrame:
+    """(url, page_id, file, start, length): the captures of each distinct row of ``urls (url)``. A null url is a key like any other."""
+    own = keyed(urls.select("url").distinct())
+    return own.join(find(own, directory), "key").select("url", "page_id", "file", "start", "length")
 
 
 def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
-    """Writes archives and index of ``pages`` and returns the directory."""
+    """Writes archives and index of ``pages`` and returns the list of index files."""
     folder = folder or new_dir(pages.sparkSession, "warc")
     return write_index(write_archives(pages, folder, min_bytes), folder)

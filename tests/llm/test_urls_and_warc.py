@@ -92,23 +92,28 @@ def test_archives_round_trip(spark, pages):
 
 
 def test_small_payloads_are_all_responses(spark, pages):
-    found = W.read_records(W.read_index(W.archive(pages, min_bytes=4))).collect()
-    assert {r.page_id: r.record_type for r in found} == {1: "response", 2: "response", 3: "response", 4: "response", 5: "response", 6: "response", 7: "response"}
+    """Payloads of fewer bytes than the bound are responses; those of just as many revisit."""
+    kinds = lambda n: {r.page_id: r.record_type for r in W.read_records(W.read_index(W.archive(pages, min_bytes=n))).collect()}
+    assert set(kinds(6).values()) == {"response"}
+    at_bound = kinds(4)  # "<p>a" has four bytes, the empty payloads fewer
+    assert {k for k, v in at_bound.items() if v == "revisit"} == {1, 3} and at_bound[7] == at_bound[4] == at_bound[5] == "response"
 
 
-def test_look_up_by_both_ways(spark, monkeypatch):
+def test_look_up_finds_what_a_scan_finds(spark, monkeypatch):
+    """Keys in one block, over several blocks and files, absent ones, and two urls of one key."""
     monkeypatch.setattr(W, "BLOCK_LINES", 7)
-    urls = [(k, f"http://h{k % 13}.example.org/p/{k % 90}", f"<p>{k}", None) for k in range(200)]
-    folder = new_dir(spark, "warc-test")
-    captures = W.write_archives(spark.createDataFrame(urls, PAGES), folder)
-    rows = sorted(captures.collect(), key=lambda r: (r.key, r.page_id))
-    blocks = W.write_index(captures.coalesce(1), folder)
-    asked = spark.createDataFrame([(u,) for _, u, _, _ in urls[:40]] + [("http://none.example.org/",), (None,)], "url string")
-    expected = sorted((u, i) for i, u, _, _ in urls if u in {x for _, x, _, _ in urls[:40]})
-    assert sorted((r.url, r.page_id) for r in W.look_up(asked, blocks).collect()) == expected
-    monkeypatch.setattr(W, "MAX_DIRECTORY", 1)
-    assert sorted((r.url, r.page_id) for r in W.look_up(asked, blocks).collect()) == expected
-    assert len(rows) == 200 and blocks.agg(F.sum("lines")).first()[0] == 200
+    urls = [(k, f"http://h{k % 13}.example.org/p/{k % 90}" if k % 4 else "http://hot.example.org/", f"<p>{k}", None) for k in range(200)]
+    captures = W.write_archives(spark.createDataFrame(urls, PAGES), new_dir(spark, "warc-test"))
+    extra = [("http://none.example.org/",), (None,), ("http://HOT.example.org:80/#x",), ("http://zzz/",), ("http://0/",)]
+    asked = [u for _, u, _, _ in urls[:40]]
+    expected = sorted({(u, i) for i, u, _, _ in urls if u in asked} | {("http://HOT.example.org:80/#x", i) for i in range(0, 200, 4)})
+    for files in (1, 4):
+        folder = new_dir(spark, "warc-test")
+        directory = W.write_index(captures.coalesce(1), folder) if files == 1 else W.write_index(captures.repartition(4), folder)
+        found = W.look_up(spark.createDataFrame([(u,) for u in asked] + extra, "url string"), directory).collect()
+        assert sorted((r.url, r.page_id) for r in found) == expected
+        assert directory.agg(F.sum("lines")).first()[0] == 200 and directory.agg(F.sum("blocks")).first()[0] >= 200 // 7
+        assert sorted(map(tuple, W.find(W.keyed(spark.createDataFrame([(u,) for _, u, *_ in urls], "url string")), directory).select("page_id", "file", "start").collect())) == sorted(map(tuple, captures.select("page_id", "file", "start").collect()))
 
 
 def test_header_injection_and_damage(spark):
