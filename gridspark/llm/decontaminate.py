@@ -10,7 +10,6 @@ The benchmark is held in blocks of at most ``BLOCK_WORDS`` words, each scanned o
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -21,21 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
+from .words import words_of
 
 #: Words of benchmark items that a task holds at once.
 BLOCK_WORDS = 500_000
 
-_SPACED = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters and digits, as UTF-8."""
-    data = (text or "").lower().encode("utf-8", "surrogatepass")
-    if b"\xe2" in data or b"\xc2" in data or b"\xe3\x80" in data:
-        data = re.sub(r"[^\w]|_", " ", data.decode("utf-8", "replace")).encode()
-    return data.translate(_SPACED).split()
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment: +1 for equal words, -1 for others and for gaps. Returns the score and the end in the passage."""
     steps = np.arange(len(passage) + 1)
@@ -52,31 +41,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """Benchmark items as word numbers, with an index of their n-grams."""
+    """Benchmark items as word numbers, with an index of their n-grams; an item of fewer words is one n-gram of its own length."""
 
     def __init__(self, items: list[tuple[int, str]], n: int) -> None:
         self.n, self.vocab = n, {}
         self.names = [i for i, _ in items]
         self.words = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(t)], np.int64) for _, t in items]
-        grams = [self.grams(w)[1] for w in self.words]
-        every = np.concatenate([np.empty(0, np.uint64), *grams])
-        self.codes = np.unique(every)
-        self.posts = [np.searchsorted(self.codes, g) for g in grams]  # the number of each item's n-gram, by offset
-        self.rare = np.ones(len(self.codes), bool)
-
-    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and codes of the n-grams of known words."""
-        if len(words) < self.n:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        size = len(words) - self.n + 1
-        code, known = np.zeros(size, np.uint64), np.ones(size, bool)
-        for k in range(self.n):
-            part = words[k : k + size]
-            known &= part > 0
-            code = (code ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-        at = np.flatnonzero(known)
-        return at, code[at]
+        lengths = [min(n, len(w)) for w in self.words]
+        grams = [grams_of(w, k)[1] for w, k in zip(self.words, lengths)]
+        self.codes: dict[int, tuple[int, np.ndarray]] = {}  # by length: the number of the first n-gram, and all codes in order
+        self.size = 0
+        for k in sorted(set(lengths) - {0}):
+            codes = np.unique(np.concatenate([g for g, own in zip(grams, lengths) if own == k]))
+            self.codes[k] = self.size, codes
+            self.size += len(codes)
+        self.posts = [np.searchsorted(self.codes[k][1], g) + self.codes[k][0] if k else np.empty(0, np.int64) for g, k in zip(grams, lengths)]  # the number of each item's n-gram, by offset
 
     def numbers(self, text: str | None) -> np.ndarray:
         get = self.vocab.get
@@ -84,12 +63,15 @@ class Items:
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a document, and the numbers of the benchmark's n-grams there."""
-        at, codes = self.grams(words)
-        if not len(at) or not len(self.codes):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        number = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        same = self.codes[number] == codes
-        return at[same], number[same]
+        places, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for k, (first, codes) in self.codes.items():
+            at, own = grams_of(words, k)
+            if len(at):
+                number = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                same = codes[number] == own
+                places.append(at[same])
+                numbers.append(number[same] + first)
+        return np.concatenate(places), np.concatenate(numbers)
 
     def choose(self, df: np.ndarray, documents: int, rare: float) -> None:
         """Keeps the rare n-grams of each item; ``places`` lists where each occurs."""
@@ -97,13 +79,13 @@ class Items:
         for item, numbers in enumerate(self.posts):
             seen = df[numbers][df[numbers] > 0]
             if len(seen):
-                most = max(rare * documents, 4 * np.quantile(seen, 0.25))
+                most = max(rare * documents, 4 * np.quantile(seen, 0.25) if len(self.words[item]) >= self.n else 1)
                 for offset, number in enumerate(numbers.tolist()):
                     if df[number] <= most:
                         self.places[number].append((item, offset))
 
     def matches(self, text: str | None, least: float) -> list[dict]:
-        """The best passage of each item that scores at least ``least``."""
+        """The passages of each item that score at least ``least``; of those that overlap the best, then the first."""
         words = self.numbers(text)
         at, numbers = self.hits(words)
         starts: dict[int, list[int]] = defaultdict(list)
@@ -114,25 +96,43 @@ class Items:
         for item, found in starts.items():
             own = self.words[item]
             found = np.unique(found)
-            best = None
-            for group in np.split(found, np.flatnonzero(np.diff(found) > len(own)) + 1):
-                low, high = max(0, int(group[0]) - len(own) // 2), min(len(words), int(group[-1]) + len(own) * 3 // 2)
+            passages = set()
+            for group in np.split(found, np.flatnonzero(np.diff(found) > len(own) // 2) + 1):
+                low, high = max(0, int(group[0]) - len(own) // 2), min(len(words), int(group[-1]) + len(own) * 3 // 2 + 1)
                 score, end = align(own, words[low:high])
-                if score >= least * len(own) and (best is None or score > best[0]):
-                    best = score, low, end
-            if best:
-                score, low, end = best
-                _, back = align(own[::-1], words[low : low + end][::-1])
-                out.append({"item_id": self.names[item], "score": score / len(own), "start_word": low + end - back, "end_word": low + end})
+                if score >= least * len(own):
+                    _, back = align(own[::-1], words[low : low + end][::-1])
+                    passages.add((-score, low + end - back, low + end))
+            kept: list[tuple[int, int]] = []
+            for score, start, end in sorted(passages):
+                if all(end <= a or b <= start for a, b in kept):
+                    kept.append((start, end))
+                    out.append({"item_id": self.names[item], "score": -score / len(own), "start_word": start, "end_word": end})
         return out
 
 
+def grams_of(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and codes of the n-grams of known words."""
+    if not 0 < n <= len(words):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    size = len(words) - n + 1
+    code, known = np.zeros(size, np.uint64), np.ones(size, bool)
+    for k in range(n):
+        part = words[k : k + size]
+        known &= part > 0
+        code = (code ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+    at = np.flatnonzero(known)
+    return at, code[at]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: float = 0.001, least: float = 0.5) -> DataFrame:
-    """One row for each document of ``docs (doc_id, text)`` and item of ``benchmark (item_id, text)`` that it holds: doc_id,
-    item_id, score (0 to 1), start_word and end_word of the best passage.
+    """Items of ``benchmark (item_id, text)`` in documents of ``docs (doc_id, text)``: doc_id,
+    item_id, score (0 to 1), start_word and end_word of a passage, one row for each passage.
 
-    Null texts hold nothing. Items with fewer than ``n`` words have no n-gram and match nothing. Repeated rows of either
-    table give repeated rows; other columns are not read; empty tables give no rows.
+    Null texts hold nothing. Items with fewer than ``n`` words match as they are and only where they are rare (in one document, or a
+    share of ``rare``): such phrases are too common to tell anything else. Items without words match nothing. Repeated rows of
+    either table give repeated rows; other columns are not read; empty tables give no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
@@ -150,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: float
 
 def _scan(docs: DataFrame, index: Items, rare: float, least: float, schema: str) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    shared, size = context.broadcast(index), len(index.codes)
+    shared, size = context.broadcast(index), index.size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, df, documents = shared.value, np.zeros(size + 1, np.int64), 0

@@ -8,7 +8,6 @@ within a band around them gives the share of the template that is there and wher
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from functools import reduce
@@ -18,115 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .decontaminate import words_of
+from .license_texts import TEMPLATES
+from .words import word_spans, words_of
 
 GRAM, WINDOW = 3, 2
 #: Words of templates that a task holds at once; more are scanned in turns.
 BLOCK_WORDS = 500_000
-WORD = re.compile(r"[^\W_]+")
-
-_BSD = (
-    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary "
-    "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials "
-    "provided with the distribution. "
-)
-_BSD_ADVERTISING = (
-    "All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software "
-    "developed by the copyright holder. "
-)
-_BSD_NAMES = (
-    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
-    "without specific prior written permission. "
-)
-_BSD_DISCLAIMER = (
-    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE '
-    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
-    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
-    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
-    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
-)
-
-
-def _gnu(name: str) -> str:
-    """The notice of a GNU licence of version 3."""
-    return (
-        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
-        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        f"PARTICULAR PURPOSE. See the GNU {name} for more details."
-    )
-
-
-#: Public licence notices and texts, by name.
-TEMPLATES = [
-    ("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-4.0-line", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0-line", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0-line", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT-line", "Released under the MIT License."),
-    (
-        "Apache-2.0-notice",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        'writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
-        "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    ),
-    (
-        "GPL-3.0-notice",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
-        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    ),
-    (
-        "MIT",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), '
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
-        "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
-        '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR '
-        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
-        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-    (
-        "ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD '
-        "TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
-        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
-        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
-    ("BSD-2-Clause", _BSD + _BSD_DISCLAIMER),
-    ("BSD-3-Clause", _BSD + _BSD_NAMES + _BSD_DISCLAIMER),
-    ("BSD-4-Clause", _BSD + _BSD_ADVERTISING + _BSD_NAMES + _BSD_DISCLAIMER),
-    ("LGPL-3.0-notice", _gnu("Lesser General Public License")),
-    ("AGPL-3.0-notice", _gnu("Affero General Public License")),
-    (
-        "MPL-2.0-notice",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
-        "You can obtain one at https://mozilla.org/MPL/2.0/.",
-    ),
-    (
-        "CC0-1.0-notice",
-        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain "
-        "worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this "
-        "software. If not, see http://creativecommons.org/publicdomain/zero/1.0/.",
-    ),
-    (
-        "Unlicense",
-        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
-        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions "
-        "that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. "
-        "We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an "
-        "overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "
-        '"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR '
-        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT "
-        "OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-]
-
 
 class Index:
     """Templates as word numbers and the inverted index of their fingerprints."""
@@ -213,14 +109,14 @@ def matches(index: Index, text: str | None, least: float) -> list[dict]:
     most matched words times coverage stays, of equal ones the shortest, the first, then the first name."""
     if not text or not index.candidates(index.numbers(words_of(text))):
         return []
-    found = list(WORD.finditer(text))
-    words = index.numbers([m[0].lower().encode("utf-8", "surrogatepass") for m in found])
+    found, starts, ends = word_spans(text)
+    words = index.numbers(found)
     out: dict[tuple[str, int, int], dict] = {}
     for k, low, high in index.candidates(words):
         slack = max(2, len(index.words[k]) // 8)
         pairs = banded(index.words[k], words, low - slack, high + slack)
         if pairs and len(pairs) >= least * len(index.words[k]):
-            start, end = found[pairs[0][1]].start(), found[pairs[-1][1]].end()
+            start, end = starts[pairs[0][1]], ends[pairs[-1][1]]
             out[index.names[k], start, end] = {"license": index.names[k], "coverage": len(pairs) / len(index.words[k]), "matched": len(pairs), "start": start, "end": end}
     kept: list[dict] = []
     for r in sorted(out.values(), key=lambda r: (-r["coverage"] * r["matched"], r["end"] - r["start"], r["start"], r["license"])):

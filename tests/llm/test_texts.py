@@ -10,6 +10,7 @@ from gridspark.llm import decontaminate as D
 from gridspark.llm import language as L
 from gridspark.llm import licenses as C
 from gridspark.llm import secrets as X
+from gridspark.llm import words as W
 
 DATA = "/root/testdata/sf0.01"
 
@@ -199,18 +200,67 @@ def test_contamination_cases(spark, monkeypatch):
     texts = [clean(300), f"{clean(50)} {items[0].upper()}, {clean(50)}", f"{clean(20)} {edited}", f"{moved}. {clean(9)}", None, "", clean(20) + " two words", " ".join([items[3]] * 3), items[0] + " " + items[1]]
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(0, texts[0], "x"), (None, items[4], "x")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(k, t, "y") for k, t in enumerate(items)], "item_id long, text string, doc_id string")
-    expected = {(1, 0), (2, 1), (3, 2), (7, 3), (8, 0), (8, 1), (None, 4)}
+    expected = {(1, 0), (2, 1), (3, 2), (6, 5), (7, 3), (8, 0), (8, 1), (None, 4)}
     found = D.contaminated(docs, bench).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == expected and len(found) == len(expected)
+    assert {(r.doc_id, r.item_id) for r in found} == expected and len(found) == len(expected) + 2
+    assert sorted((r.score, r.start_word, r.end_word) for r in found if r.doc_id == 7) == [(1.0, 0, 40), (1.0, 40, 80), (1.0, 80, 120)]
     exact = next(r for r in found if r.doc_id == 1)
     assert (exact.score, exact.start_word, exact.end_word) == (1.0, 50, 90)
     monkeypatch.setattr(D, "BLOCK_WORDS", 60)
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, bench).collect()} == expected
     kept = D.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is not None, x)) == [None, 0, 0, 4, 5, 6]
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is not None, x)) == [None, 0, 0, 4, 5]
     assert D.contaminated(docs, bench.limit(0)).count() == 0 and D.contaminated(docs.limit(0), bench).count() == 0
 
 
+HINDI = "यह एक लंबा परीक्षण वाक्य है जिसमें कई अलग शब्द हैं और जो केवल यहाँ आता है"
+CHINESE = "今天的天气很好，我们一起去公园散步，看见了很多花，孩子们在草地上玩，老人坐着聊天，鸟在树上唱歌，水里有鱼，大家都很高兴。"
+JAPANESE = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗い所でニャーニャー泣いていた事だけは記憶している。"
+ARABIC = "هذه جملة طويلة للاختبار وفيها كلمات كثيرة مختلفة لا تظهر في أي مكان آخر من النص"
+THAI = "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะด้วยกัน"
+
+
+@pytest.mark.parametrize("item", [HINDI, CHINESE, JAPANESE, ARABIC, THAI])
+@pytest.mark.parametrize("before", ["", "नोट – ", "x… ", "“q” ", "漢字 ", "plain words "])
+def test_contamination_of_other_scripts(item, before):
+    """An item is found whatever else the text holds, and its words don't depend on it."""
+    index = D.Items([(1, item)], 4)
+    index.choose(np.ones(index.size, np.int64), 10, 0.001)
+    (found,) = index.matches(f"{before}{item} – end", 0.5)
+    assert found["score"] == 1.0 and found["start_word"] == len(W.words_of(before))
+    edited = item.replace(item[len(item) // 2 : len(item) // 2 + 2], "xx ", 1)
+    assert index.matches(before + edited, 0.5)
+
+
+@pytest.mark.parametrize("text", [HINDI + " – ", CHINESE, JAPANESE, ARABIC, "Ünï_code 12²", "İ ΟΔΟΣ co\xadop", "e\u0301te\u0301", "", "\ud83d\ude00 a\u2028b"])
+def test_words_and_their_spans(text):
+    words, starts, ends = W.word_spans(text)
+    assert words == W.words_of(text) and all(a < b for a, b in zip(starts, ends)) and all(b <= a for b, a in zip(ends, starts[1:]))
+    assert all(W.words_of(text[a:b]) == [w] for w, a, b in zip(words, starts, ends))
+    assert W.words_of(f"– {text} 漢 x")[: len(words)] == words
+
+
+def test_contamination_scores_are_those_of_whole_alignment(spark):
+    """Every passage's score is that of a Smith-Waterman alignment of the whole document; no pair of three quarters or more is lost."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randrange(5, 40))) for _ in range(6)]
+    docs = []
+    for k in range(30):
+        own = rng.choice(items).split()
+        for _ in range(rng.randrange(0, 7)):
+            at = rng.randrange(len(own))
+            own[at : at + rng.randrange(0, 2)] = [rng.choice(words)] if rng.random() < 0.6 else []
+        docs.append((k, " ".join([*(rng.choice(words) for _ in range(rng.randrange(60))), *own, *(rng.choice(words) for _ in range(rng.randrange(60)))])))
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    best = {}
+    for r in found:
+        best[r.doc_id, r.item_id] = max(best.get((r.doc_id, r.item_id), 0), r.score)
+    slow = {(k, i): slow_align(b.split(), t.split()) / len(b.split()) for k, t in docs for i, b in enumerate(items)}
+    assert all(abs(slow[pair] - score) < 1e-9 for pair, score in best.items())
+    assert {pair for pair, score in slow.items() if score >= 0.75} <= set(best) <= {pair for pair, score in slow.items() if score >= 0.5}
+
+
 def test_contamination_of_the_tables(spark):
     """All documents that hold an item's words in a row are found, and nothing else scores."""
     from gridspark.llm.queries import op10_decontaminate
@@ -231,3 +281,31 @@ def test_each_whole_licence_is_its_own():
     assert {"BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "LGPL-3.0-notice", "AGPL-3.0-notice", "MPL-2.0-notice", "CC0-1.0-notice", "Unlicense"} <= set(texts)
     assert not C.matches(index, texts["BSD-2-Clause"].partition("THIS SOFTWARE IS")[0], 0.8)
     assert "IN NO EVENT" in texts["ISC"]
+
+
+def test_edited_and_cut_licences_are_found():
+    """Copies with a twelfth of the words replaced, and copies without their last tenth, keep their name for nearly all texts of 40 words and more."""
+    rng = random.Random(12)
+    index = C.Index(C.TEMPLATES)
+    long = [(name, text.split()) for name, text in C.TEMPLATES if len(text.split()) >= 40]
+    assert len(long) >= 30
+    right = {"edited": 0, "cut": 0}
+    for name, words in long:
+        edited = [w if rng.random() > 1 / 12 else f"other{k}" for k, w in enumerate(words)]
+        cut = words[: len(words) * 9 // 10]
+        for how, copy in (("edited", edited), ("cut", cut)):
+            found = C.matches(index, f"some words before {' '.join(copy)} and after it", 0.8)
+            right[how] += [m["license"] for m in found] == [name]
+    assert right["edited"] >= 0.9 * len(long) and right["cut"] >= 0.9 * len(long)
+
+
+def test_license_matches_equal_slow_coverage():
+    """Coverage is that of the longest common subsequence of template and stretch."""
+    index = C.Index(C.TEMPLATES)
+    rng = random.Random(3)
+    for name in ("MIT", "ISC", "Zlib", "MPL-2.0-notice"):
+        words = dict(C.TEMPLATES)[name].split()
+        copy = [w for w in words if rng.random() > 0.08]
+        (found,) = C.matches(index, "x y z " + " ".join(copy) + " z y x", 0.8)
+        own, doc = W.words_of(" ".join(words)), W.words_of("x y z " + " ".join(copy) + " z y x")
+        assert found["license"] == name and found["matched"] == longest_common(own, doc) and found["coverage"] == found["matched"] / len(own)
