@@ -52,11 +52,12 @@ FROM p LEFT JOIN best USING (host, path) LEFT JOIN rep ON rep.host = p.host
 """
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives all pages and reads them back through the index."""
-    from .warc import archive, read_index, read_records
+    """Archives all pages, looks the captures of all their urls up in the index, and reads the records by their ranges."""
+    from .warc import archive, find, keyed, read_records
 
-    directory = archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
-    return read_records(read_index(directory)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    directory = archive(pages, min_bytes=0)
+    return read_records(find(keyed(pages), directory)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
