@@ -309,3 +309,71 @@ def test_license_matches_equal_slow_coverage():
         (found,) = C.matches(index, "x y z " + " ".join(copy) + " z y x", 0.8)
         own, doc = W.words_of(" ".join(words)), W.words_of("x y z " + " ".join(copy) + " z y x")
         assert found["license"] == name and found["matched"] == longest_common(own, doc) and found["coverage"] == found["matched"] / len(own)
+
+
+@pytest.fixture(scope="module")
+def middles(spark):
+    return X.contexts_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), 900)
+
+
+def found_by(net, contexts, make, seed, **how):
+    """Of the planted strings that no base pattern touches: how many candidates in them the network takes, and how many there are."""
+    hit = total = 0
+    for k, context in enumerate(contexts):
+        text, start, end = X.planted(context, make, random.Random(f"{seed}:{k}"), **how)
+        spans, pieces = X._scan(text)
+        if any(a < end and b > start for a, b, _ in spans):
+            continue
+        windows = [w for a, b in pieces if a < end and b > start for w in X.windows_of(text, a, b)]
+        total += 1
+        hit += bool(windows) and net.probability(windows).max() >= net.threshold
+    return hit, total
+
+
+def test_held_out_plants_are_found_and_harmless_ones_left(middles):
+    """Recall and false alarms on contexts and strings that no part of the training saw."""
+    known, fresh = middles[:700], middles[700:]
+    examples = X.plants(known)
+    net = X.train([w for w, _ in examples], [y for _, y in examples])
+    hits = [found_by(net, fresh, X.SECRETS[kind], "new") for kind in X.SECRETS]
+    alarms = [found_by(net, fresh, X.HARMLESS[kind], "new", words=True) for kind in X.HARMLESS]
+    assert sum(h for h, _ in hits) >= 0.9 * sum(n for _, n in hits)
+    assert sum(h for h, _ in alarms) <= 0.03 * sum(n for _, n in alarms)
+
+
+@pytest.mark.parametrize("kind", ["github", "google"])
+def test_secrets_of_unseen_kinds_are_found(middles, kind):
+    examples = X.plants(middles[:700], secrets={k: v for k, v in X.SECRETS.items() if k != kind})
+    net = X.train([w for w, _ in examples], [y for _, y in examples])
+    hit, total = found_by(net, middles[700:], X.SECRETS[kind], "unseen")
+    assert hit >= 0.8 * total > 0
+
+
+def test_query_adds_spans_of_plants(spark, middles):
+    """Plants of the whole operator: spans of the network on them, none on the same texts without, long values by their middle."""
+    rng = random.Random(5)
+    kinds = ["github", "jwt", "base64", "mixed", "aws"]
+    rows, where = [], {}
+    for k, context in enumerate(middles[:200]):
+        text, start, end = X.planted(context, X.SECRETS[kinds[k % 5]], rng)
+        rows += [(k, text), (1000 + k, context)]
+        where[k] = (start, end)
+    inside = "abcdefgh" * 10
+    rows.append((5000, f"see page-{'-'.join(['word'] * 30)}-{X.SECRETS['mixed'](rng)}{X.SECRETS['mixed'](rng)}-{'-'.join(['word'] * 30)} {inside[:12]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    examples = X.labelled_findings(docs)
+    found = {r.doc_id: [s for s in r.found if s.kind == "net"] for r in X.scan_secrets(docs, X.train([w for w, _ in examples], [y for _, y in examples])).collect()}
+    hits = sum(any(s.start < where[k][1] and s.end > where[k][0] for s in found[k]) for k in where)
+    assert hits >= 0.9 * len(where) and sum(map(len, (found[1000 + k] for k in where))) <= 5 and found[5000]
+    whole = sum(any((s.start, s.end) == where[k] for s in found[k]) for k in where)
+    assert whole >= 0.7 * len(where)
+    empty = docs.limit(0)
+    assert X.labelled_findings(empty) == [] and X.scan_secrets(empty, None).count() == 0
+
+
+def test_candidates_beside_base_spans():
+    text = "token=abcdefgh12~Zm9vYmFyMTIzNDU2Nzg5 x deadbeefdeadbeefdeadbeefdeadbeefXYZabc123DEF456 plainwordsonlyhere 1234567890123456 aaaaaaaaaaaaaaaa"
+    spans, pieces = X._scan(text)
+    assert [text[a:b] for a, b, _ in spans] == ["token=abcdefgh12", "deadbeef" * 4]
+    assert [text[a:b] for a, b in pieces] == ["Zm9vYmFyMTIzNDU2Nzg5", "XYZabc123DEF456"]
+    assert [len(w) for w in X.windows_of("k" * 200, 0, 200)] == [X.LENGTH] * 6 and "".join(X.windows_of("ab" * 100, 0, 200)[-1]).count("ab") >= 16
