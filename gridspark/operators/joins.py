@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Side of a bucket of the rectangle join.
@@ -38,22 +38,40 @@ def dispatch_family(cells: DataFrame, dim: DataFrame, stored_frame: Column, rope
     return joined.withColumn("family", family).drop("family_mask")
 
 
-def neighbor_masks(cells: DataFrame, predicates: Mapping[str, Column], directions: Sequence[str] = ("n", "w", "e", "s"), world: Sequence[str] = ()) -> DataFrame:
-    """For each cell and predicate, the bits of the neighbours that meet it: keys, x, y, one column for each predicate.
+#: Side of the chunks that neighbourhoods are made in.
+CHUNK = 256
 
-    Cells are sent once to the targets that they can answer for; all masks come from one shuffle. No neighbour: no bit.
+
+def with_ring(cells: DataFrame, world: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
+    """``cells`` by chunk (_cx, _cy), each with the ring of cells around it (``_core`` false): one shuffle of little more than the grid.
+    Windows and groups whose keys hold the chunk's then need none."""
+    return halo_exchange(cells, chunk, 1, world=world, names=("_cx", "_cy", "_core")).repartition(*world, "_cx", "_cy")
+
+
+def beside(direction: str, world: Sequence[str] = ()) -> WindowSpec:
+    """The window over the cell next to each one, in the chunks of with_ring: a range, so that holes and repeated cells do no harm."""
+    dx, dy, _ = DIRECTIONS[direction]
+    along, across, step = ("y", "x", dy) if dx == 0 else ("x", "y", dx)
+    return Window.partitionBy(*world, "_cx", "_cy", across).orderBy(along).rangeBetween(step, step)
+
+
+def with_masks(cells: DataFrame, predicates: Mapping[str, Column], world: Sequence[str] = ()) -> DataFrame:
+    """``cells`` with a column for each predicate: the bits of the neighbours that meet it (N=1, W=2, E=4, S=8). No neighbour: no bit.
+
+    A cell that occurs more than once counts once as a neighbour, and each of its rows gets the mask.
     """
-    far = F.explode(F.array(*[F.struct(F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy"), F.lit(bit).alias("bit")) for dx, dy, bit in (DIRECTIONS[d] for d in directions)]))
-    flags = cells.select(*world, "x", "y", *[F.coalesce(p, F.lit(False)).alias(name) for name, p in predicates.items()])
-    any_flag = F.lit(False)
-    for name in predicates:
-        any_flag = any_flag | F.col(name)
-    sent = flags.where(any_flag).withColumn("_far", far)
-    bits = lambda: [F.when(F.col(name), F.col("_far.bit")).otherwise(0).alias(name) for name in predicates]
-    sent = sent.select(*world, (F.col("x") + F.col("_far.dx")).alias("x"), (F.col("y") + F.col("_far.dy")).alias("y"), *bits(), F.lit(0).alias("_own"))
-    own = cells.select(*world, "x", "y", *[F.lit(0).alias(name) for name in predicates], F.lit(1).alias("_own"))
-    both = own.union(sent.select(own.columns)).groupBy(*world, "x", "y")
-    return both.agg(*[F.sum(name).cast("int").alias(name) for name in predicates], F.max("_own").alias("_own")).where("_own = 1").drop("_own")
+    flags = sum((F.when(F.coalesce(p, F.lit(False)), 1 << k).otherwise(0) for k, p in enumerate(predicates.values())), F.lit(0))
+    ring = with_ring(cells.withColumn("_flags", flags), world)
+    seen = ring.withColumns({f"_{d}": F.coalesce(F.bit_or("_flags").over(beside(d, world)), F.lit(0)) for d in ("n", "s", "w", "e")})
+    mask = lambda k: sum((F.when(F.col(f"_{d}").bitwiseAND(1 << k) != 0, DIRECTIONS[d][2]).otherwise(0) for d in "nwes"), F.lit(0))
+    return seen.where("_core").withColumns({name: mask(k) for k, name in enumerate(predicates)}).drop("_flags", "_n", "_s", "_w", "_e", "_cx", "_cy", "_core")
+
+
+def neighbor_masks(cells: DataFrame, predicates: Mapping[str, Column], world: Sequence[str] = ()) -> DataFrame:
+    """with_masks with the keys alone: world, x, y, one column for each predicate."""
+    flags = {name: F.coalesce(p, F.lit(False)).alias(f"_p{k}") for k, (name, p) in enumerate(predicates.items())}
+    narrow = cells.select(*world, "x", "y", *flags.values())
+    return with_masks(narrow, {name: F.col(f"_p{k}") for k, name in enumerate(flags)}, world).select(*world, "x", "y", *predicates)
 
 
 def neighbors4(cells: DataFrame, predicate: Column, world: Sequence[str] = ()) -> DataFrame:
@@ -61,17 +79,24 @@ def neighbors4(cells: DataFrame, predicate: Column, world: Sequence[str] = ()) -
     return neighbor_masks(cells, {"mask": predicate}, world=world)
 
 
+def neighbor_values(cells: DataFrame, value: Column, directions: Sequence[str], world: Sequence[str] = ()) -> DataFrame:
+    """One row for each cell: keys, x, y, ``own`` (the value there) and the value of the neighbour in each direction, null where there is
+    none; of repeated cells the largest. Sent to the neighbours inside the chunks of with_ring, so without a further shuffle."""
+    far = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy")) for d, (dx, dy, _) in [("own", (0, 0, 0)), *((d, DIRECTIONS[d]) for d in directions)]]))
+    ring = with_ring(cells.select(*world, "x", "y", value.alias("_v")), world)
+    sent = ring.select(*world, "_cx", "_cy", "x", "y", "_v", "_core", far.alias("_far"))
+    own = F.col("_far.d") == "own"
+    sent = sent.select(*world, "_cx", "_cy", (F.col("x") + F.col("_far.dx")).alias("x"), (F.col("y") + F.col("_far.dy")).alias("y"), "_v", F.col("_far.d").alias("_d"), (own & F.col("_core")).alias("_own"))
+    seen = sent.groupBy(*world, "_cx", "_cy", "x", "y").agg(F.bool_or("_own").alias("_here"), *[F.max(F.when(F.col("_d") == d, F.col("_v"))).alias(d) for d in ("own", *directions)])
+    return seen.where("_here").select(*world, "x", "y", "own", *directions)
+
+
 def neighbors8(cells: DataFrame, value: str, world: Sequence[str] = ()) -> DataFrame:
     """The value of each of the eight neighbours, in columns n, w, e, s, nw, ne, sw, se; null where there is none."""
-    far = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy")) for d, (dx, dy, _) in DIRECTIONS.items()]))
-    sent = cells.select(*world, "x", "y", F.col(value).alias("_v"), far.alias("_far"))
-    sent = sent.select(*world, (F.col("x") + F.col("_far.dx")).alias("x"), (F.col("y") + F.col("_far.dy")).alias("y"), "_v", F.col("_far.d").alias("_d"))
-    own = cells.select(*world, "x", "y", F.col(value).alias("_v"), F.lit("own").alias("_d"))
-    seen = own.union(sent).groupBy(*world, "x", "y").agg(F.count_if(F.col("_d") == "own").alias("_own"), *[F.max(F.when(F.col("_d") == d, F.col("_v"))).alias(d) for d in DIRECTIONS])
-    return seen.where("_own > 0").drop("_own")
+    return neighbor_values(cells, F.col(value), list(DIRECTIONS), world).drop("own")
 
 
-def halo_exchange(cells: DataFrame, chunk: int, pad: int, most_x: int | None = None, most_y: int | None = None, world: Sequence[str] = ()) -> DataFrame:
+def halo_exchange(cells: DataFrame, chunk: int, pad: int, most_x: int | None = None, most_y: int | None = None, world: Sequence[str] = (), names: tuple[str, str, str] = ("cx", "cy", "is_core")) -> DataFrame:
     """Each chunk's cells and the ring of width ``pad`` around it: cx, cy and ``is_core``. Chunks beyond the bounds aren't made."""
 
     def targets(c: str, most: int | None) -> Column:
@@ -80,9 +105,10 @@ def halo_exchange(cells: DataFrame, chunk: int, pad: int, most_x: int | None = N
         high = F.least(high, F.lit((most - 1) // chunk)) if most is not None else high
         return F.sequence(low, high)
 
-    sent = cells.withColumn("cx", F.explode(targets("x", most_x))).withColumn("cy", F.explode(targets("y", most_y)))
-    core = (F.floor(F.col("x") / F.lit(chunk)) == F.col("cx")) & (F.floor(F.col("y") / F.lit(chunk)) == F.col("cy"))
-    return sent.withColumn("is_core", core)
+    across, down, is_core = names
+    sent = cells.withColumn(across, F.explode(targets("x", most_x))).withColumn(down, F.explode(targets("y", most_y)))
+    core = (F.floor(F.col("x") / F.lit(chunk)) == F.col(across)) & (F.floor(F.col("y") / F.lit(chunk)) == F.col(down))
+    return sent.withColumn(is_core, core)
 
 
 def runs_join(a: DataFrame, b: DataFrame, value: str = "kind", stride: int = 16, world: Sequence[str] = ()) -> DataFrame:

@@ -134,9 +134,13 @@ def assign_chunk(cells: DataFrame, width: int = 128, height: int = 128) -> DataF
     return cells.withColumns({"cx": F.floor(F.col("x") / F.lit(width)), "cy": F.floor(F.col("y") / F.lit(height))})
 
 
-def supported(shape: Column, family_mask: Column, has_frame: Column, most_shape: int = 5, families: int = 0b1011) -> Column:
-    """Shape in range and either a known family or a stored frame; unknown families are unsupported."""
-    return (shape >= 0) & (shape <= most_shape) & (F.coalesce(family_mask.bitwiseAND(families) != 0, F.lit(False)) | has_frame)
+def supported(shape: Column, frame_x: Column, frame_y: Column, conditional: Column, stored: Column, ordinary: Column, most_shape: int = 5) -> Column:
+    """Whether a cell can be drawn: its shape is in range, and its type is decided by a family's rules, or has a stored frame and is of the
+    stored types, or has none and is ordinary (ropes of the drawable type count as ordinary). A frame is two coordinates of zero
+    or more."""
+    framed = F.coalesce((frame_x >= 0) & (frame_y >= 0), F.lit(False))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return no(shape.between(0, most_shape)) & (no(conditional) | (framed & no(stored)) | (~framed & no(ordinary)))
 
 
 def layer_of(cells: DataFrame, dim: DataFrame) -> DataFrame:

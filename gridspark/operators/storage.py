@@ -9,16 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one is made and set only where that is unset (one machine)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a local one is made and set, but only for a local master: on a cluster
+    other machines wouldn't see it, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def new_dir(spark: SparkSession, tag: str) -> str:
+    """A name for a new folder in the shared one."""
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    path = new_dir(df.sparkSession, "step")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``; nothing that still reads it may run afterwards."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

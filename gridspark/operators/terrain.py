@@ -4,35 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import fill_height, wall_variant
 
-from .joins import DIRECTIONS, neighbor_masks, zone_join
+from .joins import DIRECTIONS, beside, neighbor_masks, neighbor_values, with_ring, zone_join
 from .windows import register_capped
 
-#: Liquids that win over the others beside a source, first to last.
-PRECEDENCE = (2, 3, 4)
-#: Fixed value: a side must hold more than this to feed a source.
-FEEDS = 160
+#: A side must hold more than this to feed a source, and above it less than that.
+FEEDS, THIN = 160, 16
+#: The liquids that set a source's fall, first to last, with the fall; other falls are 0. Cloud types and their falls.
+FALLS = ((2, 1), (3, 14), (4, 25))
+CLOUDS = {196: 11, 460: 22, 717: 26}
 
 
 def terrain_masks(cells: DataFrame, tile: Column, wall: Column, world: Sequence[str] = ()) -> DataFrame:
-    """Tile and wall 4-masks of each cell and the wall's variant; both masks come from one shuffle."""
+    """Tile and wall 4-masks of each cell and the wall's variant (see wall_variant); both masks come from one shuffle."""
     masks = neighbor_masks(cells, {"tile_mask": tile, "wall_mask": wall}, world=world)
     return masks.withColumn("wall_variant", wall_variant(F.col("wall_mask"), F.col("x"), F.col("y")).cast("int"))
 
 
 def _seen(cells: DataFrame, directions: Sequence[str], columns: Sequence[str], world: Sequence[str] = ()) -> DataFrame:
-    """``cells`` with a struct of ``columns`` for each direction, null where there is no cell: one shuffle for all."""
-    far = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(-DIRECTIONS[d][0]).alias("dx"), F.lit(-DIRECTIONS[d][1]).alias("dy")) for d in directions]))
-    value = F.struct(*columns)
-    sent = cells.select(*world, "x", "y", value.alias("_v"), far.alias("_f"))
-    sent = sent.select(*world, (F.col("x") + F.col("_f.dx")).alias("x"), (F.col("y") + F.col("_f.dy")).alias("y"), F.lit(None).cast(cells.select(F.struct(*cells.columns).alias("c")).schema["c"].dataType).alias("_own"), "_v", F.col("_f.d").alias("_d"))
-    own = cells.select(*world, "x", "y", F.struct(*cells.columns).alias("_own"), F.lit(None).cast(sent.schema["_v"].dataType).alias("_v"), F.lit("own").alias("_d"))
-    found = own.union(sent).groupBy(*world, "x", "y").agg(F.max("_own").alias("_own"), *[F.max(F.when(F.col("_d") == d, F.col("_v"))).alias(f"at_{d}") for d in directions])
-    return found.where("_own is not null").select("_own.*", *[f"at_{d}" for d in directions])
+    """``cells`` with a struct of ``columns`` for each of the directions n, s, w, e, null where there is no cell: one shuffle."""
+    seen = with_ring(cells, world).withColumns({f"at_{d}": F.max(F.struct(*columns)).over(beside(d, world)) for d in sorted(directions, key="nswe".index)})
+    return seen.where("_core").drop("_cx", "_cy", "_core")
 
 
 def connect8(cells: DataFrame, rules: DataFrame, attaches: Column, world: Sequence[str] = ()) -> DataFrame:
@@ -41,12 +37,13 @@ def connect8(cells: DataFrame, rules: DataFrame, attaches: Column, world: Sequen
     ``cells (x, y, family, shape, hidden)``; ``rules (family, dir, shape, connects)`` says whether a cell of a family connects towards
     ``dir`` with a neighbour of a shape. Neighbours that don't attach, or whose visibility differs, never connect.
     """
-    marked = cells.withColumn("_attaches", attaches)
-    seen = _seen(marked, list(DIRECTIONS), ["shape", "hidden", "_attaches"], world)
-    sides = F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(bit).alias("bit"), F.col(f"at_{d}").alias("o")) for d, (_, _, bit) in DIRECTIONS.items()]))
-    asked = seen.select(*world, "x", "y", "family", "hidden", sides.alias("s")).select(*world, "x", "y", "family", "hidden", "s.dir", "s.bit", F.col("s.o.shape").alias("shape"), F.when(F.col("s.o._attaches") & (F.col("s.o.hidden") == F.col("hidden")), True).otherwise(False).alias("fits"))
+    value = F.struct("family", "shape", "hidden", attaches.alias("attaches"))
+    seen = neighbor_values(cells, value, list(DIRECTIONS), world)
+    sides = F.explode(F.array(*[F.struct(F.lit(d).alias("dir"), F.lit(bit).alias("bit"), F.col(d).alias("o")) for d, (_, _, bit) in DIRECTIONS.items()]))
+    asked = seen.select(*world, "x", "y", F.col("own.family").alias("family"), F.col("own.hidden").alias("hidden"), sides.alias("s"))
+    asked = asked.select(*world, "x", "y", "family", "s.dir", "s.bit", F.col("s.o.shape").alias("shape"), F.coalesce(F.col("s.o.attaches") & (F.col("s.o.hidden") == F.col("hidden")), F.lit(False)).alias("fits"))
     judged = asked.join(rules, ["family", "dir", "shape"], "left")
-    bits = judged.groupBy(*world, "x", "y").agg(F.sum(F.when(F.col("fits") & F.col("connects"), F.col("bit")).otherwise(0)).cast("int").alias("_b"))
+    bits = judged.groupBy(*world, "x", "y").agg(F.bit_or(F.when(F.col("fits") & F.col("connects"), F.col("bit")).otherwise(0)).alias("_b"))
     corner = lambda sides, bit: F.when(F.col("_b").bitwiseAND(sides) == sides, F.col("_b").bitwiseAND(bit)).otherwise(0)
     return bits.select(*world, "x", "y", F.col("_b").bitwiseAND(15).alias("mask"), (corner(3, 16) + corner(5, 32) + corner(10, 64) + corner(12, 128)).alias("corners"))
 
@@ -76,28 +73,38 @@ def liquid_candidates(cells: DataFrame, world: Sequence[str] = ()) -> DataFrame:
 
 
 def detect_sources(cells: DataFrame, cap: int, world: Sequence[str] = ()) -> DataFrame:
-    """Half cells that spill: nothing wet above (or solid), a side that feeds, a side that is open. ``liquid`` by precedence, ``idx`` in
-    column-major order, at most ``cap`` a world (the cap is the feature). ``cells (x, y, half, level, liquid, is_solid)``."""
-    seen = _seen(cells, ["n", "w", "e"], ["level", "liquid", "is_solid"], world)
-    dry = F.col("at_n").isNull() | F.col("at_n.is_solid") | (F.col("at_n.level") == 0)
-    feeds = {d: F.when(F.col(f"at_{d}.level") > FEEDS, F.col(f"at_{d}.liquid")) for d in ("w", "e")}
-    open_ = {d: F.coalesce((F.col(f"at_{d}.level") == 0) & ~F.col(f"at_{d}.is_solid"), F.lit(False)) for d in ("w", "e")}
-    either = lambda k: F.coalesce(feeds["w"] == k, F.lit(False)) | F.coalesce(feeds["e"] == k, F.lit(False))
-    kind = F.when(either(PRECEDENCE[0]), PRECEDENCE[0])
-    for k in PRECEDENCE[1:]:
-        kind = kind.when(either(k), k)
-    found = seen.where(F.col("half") & dry & (feeds["w"].isNotNull() | feeds["e"].isNotNull()) & (open_["w"] | open_["e"]))
-    return register_capped(found.select(*world, "x", "y", kind.otherwise(1).alias("liquid")), cap, world)[0]
+    """Cells that liquids spring from: world, x, y, fall (the kind of fall), source and ``idx`` in column-major order of the cells that
+    cause them, at most ``cap`` a world (the cap is the feature).
+
+    ``halfbrick``: an active half cell under less than ``THIN`` of liquid or under a whole solid, with more than ``FEEDS`` on one
+    side and an open side (dry, not a whole solid, no slope); its fall by the liquids above and beside, first of ``FALLS``.
+    ``cloud``: the cell under an active cloud type, if open. ``cells (x, y, active, type, shape, level, liquid, is_solid)``, where
+    is_solid is the material's. Cells without the neighbours that their rule needs are no sources.
+    """
+    marked = cells.withColumn("_whole", F.col("is_solid") & (F.col("shape") == 0))
+    seen = _seen(marked, ["n", "s", "w", "e"], ["level", "liquid", "shape", "_whole"], world).where("active")
+    open_ = lambda d: (F.col(f"at_{d}.level") == 0) & ~F.col(f"at_{d}._whole") & (F.col(f"at_{d}.shape") <= 1)
+    capped = (F.col("at_n.level") < THIN) | F.col("at_n._whole")
+    fed = (F.col("at_w.level") > FEEDS) | (F.col("at_e.level") > FEEDS)
+    half = (F.col("shape") == 1) & capped & fed & (open_("w") | open_("e")) & F.col("at_w").isNotNull() & F.col("at_e").isNotNull()
+    near = F.array("at_n.liquid", "at_w.liquid", "at_e.liquid")
+    fall = F.coalesce(*[F.when(F.array_contains(near, liquid), kind) for liquid, kind in FALLS], F.lit(0))
+    clouds = F.create_map(*[F.lit(v) for pair in CLOUDS.items() for v in pair])
+    cloud = F.when(open_("s"), F.try_element_at(clouds, F.col("type")))
+    spot = lambda when, fall, dy, name, k: F.when(when, F.struct(F.col("x").alias("by_x"), F.col("y").alias("by_y"), F.lit(k).alias("k"), (F.col("y") + dy).alias("to_y"), fall.alias("fall"), F.lit(name).alias("source")))
+    both = F.array_compact(F.array(spot(F.coalesce(half, F.lit(False)), fall, 0, "halfbrick", 0), spot(cloud.isNotNull(), cloud, 1, "cloud", 1)))
+    found = seen.select(*world, F.explode(both).alias("s")).select(*world, F.col("s.by_x").alias("x"), F.col("s.by_y").alias("y"), "s.k", "s.to_y", "s.fall", "s.source")
+    kept = register_capped(found, cap, world, ["x", "y", "k"])[0]
+    return kept.select(*world, "x", F.col("to_y").alias("y"), "fall", "source", "idx")
 
 
 def attribute_ground(cells: DataFrame, zones: DataFrame, most: int, world: Sequence[str] = ()) -> DataFrame:
     """Ground under each cell: the first cell of another kind at most ``most`` rows below, its kind, the zone and the style (``none``
     without ground). ``zones``: see zone_join."""
-    from pyspark.sql import Window
-
-    below = Window.partitionBy(*world, "x").orderBy("y").rangeBetween(1, most)
-    others = F.filter(F.sort_array(F.collect_list(F.struct("y", "kind")).over(below)), lambda o: o["kind"] != F.col("kind"))
-    found = cells.withColumn("_g", F.get(others, F.lit(0)))
+    column = Window.partitionBy(*world, "x")
+    change = F.when(F.lag("kind").over(column.orderBy("y")) != F.col("kind"), F.struct("y", "kind"))
+    next_ = F.last("_change", ignorenulls=True).over(column.orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, -1))
+    found = cells.withColumn("_change", change).withColumn("_g", next_).withColumn("_g", F.when(F.col("_g.y") - F.col("y") <= most, F.col("_g"))).drop("_change")
     zoned = zone_join(found, zones, world)
     style = F.when(F.col("_g").isNull(), "none").otherwise(F.concat_ws("-", F.col("_g.kind"), F.col("style")))
     return zoned.select(*world, "x", "y", F.col("_g.y").alias("ground_y"), F.col("_g.kind").alias("ground"), "zone", style.alias("style"))

@@ -1,87 +1,188 @@
-"""Paths down a grid: straight falls by one look-up, winding ones by a frontier that moves one step a round.
+"""Paths down a grid: straight falls by one window, winding ones chunk by chunk.
 
-A round joins the open states with a table of cells and their neighbours by cell; states that end leave the frontier. Each round
-is written to the shared folder, so a lost executor repeats one round at most. The number of rounds is bounded by the caller.
+A winding path moves inside its chunk of the grid, with the ring of cells around it, as far as it gets; only where it leaves the
+chunk is its state handed on. A round joins the open states with their chunks, so the rounds are as many as chunks that the
+longest path crosses, not as many as its steps. Each round is written to the shared folder: a lost executor repeats one at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .storage import stored
-from .terrain import _seen
+from .joins import CHUNK, halo_exchange
+from .storage import discard, stored
 
 
 def trace_vertical(origins: DataFrame, cells: DataFrame, height: int, most: int, world: Sequence[str] = ()) -> DataFrame:
     """Straight falls from ``origins (idx, x, y)``: idx, x, y, step and the path's end ``reason``: solid, liquid, end (of the world) or limit.
 
-    ``cells (x, y, level, is_solid)``. The nearest stop of each origin is one aggregate over its column; no rounds.
+    ``cells (x, y, level, is_solid)``. Origins and stops of a column are sorted together, and each origin takes the next stops under it:
+    one window, no rounds.
     """
     keys = [*world, "x"]
-    under = cells.select(*keys, F.col("y").alias("_y"), "is_solid", "level").where("is_solid or level > 0")
-    joined = origins.select(*world, "idx", "x", "y").join(under, keys, "left")
-    wall = F.min(F.when(F.col("is_solid") & (F.col("_y") > F.col("y")), F.col("_y")))
-    pool = F.min(F.when(~F.col("is_solid") & (F.col("level") > 0) & (F.col("_y") > F.col("y")), F.col("_y")))
-    stops = joined.groupBy(*world, "idx", "x", "y").agg(wall.alias("_wall"), pool.alias("_pool"))
+    none = F.lit(None)
+    stops = cells.where("is_solid or level > 0").select(*keys, F.col("y").cast("long").alias("y"), none.cast("long").alias("idx"), "is_solid")
+    both = stops.unionByName(origins.select(*keys, F.col("y").cast("long").alias("y"), F.col("idx").cast("long").alias("idx"), none.cast("boolean").alias("is_solid")))
+    under = Window.partitionBy(*keys).orderBy(F.desc("y")).rangeBetween(Window.unboundedPreceding, -1)
+    near = lambda solid: F.min(F.when(F.col("is_solid") == solid, F.col("y"))).over(under)
+    found = both.withColumns({"_wall": near(True), "_pool": near(False)}).where("idx is not null")
     stop = F.least(F.coalesce("_wall", F.lit(height)), F.coalesce("_pool", F.lit(height)), F.lit(height), F.col("y") + most + 1)
     reason = F.when(F.col("_stop") == F.col("_wall"), "solid").when(F.col("_stop") == F.col("_pool"), "liquid").when(F.col("_stop") == height, "end").otherwise("limit")
-    paths = stops.withColumn("_stop", stop).withColumn("reason", reason).where("_stop > y + 1")
+    paths = found.withColumn("_stop", stop).withColumn("reason", reason).where("_stop > y + 1")
     paths = paths.withColumn("step", F.explode(F.sequence(F.lit(1), (F.col("_stop") - F.col("y") - 1).cast("int"))))
     return paths.select(*world, "idx", "x", (F.col("y") + F.col("step")).cast("long").alias("y"), "step", "reason")
 
 
-def trace_paths(origins: DataFrame, cells: DataFrame, max_steps: int, world: Sequence[str] = ()) -> DataFrame:
-    """Winding paths from ``origins (idx, x, y)``: idx, step, x, y and, on the row of the step that ended it, ``reason``.
+#: What advances a state inside a chunk: (state, code of a cell by place) gives its rows, and the state where it leaves, or None.
+Advance = Callable[[dict, Callable[[int, int], int | None]], tuple[list[dict], dict | None]]
 
-    A path falls where the cell below is free, else keeps its direction (right first), else turns; its second reversal ends it
-    (reversed), as do a place without a free neighbour (blocked) and the grid's edge (edge). ``cells (x, y, is_solid)``.
-    """
-    seen = stored(_seen(cells, ["s", "w", "e"], ["is_solid"], world))
-    free = lambda d: F.coalesce(~F.col(f"at_{d}.is_solid"), F.lit(False))
-    grid = seen.select(*world, "x", "y", F.col("at_s").isNull().alias("_edge"), free("s").alias("_s"), free("w").alias("_w"), free("e").alias("_e"))
-    state = origins.select(*world, "idx", F.lit(0).alias("step"), "x", "y", F.lit(0).alias("dir"), F.lit(0).alias("turns"), F.lit(None).cast("string").alias("reason"))
-    done = [stored(state)]
-    for step in range(1, max_steps + 1):
-        here = done[-1].where("reason is null").join(grid, [*world, "x", "y"])
-        move: Column = F.when(F.col("_edge"), None).when(F.col("_s"), "down").when((F.col("dir") >= 0) & F.col("_e"), "right").when(F.col("_w"), "left").when(F.col("_e"), "right")
-        here = here.withColumn("_move", move)
-        side = F.when(F.col("_move") == "right", 1).when(F.col("_move") == "left", -1)
-        turned = F.coalesce((F.col("dir") != 0) & (F.col("dir") != side), F.lit(False))
-        reason = F.when(F.col("_move").isNull(), F.when(F.col("_edge"), "edge").otherwise("blocked")).when(turned & (F.col("turns") >= 1), "reversed")
-        after = here.select(
-            *world, "idx", F.lit(step).alias("step"), (F.col("x") + F.coalesce(side, F.lit(0))).alias("x"), F.when(F.col("_move") == "down", F.col("y") + 1).otherwise(F.col("y")).alias("y"),
-            F.when(F.col("_move") == "down", 0).otherwise(F.coalesce(side, F.col("dir"))).alias("dir"), (F.col("turns") + turned.cast("int")).alias("turns"), reason.alias("reason"),
-        )
-        done.append(stored(after))
-        if done[-1].where("reason is null").isEmpty():
+
+def _by_chunks(states: DataFrame, cells: DataFrame, advance: Advance, made: str, world: Sequence[str], chunk: int, most_rounds: int) -> DataFrame:
+    """All rows (``made``) that ``advance`` makes of ``states (world, x, y, ...)`` over ``cells (world, x, y, code)``."""
+    names = [f.name for f in states.schema.fields]
+    row_names = [part.split()[0] for part in made.split(", ")]
+    out = f"_row struct<{', '.join(': '.join(part.split()) for part in made.split(', '))}>, _open struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in states.schema.fields)}>"
+    ring = stored(halo_exchange(cells.select(*world, "x", "y", "code"), chunk, 1, world=world).drop("is_core"))
+    keys = [*world, "cx", "cy"]
+
+    def run(mine: pa.Table, around: pa.Table) -> pa.Table:
+        code = dict(zip(zip(around["x"].to_pylist(), around["y"].to_pylist()), around["code"].to_pylist()))
+        rows, left = [], []
+        for state in mine.select(names).to_pylist():
+            more, after = advance(state, lambda x, y: code.get((x, y)))
+            rows += more
+            left += [after] if after else []
+        rows = [{"_row": {k: r[k] for k in row_names}, "_open": None} for r in rows]
+        return pa.Table.from_pylist(rows + [{"_row": None, "_open": s} for s in left], schema)
+
+    schema = to_arrow_schema(T.StructType.fromDDL(out))
+    at = {"cx": F.floor(F.col("x") / F.lit(chunk)), "cy": F.floor(F.col("y") / F.lit(chunk))}
+    open_, done = states, []
+    for _ in range(most_rounds):
+        placed = open_.withColumns(at)
+        needed = ring.join(placed.select(*keys).distinct(), keys, "left_semi")
+        done.append(stored(placed.groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInArrow(run, out)))
+        open_ = done[-1].where("_open is not null").select("_open.*")
+        if open_.isEmpty():
             break
-    return reduce(DataFrame.unionByName, done).select(*world, "idx", "step", "x", "y", "reason")
+    else:
+        raise RuntimeError(f"open after {most_rounds} rounds")
+    discard(ring)
+    return reduce(DataFrame.unionByName, done).where("_row is not null").select("_row.*")
+
+
+#: Types beside a path that lengthen it; the type that never stops one; the platform that turns none.
+LENGTHENING, NEVER_SOLID, LEVEL_PLATFORM = (189, 196), 546, 19
+_SOLID, _RIGHT, _LEFT, _BOTTOM, _HALF, _ACTIVE, _LIQUID, _PLATFORM, _LONG = (1 << k for k in range(9))
+
+
+def trace_paths(origins: DataFrame, cells: DataFrame, max_steps: int, world: Sequence[str] = (), longest: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Winding paths from ``origins (idx, x, y)``: world, idx, step, x, y and, on the last row of each path, ``reason``.
+
+    At each cell, in this order: over a slope (no platform, not in a half cell) the path goes down along it; where the cell
+    below is open it falls, and its turns are forgotten; beside a barrier (a whole solid, a slope's top, or liquid) it turns to the
+    other side, if that is free, and turning back counts; else it goes on in its direction if the left is free; else it stays, which counts
+    too. A second turn takes it one step the other way, and ends it there (``reversed``). It ends in a whole solid cell (``solid``), in liquid
+    (``liquid``, not in half cells), where it stays (``stationary``), and after ``max_steps`` (``distance``), or ``longest`` once it
+    passed a type that lengthens it. A path that needs a cell beyond the grid has no rows but its first, with the reason ``edge``.
 
+    ``cells (x, y, active, type, shape, level, is_solid)``, is_solid being the material's; null and absent facts count as none.
+    """
+    col = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in cells.columns else F.lit(default)
+    shape, type_ = col("shape", 0), col("type", -1)
+    marks = {
+        _SOLID: col("is_solid", False) & (shape == 0) & (type_ != NEVER_SOLID), _RIGHT: shape == 2, _LEFT: shape == 3, _BOTTOM: shape.isin(4, 5), _HALF: shape == 1, _ACTIVE: col("active", True),
+        _LIQUID: col("level", 0) > 0, _PLATFORM: type_ == LEVEL_PLATFORM, _LONG: col("active", True) & type_.isin(*LENGTHENING),
+    }
+    code = sum((F.when(is_, bit).otherwise(0) for bit, is_ in marks.items()), F.lit(0))
+    coded = cells.groupBy(*world, "x", "y").agg(F.max(code).alias("code"))
+    extended = max_steps if longest is None else longest
+
+    def advance(s: dict, cell: Callable[[int, int], int | None]) -> tuple[list[dict], dict | None]:
+        rows, x, y, step, direction, turns, limit = [], s["x"], s["y"], s["step"], s["dir"], s["turns"], s["most"]
+        home = x // chunk, y // chunk
+        own = {k: s[k] for k in (*world, "idx")}
+        add = lambda reason: rows.append(own | {"step": step, "x": x, "y": y, "reason": reason})
+        while True:
+            if (x // chunk, y // chunk) != home:
+                return rows, s | {"x": x, "y": y, "step": step, "dir": direction, "turns": turns, "most": limit}
+            if step >= limit:
+                add("distance")
+                return rows, None
+            if turns >= 2:
+                add("reversed")
+                return rows, None
+            t = cell(x, y)
+            if t is not None and t & _SOLID:
+                add("solid")
+                return rows, None
+            w, e, b = cell(x - 1, y), cell(x + 1, y), cell(x, y + 1)
+            if t is None or w is None or e is None or b is None:
+                add("edge")
+                return rows, None
+            top = _RIGHT | _LEFT
+            dx = dy = 0
+            if b & top and not t & _HALF and not b & _PLATFORM:
+                dx = direction = 1 if b & _RIGHT else -1
+                dy = 1
+            elif not t & _HALF and (not b & (_SOLID | _BOTTOM) or not b & _ACTIVE):
+                turns, dy = 0, 1
+            elif w & (_SOLID | top | _LIQUID) and not e & (_SOLID | _LIQUID):
+                turns += direction == -1
+                dx = direction = 1
+            elif e & (_SOLID | top | _LIQUID) and not w & (_SOLID | _LIQUID):
+                turns += direction == 1
+                dx = direction = -1
+            elif (not (e & _SOLID or t & top) or not e & _LIQUID) and not w & (_SOLID | _LIQUID) and not t & top:
+                dx = direction
+            else:
+                turns += 1
+            if turns >= 2:
+                direction, dx = -direction, -dx
+            reason = "stationary" if not dx and not dy else "liquid" if t & _LIQUID and not t & _HALF else None
+            add(reason)
+            if reason:
+                return rows, None
+            x, y, step = x + dx, y + dy, step + 1
+            if (w | e | b) & _LONG:
+                limit = extended
+
+    start = origins.select(*world, F.col("idx").cast("long").alias("idx"), F.lit(0).alias("step"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(0).alias("dir"), F.lit(0).alias("turns"), F.lit(max_steps).alias("most"))
+    keys = "".join(f"{name} {origins.schema[name].dataType.simpleString()}, " for name in world)
+    found = _by_chunks(start, coded, advance, f"{keys}idx long, step int, x long, y long, reason string", world, chunk, max(max_steps, extended) + 2)
+    failed = found.where("reason = 'edge'").select(*world, "idx", F.col("reason").alias("_edge"))
+    first = found.join(failed, [*world, "idx"], "left").where("_edge is null or step = 0")
+    return first.select(*world, "idx", "step", "x", "y", F.coalesce("_edge", "reason").alias("reason"))
 
-def trace_root(starts: DataFrame, cells: DataFrame, classes: Mapping[int, str], max_steps: int, world: Sequence[str] = ()) -> DataFrame:
+
+def trace_root(starts: DataFrame, cells: DataFrame, classes: Mapping[int, str], max_steps: int, world: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
     """Root of each connected stack from ``starts (x0, y0, kind)``: down cells of the same kind, with one sideways shift at most (left
-    first). Gives root_x, root_y, steps and the class of the kind under the root; null for unlisted kinds and nothing."""
-    grid = cells.select(*world, "x", F.col("y").alias("_ny"), F.col("kind"))
-    wide = grid.withColumn("_near", F.explode(F.array(F.lit(0), F.lit(-1), F.lit(1)))).select(*world, (F.col("x") - F.col("_near")).alias("x"), "_ny", "kind", "_near")
-    wide = stored(wide.groupBy(*world, "x", "_ny", "kind").agg(F.bool_or(F.col("_near") == 0).alias("_mid"), F.bool_or(F.col("_near") == -1).alias("_left"), F.bool_or(F.col("_near") == 1).alias("_right")))
-    state = starts.select(*world, "x0", "y0", "kind", F.col("x0").alias("x"), F.col("y0").alias("y"), F.lit(0).alias("shifts"), F.lit(0).alias("steps"))
-    front, ended = stored(state), []
-    for _ in range(max_steps):
-        here = front.withColumn("_ny", F.col("y") + 1).join(wide, [*world, "x", "_ny", "kind"], "left")
-        shift = F.when(F.col("_mid"), 0).when((F.col("shifts") == 0) & F.col("_left"), -1).when((F.col("shifts") == 0) & F.col("_right"), 1)
-        here = stored(here.withColumn("_shift", shift).select(*front.columns, "_shift"))
-        ended.append(here.where("_shift is null").drop("_shift"))
-        front = here.where("_shift is not null").select(
-            *world, "x0", "y0", "kind", (F.col("x") + F.col("_shift")).alias("x"), (F.col("y") + 1).alias("y"), (F.col("shifts") + F.abs("_shift")).alias("shifts"), (F.col("steps") + 1).alias("steps")
-        )
-        if front.isEmpty():
-            break
-    found = reduce(DataFrame.unionByName, [*ended, front])
-    base = cells.select(*world, "x", (F.col("y") - 1).alias("y"), F.col("kind").alias("_base"))
+    first). Gives root_x, root_y, steps and the class of the kind under the root; null for unlisted kinds and nothing.
+
+    A stack that goes on after ``max_steps`` has no root: ``complete`` is false, the place is where the walk ended, the class is null.
+    """
+    coded = cells.groupBy(*world, "x", "y").agg(F.max("kind").cast("int").alias("code"))
+
+    def advance(s: dict, cell: Callable[[int, int], int | None]) -> tuple[list[dict], dict | None]:
+        x, y, shifts, steps, kind = s["x"], s["y"], s["shifts"], s["steps"], s["kind"]
+        home = x // chunk, y // chunk
+        while (x // chunk, y // chunk) == home:
+            near = next((d for d in ((0, -1, 1) if not shifts else (0,)) if cell(x + d, y + 1) == kind), None)
+            if near is None or steps >= max_steps:
+                row = {k: s[k] for k in (*world, "x0", "y0")} | {"root_x": x, "root_y": y, "steps": steps, "base": cell(x, y + 1), "complete": near is None}
+                return [row], None
+            x, y, shifts, steps = x + near, y + 1, shifts + abs(near), steps + 1
+        return [], s | {"x": x, "y": y, "shifts": shifts, "steps": steps}
+
+    start = starts.select(*world, *[F.col(c).cast("long").alias(c) for c in ("x0", "y0")], F.col("kind").cast("int").alias("kind"), F.col("x0").cast("long").alias("x"), F.col("y0").cast("long").alias("y"), F.lit(0).alias("shifts"), F.lit(0).alias("steps"))
+    keys = "".join(f"{name} {starts.schema[name].dataType.simpleString()}, " for name in world)
+    found = _by_chunks(start, coded, advance, f"{keys}x0 long, y0 long, root_x long, root_y long, steps int, base int, complete boolean", world, chunk, max_steps + 2)
     names = F.create_map(*[F.lit(v) for pair in classes.items() for v in pair])
-    rooted = found.join(base, [*world, "x", "y"], "left")
-    return rooted.select(*world, "x0", "y0", F.col("x").alias("root_x"), F.col("y").alias("root_y"), "steps", F.try_element_at(names, F.col("_base")).alias("class"))
+    return found.select(*world, "x0", "y0", "root_x", "root_y", "steps", F.when(F.col("complete"), F.try_element_at(names, F.col("base"))).alias("class"), "complete")

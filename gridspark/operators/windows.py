@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import beside, with_ring
 from .ranks import with_place
 
 #: Rows over which a falling liquid fades, by kind.
@@ -21,11 +23,11 @@ def vertical_context(cells: DataFrame, value: str, world: Sequence[str] = ()) ->
     return cells.withColumns({"above": near(F.lag, -1), "below": near(F.lead, 1)})
 
 
-def register_capped(candidates: DataFrame, cap: int, world: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def register_capped(candidates: DataFrame, cap: int, world: Sequence[str] = (), order: Sequence[str] = ("x", "y")) -> tuple[DataFrame, DataFrame]:
     """(registered, report): candidates with ``idx`` in column-major order, the first ``cap`` of each world; eligible, registered, capped."""
-    order = Window.partitionBy(*(world or [F.lit(0)])).orderBy("x", "y")
-    few = candidates if world else candidates.orderBy("x", "y").limit(cap)  # then the one window holds no more than the cap
-    kept = few.withColumn("idx", F.row_number().over(order) - 1).where(F.col("idx") < cap)
+    column_major = Window.partitionBy(*(world or [F.lit(0)])).orderBy(*order)
+    few = candidates if world else candidates.orderBy(*order).limit(cap)  # then the one window holds no more than the cap
+    kept = few.withColumn("idx", F.row_number().over(column_major) - 1).where(F.col("idx") < cap)
     counts = candidates.groupBy(*world).agg(F.count("*").alias("eligible"))
     least = F.least(F.col("eligible"), F.lit(cap))
     return kept, counts.withColumns({"registered": least, "capped": F.col("eligible") - least})
@@ -45,24 +47,32 @@ def first_appearance_rank(commands: DataFrame, key: str, order: str = "seq") ->
 
 
 def bridge_levels(cells: DataFrame, world: Sequence[str] = ()) -> DataFrame:
-    """Adds ``bridged`` (float): an empty cell between two wet cells of one kind, above and below or left and right, gets half their sum,
-    the larger of both ways; others keep their level. ``cells (x, y, liquid, level)``, liquid null or 0 where empty."""
-    here = F.struct("liquid", "level")
-    pairs = {"x": ("y", "x"), "y": ("x", "y")}
-    halves = []
-    for column, order in pairs.values():
-        w = Window.partitionBy(*world, column).orderBy(order)
-        a, b = F.lag(here).over(w), F.lead(here).over(w)
-        near = (F.lag(order).over(w) == F.col(order) - 1) & (F.lead(order).over(w) == F.col(order) + 1)
-        same = near & (a["level"] > 0) & (b["level"] > 0) & (a["liquid"] == b["liquid"])
-        halves.append(F.when(same, ((a["level"].cast("float") + b["level"].cast("float")) / F.lit(2.0).cast("float")).cast("float")))
-    marked = cells.withColumns({"_v": halves[0], "_h": halves[1]})
-    best = F.coalesce(F.greatest("_v", "_h"), F.lit(0.0).cast("float"))
-    return marked.withColumn("bridged", F.when(F.col("level") > 0, F.col("level").cast("float")).otherwise(best)).drop("_v", "_h")
+    """Adds ``bridged`` (0 to 1, single precision), ``bridge_kind`` and ``full``: a cell's own level, or what its neighbours lend to an empty one.
+
+    A half cell under a wet one is ``full``, of its own kind if wet, else of that above. Other wet or solid cells have their own
+    level. An empty cell between two wet cells of one kind that aren't solid, above and below or left and right, gets half
+    their sum, the larger of both ways; left and right set the kind before above and below. ``cells (x, y, liquid, level,
+    is_solid, half)``: level 0 to 255, half without platforms. The grid's edge lends nothing.
+    """
+    level = (F.col("level") / F.lit(255.0)).cast("float")
+    value = F.struct(F.col("level").alias("amount"), level.alias("level"), F.col("liquid").alias("liquid"), F.col("is_solid").alias("solid"))
+    seen = with_ring(cells.withColumn("_value", value), world).withColumns({f"_{d}": F.max("_value").over(beside(d, world)) for d in ("n", "s", "w", "e")})
+
+    def lent(a: str, b: str) -> Column:
+        wet = (F.col(f"_{a}.amount") > 0) & (F.col(f"_{b}.amount") > 0) & ~F.col(f"_{a}.solid") & ~F.col(f"_{b}.solid")
+        return F.when(wet & (F.col(f"_{a}.liquid") == F.col(f"_{b}.liquid")), (F.col(f"_{a}.level") + F.col(f"_{b}.level")).cast("float"))
+
+    down, across = lent("n", "s"), lent("w", "e")
+    full = F.coalesce(F.col("half") & (F.col("_n.amount") > 0), F.lit(False))
+    both = F.greatest(F.coalesce(down, F.lit(0.0).cast("float")), F.coalesce(across, F.lit(0.0).cast("float"))) * F.lit(0.5).cast("float")
+    own = (F.col("level") > 0) | F.col("is_solid")
+    bridged = F.when(full, F.lit(1.0).cast("float")).when(own, level).otherwise(both).cast("float")
+    kind = F.when(full & (F.col("level") == 0), F.col("_n.liquid")).when(full | own, F.col("liquid")).when(across.isNotNull(), F.col("_w.liquid")).when(down.isNotNull(), F.col("_n.liquid")).otherwise(F.col("liquid"))
+    return seen.where("_core").withColumns({"bridged": bridged, "bridge_kind": kind, "full": full}).drop("_value", "_n", "_s", "_w", "_e", "_cx", "_cy", "_core")
 
 
 def fall_levels_single(cells: DataFrame, length: int = 10, world: Sequence[str] = ()) -> DataFrame:
-    """Adds ``fallen``: what the nearest of the sources at most ``length`` rows above leaves after linear fading, with no solid cell
+    """One hop of fall_levels in whole numbers. Adds ``fallen``: what the nearest of the sources at most ``length`` rows above leaves after linear fading, with no solid cell
     between. ``cells (x, y, level, is_solid)``: a cell with a level is a source."""
     w = Window.partitionBy(*world, "x").orderBy("y").rangeBetween(-length, -1)
     source = F.max(F.when((F.col("level") > 0) & ~F.col("is_solid"), F.struct("y", "level"))).over(w)
@@ -75,37 +85,57 @@ def fall_levels_single(cells: DataFrame, length: int = 10, world: Sequence[str]
 
 
 def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, keys: Sequence[str] = ("x",)) -> DataFrame:
-    """Chained falls: from the top of each column down, every open cell takes the larger of its own level and the faded level of
-    the fall above; the larger sets the kind. ``cells (keys, y, liquid, level, is_solid)``; adds ``fallen`` and ``fall_kind``.
+    """Chained falls. Adds ``fallen`` (0 to 1, single precision), ``fall_kind`` and ``opacity``.
+
+    Every cell with a seed is a source for the ``lengths`` (by kind) rows under it, down to the first solid; what it gives is its own
+    level, with what it got from above, times a weight that falls in equal steps. A cell has the largest of its seed and of all
+    that it is given. An empty cell has the kind and the weight of the nearest source, other cells have their own kind and weight
+    1. Solid cells that aren't full are at level 1 with opacity 0 and give nothing; a full seed takes nothing.
 
-    What a cell passes on depends on all cells above it, so each column is one ordered pass; a column is one group.
+    ``cells (keys, y, liquid, level, is_solid, full)`` with the seed ``level`` (0 to 1) and ``liquid``, its kind (see bridge_levels). What a
+    cell gives depends on all cells above it, so each column is one ordered pass and one group; a hole in a column stops falls.
     """
-    table = dict(lengths)
+    f32 = np.float32
+    weights = {}
+    for kind, length in lengths.items():
+        step, own = f32(1 / (length + 1)), [f32(1)]
+        for _ in range(length):
+            own.append(f32(own[-1] - step))
+        weights[kind] = own
+    reach = max(lengths.values(), default=0)
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("y")
-        level, kind, strength, left, last, now = [], [], 0, 0, None, None
-        for y, liquid, own, solid in zip(*(group[c].to_pylist() for c in ("y", "liquid", "level", "is_solid"))):
-            if solid or (last is not None and y != last + 1):
-                strength, left, now = 0, 0, None
-            last = y
-            faded = strength * left // (table.get(now, 0) + 1) if left > 0 and now else 0
-            if solid:
-                level.append(0)
-                kind.append(None)
-                continue
-            if own and own >= faded:
-                strength, now, left = own, liquid, table.get(liquid, 0)
-                level.append(own)
-            else:
-                level.append(faded)
-                left -= 1
-            kind.append(now if level[-1] else None)
-        out = group.append_column("fallen", pa.array(level, pa.int64()))
-        return out.append_column("fall_kind", pa.array(kind, pa.int32()))
+        levels, kinds, shown = [], [], []
+        above: list[tuple[np.float32, np.float32, int, bool]] = []  # nearest first: seed, level with what came from above, kind, solid
+        last = None
+        for y, kind, seed, solid, full in zip(*(group[c].to_pylist() for c in ("y", "liquid", "level", "is_solid", "full"))):
+            if last is not None and y != last + 1:
+                above = []
+            last, seed = y, f32(seed)
+            level, opacity, own = seed, 1.0 if seed else 0.0, kind
+            if solid and not full:
+                level, opacity = f32(1), 0.0
+            elif seed != 1:
+                nearest = None
+                for distance, (source, total, other, hard) in enumerate(above, 1):
+                    if source and distance <= lengths.get(other, 0):
+                        level = max(level, f32(total * weights[other][distance]))
+                        nearest = nearest or (other, float(weights[other][distance]))
+                    if hard:
+                        break
+                if nearest and not seed:
+                    own, opacity = nearest
+            levels.append(float(level))
+            kinds.append(own)
+            shown.append(opacity)
+            above = [(f32(0) if solid and not full else seed, level, kind, solid), *above[: reach - 1]]
+        for name, column in (("fallen", pa.array(levels, pa.float32())), ("fall_kind", pa.array(kinds, pa.int32())), ("opacity", pa.array(shown, pa.float32()))):
+            group = group.append_column(name, column)
+        return group
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
-    return cells.groupBy(*keys).applyInArrow(run, f"{kinds}, fallen long, fall_kind int")
+    return cells.groupBy(*keys).applyInArrow(run, f"{kinds}, fallen float, fall_kind int, opacity float")
 
 
 def smooth121(cells: DataFrame, value: str, axis: str = "y", world: Sequence[str] = ()) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import asset_name
-from gridspark.operators.joins import neighbors4
+from gridspark.operators.joins import with_masks
 from gridspark.operators.order import draw_order
 from gridspark.sources import views
 
@@ -26,11 +27,10 @@ class Plan:
     omissions: DataFrame
 
 
-def plan(cells: DataFrame, dim: DataFrame) -> Plan:
-    """Commands of the ordinary tiles of ``cells (x, y, kind, level)`` by type facts and 4-masks; every other cell has a reason."""
+def plan(cells: DataFrame, dim: DataFrame, world: Sequence[str] = ()) -> Plan:
+    """Commands of the ordinary tiles of ``cells (world, x, y, kind, level)`` by type facts and 4-masks; every other cell has a reason."""
     facts = dim.select("kind", "layer", "family_mask")
-    masks = neighbors4(cells, F.col("kind") >= 0)
-    known = cells.join(facts, "kind", "left").join(masks, ["x", "y"])
+    known = with_masks(cells, {"mask": F.col("kind") >= 0}, world).join(facts, "kind", "left")
     reason = (
         F.when(F.col("kind") == -1, "invisible")
         .when(F.col("level") % 13 == 0, "hidden")
@@ -39,29 +39,31 @@ def plan(cells: DataFrame, dim: DataFrame) -> Plan:
         .when(F.col("level") % 17 == 0, "unsupported shape")
     )
     judged = known.withColumns({"reason": reason, "asset": asset_name(F.lit("tile"), F.col("kind") + 3), "sx": F.col("mask") % 4 * 18, "sy": F.floor(F.col("mask") / F.lit(4)).cast("int") * 18})
-    commands = judged.where("reason is null").select("x", "y", "asset", "layer", "sx", "sy")
-    omissions = judged.where(F.col("reason").isNotNull() & ~F.col("reason").isin(*QUIET)).select("x", "y", "kind", "reason")
+    commands = judged.where("reason is null").select(*world, "x", "y", "asset", "layer", "sx", "sy")
+    omissions = judged.where(F.col("reason").isNotNull() & ~F.col("reason").isin(*QUIET)).select(*world, "x", "y", "kind", "reason")
     return Plan(judged, commands, omissions)
 
 
-def numbered(commands: DataFrame) -> DataFrame:
-    """Commands with ``seq``, their place in drawing order: ranges of the order are sorted apart, and each range starts where the
-    rows before it end."""
+def numbered(commands: DataFrame, world: Sequence[str] = ()) -> DataFrame:
+    """Commands with ``seq``, their place in their world's drawing order: each column of a phase is numbered apart, and starts where
+    the rows before it end."""
     phase = F.when(F.col("layer") == "solid", "solid tile").otherwise("non-solid tile")
     keyed = draw_order(commands, phase, ["x", "y"])
-    sized = keyed.groupBy("phase_no", "x").agg(F.count("*").alias("_n"))  # one row a phase and column
-    before = Window.partitionBy("phase_no").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    phases = sized.groupBy("phase_no").agg(F.sum("_n").alias("_p")).withColumn("_base", F.coalesce(F.sum("_p").over(Window.orderBy("phase_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    starts = sized.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(phases.select("phase_no", "_base"), "phase_no")
-    place = F.row_number().over(Window.partitionBy("phase_no", "x").orderBy("y")) - 1
-    joined = keyed.withColumn("_place", place).join(starts.select("phase_no", "x", "_base", "_start"), ["phase_no", "x"])
-    return joined.select("x", "y", "asset", "layer", "sx", "sy", (F.col("_base") + F.col("_start") + F.col("_place")).alias("seq"))
+    sized = keyed.groupBy(*world, "phase_no", "x").agg(F.count("*").alias("_n"))  # one row a phase and column
+    phases = sized.groupBy(*world, "phase_no").agg(F.sum("_n").alias("_p"))  # one row a phase
+    earlier = Window.partitionBy(*(world or [F.lit(0)])).orderBy("phase_no").rowsBetween(Window.unboundedPreceding, -1)
+    phases = phases.withColumn("_base", F.coalesce(F.sum("_p").over(earlier), F.lit(0))).drop("_p")
+    before = Window.partitionBy(*world, "phase_no").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sized.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(phases, [*world, "phase_no"])
+    place = F.row_number().over(Window.partitionBy(*world, "phase_no", "x").orderBy("y")) - 1
+    joined = keyed.withColumn("_place", place).join(starts.drop("_n"), [*world, "phase_no", "x"])
+    return joined.select(*world, "x", "y", "asset", "layer", "sx", "sy", (F.col("_base") + F.col("_start") + F.col("_place")).alias("seq"))
 
 
 def audit(cells: DataFrame, dim: DataFrame, assets: DataFrame) -> DataFrame:
-    """Exact accounting by ``world_id`` (a column of ``cells``, outside the grid's keys): visible, planned, hidden, unsupported, missing,
-    invalid, rendered, and whether it balances."""
-    judged = plan(cells, dim).cells.join(assets, "asset", "left")
+    """Exact accounting of each world of ``cells (world_id, x, y, kind, level)``, whose grids may overlap: visible, planned, hidden,
+    unsupported, missing, invalid, rendered, and whether it balances."""
+    judged = plan(cells, dim, ["world_id"]).cells.join(assets, "asset", "left")
     missing = F.col("width").isNull()
     invalid = ~missing & ((F.col("sx") + 16 > F.col("width")) | (F.col("sy") + 16 > F.col("height")))
     planned = F.col("reason").isNull()
@@ -82,3 +84,9 @@ def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of the dense grid, in worlds of 100 columns each."""
     cells = views.g_dense(spark, sf_dir).withColumn("world_id", F.expr("x div 100"))
     return audit(cells, views.d_kind(spark), spark.createDataFrame(ASSETS, "asset string, width int, height int"))
+
+
+def overlapping_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the same grid cut into worlds of 100 columns that all begin at column 0."""
+    cells = views.g_dense(spark, sf_dir).withColumn("world_id", F.expr("x div 100")).withColumn("x", F.expr("x % 100"))
+    return audit(cells, views.d_kind(spark), spark.createDataFrame(ASSETS, "asset string, width int, height int"))

@@ -18,7 +18,7 @@ TILE, WALL = "kind >= 0", "level % 3 = 0"
 
 @query(
     f""", p AS (SELECT x, y FROM g_dense WHERE kind >= 0), t AS (SELECT x, y, {MASK4} AS tile_mask FROM g_dense g), q AS (SELECT x, y FROM g_dense WHERE level % 3 = 0), w AS (SELECT x, y, {MASK4.replace('FROM p', 'FROM q').replace('p.', 'q.')} AS wall_mask FROM g_dense g)
-SELECT x, y, tile_mask, wall_mask, (CASE WHEN wall_mask = 15 THEN 15 + [0, 1, 2, 1, 2, 0, 2, 0, 1][x % 3 * 3 + y % 3 + 1] ELSE wall_mask END)::INT AS wall_variant FROM t JOIN w USING (x, y)"""
+SELECT x, y, tile_mask, wall_mask, (CASE WHEN wall_mask = 15 THEN 15 + [[2, 0, 0], [0, 1, 4], [0, 3, 0]][x % 3 + 1][y % 3 + 1] ELSE wall_mask END)::INT AS wall_variant FROM t JOIN w USING (x, y)"""
 )
 def dm01_terrain_masks(spark, d):
     return terrain.terrain_masks(views.g_dense(spark, d), F.expr(TILE), F.expr(WALL))
@@ -60,62 +60,80 @@ def dm04_liquid_candidates(spark, d):
     return terrain.liquid_candidates(cells)
 
 
-SOURCES = """, c AS (SELECT x, y, kind, level % 5 = 0 AS half, CASE WHEN kind >= 0 THEN level * 2 % 256 ELSE 0 END AS wet, (1 + level % 4)::INT AS liquid, kind = -2 AS solid FROM g_dense),
-n AS (SELECT c.*, u.x IS NULL OR u.solid OR u.wet = 0 AS dry_above, CASE WHEN l.wet > 160 THEN l.liquid END AS ll, CASE WHEN r.wet > 160 THEN r.liquid END AS rl, coalesce(l.wet = 0 AND NOT l.solid, FALSE) AS lo, coalesce(r.wet = 0 AND NOT r.solid, FALSE) AS ro
-    FROM c LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y),
-s AS (SELECT x, y, CASE WHEN 2 IN (ll, rl) THEN 2 WHEN 3 IN (ll, rl) THEN 3 WHEN 4 IN (ll, rl) THEN 4 ELSE 1 END AS liquid FROM n WHERE half AND dry_above AND (ll IS NOT NULL OR rl IS NOT NULL) AND (lo OR ro)),
-o AS (SELECT *, (row_number() OVER (ORDER BY x, y) - 1)::INT AS idx FROM s)"""
+SOURCES = """, n AS (SELECT c.*, u.level AS ul, u.liquid AS uk, u.is_solid AND u.shape = 0 AS uw, w.level AS wl, w.liquid AS wk, w.is_solid AND w.shape = 0 AS ww, w.shape AS ws, e.level AS el, e.liquid AS ek, e.is_solid AND e.shape = 0 AS ew, e.shape AS es,
+    d.level AS dl, d.is_solid AND d.shape = 0 AS dw, d.shape AS ds FROM g_tiles c LEFT JOIN g_tiles u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN g_tiles d ON d.x = c.x AND d.y = c.y + 1 LEFT JOIN g_tiles w ON w.x = c.x - 1 AND w.y = c.y LEFT JOIN g_tiles e ON e.x = c.x + 1 AND e.y = c.y WHERE c.active),
+h AS (SELECT x, y AS by_y, 0 AS k, y, CASE WHEN 2 IN (uk, wk, ek) THEN 1 WHEN 3 IN (uk, wk, ek) THEN 14 WHEN 4 IN (uk, wk, ek) THEN 25 ELSE 0 END AS fall, 'halfbrick' AS source FROM n
+    WHERE shape = 1 AND (ul < 16 OR uw) AND (wl > 160 OR el > 160) AND ((wl = 0 AND NOT ww AND ws <= 1) OR (el = 0 AND NOT ew AND es <= 1)) AND wl IS NOT NULL AND el IS NOT NULL
+    UNION ALL SELECT x, y, 1, y + 1, CASE type WHEN 196 THEN 11 WHEN 460 THEN 22 ELSE 26 END, 'cloud' FROM n WHERE type IN (196, 460, 717) AND dl = 0 AND NOT dw AND ds <= 1)"""
 
 
-def sources(spark, d, cap=300):
-    cells = views.g_dense(spark, d).selectExpr("x", "y", "level % 5 = 0 AS half", "CASE WHEN kind >= 0 THEN level * 2 % 256 ELSE 0L END AS level", "cast(1 + level % 4 AS int) AS liquid", "kind = -2 AS is_solid")
-    return terrain.detect_sources(cells, cap)
+def sources(spark, d, cap):
+    return terrain.detect_sources(views.g_tiles(spark, d), cap)
 
 
-@query(SOURCES + " SELECT x, y, liquid, idx FROM o WHERE idx < 300")
+@query(SOURCES + " SELECT x, y::BIGINT AS y, fall::INT AS fall, source, (n - 1)::INT AS idx FROM (SELECT *, row_number() OVER (ORDER BY x, by_y, k) AS n FROM h) WHERE n <= 300")
 def dm05_detect_sources(spark, d):
-    return sources(spark, d).select("x", "y", "liquid", "idx")
+    return sources(spark, d, 300).select("x", F.col("y").cast("long").alias("y"), "fall", "source", "idx")
+
+
+@query(SOURCES + " SELECT x // 100 AS world, x, y::BIGINT AS y, fall::INT AS fall, source, (n - 1)::INT AS idx FROM (SELECT *, row_number() OVER (PARTITION BY x // 100 ORDER BY x, by_y, k) AS n FROM h JOIN (SELECT x, y AS by_y FROM g_tiles WHERE x % 100 NOT IN (0, 99)) m USING (x, by_y)) WHERE n <= 40")
+def dm05_sources_by_world(spark, d):
+    """Worlds of 100 columns: their first and last columns, whose neighbours are other worlds' cells, hold no half-brick sources; here they are left
+    out altogether, and each world keeps its first 40."""
+    cells = views.g_tiles(spark, d).withColumn("world", F.expr("x div 100"))
+    found = terrain.detect_sources(cells.withColumn("active", C("active") & ~(C("x") % 100).isin(0, 99)), 40, ["world"])
+    return found.select("world", "x", F.col("y").cast("long").alias("y"), "fall", "source", "idx")
 
 
 @query(
-    SOURCES + """, f AS (SELECT o.idx, o.x, o.y, (SELECT min(c.y) FROM c WHERE c.x = o.x AND c.y > o.y AND c.solid) AS wall, (SELECT min(c.y) FROM c WHERE c.x = o.x AND c.y > o.y AND NOT c.solid AND c.wet > 0) AS pool FROM o WHERE idx < 300),
+    SOURCES + """, o AS (SELECT row_number() OVER (ORDER BY x, by_y, k) - 1 AS idx, x, y FROM h),
+f AS (SELECT o.idx, o.x, o.y, (SELECT min(c.y) FROM g_tiles c WHERE c.x = o.x AND c.y > o.y AND c.is_solid) AS wall, (SELECT min(c.y) FROM g_tiles c WHERE c.x = o.x AND c.y > o.y AND NOT c.is_solid AND c.level > 0) AS pool FROM o),
 e AS (SELECT *, least(coalesce(wall, 64), coalesce(pool, 64), 64, y + 21) AS stop FROM f)
 SELECT idx, x, y + 1 + k AS y, (k + 1)::INT AS step, CASE WHEN stop = wall THEN 'solid' WHEN stop = pool THEN 'liquid' WHEN stop = 64 THEN 'end' ELSE 'limit' END AS reason FROM e, LATERAL (SELECT unnest(range(0, stop - y - 1)) AS k)"""
 )
 def dm06_trace_vertical(spark, d):
-    cells = views.g_dense(spark, d).selectExpr("x", "y", "CASE WHEN kind >= 0 THEN level * 2 % 256 ELSE 0L END AS level", "kind = -2 AS is_solid")
-    return tracing.trace_vertical(sources(spark, d), cells, height=64, most=20)
-
-
-PATHS = """, c AS (SELECT x, y, kind <> 0 AND level % 2 = 0 AS solid FROM g_dense),
-o AS (SELECT (row_number() OVER (ORDER BY x, y) - 1)::INT AS idx, x, y FROM g_dense WHERE kind = 1 AND level % 5 = 0),
-t AS (SELECT idx, 0 AS step, x, y, 0 AS dir, 0 AS turns, NULL::VARCHAR AS reason FROM o
-UNION ALL SELECT t.idx, t.step + 1, CASE WHEN m.move = 'down' OR m.move IS NULL THEN t.x WHEN m.move = 'right' THEN t.x + 1 WHEN m.move = 'left' THEN t.x - 1 ELSE t.x END,
-    CASE WHEN m.move = 'down' THEN t.y + 1 ELSE t.y END, CASE m.move WHEN 'down' THEN 0 WHEN 'right' THEN 1 WHEN 'left' THEN -1 ELSE t.dir END, CASE WHEN m.move IN ('right', 'left') AND t.dir <> 0 AND t.dir <> CASE m.move WHEN 'right' THEN 1 ELSE -1 END THEN t.turns + 1 ELSE t.turns END,
-    CASE WHEN m.move IS NULL THEN m.why WHEN m.move IN ('right', 'left') AND t.dir <> 0 AND t.dir <> CASE m.move WHEN 'right' THEN 1 ELSE -1 END AND t.turns >= 1 THEN 'reversed' END
-FROM t JOIN LATERAL (SELECT CASE WHEN d.x IS NULL THEN NULL WHEN NOT d.solid THEN 'down' WHEN t.dir >= 0 AND r.x IS NOT NULL AND NOT r.solid THEN 'right' WHEN l.x IS NOT NULL AND NOT l.solid THEN 'left' WHEN r.x IS NOT NULL AND NOT r.solid THEN 'right' END AS move,
-        CASE WHEN d.x IS NULL THEN 'edge' ELSE 'blocked' END AS why
-    FROM (SELECT 1) LEFT JOIN c d ON d.x = t.x AND d.y = t.y + 1 LEFT JOIN c r ON r.x = t.x + 1 AND r.y = t.y LEFT JOIN c l ON l.x = t.x - 1 AND l.y = t.y) m ON TRUE WHERE t.reason IS NULL AND t.step < 12)
-SELECT idx, step, x, y, reason FROM t"""
+    """From every source of the grid."""
+    return tracing.trace_vertical(sources(spark, d, 1 << 30), views.g_tiles(spark, d), height=64, most=20)
+
+
+PATHS = """, c AS (SELECT x, y, active, type, shape, level > 0 AS wet, is_solid AND shape = 0 AND type <> 546 AS hard, shape IN (2, 3) AS top, shape IN (4, 5) AS bottom, shape = 1 AS half FROM g_tiles),
+o AS (SELECT row_number() OVER (ORDER BY x, y) - 1 AS idx, x, y FROM g_tiles WHERE level > 0 AND type % 3 = 0),
+b AS (SELECT t.x, t.y, t.hard, t.wet, t.half, w.x IS NULL OR e.x IS NULL OR s.x IS NULL AS edge, s.top AND NOT t.half AND s.type <> 19 AS sloped, CASE s.shape WHEN 2 THEN 1 ELSE -1 END AS down,
+    NOT t.half AND (NOT (s.hard OR s.bottom) OR NOT s.active) AS falls, (w.hard OR w.top OR w.wet) AND NOT (e.hard OR e.wet) AS goes_right, (e.hard OR e.top OR e.wet) AND NOT (w.hard OR w.wet) AS goes_left,
+    (NOT (e.hard OR t.top) OR NOT e.wet) AND NOT (w.hard OR w.wet) AND NOT t.top AS goes_on, (w.active AND w.type IN (189, 196)) OR (e.active AND e.type IN (189, 196)) OR (s.active AND s.type IN (189, 196)) AS longer
+    FROM c t LEFT JOIN c w ON w.x = t.x - 1 AND w.y = t.y LEFT JOIN c e ON e.x = t.x + 1 AND e.y = t.y LEFT JOIN c s ON s.x = t.x AND s.y = t.y + 1),
+t AS (SELECT idx, 0 AS step, x, y::BIGINT AS y, 0 AS dir, 0 AS turns, 12 AS most, NULL::VARCHAR AS reason, FALSE AS shown FROM o
+UNION ALL SELECT t.idx, CASE WHEN m.after THEN t.step + 1 ELSE t.step END, CASE WHEN m.after THEN t.x + m.dx ELSE t.x END, CASE WHEN m.after THEN t.y + m.dy ELSE t.y END, CASE WHEN m.after THEN m.dir ELSE t.dir END, CASE WHEN m.after THEN m.turns ELSE t.turns END,
+    CASE WHEN m.after AND m.longer THEN 30 ELSE t.most END, m.reason, NOT m.after
+FROM t JOIN LATERAL (
+    SELECT *, reason IS NULL AS after FROM (SELECT dx * flip AS dx, dy, dir * flip AS dir, turns, longer, CASE WHEN t.step >= t.most THEN 'distance' WHEN t.turns >= 2 THEN 'reversed' WHEN hard THEN 'solid' WHEN edge THEN 'edge' WHEN dx = 0 AND dy = 0 THEN 'stationary' WHEN wet AND NOT half THEN 'liquid' END AS reason
+    FROM (SELECT *, CASE WHEN turns >= 2 THEN -1 ELSE 1 END AS flip FROM (SELECT b.*,
+        CASE WHEN sloped THEN down WHEN falls THEN 0 WHEN goes_right THEN 1 WHEN goes_left THEN -1 WHEN goes_on THEN t.dir ELSE 0 END AS dx, CASE WHEN sloped OR falls THEN 1 ELSE 0 END AS dy, CASE WHEN sloped THEN down WHEN falls THEN t.dir WHEN goes_right THEN 1 WHEN goes_left THEN -1 ELSE t.dir END AS dir,
+        CASE WHEN sloped THEN t.turns WHEN falls THEN 0 WHEN goes_right THEN t.turns + (t.dir = -1)::INT WHEN goes_left THEN t.turns + (t.dir = 1)::INT WHEN goes_on THEN t.turns ELSE t.turns + 1 END AS turns FROM b WHERE b.x = t.x AND b.y = t.y) q0) q1) q2) m ON TRUE WHERE t.reason IS NULL),
+l AS (SELECT idx, step, x, y, max(reason) AS reason FROM t GROUP BY idx, step, x, y), bad AS (SELECT idx FROM l WHERE reason = 'edge')
+SELECT idx, step::INT AS step, x, y, CASE WHEN idx IN (SELECT idx FROM bad) THEN 'edge' ELSE reason END AS reason FROM l WHERE step = 0 OR idx NOT IN (SELECT idx FROM bad)"""
 
 
 @query(PATHS)
 def dm07_trace_paths(spark, d):
-    cells = views.g_dense(spark, d).selectExpr("x", "y", "kind <> 0 AND level % 2 = 0 AS is_solid")
-    origins = views.g_dense(spark, d).where("kind = 1 AND level % 5 = 0")
-    return tracing.trace_paths(with_place(origins.select("x", "y"), ["x", "y"], "idx"), cells, 12)
+    cells = views.g_tiles(spark, d)
+    origins = cells.where("level > 0 AND type % 3 = 0")
+    return tracing.trace_paths(with_place(origins.select("x", "y"), ["x", "y"], "idx"), cells, 12, longest=30)
 
 
 @query(
     """, c AS (SELECT x, y, kind, level FROM g_dense), o AS (SELECT x AS x0, y AS y0, kind FROM g_dense WHERE level % 11 = 0),
 t AS (SELECT x0, y0, kind, x0 AS x, y0 AS y, 0 AS shifts, 0 AS step FROM o
-UNION ALL SELECT t.x0, t.y0, t.kind, n.x, n.y, t.shifts + (n.x <> t.x)::INT, t.step + 1 FROM t JOIN LATERAL (SELECT q.x, q.y FROM c q WHERE q.kind = t.kind AND q.y = t.y + 1 AND (q.x = t.x OR (t.shifts = 0 AND abs(q.x - t.x) = 1)) ORDER BY q.x <> t.x, q.x LIMIT 1) n ON TRUE WHERE t.step < 16)
-SELECT x0, y0, arg_max(x, step) AS root_x, arg_max(y, step) AS root_y, (max(step))::INT AS steps, (CASE arg_max(b.kind, step) WHEN -2 THEN 'rock' WHEN -1 THEN 'soil' WHEN 0 THEN 'sand' WHEN 1 THEN 'snow' END) AS class FROM (SELECT t.*, b.kind AS bk FROM t LEFT JOIN c b ON b.x = t.x AND b.y = t.y + 1) b GROUP BY x0, y0""".replace("arg_max(b.kind, step)", "arg_max(coalesce(bk, 99), step)")
+UNION ALL SELECT t.x0, t.y0, t.kind, n.x, n.y, t.shifts + (n.x <> t.x)::INT, t.step + 1 FROM t JOIN LATERAL (SELECT q.x, q.y FROM c q WHERE q.kind = t.kind AND q.y = t.y + 1 AND (q.x = t.x OR (t.shifts = 0 AND abs(q.x - t.x) = 1)) ORDER BY q.x <> t.x, q.x LIMIT 1) n ON TRUE WHERE t.step < 5),
+f AS (SELECT x0, y0, kind, arg_max(x, step) AS x, arg_max(y, step) AS y, max(step) AS steps, arg_max(shifts, step) AS shifts FROM t GROUP BY x0, y0, kind),
+g AS (SELECT f.*, NOT EXISTS (SELECT 1 FROM c q WHERE q.kind = f.kind AND q.y = f.y + 1 AND (q.x = f.x OR (f.shifts = 0 AND abs(q.x - f.x) = 1))) AS complete FROM f)
+SELECT x0, y0::BIGINT AS y0, g.x AS root_x, g.y::BIGINT AS root_y, steps::INT AS steps, CASE WHEN complete THEN CASE b.kind WHEN -2 THEN 'rock' WHEN -1 THEN 'soil' WHEN 0 THEN 'sand' WHEN 1 THEN 'snow' END END AS class, complete FROM g LEFT JOIN c b ON b.x = g.x AND b.y = g.y + 1"""
 )
 def dm08_trace_root(spark, d):
+    """Stacks of more than five cells have no root within the limit."""
     cells = views.g_dense(spark, d).select("x", "y", "kind")
     classes = {-2: "rock", -1: "soil", 0: "sand", 1: "snow"}
-    return tracing.trace_root(views.g_dense(spark, d).where("level % 11 = 0").selectExpr("x AS x0", "y AS y0", "kind"), cells, classes, 16)
+    return tracing.trace_root(views.g_dense(spark, d).where("level % 11 = 0").selectExpr("x AS x0", "y AS y0", "kind"), cells, classes, 5)
 
 
 @query(
@@ -143,7 +161,7 @@ def dm10_plan_omissions(spark, d):
     return aggs.first_example(found, ["reason", "kind"]).select("reason", "kind", F.col("n").alias("cells"), "x", "y")
 
 
-AUDIT_SQL = PLAN_SQL + """, assets(asset, width, height) AS (VALUES ('tile_1.png', 72, 72), ('tile_4.png', 60, 72)),
+AUDIT_SQL = PLAN_SQL.replace("p.x = g.x - 1 ", "p.x = g.x - 1 AND p.x // 100 = g.x // 100 ").replace("p.x = g.x + 1 ", "p.x = g.x + 1 AND p.x // 100 = g.x // 100 ") + """, assets(asset, width, height) AS (VALUES ('tile_1.png', 72, 72), ('tile_4.png', 60, 72)),
 m AS (SELECT x // 100 AS world_id, reason, concat('tile_', kind + 3, '.png') AS asset, mask % 4 * 18 AS sx, mask // 4 * 18 AS sy FROM a),
 k AS (SELECT m.*, s.asset IS NULL AS missing, s.asset IS NOT NULL AND (sx + 16 > width OR sy + 16 > height) AS bad FROM m LEFT JOIN assets s USING (asset)),
 t AS (SELECT world_id, count(*) FILTER (reason IS DISTINCT FROM 'invisible') AS visible, count(*) FILTER (reason IS NULL) AS planned, count(*) FILTER (reason = 'hidden') AS hidden,
@@ -156,15 +174,27 @@ def dm11_audit(spark, d):
     return audit.audit_query(spark, d)
 
 
+@query(AUDIT_SQL)
+def dm11_audit_of_overlapping_worlds(spark, d):
+    """The same cells in worlds whose coordinates overlap: the same counts."""
+    return audit.overlapping_query(spark, d)
+
+
+@query(PLAN_SQL.replace("p.x = g.x - 1 ", "p.x = g.x - 1 AND p.x // 100 = g.x // 100 ").replace("p.x = g.x + 1 ", "p.x = g.x + 1 AND p.x // 100 = g.x // 100 ") + " SELECT x // 100 AS world_id, x % 100 AS x, y, concat('tile_', kind + 3, '.png') AS asset, layer, mask % 4 * 18 AS sx, mask // 4 * 18 AS sy, (row_number() OVER (PARTITION BY x // 100 ORDER BY CASE layer WHEN 'solid' THEN 7 ELSE 3 END, x, y) - 1)::BIGINT AS seq FROM a WHERE reason IS NULL")
+def dm10_plan_commands_by_world(spark, d):
+    cells = views.g_dense(spark, d).withColumn("world_id", F.expr("x div 100")).withColumn("x", F.expr("x % 100"))
+    return audit.numbered(audit.plan(cells, views.d_kind(spark), ["world_id"]).commands, ["world_id"])
+
+
 @query(OMISSIONS + ", m AS (SELECT x, y, bit_or(code) AS code FROM om GROUP BY x, y) SELECT i % 128 AS x, i // 128 AS y, coalesce(code, 0) AS code, CASE WHEN code IS NULL THEN 'covered' ELSE concat_ws('+', CASE WHEN code & 1 <> 0 THEN 'row' END, CASE WHEN code & 2 <> 0 THEN 'column' END, CASE WHEN code & 4 <> 0 THEN 'wide' END, CASE WHEN code & 8 <> 0 THEN 'low' END) END AS legend FROM range(0, 8192) t(i) LEFT JOIN m ON m.x = i % 128 AND m.y = i // 128")
 def dm12_coverage_map(spark, d):
     cells = spark.range(128 * 64).selectExpr("id % 128 AS x", "id div 128 AS y")
     return overview.coverage_map(cells, omissions(spark, d), {1: "row", 2: "column", 4: "wide", 8: "low"})
 
 
-@query(f", inner_pix AS (SELECT * FROM pix WHERE x >= 64 AND x < 320 AND y >= 16 AND y < 64) SELECT f::INT AS factor, x // f AS x, (y // f)::BIGINT AS y, {MEANS.replace('pix.', '')} FROM inner_pix, (VALUES (1), (2), (4), (8)) v(f) GROUP BY f, inner_pix.x // f, inner_pix.y // f")
+@query(f" SELECT f::INT AS factor, x // f AS x, (y // f)::BIGINT AS y, {MEANS.replace('pix.', '')} FROM pix, (VALUES (1), (2), (4), (8)) v(f) GROUP BY f, pix.x // f, pix.y // f")
 def dm13_overview(spark, d):
-    return overview.overview(views.pix(spark, d), [1, 2, 4, 8], (64, 16, 256, 48))
+    return overview.overview(views.pix(spark, d), [1, 2, 4, 8])
 
 
 @query("SELECT x // 8 AS x, (y // 8)::BIGINT AS y, CASE WHEN count(*) FILTER (kind = 1) >= greatest(count(*) FILTER (kind = 0), 1) AND count(*) FILTER (kind = 1) >= count(*) FILTER (kind = -2) THEN 1 WHEN count(*) FILTER (kind = 0) >= greatest(count(*) FILTER (kind = -2), 1) THEN 0 WHEN count(*) FILTER (kind = -2) > 0 THEN -2 END AS majority FROM g_dense GROUP BY 1, 2")

@@ -204,5 +204,5 @@ def ag24_content_dedupe(spark, d):
 @query(", p AS (SELECT x, y FROM g_dense WHERE kind >= 0), m AS (SELECT g.x, (CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.x = g.x AND p.y = g.y - 1) THEN 1 ELSE 0 END) AS up FROM g_dense g) SELECT x, sum(up)::BIGINT AS touching FROM m GROUP BY x")
 def ag01_touching_by_column(spark, d):
     """Cells with a front cell above, by column."""
-    masks = joins.neighbor_masks(views.g_dense(spark, d), {"mask": F.col("kind") >= 0}, ["n"])
+    masks = joins.neighbors4(views.g_dense(spark, d), F.col("kind") >= 0).withColumn("mask", F.col("mask").bitwiseAND(1))
     return masks.groupBy("x").agg(F.sum("mask").alias("touching"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridspark.functions.scalars import wall_variant
 from gridspark.operators import joins
 from gridspark.plans.registry import query
-from gridspark.sources import views
+from gridspark.sources import facts, views
+
+C = F.col
 
 MASK4 = """(coalesce((SELECT 1 FROM p WHERE p.x = g.x AND p.y = g.y - 1), 0) + coalesce((SELECT 2 FROM p WHERE p.x = g.x - 1 AND p.y = g.y), 0)
     + coalesce((SELECT 4 FROM p WHERE p.x = g.x + 1 AND p.y = g.y), 0) + coalesce((SELECT 8 FROM p WHERE p.x = g.x AND p.y = g.y + 1), 0))::INT"""
@@ -30,6 +33,31 @@ def jn02_dispatch_family(spark, d):
     return joins.dispatch_family(views.g_dense(spark, d), views.d_kind(spark), level % 2 == 0, level % 3 == 0, level % 5 == 0).select("x", "y", "family")
 
 
+SOLID_SQL = " OR ".join(f"type BETWEEN {a} AND {b}" for a, b in facts.SOLID)
+
+
+@query(
+    f""" SELECT x, y, CASE WHEN NOT active OR level % 11 = 5 THEN FALSE WHEN type >= 754 OR type = 379 THEN NULL ELSE ({SOLID_SQL}) AND type NOT IN ({', '.join(map(str, facts.SOLID_TOP))}) END AS is_solid,
+    CASE WHEN type >= 754 OR type = 379 THEN NULL WHEN ({SOLID_SQL}) OR type IN ({', '.join(map(str, facts.DRAWN_SOLID))}) THEN 'solid' ELSE 'non-solid' END AS draw_layer FROM g_tiles"""
+)
+def jn01_materials_of_types(spark, d):
+    """Cells of world files with the facts of all known types."""
+    dim = facts.materials(spark).withColumnRenamed("type", "kind")
+    cells = views.g_tiles(spark, d).drop("is_solid").withColumnRenamed("type", "kind")
+    return joins.classify_material(cells, dim, C("active"), C("level") % 11 == 5).join(dim.select("kind", "draw_layer"), "kind", "left").select("x", "y", "is_solid", "draw_layer")
+
+
+@query(
+    " SELECT x, y, CASE " + " ".join(f"WHEN type IN ({', '.join(map(str, facts.FAMILY_TYPES[bit]))}) THEN '{name}'" for name, bit in joins.FAMILIES)
+    + f" WHEN frame_x >= 0 AND type IN ({', '.join(map(str, facts.STORED))}) THEN 'stored' WHEN type IN ({', '.join(map(str, facts.ROPES))}) THEN 'rope' WHEN type IN ({', '.join(map(str, facts.ORDINARY))}) THEN 'ordinary' ELSE 'unsupported' END AS family FROM g_tiles"
+)
+def jn02_families_of_types(spark, d):
+    dim = facts.families(spark).withColumnRenamed("type", "kind")
+    cells = views.g_tiles(spark, d).withColumnRenamed("type", "kind").join(dim.drop("family_mask"), "kind", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return joins.dispatch_family(cells, dim, no(C("stored") & (C("frame_x") >= 0)), no(C("rope")), no(C("ordinary"))).select("x", "y", "family")
+
+
 @query(f", p AS (SELECT x, y FROM g_dense WHERE kind >= 0) SELECT x, y, {MASK4} AS mask FROM g_dense g")
 def jn03_neighbors4(spark, d):
     return joins.neighbors4(views.g_dense(spark, d), F.col("kind") >= 0)
@@ -152,10 +180,16 @@ def jn16_zone_join(spark, d):
     return joins.zone_join(views.table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "x"), zones).select("l_orderkey", "l_linenumber", "l_partkey", "zone", "style")
 
 
-@query(f", p AS (SELECT x, y FROM g_dense WHERE kind >= 0) SELECT x, y, mask, mask % 4 * 18 AS sx, mask // 4 * 18 AS sy FROM (SELECT x, y, {MASK4} AS mask FROM g_dense g)")
+@query(
+    f""", p AS (SELECT x, y FROM g_dense WHERE kind >= 0), m AS (SELECT x, y, {MASK4} AS mask FROM g_dense g), v AS (SELECT x, y, mask, (CASE WHEN mask = 15 THEN 15 + [[2, 0, 0], [0, 1, 4], [0, 3, 0]][x % 3 + 1][y % 3 + 1] ELSE mask END)::INT AS variant FROM m)
+SELECT x, y, mask, [{', '.join(str(a) for a, _ in facts.BLOCK_FRAMES)}][mask + 1] AS sx, [{', '.join(str(b) for _, b in facts.BLOCK_FRAMES)}][mask + 1] AS sy,
+    variant, [{', '.join(str(a) for a, _ in facts.WALL_FRAMES)}][variant + 1] * 36 AS wall_sx, [{', '.join(str(b) for _, b in facts.WALL_FRAMES)}][variant + 1] * 36 AS wall_sy FROM v"""
+)
 def jn17_frame_lookup(spark, d):
-    frames = spark.range(16).selectExpr("cast(id AS int) AS mask", "cast(id % 4 * 18 AS int) AS sx", "cast(id div 4 * 18 AS int) AS sy")
-    return joins.frame_lookup(jn03_neighbors4(spark, d), frames).select("x", "y", "mask", "sx", "sy")
+    """Source rectangles of blocks by mask, and of walls by variant."""
+    blocks = joins.frame_lookup(jn03_neighbors4(spark, d), facts.block_frames(spark))
+    walls = facts.wall_frames(spark).withColumnsRenamed({"sx": "wall_sx", "sy": "wall_sy"})
+    return joins.frame_lookup(blocks.withColumn("variant", wall_variant(C("mask"), C("x"), C("y")).cast("int")), walls, "variant").select("x", "y", "mask", "sx", "sy", "variant", "wall_sx", "wall_sy")
 
 
 @query("SELECT g.x, g.y, CASE WHEN g.kind = 1 THEN coalesce(nullif(w.kind, -1), nullif(e.kind, -1), nullif(n.kind, -1)) END AS chosen FROM g_dense g LEFT JOIN g_dense w ON w.x = g.x - 1 AND w.y = g.y LEFT JOIN g_dense e ON e.x = g.x + 1 AND e.y = g.y LEFT JOIN g_dense n ON n.x = g.x AND n.y = g.y - 1")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridspark.operators import order, sets, windows
 from gridspark.plans.registry import query
-from gridspark.sources import views
+from gridspark.sources import facts, views
 
 
 @query("SELECT g.x, g.y, a.level AS above, b.level AS below FROM g_sparse g LEFT JOIN g_sparse a ON a.x = g.x AND a.y = g.y - 1 LEFT JOIN g_sparse b ON b.x = g.x AND b.y = g.y + 1")
@@ -35,19 +36,23 @@ def wn04_first_appearance_rank(spark, d):
     return windows.first_appearance_rank(views.cmds(spark, d), "asset")
 
 
-@query(
-    """, c AS (SELECT x, y, CASE WHEN kind >= 0 THEN 1 + level % 2 ELSE 0 END AS liquid, CASE WHEN kind >= 0 THEN level ELSE 0 END AS level FROM g_dense),
-j AS (SELECT c.*, CASE WHEN u.level > 0 AND d.level > 0 AND u.liquid = d.liquid THEN (u.level + d.level)::FLOAT / 2 END AS v, CASE WHEN l.level > 0 AND r.level > 0 AND l.liquid = r.liquid THEN (l.level + r.level)::FLOAT / 2 END AS h FROM c
-    LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c d ON d.x = c.x AND d.y = c.y + 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y)
-SELECT x, y, (CASE WHEN level > 0 THEN level ELSE coalesce(greatest(v, h), 0) END)::FLOAT AS bridged FROM j"""
-)
+#: Wet, solid and half cells, with the liquids of world files.
+WET_SQL = """, c AS (SELECT x, y, liquid, level, is_solid, shape = 1 AND type NOT IN (19, 427, 435, 436, 437, 438, 439) AS half, (level / 255.0::DOUBLE)::FLOAT AS v FROM g_tiles),
+j AS (SELECT c.x, c.y, c.liquid, c.level, c.is_solid, c.v, c.half AND coalesce(u.level > 0, FALSE) AS whole, u.liquid AS uk, l.liquid AS lk,
+    CASE WHEN u.level > 0 AND d.level > 0 AND u.liquid = d.liquid AND NOT u.is_solid AND NOT d.is_solid THEN u.v + d.v END AS down, CASE WHEN l.level > 0 AND r.level > 0 AND l.liquid = r.liquid AND NOT l.is_solid AND NOT r.is_solid THEN l.v + r.v END AS across
+    FROM c LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c d ON d.x = c.x AND d.y = c.y + 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y),
+s AS (SELECT x, y, (CASE WHEN whole THEN 1 WHEN level > 0 OR is_solid THEN v ELSE greatest(coalesce(down, 0::FLOAT), coalesce(across, 0::FLOAT)) * 0.5::FLOAT END)::FLOAT AS bridged, whole, is_solid,
+    CASE WHEN whole AND level = 0 THEN uk WHEN whole OR level > 0 OR is_solid THEN liquid WHEN across IS NOT NULL THEN lk WHEN down IS NOT NULL THEN uk ELSE liquid END AS bridge_kind FROM j)"""
+
+
+@query(WET_SQL + ' SELECT x, y, bridged, bridge_kind, whole AS "full" FROM s')
 def wn05_bridge_levels(spark, d):
-    return windows.bridge_levels(wet(spark, d)).select("x", "y", "bridged")
+    return windows.bridge_levels(wet(spark, d)).select("x", "y", "bridged", "bridge_kind", "full")
 
 
 def wet(spark, d):
-    cells = views.g_dense(spark, d)
-    return cells.selectExpr("x", "y", "CASE WHEN kind >= 0 THEN 1 + level % 2 ELSE 0 END AS liquid", "CASE WHEN kind >= 0 THEN level ELSE 0L END AS level")
+    half = (F.col("shape") == 1) & ~facts.is_one_of(F.col("type"), facts.PLATFORMS)
+    return views.g_tiles(spark, d).select("x", "y", "liquid", "level", "is_solid", half.alias("half"))
 
 
 @query(
@@ -60,11 +65,26 @@ def wn06_fall_levels_single(spark, d):
     return windows.fall_levels_single(cells).select("x", "y", "fallen")
 
 
-@query()
+#: Weights of sources by kind and distance: each a single-precision step less than the one before.
+WEIGHTS = {k: [w := 1.0] + [w := float(np.float32(np.float32(w) - np.float32(1 / (n + 1)))) for _ in range(n)] for k, n in windows.FALL_LENGTH.items()}
+
+
+@query(
+    WET_SQL + f""", g(kind, weights) AS (VALUES {', '.join(f"({k}, [{', '.join(f'{v!r}::DOUBLE' for v in w[1:])}])" for k, w in WEIGHTS.items())}),
+i AS (SELECT s.*, coalesce(g.weights, []::DOUBLE[]) AS weights FROM s LEFT JOIN g ON g.kind = s.bridge_kind),
+t AS (SELECT x, y, bridged, bridge_kind, is_solid AND NOT whole AS shut, is_solid, whole, (CASE WHEN is_solid AND NOT whole THEN 1 ELSE bridged END)::FLOAT AS fallen, bridge_kind AS fall_kind, (CASE WHEN is_solid AND NOT whole OR bridged = 0 THEN 0 ELSE 1 END)::FLOAT AS opacity,
+    [{{'seed': (CASE WHEN is_solid AND NOT whole THEN 0 ELSE bridged END)::FLOAT, 'total': (CASE WHEN is_solid AND NOT whole THEN 1 ELSE bridged END)::FLOAT, 'kind': bridge_kind, 'hard': is_solid, 'weights': weights}}] AS above FROM i WHERE y = 0
+UNION ALL SELECT t.x, n.y, n.bridged, n.bridge_kind, n.shut, n.is_solid, n.whole, n.fallen, n.fall_kind, n.opacity,
+    list_prepend({{'seed': (CASE WHEN n.shut THEN 0 ELSE n.bridged END)::FLOAT, 'total': n.fallen, 'kind': n.bridge_kind, 'hard': n.is_solid, 'weights': n.weights}}, t.above)[1:10]
+FROM t JOIN LATERAL (SELECT *, (CASE WHEN shut THEN 1 WHEN bridged = 1 OR len(hits) = 0 THEN bridged ELSE greatest(bridged, list_max(list_transform(hits, lambda k: (t.above[k].total * t.above[k].weights[k]::FLOAT)::FLOAT))) END)::FLOAT AS fallen,
+        CASE WHEN NOT shut AND bridged = 0 AND len(hits) > 0 THEN t.above[hits[1]].kind ELSE bridge_kind END AS fall_kind, (CASE WHEN shut THEN 0 WHEN bridged > 0 THEN 1 WHEN len(hits) > 0 THEN t.above[hits[1]].weights[hits[1]] ELSE 0 END)::FLOAT AS opacity
+    FROM (SELECT i.*, i.is_solid AND NOT i.whole AS shut, list_filter(range(1, len(t.above) + 1), lambda k: t.above[k].seed > 0 AND k <= len(t.above[k].weights) AND NOT list_contains(list_transform(t.above[1:k - 1], lambda a: a.hard), TRUE)) AS hits FROM i WHERE i.x = t.x AND i.y = t.y + 1) q) n ON TRUE)
+SELECT x, y, fallen, fall_kind::INT AS fall_kind, opacity FROM t"""
+)
 def wn06_fall_levels_chained(spark, d):
-    """Falls that feed falls; tests compare with a brute-force pass."""
-    cells = views.g_dense(spark, d).selectExpr("x", "y", "cast(1 + level % 4 AS int) AS liquid", "CASE WHEN level > 150 THEN level ELSE 0L END AS level", "kind = -2 AS is_solid")
-    return windows.fall_levels(cells).select("x", "y", "fallen", "fall_kind")
+    """Falls that feed falls, from the bridged levels."""
+    seeds = windows.bridge_levels(wet(spark, d)).select("x", "y", F.col("bridge_kind").alias("liquid"), F.col("bridged").alias("level"), "is_solid", "full")
+    return windows.fall_levels(seeds).select("x", "y", "fallen", "fall_kind", "opacity")
 
 
 @query("SELECT g.x, g.y, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN (2 * g.level + a.level + b.level) / 4.0::DOUBLE ELSE g.level::DOUBLE END AS smooth FROM g_dense g LEFT JOIN g_dense a ON a.y = g.y AND a.x = g.x - 1 LEFT JOIN g_dense b ON b.y = g.y AND b.x = g.x + 1")

@@ -5,24 +5,24 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-from gridspark.sources.views import SQL
+from gridspark.sources.views import with_views
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, views: bool = True):
+def query(sql: str | None = None):
     """Registers a function (spark, sf_dir) under its own name; ``sql`` may use the views."""
 
     def register(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = (SQL if views else "") + sql
+            ORACLES[f.__name__] = with_views(sql)
         return f
 
     return register
 
 
 def load() -> None:
-    for name in ("scans", "neighbours", "counts", "ordered", "values", "composite", "verify", "streams"):
+    for name in ("scans", "neighbours", "counts", "ordered", "values", "composite", "verify", "streams", "stores"):
         importlib.import_module(f"gridspark.plans.{name}")

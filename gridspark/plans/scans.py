@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from gridspark.operators import project, runs
 from gridspark.plans.registry import query
-from gridspark.sources import views
+from gridspark.sources import facts, views
 from gridspark.sources.grids import chunk_manifest, formula_grid, heights_of
 
+C = F.col
+
 
 @query("SELECT x, y, kind FROM g_events")
 def src02_read_cells(spark, d):
@@ -25,7 +27,7 @@ def src07_formula_grid(spark, d):
 
 @query("SELECT x // 128 AS cx, (y // 16)::BIGINT AS cy, count(*) AS cells, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM g_dense GROUP BY 1, 2")
 def snk01_chunk_manifest(spark, d):
-    return chunk_manifest(views.g_dense(spark, d), 128, 16).drop("content_hash")
+    return chunk_manifest(views.g_dense(spark, d), 128, 16).drop("content_hash", "content_sum")
 
 
 @query("SELECT x, y0 + i AS y, kind FROM r_dense, LATERAL (SELECT unnest(range(0, run_len)) AS i)")
@@ -156,10 +158,22 @@ def prj10_assign_chunk(spark, d):
     return project.assign_chunk(views.g_dense(spark, d)).select("x", "y", "cx", "cy")
 
 
-@query("SELECT x, y, level % 8 <= 5 AND (coalesce(family_mask & 11 <> 0, FALSE) OR level % 3 = 0) AS supported FROM g_dense LEFT JOIN d_kind USING (kind)")
+def types_sql(name: str, types) -> str:
+    return f"{name} AS (SELECT unnest([{', '.join(map(str, types))}]) AS type)"
+
+
+CONDITIONAL = sorted({t for bit in (8, 16, 32, 64, 128) for t in facts.FAMILY_TYPES[bit]})
+
+
+@query(
+    f""", {types_sql("cond", CONDITIONAL)}, {types_sql("stored", facts.STORED)}, {types_sql("plain", facts.ORDINARY)}
+SELECT x, y, shape + CASE WHEN y % 9 = 0 THEN 3 ELSE 0 END <= 5 AND (type IN (SELECT type FROM cond) OR (coalesce(frame_x >= 0 AND frame_y >= 0, FALSE) AND type IN (SELECT type FROM stored))
+    OR (NOT coalesce(frame_x >= 0 AND frame_y >= 0, FALSE) AND (type IN (SELECT type FROM plain) OR type = 353))) AS supported FROM g_tiles"""
+)
 def prj11_supports(spark, d):
-    cells = views.g_dense(spark, d).join(views.d_kind(spark), "kind", "left")
-    return cells.select("x", "y", project.supported(F.col("level") % 8, F.col("family_mask"), F.col("level") % 3 == 0).alias("supported"))
+    cells = views.g_tiles(spark, d).join(facts.families(spark), "type", "left")
+    shape = C("shape") + F.when(C("y") % 9 == 0, 3).otherwise(0)
+    return cells.select("x", "y", project.supported(shape, C("frame_x"), C("frame_y"), facts.conditional_type(C("type")), C("stored"), C("ordinary") | (C("type") == 353)).alias("supported"))
 
 
 @query("SELECT x, y, kind, layer FROM g_dense LEFT JOIN d_kind USING (kind)")

@@ -36,8 +36,20 @@ def sc06_sc07_bytes(spark, d):
     return views.table(spark, d, "documents").select("doc_id", F.hex(C("source").cast("binary")).alias("h"), (F.decode(F.unhex(F.hex(data)), "UTF-8") == C("text")).alias("back"), F.octet_length(data).alias("bytes"), F.sha2(data, 256).alias("sha"))
 
 
-@query()
+#: CRC-32 of each source's name, bit by bit.
+CRC_SQL = """, d AS (SELECT DISTINCT source, encode(source) AS data FROM documents), b AS (SELECT source, octet_length(data) AS n, ('0x' || hex(data[1 + i:1 + i]))::BIGINT AS byte, i FROM (SELECT *, unnest(range(0, octet_length(data))) AS i FROM d)),
+w AS (SELECT source, list(byte ORDER BY i) AS bytes FROM b GROUP BY source)
+SELECT doc_id, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: list_reduce(list_prepend(xor(c, v), range(0, 8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295)::BIGINT AS crc FROM documents JOIN w USING (source)"""
+
+
+@query(CRC_SQL)
 def sc07_crc32(spark, d):
+    """CRC-32 of each document's source; the SQL computes it bit by bit."""
+    return views.table(spark, d, "documents").select("doc_id", F.crc32(C("source").cast("binary")).alias("crc"))
+
+
+@query()
+def sc07_crc32_of_texts(spark, d):
     """CRC-32 of each text; tests compare with a byte-wise one."""
     return views.table(spark, d, "documents").select("doc_id", F.crc32(C("text").cast("binary")).alias("crc"))
 
@@ -75,28 +87,47 @@ def sc12_frame_key(spark, d):
     return views.cmds(spark, d).select("seq", S.frame_key(["asset", "kind", "dw", "dh"]).alias("k"))
 
 
-def _paint_sql(c: str, names: str) -> str:
-    p = [k for k, v in S.PAINT_CHANNELS.items() if c in v]
-    deep = ", ".join(str(k + 12) for k in p)
-    return f"""(CASE WHEN p = 0 THEN {c} WHEN p IN ({', '.join(map(str, p))}) THEN top WHEN p <= 12 THEN low WHEN p IN ({deep}) THEN top WHEN p <= 24 THEN 0 WHEN p = 25 THEN floor((top + low) * 0.15::DOUBLE + 0.5)
-    WHEN p = 26 THEN floor(top * 0.7::DOUBLE + (r + g + b - top - low) * 0.3::DOUBLE + 0.5) WHEN p = 27 THEN floor(top * 0.5::DOUBLE + 0.5) WHEN p = 28 THEN 0 WHEN p = 29 THEN 255 - {c} WHEN p = 30 THEN top ELSE {c} END)::INT AS {names}"""
+#: The colours of paints 1 to 12 as (red, green, blue): a the strongest channel, b the weakest, c their mean.
+LETTERS = "['abb', 'acb', 'aab', 'cab', 'bab', 'bac', 'baa', 'bca', 'bba', 'cba', 'aba', 'abc']"
+PAINT_SQL = f""", p AS (SELECT x, y, r, g, b, (x + y) % 33 AS paint, (x * 7 + y) % 64 AS type, r / 255.0::DOUBLE AS dr, g / 255.0::DOUBLE AS dg, b / 255.0::DOUBLE AS db FROM pix),
+h AS (SELECT *, greatest(dr, dg, db) AS hi, least(dr, dg, db) AS lo, CASE WHEN paint BETWEEN 1 AND 24 THEN {LETTERS}[(paint - 1) % 12 + 1] END AS letters FROM p),
+u AS (SELECT *, CASE WHEN paint <= 12 THEN lo ELSE 0.4::FLOAT::DOUBLE * lo END AS weak, hi - lo AS span FROM h),
+m AS (SELECT *, CASE WHEN span = 0 THEN 0 ELSE CASE WHEN hi = dr THEN (dg - db) / span WHEN hi = dg THEN (db - dr) / span + 2 ELSE (dr - dg) / span + 4 END / 6 END AS sector, CASE WHEN hi = 0 THEN 0 ELSE span / hi END AS sat FROM u),
+v AS (SELECT *, sector - floor(sector) AS hue FROM m),
+s AS (SELECT *, paint BETWEEN 1 AND 12 AND ((type IN (0, 2, 23) AND hue BETWEEN 0.03::FLOAT::DOUBLE AND 0.08::FLOAT::DOUBLE AND sat BETWEEN 0.38::FLOAT::DOUBLE AND 0.53::FLOAT::DOUBLE)
+    OR (type IN (59, 60) AND (hue + 0.5) % 1 BETWEEN 0.42::FLOAT::DOUBLE AND 0.55::FLOAT::DOUBLE AND sat BETWEEN 0.2::FLOAT::DOUBLE AND 0.27::FLOAT::DOUBLE)) AS spared FROM v)"""
+
 
+def _channel_sql(k: int, name: str, spared: str, wall: bool = False) -> str:
+    d = ("dr", "dg", "db")[k]
+    brown = ("hi", "0.7::FLOAT::DOUBLE * hi", "0.49::FLOAT::DOUBLE * hi")[k]
+    negative = f"greatest(0, 0.75 - {d} * 2)" if wall else f"1 - {d}"
+    return f"""floor(least(1.0, greatest(0.0, CASE WHEN paint IN (0, 31) OR {spared} THEN {d} WHEN paint <= 24 THEN CASE substr(letters, {k + 1}, 1) WHEN 'a' THEN hi WHEN 'b' THEN weak ELSE (hi + weak) * 0.5 END
+    WHEN paint = 25 THEN 0.15::FLOAT::DOUBLE * (hi + lo) WHEN paint = 26 THEN (hi * 7 + lo * 3) * 0.1::FLOAT::DOUBLE * (2 - (hi + lo) * 0.5) WHEN paint = 27 THEN (hi + lo) * 0.5 WHEN paint = 28 THEN {brown}
+    WHEN paint = 29 THEN 0.025::FLOAT::DOUBLE * (hi + lo) WHEN paint = 30 THEN CASE WHEN hi = 0 THEN {d} ELSE {negative} END END)) * 255 + 0.5)::INT AS {name}"""
 
-@query(f", q AS (SELECT x, y, r, g, b, greatest(r, g, b) AS top, least(r, g, b) AS low, (x + y) % 32 AS p FROM pix) SELECT x, y, {_paint_sql('r', 'pr')}, {_paint_sql('g', 'pg')}, {_paint_sql('b', 'pb')} FROM q")
+
+def _painted_sql(k: int, name: str, spared: str, wall: bool = False) -> str:
+    """Null for paint 32, which doesn't exist."""
+    value, _, alias = _channel_sql(k, name, spared, wall).rpartition(" AS ")
+    return f"CASE WHEN paint <= 31 THEN {value} END AS {alias}"
+
+
+@query(PAINT_SQL + " SELECT x, y, " + ", ".join(_painted_sql(k, n, "spared") for k, n in enumerate(("pr", "pg", "pb"))) + ", " + ", ".join(_painted_sql(k, n, "FALSE", True) for k, n in enumerate(("wr", "wg", "wb"))) + " FROM s")
 def sc13_paint_color(spark, d):
-    painted = views.pix(spark, d).withColumn("c", S.paint_color(C("r"), C("g"), C("b"), (C("x") + C("y")) % 32))
-    return painted.select("x", "y", C("c.r").alias("pr"), C("c.g").alias("pg"), C("c.b").alias("pb"))
+    """Tiles with the masks of their types, and walls."""
+    rgb, paint, type_ = (C("r"), C("g"), C("b")), (C("x") + C("y")) % 33, (C("x") * 7 + C("y")) % 64
+    tile, wall = S.paint_color(*rgb, paint, spared=S.paint_spares(*rgb, type_)), S.paint_color(*rgb, paint, wall=True)
+    painted = views.pix(spark, d).withColumns({"c": tile, "w": wall})
+    return painted.select("x", "y", *[C(f"c.{k}").alias(f"p{k}") for k in "rgb"], *[C(f"w.{k}").alias(f"w{k}") for k in "rgb"])
 
 
-@query(
-    """, h AS (SELECT *, greatest(r, g, b)::DOUBLE AS top, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS span FROM pix),
-s AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN top = r THEN (g - b) / span WHEN top = g THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END AS part, CASE WHEN top > 0 THEN span / top ELSE 0 END AS sat FROM h),
-u AS (SELECT *, CASE WHEN part < 0 THEN part + 6 ELSE part END / 6 AS hue FROM s)
-SELECT x, y, hue >= 0.2 AND hue <= 0.6 AND sat >= 0.3 AS hit, NOT ((hue >= 0.8 OR hue <= 0.1) AND sat >= 0.5) AS inverted FROM u"""
-)
+@query(PAINT_SQL + " SELECT x, y, hue BETWEEN 0.2 AND 0.6 AND sat BETWEEN 0.3 AND 0.9 AS hit, NOT ((hue + 0.75) % 1 BETWEEN 0.1 AND 0.5 AND sat BETWEEN 0.0 AND 0.6) AS inverted, (hue - 0.5) % 1 BETWEEN -0.3 AND 0.1 AND sat <= 0.8 AS negative, CASE WHEN paint = 32 THEN 'unknown paint' WHEN paint BETWEEN 1 AND 12 AND type = 5 THEN 'tree' END AS reason FROM s")
 def sc14_hue_sat_mask(spark, d):
     rgb = C("r"), C("g"), C("b")
-    return views.pix(spark, d).select("x", "y", S.hue_sat_mask(*rgb, 0.2, 0.6, 0.3).alias("hit"), S.hue_sat_mask(*rgb, 0.8, 0.1, 0.5, invert=True).alias("inverted"))
+    masks = {"hit": S.hue_sat_mask(*rgb, 0.2, 0.6, 0.3, 0.9), "inverted": S.hue_sat_mask(*rgb, 0.1, 0.5, 0.0, 0.6, 0.75, True), "negative": S.hue_sat_mask(*rgb, -0.3, 0.1, 0.0, 0.8, -0.5)}
+    reason = S.paint_reason((C("x") * 7 + C("y")) % 64, (C("x") + C("y")) % 33)
+    return views.pix(spark, d).select("x", "y", *[c.alias(n) for n, c in masks.items()], reason.alias("reason"))
 
 
 @query("SELECT x, y, floor(r * g / 255.0::DOUBLE + 0.5)::INT AS product, least(r, a) AS over, r - least(r, a) AS additive FROM pix")
@@ -110,24 +141,31 @@ def sc16_fill_height(spark, d):
     return views.g_dense(spark, d).select("x", "y", S.fill_height(C("level")).alias("height"))
 
 
-@query("SELECT x, y, (CASE WHEN level % 16 = 15 THEN 15 + [0, 1, 2, 1, 2, 0, 2, 0, 1][x % 3 * 3 + y % 3 + 1] ELSE level % 16 END)::BIGINT AS variant FROM g_dense")
+@query("SELECT x, y, (CASE WHEN level % 16 = 15 THEN 15 + [[2, 0, 0], [0, 1, 4], [0, 3, 0]][x % 3 + 1][y % 3 + 1] ELSE level % 16 END)::BIGINT AS variant FROM g_dense")
 def sc17_wall_variant(spark, d):
     return views.g_dense(spark, d).select("x", "y", S.wall_variant(C("level") % 16, C("x"), C("y")).alias("variant"))
 
 
-@query("SELECT x, y, CASE level % 8 WHEN 0 THEN kind >= 0 WHEN 1 THEN kind < 0 WHEN 2 THEN y > 30 WHEN 3 THEN CASE WHEN x % 3 > 0 THEN x % 3 = 1 END WHEN 4 THEN TRUE WHEN 5 THEN FALSE END AS harvestable FROM g_dense")
+@query(
+    """, q AS (SELECT x, y, level % 8 AS style, kind >= 0 AS day, level % 5 = 0 AS blood, level % 3 = 0 AS rain, x % 2 = 0 AS remix, (level % 9)::INT AS moon, (x * y % 60) * 1000.0::DOUBLE AS time, CASE WHEN x % 4 > 0 THEN (y % 3) / 2.0::DOUBLE END AS clouds FROM g_dense)
+SELECT x, y, CASE WHEN style IN (2, 6) THEN FALSE WHEN style > 6 OR moon > 7 OR clouds IS NULL THEN NULL WHEN style = 0 THEN day WHEN style = 1 THEN NOT day WHEN style = 3 THEN NOT day AND (blood OR moon = 0)
+    WHEN style = 4 THEN rain OR clouds > 0 ELSE (NOT rain OR CASE WHEN remix THEN y < 400 - 350 ELSE y > 30.5 END) AND time > 40500 END AS harvestable FROM q"""
+)
 def sc18_harvestable(spark, d):
-    rain = F.when(C("x") % 3 > 0, C("x") % 3 == 1)
-    return views.g_dense(spark, d).select("x", "y", S.harvestable(C("level") % 8, C("y"), 30, C("kind") >= 0, rain).alias("harvestable"))
+    state = {
+        "day_time": C("kind") >= 0, "blood_moon": C("level") % 5 == 0, "raining": C("level") % 3 == 0, "remix_world": C("x") % 2 == 0, "moon_phase": C("level") % 9, "time": (C("x") * C("y") % 60) * 1000.0,
+        "cloud_alpha": F.when(C("x") % 4 > 0, (C("y") % 3) / 2), "world_surface": F.lit(30.5), "world_height": F.lit(400),
+    }
+    return views.g_dense(spark, d).select("x", "y", S.harvestable(C("level") % 8, C("y"), state).alias("harvestable"))
 
 
-@query("SELECT x, y, CASE level % 7 WHEN 1 THEN '0,8;16,8;16,16;0,16' WHEN 2 THEN '0,0;16,16;0,16' WHEN 3 THEN '16,0;16,16;0,16' WHEN 4 THEN '0,0;16,0;0,16' WHEN 5 THEN '0,0;16,0;16,16' END AS points FROM g_dense")
+@query("SELECT x, y, CASE level % 7 WHEN 2 THEN '0,0;16,16;0,16' WHEN 3 THEN '0,16;16,0;16,16' WHEN 4 THEN '0,0;16,0;0,16' WHEN 5 THEN '0,0;16,0;16,16' END AS points FROM g_dense")
 def sc19_polygon(spark, d):
     points = S.polygon_of(C("level") % 7)
     return views.g_dense(spark, d).select("x", "y", F.when(points.isNotNull(), F.concat_ws(";", F.transform(points, lambda p: F.concat_ws(",", p.cast("array<string>"))))).alias("points"))
 
 
-@query("SELECT x, y, ((((kind + 3)::BIGINT * 1024 + level) * 32 + y % 32) * 6 + x % 6) * 32 AS recipe, ceil(level / 255.0::DOUBLE * 16)::INT AS height, (CASE WHEN level % 16 = 15 THEN 15 + [0, 1, 2, 1, 2, 0, 2, 0, 1][x % 3 * 3 + y % 3 + 1] ELSE level % 16 END)::INT AS variant FROM g_dense")
+@query("SELECT x, y, ((((kind + 3)::BIGINT * 1024 + level) * 32 + y % 32) * 6 + x % 6) * 32 AS recipe, ceil(level / 255.0::DOUBLE * 16)::INT AS height, (CASE WHEN level % 16 = 15 THEN 15 + [[2, 0, 0], [0, 1, 4], [0, 3, 0]][x % 3 + 1][y % 3 + 1] ELSE level % 16 END)::INT AS variant FROM g_dense")
 def sql_functions(spark, d):
     """The registered SQL functions in use."""
     S.register_sql_functions(spark)
@@ -135,9 +173,8 @@ def sql_functions(spark, d):
 
 
 @query(
-    """, q AS (SELECT x, y, r, g, b, greatest(r, g, b) AS top, least(r, g, b) AS low, greatest(r, g, b)::DOUBLE AS t, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS span, (x + y) % 32 AS p FROM pix),
-h AS (SELECT *, CASE WHEN span = 0 THEN 0 WHEN t = r THEN (g - b) / span WHEN t = g THEN 2 + (b - r) / span ELSE 4 + (r - g) / span END AS part FROM q)
-SELECT x, y, """ + _paint_sql("g", "green") + """, round(CASE WHEN part < 0 THEN part + 6 ELSE part END / 6, 9) AS hue, round(CASE WHEN t > 0 THEN span / t ELSE 0 END, 9) AS saturation, (r // 32 % 6)::BIGINT AS shape FROM h"""
+    PAINT_SQL.replace("% 33", "% 32") + """, q AS (SELECT *, greatest(r, g, b)::DOUBLE AS t, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS whole FROM s), k AS (SELECT *, CASE WHEN whole = 0 THEN 0 WHEN t = r THEN (g - b) / whole WHEN t = g THEN 2 + (b - r) / whole ELSE 4 + (r - g) / whole END AS part FROM q)
+SELECT x, y, """ + _channel_sql(1, "green", "FALSE") + """, round(CASE WHEN part < 0 THEN part + 6 ELSE part END / 6, 9) AS hue, round(CASE WHEN t > 0 THEN whole / t ELSE 0 END, 9) AS saturation, (r // 32 % 6)::BIGINT AS shape FROM k"""
 )
 def sql_functions_of_colors(spark, d):
     S.register_sql_functions(spark)

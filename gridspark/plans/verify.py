@@ -49,16 +49,16 @@ def vf03_compare_runs(spark, d):
     return checks.compare_runs(run(0), run(1), ["user_id"], 32.0, 160_000)
 
 
-ROIS = [("left", 0, 0, 100, 30), ("middle", 80, 20, 200, 20), ("right", 300, 40, 100, 24)]
-
-
 @query(
-    ", rois(name, rx, ry, rw, rh) AS (VALUES " + ", ".join(map(str, ROIS)) + ") SELECT name, count(*) AS compared, count(*) FILTER ((x * y) % 19 = 5) AS different FROM pix JOIN rois ON x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh GROUP BY name"
+    """, w AS (SELECT max(x) AS most FROM pix), rois AS (SELECT concat('part ', k) AS name, k * 100 + k % 7 AS rx, k % 40 AS ry, 60 + k % 30 AS rw, 20 AS rh FROM w, range(0, most // 100 + 1) r(k))
+SELECT name, count(*) AS compared, count(*) FILTER ((x * y) % 19 = 5) AS different FROM pix JOIN rois ON x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh GROUP BY name"""
 )
 def vf04_verify_patches(spark, d):
+    """A rectangle in every hundred columns of the table."""
     a = views.pix(spark, d)
     b = a.withColumn("r", F.expr("CASE WHEN (x * y) % 19 = 5 THEN r + 1 ELSE r END"))
-    return checks.verify_patches(a, b, ROIS, ["r", "g", "b", "a"])
+    rois = views.table(spark, d, "embeddings").selectExpr("vec_id div 100 AS k").distinct().selectExpr("concat('part ', k) AS name", "k * 100 + k % 7 AS rx", "k % 40 AS ry", "60 + k % 30 AS rw", "20 AS rh")
+    return checks.verify_patches(a, b, rois, ["r", "g", "b", "a"])
 
 
 @query("SELECT x, y, 0 AS mask, '' AS side FROM g_dense WHERE FALSE")

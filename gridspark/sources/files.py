@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +80,24 @@ def read_asset_manifest(spark: SparkSession, path: str, most_bytes: int = 64 <<
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("file", "reason")
 
 
+def write_blobs(blobs: DataFrame, path: str) -> None:
+    """One file for each row of ``blobs (file, content)``, in a new folder. Each is written under another name first, so that a lost task leaves
+    no torn file; rows of one name overwrite each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pafs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch["file"].to_pylist(), batch["content"].to_pylist()):
+                hidden = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(hidden) as out:
+                    out.write(content)
+                store.move(hidden, f"{folder}/{name}")
+        yield pa.RecordBatch.from_pylist([], pa.schema([("n", pa.int64())]))
+
+    blobs.select("file", "content").mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
+
+
 def _big_endian(content: Column, at: int) -> Column:
     return F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +32,18 @@ def read_grid(spark: SparkSession, path: str, x: int | None = None, width: int |
     return df
 
 
-def heights_of(runs: DataFrame) -> DataFrame:
+def heights_of(runs: DataFrame, world: Sequence[str] = ()) -> DataFrame:
     """Height and number of runs of each column."""
-    return runs.groupBy("x").agg(F.sum("run_len").cast("int").alias("height"), F.count("*").alias("runs"))
+    return runs.groupBy(*world, "x").agg(F.sum("run_len").cast("int").alias("height"), F.count("*").alias("runs"))
 
 
 def chunk_manifest(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """One row a chunk: cx, cy, cells, bounds and ``content_hash``, which doesn't depend on the order of rows."""
-    content = F.bit_xor(F.xxhash64(*sorted(cells.columns))).alias("content_hash")
+    """One row a chunk: cx, cy, cells, bounds, and ``content_hash`` and ``content_sum``, which don't depend on the order of rows; a row and
+    its copy cancel each other in the hash, but not in the sum."""
+    row = F.xxhash64(*sorted(cells.columns))
+    content = F.bit_xor(row).alias("content_hash"), F.sum(F.shiftrightunsigned(row, 24)).alias("content_sum")
     at = [f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")]
-    return assign_chunk(cells, width, height).groupBy("cx", "cy").agg(F.count("*").alias("cells"), *at, content)
+    return assign_chunk(cells, width, height).groupBy("cx", "cy").agg(F.count("*").alias("cells"), *at, *content)
 
 
 def write_chunked(cells: DataFrame, path: str, width: int = 128, height: int = 128) -> DataFrame:

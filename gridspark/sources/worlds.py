@@ -7,15 +7,18 @@ the columns of all files are then dealt out and decoded. A file that breaks a ru
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.operators.runs import compress_cells
 from gridspark.operators.storage import stored
 
+from .files import write_blobs
+
 #: Supported versions, accepted signatures and size limits.
 VERSIONS, SIGNATURES = range(269, 327), (b"relogic", b"xindong")
 MAX_BYTES, MAX_CELLS, MAX_WIDTH, MAX_HEIGHT, MAX_TYPES, MAX_NAME = 64 << 20, 24_000_000, 10_000, 5_000, 4_096, 4_096
@@ -222,3 +225,56 @@ def ingest_worlds(spark: SparkSession, path: str, mode: str = "permissive") -> t
     worlds = opened.where("version is not null").drop("error").join(digest, "world_id").select(*names)
     slices = opened.where("x0 is not null").select("world_id", "x0", "ends", "content", "framed").repartition("world_id", "x0")
     return worlds, slices.mapInArrow(_decode, RUNS), errors
+
+
+def encode_record(tile: dict, repeats: int) -> bytes:
+    """A record of a tile (fields of read_record; missing ones are empty) and its further repeats: the inverse of read_record."""
+    t = tile.get
+    flag = lambda *names: sum(bool(t(name)) << k for k, name in enumerate(names))
+    wall, liquid, shimmer = t("wall") or 0, t("liquid") or 0, t("liquid_kind") == 4
+    e = flag("invisible_block", "invisible_wall", "fullbright_block", "fullbright_wall") << 1
+    d = flag("actuator", "inactive") << 1 | bool(t("active") and t("paint")) << 3 | bool(wall and t("wall_paint")) << 4 | bool(t("wire_yellow")) << 5 | (wall > 255) << 6 | (shimmer and liquid > 0) << 7 | bool(e)
+    b = flag("wire_red", "wire_blue", "wire_green") << 1 | (t("shape") or 0) << 4 | bool(d)
+    a = bool(t("active")) << 1 | bool(wall) << 2 | ((1 if shimmer else t("liquid_kind")) << 3 if liquid else 0) | bool(t("active") and t("type") > 255) << 5 | (min(2, (repeats > 0) + (repeats > 255))) << 6 | bool(b)
+    out = bytes([a, b, d, e][: 1 + (a & 1) + (a & b & 1) + (a & b & d & 1)])
+    if t("active"):
+        out += struct.pack("<H" if t("type") > 255 else "B", t("type"))
+        out += struct.pack("<hh", t("frame_x"), t("frame_y")) if t("frame_x") is not None else b""
+        out += bytes([t("paint")]) if t("paint") else b""
+    out += bytes([wall & 255]) if wall else b""
+    out += bytes([t("wall_paint")]) if wall and t("wall_paint") else b""
+    out += bytes([liquid]) if liquid else b""
+    out += bytes([wall >> 8]) if wall > 255 else b""
+    return out + (b"" if not repeats else bytes([repeats]) if repeats < 256 else struct.pack("<h", repeats))
+
+
+def encode_world(columns: list[list[bytes]], height: int, name: str, types: int, framed: Sequence[int] = (), version: int = VERSIONS[0]) -> bytes:
+    """A file of the columns' records, with the sections that read_header asks for."""
+    bits = sum(1 << k for k in framed).to_bytes((types + 7) // 8, "little")
+    text = lambda s: bytes([len(s.encode())]) + s.encode()
+    start = 4 + 7 + 1 + 12 + 2 + 12 + 2 + len(bits)
+    header = text(name) + text("") + bytes(24) + struct.pack("<i", 0) + bytes(16) + struct.pack("<ii", height, len(columns))
+    cells = b"".join(b"".join(c) for c in columns)
+    sections = start, start + len(header), start + len(header) + len(cells)
+    return struct.pack("<i7sB12sH3iH", version, SIGNATURES[0], 2, b"", 3, *sections, types) + bits + header + cells
+
+
+def write_worlds(cells: DataFrame, path: str, world: Sequence[str]) -> None:
+    """A file ``world-<keys>.wld`` for each world of ``cells (world..., x, y, <any fields of a tile>)``: dense columns from x = 0, y = 0. Runs are
+    made by Spark; a world, which the format bounds, is one group."""
+    fields = [c for c in cells.columns if c not in (*world, "x", "y")]
+    runs = compress_cells(cells, fields, world)
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.sort_by([("x", "ascending"), ("y0", "ascending")]).to_pylist()
+        columns: list[list[bytes]] = []
+        height = 0
+        for r in rows:
+            if r["y0"] == 0:
+                columns.append([])
+            columns[-1].append(encode_record(r, r["run_len"] - 1))
+            height = max(height, r["y0"] + r["run_len"])
+        name = "-".join(str(rows[0][k]) for k in world)
+        return pa.Table.from_pylist([{"file": f"world-{name}.wld", "content": encode_world(columns, height, f"world {name}", MAX_TYPES)}], pa.schema([("file", pa.string()), ("content", pa.binary())]))
+
+    write_blobs(runs.groupBy(*world).applyInArrow(run, "file string, content binary"), path)

@@ -39,7 +39,7 @@ def test_crc_of_documents(spark):
     import zlib
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    assert all(r.crc == zlib.crc32(docs[r.doc_id].encode()) for r in QUERIES["sc07_crc32"](spark, DATA).collect())
+    assert all(r.crc == zlib.crc32(docs[r.doc_id].encode()) for r in QUERIES["sc07_crc32_of_texts"](spark, DATA).collect())
 
 
 def test_flagship_balances(spark):

@@ -1,6 +1,8 @@
+import functools
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,25 +121,38 @@ def test_compose_is_ordered_source_over(spark, rows):
 
 
 def test_fall_levels_against_brute_force(spark):
+    """Each cell by itself, looking up: the sources above it, and recursively what they got."""
+    f32 = np.float32
     rng = random.Random(4)
-    column = [(y, rng.randrange(1, 5), rng.choice([0, 0, 0, 0, 120, 250]), rng.random() < 0.1) for y in range(200)]
-    cells = spark.createDataFrame([(1, y, liquid, level, solid) for y, liquid, level, solid in column], "x long, y int, liquid int, level long, is_solid boolean")
-    found = {r.y: r.fallen for r in windows.fall_levels(cells).collect()}
-    for y, _, level, solid in column:
-        best = 0 if solid else level
-        source = None
-        for z in range(y):  # replay from the top: which source rules this cell
-            _, liquid, own, hard = column[z]
-            if hard:
-                source = None
+    column = [(y, rng.randrange(1, 5), rng.choice([0.0, 0.0, 0.0, 0.25, 0.75, 1.0]), rng.random() < 0.12, rng.random() < 0.2) for y in range(160)]
+    weights = {k: [f32(1)] for k in windows.FALL_LENGTH}
+    for k, n in windows.FALL_LENGTH.items():
+        for _ in range(n):
+            weights[k].append(f32(weights[k][-1] - f32(1 / (n + 1))))
+
+    @functools.cache
+    def visible(y):
+        _, kind, seed, solid, full = column[y]
+        if solid and not full:
+            return f32(1), kind, 0.0
+        if seed == 1:
+            return f32(1), kind, 1.0
+        level, opacity = f32(seed), float(seed > 0)
+        for distance in range(10, 0, -1):  # the far ones first, the near ones set kind and opacity
+            z = y - distance
+            if z < 0 or any(column[k][3] for k in range(z + 1, y)):
                 continue
-            faded = source and source[1] * (windows.FALL_LENGTH[source[2]] + 1 - (z - source[0])) // (windows.FALL_LENGTH[source[2]] + 1) if source and z - source[0] <= windows.FALL_LENGTH[source[2]] else 0
-            if own and own >= faded:
-                source = (z, own, liquid)
-        if source and not solid and y - source[0] <= windows.FALL_LENGTH[source[2]]:
-            n = windows.FALL_LENGTH[source[2]]
-            best = max(best, source[1] * (n + 1 - (y - source[0])) // (n + 1))
-        assert found[y] == best, y
+            _, other, source, hard, whole = column[z]
+            if source and (not hard or whole) and distance <= windows.FALL_LENGTH[other]:
+                level = max(level, f32(visible(z)[0] * weights[other][distance]))
+                if not seed:
+                    kind, opacity = other, float(weights[other][distance])
+        return level, kind, opacity
+
+    cells = spark.createDataFrame([(1, *c) for c in column], "x long, y int, liquid int, level float, is_solid boolean, full boolean")
+    for r in windows.fall_levels(cells).collect():
+        level, kind, opacity = visible(r.y)
+        assert (r.fallen, r.fall_kind, round(r.opacity, 6)) == (level, kind, round(opacity, 6)), r.y
 
 
 def test_recipe_ids_round_trip(spark):
@@ -169,8 +184,8 @@ def test_sql_functions_agree_with_columns(spark):
     c = S.paint_color(F.col("r"), F.col("g"), F.col("b"), F.col("p"))
     both = df.select(c.alias("c"), F.expr("grid_paint_red(r, g, b, p) AS pr"), F.expr("grid_paint_green(r, g, b, p) AS pg"), F.expr("grid_paint_blue(r, g, b, p) AS pb"))
     assert both.where("c.r <> pr OR c.g <> pg OR c.b <> pb").count() == 0
-    kept = spark.sql("SELECT grid_harvestable(2, 9, 8, null, null) AS a, grid_harvestable(9, 1, 1, true, true) AS b, grid_frame_key('t', 1, null, 3, 4) AS k, grid_source_over(9, 5) + 10 * grid_additive(9, 5) AS s").first()
-    assert tuple(kept) == (True, None, "t:1::3:4", 45)
+    kept = spark.sql("SELECT grid_harvestable(2, 9, null, null, null, null, null, null, null, null, null) AS a, grid_harvestable(9, 1, true, true, true, true, 1, 1D, 1D, 1D, 1) AS b, grid_frame_key('t', 1, null, 3, 4) AS k, grid_source_over(9, 5) + 10 * grid_additive(9, 5) AS s").first()
+    assert tuple(kept) == (False, None, "t:1::3:4", 45)
 
 
 def test_approximate_count(spark):
