@@ -55,23 +55,53 @@ def beside(direction: str, world: Sequence[str] = ()) -> WindowSpec:
     return Window.partitionBy(*world, "_cx", "_cy", across).orderBy(along).rangeBetween(step, step)
 
 
+def _words(cells: DataFrame, predicates: Mapping[str, Column], world: Sequence[str]) -> DataFrame:
+    """One row for 64 cells of a column: keys, x, _yb, the bits of the cells that are there, and for each predicate and direction those of
+    the cells whose neighbour meets it.
+
+    Cells become bits before anything is shuffled, so the exchanges hold a 64th of the grid; holes are zeros, repeated cells one bit.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("y").bitwiseAND(63).cast("int"))
+    names = {name: f"_p{k}" for k, name in enumerate(predicates)}
+    flags = [F.bit_or(F.when(p, bit).otherwise(F.lit(0).cast("long"))).alias(names[name]) for name, p in predicates.items()]
+    keys = [*world, "x", "_yb"]
+    words = cells.withColumn("_yb", F.shiftright("y", 6)).groupBy(*keys).agg(F.bit_or(bit).alias("_here"), *flags)
+    far = [("own", 0, 0), ("n", 0, 1), ("s", 0, -1), ("w", 1, 0), ("e", -1, 0)]  # to the word that sees this one in that direction
+    sent = words.withColumn("_to", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for d, dx, dy in far])))
+    sent = sent.withColumns({"x": F.col("x") + F.col("_to.dx"), "_yb": F.col("_yb") + F.col("_to.dy")})
+    of = lambda d, c: F.coalesce(F.max(F.when(F.col("_to.d") == d, F.col(c))), F.lit(0).cast("long")).alias(f"{c}_{d}")
+    seen = sent.groupBy(*keys).agg(of("own", "_here"), *[of(d, c) for c in names.values() for d, _, _ in far]).where("_here_own <> 0")
+    sides = {}
+    for c in names.values():
+        sides[f"{c}_n"] = F.shiftleft(f"{c}_own", 1).bitwiseOR(F.shiftrightunsigned(f"{c}_n", 63))
+        sides[f"{c}_s"] = F.shiftrightunsigned(f"{c}_own", 1).bitwiseOR(F.shiftleft(f"{c}_s", 63))
+    return seen.withColumns(sides)
+
+
+def _mask_bits(name: str, bit: Column) -> Column:
+    """The 4-mask of the cell at a bit of a word."""
+    on = lambda d: F.call_function("shiftright", F.col(f"{name}_{d}"), bit).bitwiseAND(1).cast("int")
+    return sum((on(d) * DIRECTIONS[d][2] for d in "wes"), on("n"))
+
+
 def with_masks(cells: DataFrame, predicates: Mapping[str, Column], world: Sequence[str] = ()) -> DataFrame:
     """``cells`` with a column for each predicate: the bits of the neighbours that meet it (N=1, W=2, E=4, S=8). No neighbour: no bit.
 
     A cell that occurs more than once counts once as a neighbour, and each of its rows gets the mask.
     """
-    flags = sum((F.when(F.coalesce(p, F.lit(False)), 1 << k).otherwise(0) for k, p in enumerate(predicates.values())), F.lit(0))
-    ring = with_ring(cells.withColumn("_flags", flags), world)
-    seen = ring.withColumns({f"_{d}": F.coalesce(F.bit_or("_flags").over(beside(d, world)), F.lit(0)) for d in ("n", "s", "w", "e")})
-    mask = lambda k: sum((F.when(F.col(f"_{d}").bitwiseAND(1 << k) != 0, DIRECTIONS[d][2]).otherwise(0) for d in "nwes"), F.lit(0))
-    return seen.where("_core").withColumns({name: mask(k) for k, name in enumerate(predicates)}).drop("_flags", "_n", "_s", "_w", "_e", "_cx", "_cy", "_core")
+    keys = [*world, "x", "_yb"]
+    words = _words(cells, predicates, world).select(*keys, *[f"_p{k}_{d}" for k in range(len(predicates)) for d in "nwes"])
+    joined = cells.withColumn("_yb", F.shiftright("y", 6)).join(words.hint("shuffle_hash"), keys)  # each word stands for 64 cells: the small side
+    bit = F.col("y").bitwiseAND(63).cast("int")
+    return joined.select(*cells.columns, *[_mask_bits(f"_p{k}", bit).alias(name) for k, name in enumerate(predicates)])
 
 
 def neighbor_masks(cells: DataFrame, predicates: Mapping[str, Column], world: Sequence[str] = ()) -> DataFrame:
-    """with_masks with the keys alone: world, x, y, one column for each predicate."""
-    flags = {name: F.coalesce(p, F.lit(False)).alias(f"_p{k}") for k, (name, p) in enumerate(predicates.items())}
-    narrow = cells.select(*world, "x", "y", *flags.values())
-    return with_masks(narrow, {name: F.col(f"_p{k}") for k, name in enumerate(flags)}, world).select(*world, "x", "y", *predicates)
+    """The masks of with_masks, one row for each distinct cell: world, x, y, one column for each predicate. The cells themselves don't move."""
+    words = _words(cells, predicates, world).withColumn("_bit", F.explode(F.array(*map(F.lit, range(64)))))
+    here = words.where(F.call_function("shiftright", F.col("_here_own"), F.col("_bit")).bitwiseAND(1) == 1)
+    y = (F.shiftleft("_yb", 6) + F.col("_bit")).cast(cells.schema["y"].dataType)
+    return here.select(*world, F.col("x").cast(cells.schema["x"].dataType).alias("x"), y.alias("y"), *[_mask_bits(f"_p{k}", F.col("_bit")).alias(name) for k, name in enumerate(predicates)])
 
 
 def neighbors4(cells: DataFrame, predicate: Column, world: Sequence[str] = ()) -> DataFrame:

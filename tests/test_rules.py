@@ -66,7 +66,8 @@ def test_masks_of_repeated_cells_and_overlapping_worlds(spark):
     rows = [(w, x, y) for w in "ab" for x, y in ((0, 0), (0, 1))] + [("a", 0, 1)]
     cells = spark.createDataFrame(rows, "world_id string, x long, y long").withColumns({"kind": F.lit(0), "level": F.lit(1)})
     found = sorted(tuple(r) for r in joins.neighbors4(cells, F.col("kind") == 0, ["world_id"]).collect())
-    assert found == [("a", 0, 0, 8), ("a", 0, 1, 1), ("a", 0, 1, 1), ("b", 0, 0, 8), ("b", 0, 1, 1)]
+    assert found == [("a", 0, 0, 8), ("a", 0, 1, 1), ("b", 0, 0, 8), ("b", 0, 1, 1)]
+    assert sorted(r.m for r in joins.with_masks(cells, {"m": F.col("kind") == 0}, ["world_id"]).collect()) == [1, 1, 1, 8, 8]
     around = {(r.world_id, r.y): r for r in joins.neighbors8(cells, "level", ["world_id"]).collect()}
     assert len(around) == 4 and around["a", 0].s == 1 and around["a", 0].n is None
     dim = spark.createDataFrame([(0, "solid", 1)], "kind int, layer string, family_mask int")
