@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .url_filter import SUFFIXES
 
 #: The rules of op1 (host/path, verdict).
 OP1_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -19,7 +20,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes, OP1_RULES)
 
 
-OP1_SQL = """
+OP1_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id,
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -29,8 +30,9 @@ r(rule_host, rule_path, rule, rule_verdict) AS (VALUES ('org', '/', 'org/', 'all
 hp AS (SELECT DISTINCT host, path FROM p),
 best AS (SELECT host, path, rule, rule_verdict FROM hp JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
     QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule) DESC, rule) = 1),
-h AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix,
-    count(quality) AS n, coalesce(sum(quality), 0) AS k FROM p LEFT JOIN (SELECT * FROM labels WHERE quality IS NOT NULL) l ON l.doc_id = p.page_id GROUP BY 1, 2, 3),
+l AS (SELECT *, string_split(host, '.') AS labels, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) AS long FROM p),
+h AS (SELECT host, list_aggregate(list_slice(labels, CASE WHEN long THEN -3 ELSE -2 END, -1), 'string_agg', '.') AS domain, list_aggregate(list_slice(labels, CASE WHEN long THEN -2 ELSE -1 END, -1), 'string_agg', '.') AS suffix,
+    count(quality) AS n, coalesce(sum(quality), 0) AS k FROM l LEFT JOIN (SELECT * FROM labels WHERE quality IS NOT NULL) v ON v.doc_id = l.page_id GROUP BY 1, 2, 3),
 d AS (SELECT domain, suffix, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY 1, 2),
 s AS (SELECT suffix, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY 1),
 a AS (SELECT sum(n) AS an, sum(k) AS ak FROM h),
@@ -45,8 +47,12 @@ c AS (SELECT 1 / coalesce(max(rho) FILTER (level = 0), 0.1::DOUBLE) - 1 AS s0, 1
 m1 AS (SELECT suffix, (sk + s0 * ((ak + 0.5::DOUBLE) / (an + 1))) / (sn + s0) AS m1 FROM s, a, c),
 m2 AS (SELECT domain, (dk + s1 * m1) / (dn + s1) AS m2 FROM d JOIN m1 USING (suffix), c),
 m3 AS (SELECT host, n + s2 AS w, (k + s2 * m2) / (n + s2) AS m FROM h JOIN m2 USING (domain), c),
-rep AS (SELECT host, m AS good_rate, m + 1.645::DOUBLE * sqrt(m * (1 - m) / (w + 1)) AS bound FROM m3)
-SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, CASE WHEN bound < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+b0 AS (SELECT host, m, m * w AS a, (1 - m) * w AS b FROM m3), b1 AS (SELECT *, ln(a / b) - greatest(sqrt(1 / a + 1 / b) * 8, 16 / a) AS low, ln(a / b) + greatest(sqrt(1 / a + 1 / b) * 8, 16 / b) AS high FROM b0),
+b2 AS (SELECT *, i, low + (high - low) / 256 * i AS u FROM b1, range(0, 257) g(i)), b3 AS (SELECT *, exp(a * (-ln(1 + exp(-u)) - ln(m)) + b * (-ln(1 + exp(u)) - ln(1 - m))) AS f FROM b2),
+b4 AS (SELECT host, m, low, high, i, (f + lead(f) OVER (PARTITION BY host ORDER BY i)) / 2 AS part FROM b3 QUALIFY i < 256),
+b5 AS (SELECT *, sum(part) OVER (PARTITION BY host ORDER BY i) AS upto, sum(part) OVER (PARTITION BY host) * 0.95::DOUBLE AS goal FROM b4),
+rep AS (SELECT host, m AS good_rate, 1 / (1 + exp(-(low + (high - low) / 256 * (i + (goal - (upto - part)) / part)))) AS bound FROM b5 WHERE upto >= goal QUALIFY row_number() OVER (PARTITION BY host ORDER BY i) = 1)
+SELECT page_id, p.host, p.path, rule, coalesce(rule_verdict, CASE WHEN bound < 0.75 * (SELECT (ak + 0.5::DOUBLE) / (an + 1) FROM a) THEN 'block' ELSE 'allow' END) AS verdict,
     round(good_rate, 6) AS good_rate, round(bound, 6) AS bound
 FROM p LEFT JOIN best USING (host, path) LEFT JOIN rep ON rep.host = p.host
 """

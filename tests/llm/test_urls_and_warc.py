@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,30 @@ def test_reputation_shrinks_and_filters(spark):
     assert all(r.bound >= r.good_rate for r in found)
 
 
+def test_bad_hosts_among_many_are_blocked(spark):
+    """Three bad hosts among forty, at the size of the test tables: the method blocks their pages and no others; bounds are shares."""
+    rng = random.Random(8)
+    bad = {"h3.site3.com", "h11.site1.co.uk", "h20.site0.org"}
+    hosts = sorted(bad | {f"h{k}.site{k % 5}.{('com', 'org', 'net', 'co.uk')[k % 4]}" for k in range(37)})
+    rows = [(k, f"http://{hosts[k % len(hosts)]}/{k}") for k in range(3000)]
+    labels = [(k, int(rng.random() < (0.1 if hosts[k % len(hosts)] in bad else 0.87))) for k in range(0, 3000, 2)] + [(k, int(rng.random() < (0.1 if hosts[k % len(hosts)] in bad else 0.87))) for k in range(1, 3000, 4)]
+    found = U.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good int")).collect()
+    assert {r.host for r in found if r.verdict == "block"} == bad
+    assert all(0 < r.good_rate < r.bound < 1 for r in found)
+
+
+@pytest.mark.parametrize("a, b", [(0.05, 0.2), (0.5, 0.5), (1.0, 1.0), (2.0, 30.0), (300.0, 40.0), (9000.0, 1200.0), (0.3, 5000.0)])
+def test_beta_quantiles(spark, a, b):
+    """Against the share of a fine sum of the density."""
+    u = np.linspace(np.log(a / b) - 60 / min(a, 1) ** 0.5 - 60 / a, np.log(a / b) + 60 / min(b, 1) ** 0.5 + 60 / b, 2_000_001)
+    log = -a * np.logaddexp(0, -u) - b * np.logaddexp(0, u)
+    cdf = np.cumsum(np.exp(log - log.max()))
+    for q in (0.05, 0.5, 0.95):
+        found = spark.range(1).select(U.beta_quantile(F.lit(a), F.lit(b), q)).first()[0]
+        at = np.searchsorted(u, np.log(found) - np.log1p(-found))
+        assert 0 < found < 1 and abs(cdf[min(at, len(u) - 1)] / cdf[-1] - q) < 2e-3
+
+
 def test_levels_with_long_suffixes(spark):
     df = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.com",), ("local",), ("",)], "host string")
     domain, suffix = U.host_levels(F.col("host"), ["co.uk"])
