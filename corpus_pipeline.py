@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import stored, table
+from gridspark.llm.common import discard, scratch, stored, table
 from gridspark.llm.decontaminate import decontaminate
 from gridspark.llm.language import identify, learn_profiles
 from gridspark.llm.mixing import mix, repeated
@@ -64,8 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written as Parquet and read back."""
+    """All stages over ``documents``; each stage's result is written as Parquet and read back. The token files stay."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), "stage")
+        before = docs
+        with scratch() as made:  # a stage's own tables, and its input, are deleted when its result is there
+            docs = stored(stage(spark, before, sf_dir), "stage")
+            made.remove(docs)
+        if hasattr(before, "stored_at"):
+            discard(before)
     return docs

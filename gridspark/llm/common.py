@@ -10,6 +10,8 @@ import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +19,12 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests on one machine) a local one is made and set."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset a local one is made and set, but only for a local master: on a cluster
+    other machines wouldn't see it, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
@@ -32,12 +37,41 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: What open scratch scopes have stored, the innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts lineage, and is computed once."""
+    """Writes ``df`` as Parquet to the shared folder and reads it back: cuts lineage, and is computed once. It stays there until it is
+    discarded, or the scratch scope that it was stored in ends."""
     spark = df.sparkSession
     path = new_dir(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote; nothing that still reads it may run afterwards."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """What is stored inside is deleted at the end; what is to stay is taken out of the list."""
+    mine: list[DataFrame] = []
+    _SCOPES.append(mine)
+    try:
+        yield mine
+    finally:
+        _SCOPES.pop()  # scopes nest
+        discard(*mine)
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import _SCOPES, scratch, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,11 +36,16 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     Each round is written to the shared folder, so a lost executor repeats one round at most; only whether it is done reaches
     the driver. Loops and repeated edges do no harm; no edges give no rows.
     """
-    edges = edges.where("u <> v")
+    edges, last = edges.where("u <> v"), None
     for _ in range(most):
-        edges = stored(_small_star(_large_star(edges)), "stars")
+        with scratch() as made:  # a round is deleted when the next one is done
+            edges = stored(_small_star(_large_star(edges)), "stars")
+            made[:] = [last] if last else []
+        last = edges
         if _done(edges):
             break
     else:
         raise RuntimeError(f"not done after {most} rounds")
+    if _SCOPES:
+        _SCOPES[-1].append(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import parts
-from .common import partitions, small_batches, stored, with_fields
+from .common import discard, partitions, scratch, small_batches, stored, with_fields
 from .components import connected_components
 
 #: Fingerprints of a block; a group with more is dealt out by pairs of blocks.
@@ -228,7 +228,10 @@ def keep_one(docs: DataFrame, tau: int = 3, segments: int = 7, width: int = 5, s
     named = lambda k: first.select(F.col("fp").alias(k), F.col("first").alias(f"n{k}"))
     near = linked(first.select("fp"), tau, segments).join(named("u"), "u").join(named("v"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
     equal = of.join(first, "fp").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    edges = stored(near.union(equal).union(parts.similar(own, similarity, known, width)).where("u <> v").distinct(), "edges")
+    with scratch() as made:
+        edges = stored(near.union(equal).union(parts.similar(own, similarity, known, width)).where("u <> v").distinct(), "edges")
+        made.remove(edges)
+    discard(first)
     kept = _named(nodes, "node", edges).select(F.col("component_id").alias("_kept")).distinct()
     mine = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text")

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_dir, partitions, stored, write_bytes
+from .common import discard, filesystem, new_dir, partitions, stored, write_bytes
 from .huffman import BLOCK, Codec, code_lengths
 from .tokens import REMEMBERED, encoder, with_ids
 
 MAGIC = b"HUFIDS1\n"
 #: A file is closed when it holds this many ids; a document is never split.
 FILE_IDS = 4_000_000
-PARTS = (("lengths", "u1"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<i8"), ("first", "<i8"), ("marks", "<u4"))
+PARTS = (("lengths", "u1"), ("doc_id", "<i8"), ("null", "u1"), ("n", "<i8"), ("first", "<i8"), ("marks", "<u8"))
 
 
 def id_counts(ids: DataFrame, size: int, dtype: str) -> np.ndarray:
@@ -60,8 +60,8 @@ def coded(ids: DataFrame, lengths: np.ndarray, dtype: str) -> DataFrame:
                 counts = np.fromiter(map(len, own), np.int64, len(own)) // np.dtype(dtype).itemsize
                 data, first, marks = codec.encode(np.frombuffer(b"".join(own), dtype), counts)
                 stops = np.concatenate([[0], np.cumsum((counts + BLOCK - 1) // BLOCK)])
-                marks = marks.astype("<u4").tobytes()
-                columns = [part["doc_id"], pa.array(counts), pa.array([data[a:b] for a, b in zip(first, first[1:])], pa.binary()), pa.array([marks[a * 4 : b * 4] for a, b in zip(stops, stops[1:])], pa.binary())]
+                marks = marks.astype("<u8").tobytes()
+                columns = [part["doc_id"], pa.array(counts), pa.array([data[a:b] for a, b in zip(first, first[1:])], pa.binary()), pa.array([marks[a * 8 : b * 8] for a, b in zip(stops, stops[1:])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bits", "marks"])
 
     return ids.mapInArrow(run, "doc_id long, n long, bits binary, marks binary")
@@ -150,7 +150,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 blocks = (own["n"] + own["block"] - 1) // own["block"]
                 at = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 sizes = np.minimum(own["block"], np.repeat(own["n"], blocks) - at * own["block"])
-                ids = codec.decode(own["data"], np.repeat(own["first"] * 8, blocks) + own["marks"], sizes).astype("<u4")
+                ids = codec.decode(own["data"], np.repeat(own["first"] * 8, blocks) + own["marks"].astype(np.int64), sizes).astype("<u4")
                 ends = np.cumsum(own["n"])
                 data = memoryview(ids.tobytes())
                 crc = [zlib.crc32(data[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), own["n"].tolist())]
@@ -171,4 +171,6 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     size = max(encoder(tokenizer).library.get_vocab_size(), end_id + 1)
     ids = stored(with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer, end_id, remembered=remembered), "ids")
     lengths = code_lengths(id_counts(ids, size, dtype))
-    return write_files(ids, lengths, dtype, folder or new_dir(docs.sparkSession, "token-files"))
+    files = write_files(ids, lengths, dtype, folder or new_dir(docs.sparkSession, "token-files"))
+    discard(ids)  # the files hold them
+    return files

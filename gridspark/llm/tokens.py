@@ -14,7 +14,7 @@ from .common import small_batches
 
 #: Words whose ids a worker remembers (and as many older ones), and characters of words that are sent to the library at once.
 REMEMBERED, AT_ONCE = 300_000, 5_000
-#: Trailing characters that are always tokens of their own after a letter.
+#: Trailing characters that most tokenizers cut off after a letter; which of them this one cuts off is probed.
 TAIL = b".,;:!?%$&*#|)"
 
 _OPEN: dict[str, WordEncoder] = {}
@@ -43,6 +43,7 @@ class WordEncoder:
         self.is_end = np.zeros_like(self.is_mark) if suffix else None
         if suffix:
             self.is_end[[k for token, k in vocab.items() if token.endswith(suffix)]] = True
+        self.tail = self._cut_off() if self.by_word else b""
         self.remembered = REMEMBERED
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -50,6 +51,14 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _cut_off(self) -> bytes:
+        """The characters of TAIL that, alone and in pairs, are encoded after letters as they are by themselves; none where any pair isn't."""
+        ids = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        letters = ("a", "ab", "information", "qzx")
+        good = [c for c in TAIL.decode() if all(ids(w + c) == ids(w) + ids(c) for w in letters)]
+        pairs = all(ids("ab" + c + d) == ids("ab") + ids(c + d) for c in good for d in good)
+        return "".join(good).encode() if pairs else b""
+
     def _again(self, word: bytes) -> bool:
         """Takes a word over from the older ones, if it is there."""
         ids = self.older.get(word)
@@ -102,7 +111,7 @@ class WordEncoder:
             for word in missing:
                 if self._again(word):
                     continue
-                core = word.rstrip(TAIL)
+                core = word.rstrip(self.tail) if self.tail else word
                 if core and core != word and 97 <= core[-1] <= 122:
                     tails[word] = core, word[len(core) :]
                     new.update(tails[word])

@@ -34,12 +34,13 @@ def integer_vectors(table: DataFrame, key: str, vector: str, scale: int = 1024)
     return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
 
 
-def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 8) -> DataFrame:
+def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int | None = None) -> DataFrame:
     """The ``k`` largest inner products of each row of ``queries (id, v)`` with the rows of ``data (id, v)``: query_id, rank, vec_id, score.
 
     ``v`` are arrays of longs. A query never meets data of its own id, or of another length. Ties go to the smaller id;
     fewer than k candidates give fewer rows; rows that repeat an id are candidates of their own, and queries that
-    repeat one are ranked together. Scores that may not fit in a long are an error. Empty tables give no rows.
+    repeat one are ranked together. Scores that may not fit in a long are an error. Empty tables give no rows. Unless given, the
+    pivots grow with the root of the rows, from 8 to 64: what reaches the driver is k + 1 distances for each.
     """
     data = data.withColumn("dim", F.size("v"))
     dims = [r.dim for r in data.select("dim").distinct().limit(1001).collect()]
@@ -54,12 +55,33 @@ def top_k(data: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 8) ->
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(data: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFrame:
+def _rings(need: dict[int, dict[int, tuple[float, float]]], data: dict[int, int], queries: dict[int, int]) -> tuple[list[tuple], list[int]]:
+    """(cell, group, low, high, blocks of data, blocks of queries) of what each query group needs, and the groups that were merged.
+
+    Groups that need cells with more than half of all data each are merged into one, under the smallest of their numbers, with the
+    widest of their rings: so data that no bound keeps from them are sent once for all of them.
+    """
+    total = sum(data.values())
+    wide = [i for i, cells in need.items() if 2 * sum(data[j] for j in cells) > total]
+    merged = wide if len(wide) > 1 else []
+    if merged:
+        both: dict[int, tuple[float, float]] = {}
+        for i in merged:
+            for j, (low, high) in need[i].items():
+                a, b = both.get(j, (low, high))
+                both[j] = min(a, low), max(b, high)
+        queries = {i: n for i, n in queries.items() if i not in merged} | {min(merged): sum(queries[i] for i in merged)}
+        need = {i: c for i, c in need.items() if i not in merged} | {min(merged): both}
+    return [(j, i, low, high, -(-data[j] // DATA_BLOCK), -(-queries[i] // QUERY_BLOCK)) for i, cells in need.items() for j, (low, high) in cells.items()], merged
+
+
+def _search(data: DataFrame, queries: DataFrame, k: int, pivots: int | None) -> DataFrame:
     square = F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x.cast("double") * x.cast("double"))
     longest = lambda df: df.agg(F.max(square).alias("m")).first().m or 0.0
     most, own = longest(data), longest(queries)
     if most * own >= 2.0**124:
         raise ValueError("inner products may not fit in a long")
+    pivots = pivots or min(64, max(8, int(data.count() ** 0.5) // 64))
     exact = np.float64 if max(most, own) < 2.0**52 else np.int64
     sample = data.orderBy(F.xxhash64("id"), "id", "v").limit(pivots).select("v").collect()
     centre = np.unique(np.array([r.v for r in sample], np.float64).reshape(len(sample), -1), axis=0)
@@ -86,14 +108,15 @@ def _search(data: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFra
     cells = {r.cell: r for r in data.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}
     groups = {r.cell: r for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("high")).collect()}
     between = np.sqrt(np.maximum(0.0, 2 * most - 2 * (centre @ centre.T + np.outer(centre_lift, centre_lift))))
-    slack, rings = SLACK * (most**0.5 + own**0.5 + 1), []
+    slack, need = SLACK * (most**0.5 + own**0.5 + 1), {}
     for i, group in groups.items():
         bounds = sorted(group.high + between[i, r.cell] + r.far for r in least)
         theta = bounds[k] if len(bounds) > k else float("inf")
         for j, cell in cells.items():
             low, high = between[i, j] - group.high - theta - slack, between[i, j] + group.high + theta + slack
             if low <= cell.high and high >= cell.low:
-                rings.append((j, i, float(low), float(high), -(-cell.n // DATA_BLOCK), -(-group.n // QUERY_BLOCK)))
+                need.setdefault(i, {})[j] = float(low), float(high)
+    rings, merged = _rings(need, {j: c.n for j, c in cells.items()}, {i: g.n for i, g in groups.items()})
     spark = data.sparkSession
     if not rings:
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
@@ -101,6 +124,8 @@ def _search(data: DataFrame, queries: DataFrame, k: int, pivots: int) -> DataFra
     part = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["cell", "group", "d", "q"]
+    if merged:
+        queries = queries.withColumn("cell", F.when(F.col("cell").isin(merged), F.lit(min(merged))).otherwise(F.col("cell")))
     left = data.join(ring, "cell").where("far between low and high").withColumn("d", part("n_data")).withColumn("q", every("n_query")).select(*keys, "id", "v")
     right = queries.withColumnRenamed("cell", "group").join(ring, "group").withColumn("q", part("n_query")).withColumn("d", every("n_data")).select(*keys, "id", "v")
 

@@ -169,3 +169,40 @@ def test_no_documents(spark):
 def test_word_count(spark):
     df = spark.createDataFrame([("a b c\x0bd\n",), (None,), ("",), (" ",), ("\x1c",)], "text string")
     assert [r[0] for r in df.select(M.word_count(F.col("text"))).collect()] == [3, 0, 0, 0, 1]
+
+
+def test_tails_are_probed():
+    """A tokenizer that keeps punctuation with its word is told from one that cuts it off."""
+    import json
+
+    import public_tokenizers
+    from gridspark.llm.tokens import TAIL, WordEncoder
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own = WordEncoder(path)
+    assert set(own.tail) <= set(TAIL)
+    changed = json.loads(own.library.to_str())
+    changed["pre_tokenizer"] = {"type": "WhitespaceSplit"}
+    other = WordEncoder.__new__(WordEncoder)
+    other.library = type(own.library).from_str(json.dumps(changed))
+    tails = other._cut_off()
+    for text in ("word.", "end!?", "a,b,", "(x)"):
+        assert own.encode([text]) == [own.whole(text)]
+        ids = other.library.encode(text, add_special_tokens=False).ids
+        core = text.encode().rstrip(tails).decode() if tails else text
+        assert ids == other.library.encode(core, add_special_tokens=False).ids + other.library.encode(text[len(core) :], add_special_tokens=False).ids
+
+
+def test_stored_tables_are_deleted_with_their_scope(spark):
+    from gridspark.llm.common import discard, scratch, stored
+
+    with scratch() as made:
+        gone = stored(spark.range(3).toDF("n"), "t")
+        kept = stored(spark.range(4).toDF("n"), "t")
+        with scratch():
+            inner = stored(spark.range(1).toDF("n"), "t")
+        made.remove(kept)
+    exists = lambda df: spark._jvm.java.io.File(df.stored_at.removeprefix("file:")).exists()
+    assert exists(kept) and not exists(gone) and not exists(inner) and kept.count() == 4
+    discard(kept)
+    assert not exists(kept)

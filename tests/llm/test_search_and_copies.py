@@ -251,3 +251,11 @@ def test_similarity_is_decided_exactly():
             linked = [(1, 2)] if 10 * shared >= 8 * (2 * size - shared) else []
             assert P.forest(np.array([1, 2]), [a, b], 0.8) == linked
             assert P.forest(np.array([1, 3, 2]), [a, other, b], 0.8) == linked
+
+
+def test_query_groups_that_need_most_data_are_merged():
+    from gridspark.llm.topk import _rings
+
+    rings, merged = _rings({0: {0: (0.0, 1.0), 1: (0.0, 2.0)}, 1: {0: (0.5, 3.0), 1: (1.0, 1.5)}, 2: {1: (0.1, 0.2)}}, {0: 60, 1: 40}, {0: 5, 1: 6, 2: 7})
+    assert merged == [0, 1]
+    assert sorted(r[:4] for r in rings) == [(0, 0, 0.0, 3.0), (1, 0, 0.0, 2.0), (1, 2, 0.1, 0.2)]
