@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,16 +23,22 @@ def expand_runs(runs: DataFrame) -> DataFrame:
 
 
 def compress_cells(cells: DataFrame, columns: Sequence[str], world: Sequence[str] = ()) -> DataFrame:
-    """Runs of vertically adjacent cells that agree on ``columns``: the keys, y0, run_len, columns. Nulls agree with nulls."""
+    """Runs of vertically adjacent cells that agree on ``columns``: the keys, y0, run_len, columns. Nulls agree with nulls.
+
+    One sort of each column; only the first and the last cell of a run are kept, and each first cell then finds its last as the next row.
+    """
     column = [*world, "x"]
     order = Window.partitionBy(*column).orderBy("y")
-    same = F.col("y") == F.lag("y").over(order) + 1
-    for c in columns:
-        same &= F.col(c).eqNullSafe(F.lag(c).over(order))
-    marked = cells.select(*column, "y", *columns).withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_new").over(order))
-    runs = marked.groupBy(*column, "_run", *columns).agg(F.min("y").alias("y0"), F.count("*").cast("int").alias("run_len"))
-    return runs.select(*column, "y0", "run_len", *columns)
+
+    def agrees(f: Callable[[str], Column], step: int) -> Column:
+        same = f("y").over(order) == F.col("y") + step
+        for c in columns:
+            same &= F.col(c).eqNullSafe(f(c).over(order))
+        return F.coalesce(same, F.lit(False))
+
+    ends = cells.select(*column, "y", *columns).withColumns({"_first": ~agrees(F.lag, -1), "_last": ~agrees(F.lead, 1)}).where("_first or _last")
+    length = F.when(F.col("_last"), 1).otherwise(F.lead("y").over(order) - F.col("y") + 1).cast("int")
+    return ends.withColumn("run_len", length).where("_first").select(*column, F.col("y").alias("y0"), "run_len", *columns)
 
 
 def band_index(runs: DataFrame, stride: int = STRIDE) -> DataFrame:

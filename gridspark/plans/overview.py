@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import recipe_id
@@ -34,11 +34,18 @@ def overview_kinds(cells: DataFrame, factor: int, precedence: Sequence) -> DataF
 def query_viewports(requests: DataFrame, cells: DataFrame, commands: DataFrame, pixels: int = 16) -> DataFrame:
     """For each request (request_id, rx, ry, rw, rh in cells): number and level of its cells, number and top-most of its commands.
 
-    Both come from the bucket join; requests without either stay.
+    Cells are summed down each column once; a request takes the difference of the sums at its two edges in each of its columns, so
+    that cells aren't copied to requests. Commands come from the bucket join; requests without either stay.
     """
     rects = requests.withColumnRenamed("request_id", "rect_id")
-    unit = cells.select(F.col("x").alias("dx"), F.col("y").alias("dy"), F.lit(1).alias("dw"), F.lit(1).alias("dh"), "level")
-    found = rect_overlap(unit, rects, bucket=16).groupBy("rect_id").agg(F.count("*").alias("cells"), F.sum("level").alias("level"))
+    none = F.lit(None).cast(rects.schema["rect_id"].dataType)
+    points = cells.select("x", (F.col("y") * 2).cast("long").alias("at"), none.alias("rect_id"), F.lit(0).alias("sign"), F.lit(1).alias("n"), F.col("level"))
+    edge = F.explode(F.array(F.struct((F.col("ry") * 2 - 1).cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct(((F.col("ry") + F.col("rh")) * 2 - 1).cast("long").alias("at"), F.lit(1).alias("sign"))))
+    sides = rects.where("rw > 0 AND rh > 0").select("rect_id", F.explode(F.sequence("rx", F.col("rx") + F.col("rw") - 1)).alias("x"), "ry", "rh").select("rect_id", "x", edge.alias("e")).select("x", "e.at", "rect_id", "e.sign", F.lit(0).alias("n"), F.lit(0).cast(cells.schema["level"].dataType).alias("level"))
+    down = Window.partitionBy("x").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    sums = points.union(sides).withColumns({"n": F.sum("n").over(down), "level": F.sum("level").over(down)}).where("sign <> 0")
+    found = sums.groupBy("rect_id").agg(F.sum(F.col("sign") * F.col("n")).alias("cells"), F.sum(F.col("sign") * F.col("level")).alias("level"))
+    found = found.where("cells > 0")
     scaled = rects.select("rect_id", *[(F.col(c) * pixels).alias(c) for c in ("rx", "ry", "rw", "rh")])
     drawn = rect_overlap(commands, scaled, bucket=256).groupBy("rect_id").agg(F.count("*").alias("commands"), F.max("seq").alias("top"))
     joined = rects.select("rect_id").join(found, "rect_id", "left").join(drawn, "rect_id", "left")
