@@ -23,7 +23,8 @@ LEAST_LANGUAGE_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are in none of the learned languages (``und``, or below ``LEAST_LANGUAGE_SCORE``)."""
+    """Rejects documents that are in none of the learned languages (``und``, or below ``LEAST_LANGUAGE_SCORE``): so null texts and texts without
+    letters go. Where no language can be learned (no labels) all stay."""
     profiles = learn_profiles(docs.where(~held_out()).select("text", "lang"))
     if not profiles.langs:
         return docs

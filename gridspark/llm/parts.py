@@ -54,9 +54,15 @@ def profile(hashes: np.ndarray) -> tuple[int, int, np.ndarray]:
 
 
 def with_parts(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
-    """Adds ``fp`` (SimHash), ``node``, ``size`` (distinct shingles) and ``keys`` of each text; texts without words have no keys."""
+    """Adds ``fp`` (SimHash), ``node``, ``size`` (distinct shingles) and ``keys`` to each row; other columns stay.
+
+    Null and empty texts have no shingles: fp, node and size are zero, and they have no keys. Equal shingle sets have equal nodes.
+    Columns of those four names in the input are replaced.
+    """
     from .simhash import shingle_hashes, simhash
 
+    docs = docs.drop("fp", "node", "size", "keys")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -73,7 +79,8 @@ def with_parts(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame
 
 
 def with_sets(docs: DataFrame, width: int = 5, text: str = "text") -> DataFrame:
-    """(node, shingles) of each text: its distinct shingle hashes as bytes."""
+    """(node, shingles) of each row: its text's node (zero for null and empty texts) and distinct shingle hashes as bytes. Repeated texts
+    give repeated rows; other columns are not read."""
     from .simhash import shingle_hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +145,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
 
 def similar(profiles: DataFrame, least: float = 0.8, docs: DataFrame | None = None, width: int = 5) -> DataFrame:
     """Edges (u, v) that connect exactly the nodes of ``profiles (doc_id, node, size, keys)`` that pairs with a key in common and a
-    similarity of ``least`` or more connect. The texts are those of ``docs (doc_id, text)``, else of ``profiles``."""
+    similarity of ``least`` or more connect. The texts are those of ``docs (doc_id, text)``, else of ``profiles``.
+
+    Rows with a null doc_id have no text to compare and no edges; of rows that share a doc_id any that has the node is read. Nodes
+    without keys (no words) have no edges; a node is never linked with itself; other columns are not read; no rows give none.
+    """
     docs = profiles if docs is None else docs
     rows = profiles.select("node", "size", F.explode("keys").alias("key")).distinct()
     alike = [F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")]

@@ -162,8 +162,10 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def linked(fps: DataFrame, tau: int = 3, segments: int = 7) -> DataFrame:
-    """Edges (u, v) that connect exactly the distinct values of ``fps (fp)`` that links connect."""
-    masks = key_masks(segments, tau)
+    """Edges (u, v), u the smaller as an unsigned number, that connect exactly the distinct values of ``fps (fp)`` that links connect.
+
+    Null values have no links; other columns are not read; no values or a single one give no edges."""
+    fps, masks = fps.where("fp is not null"), key_masks(segments, tau)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("v")) for k, m in enumerate(masks)]))
     rows = fps.select("fp", keys.alias("key")).select("fp", "key.k", "key.v")

@@ -377,3 +377,51 @@ def test_candidates_beside_base_spans():
     assert [text[a:b] for a, b, _ in spans] == ["token=abcdefgh12", "deadbeef" * 4]
     assert [text[a:b] for a, b in pieces] == ["Zm9vYmFyMTIzNDU2Nzg5", "XYZabc123DEF456"]
     assert [len(w) for w in X.windows_of("k" * 200, 0, 200)] == [X.LENGTH] * 6 and "".join(X.windows_of("ab" * 100, 0, 200)[-1]).count("ab") >= 16
+
+
+def test_language_query_equals_a_slow_one(spark):
+    """Profiles from plain counters, distances n-gram by n-gram, over a whole table."""
+    import zlib
+    from collections import Counter
+
+    from gridspark.llm.queries import op4_language
+
+    folder, size = "/root/testdata/sf0.001", 400
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    ranked = lambda counts: {code: k for k, (code, _) in enumerate(sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:size])}
+    counts = {}
+    for r in docs:
+        if r.lang is not None and not held[r.doc_id]:
+            counts.setdefault(r.lang, Counter()).update(slow_codes(r.text or ""))
+    profiles = {lang: ranked(c) for lang, c in sorted(counts.items()) if c}
+    expected = {}
+    for r in docs:
+        own = ranked(slow_codes(r.text or ""))
+        apart = {lang: sum(abs(k - p[code]) if code in p else size for code, k in own.items()) for lang, p in profiles.items()}
+        best = min(apart, key=apart.get) if own else None
+        expected[r.doc_id] = (held[r.doc_id], best or "und", 1 - apart[best] / (size * len(own)) if own else 0.0)
+    found = {r.doc_id: r for r in op4_language(spark, folder).collect()}
+    assert {k: (r.held_out, r.lang_pred) for k, r in found.items()} == {k: e[:2] for k, e in expected.items()}
+    assert all(abs(found[k].score - e[2]) < 1e-9 for k, e in expected.items())
+
+
+def test_licences_of_the_tables(spark):
+    """Every template that a document holds word for word is found in it, or lies in a match that covers more; coverage is that of the span."""
+    from gridspark.llm.queries import op7_licenses
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    found = {}
+    for r in op7_licenses(spark, DATA).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    templates = {name: W.words_of(text) for name, text in C.TEMPLATES}
+    for doc, text in texts.items():
+        words, starts, ends = W.word_spans(text)
+        for name, own in templates.items():
+            for at in range(len(words) - len(own) + 1):
+                if words[at] == own[0] and words[at : at + len(own)] == own:
+                    a, b = starts[at], ends[at + len(own) - 1]
+                    assert any(r.start <= a and b <= r.end and r.matched >= len(own) for r in found.get(doc, [])), (doc, name)
+        for r in found.get(doc, []):
+            span = W.words_of(text[r.start : r.end])
+            assert longest_common(templates[r.license], span) == r.matched and r.coverage == r.matched / len(templates[r.license]) >= 0.8

@@ -164,3 +164,16 @@ def test_urls_with_blanks_and_line_ends(spark):
     found = W.look_up(pages.select("url"), directory).collect()
     assert sorted((r.page_id, r.url) for r in found) == list(enumerate(urls))
     assert W.url_key("http://a b.com/x") == "com,a%20b)/x"
+
+
+def test_archive_query_equals_a_plain_pass(spark):
+    from gridspark.llm.queries import op2_warc
+
+    folder = "/root/testdata/sf0.01"
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    last = {}
+    for page, body in pages:
+        last[body] = max(page, last.get(body, page))
+    sha = lambda body: base64.b32encode(hashlib.sha1(body).digest()).decode()
+    expected = sorted((page, len(body), sha(body), "response" if last[body] == page else "revisit", None if last[body] == page else last[body]) for page, body in pages)
+    assert sorted(map(tuple, op2_warc(spark, folder).collect())) == expected
