@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import asset_name
-from gridspark.operators.joins import with_masks
+from gridspark.operators.joins import frame_lookup, with_masks
 from gridspark.operators.order import draw_order
-from gridspark.sources import views
+from gridspark.operators.project import supported, visible_block
+from gridspark.operators.runs import expand_runs
+from gridspark.sources import facts, views
+from gridspark.sources.worlds import ingest_worlds
 
 #: Families that are planned, as a mask, and reasons that don't count as unsupported.
 PLANNED_FAMILIES = 3
@@ -90,3 +93,36 @@ def overlapping_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of the same grid cut into worlds of 100 columns that all begin at column 0."""
     cells = views.g_dense(spark, sf_dir).withColumn("world_id", F.expr("x div 100")).withColumn("x", F.expr("x % 100"))
     return audit(cells, views.d_kind(spark), spark.createDataFrame(ASSETS, "asset string, width int, height int"))
+
+
+#: Types that are never drawn.
+HIDDEN_TYPES = (373, 374, 375, 461, 709)
+
+
+def audit_cells(cells: DataFrame, assets: DataFrame) -> DataFrame:
+    """Accounting of the tiles of ingested worlds, by ``world_id``: ``cells`` have the fields of tiles, ``assets (asset, width, height)``.
+
+    Visible cells are planned, hidden (types that are never drawn) or unsupported. Ordinary blocks take the frame of their 4-mask
+    from ``Tiles_<type>.png``, which may be missing or too small for it; the rest is rendered.
+    """
+    spark = cells.sparkSession
+    shown = visible_block(F.col("active"), F.col("invisible_block"))
+    facts_of = facts.families(spark)
+    known = with_masks(cells, {"mask": shown}, ["world_id"]).join(facts_of, "type", "left").where(shown)
+    ok = supported(F.col("shape"), F.col("frame_x"), F.col("frame_y"), facts.conditional_type(F.col("type")), F.col("stored"), F.col("ordinary") | (F.col("type") == 353))
+    hidden = F.col("type").isin(*HIDDEN_TYPES)
+    state = F.when(hidden, "hidden").when(ok, "planned").otherwise("unsupported")
+    block = (state == "planned") & F.col("ordinary") & F.col("frame_x").isNull()
+    judged = frame_lookup(known.withColumns({"state": state, "asset": F.when(block, asset_name(F.lit("Tiles"), F.col("type")))}), facts.block_frames(spark)).join(assets, "asset", "left")
+    missing = F.col("asset").isNotNull() & F.col("width").isNull()
+    invalid = F.coalesce((F.col("sx") + 16 > F.col("width")) | (F.col("sy") + 16 > F.col("height")), F.lit(False))
+    counts = [F.count_if(F.col("state") == name).alias(name) for name in ("planned", "hidden", "unsupported")]
+    totals = judged.groupBy("world_id").agg(F.count("*").alias("visible"), *counts, F.count_if(missing).alias("missing"), F.count_if(invalid).alias("invalid"))
+    rest = F.col("planned") - F.col("missing") - F.col("invalid")
+    return totals.withColumn("rendered", rest).withColumn("balanced", F.col("visible") == F.col("planned") + F.col("hidden") + F.col("unsupported"))
+
+
+def audit_files(spark: SparkSession, path: str, assets: DataFrame) -> DataFrame:
+    """From world files to the accounting of their tiles; a file that breaks the format is an error."""
+    _, runs, _ = ingest_worlds(spark, path, mode="failfast")
+    return audit_cells(expand_runs(runs), assets)

@@ -9,7 +9,8 @@ from gridspark.operators.storage import new_dir
 from gridspark.plans import audit
 from gridspark.plans.composite import AUDIT_SQL
 from gridspark.plans.registry import query
-from gridspark.sources import files, grids, views, worlds
+from gridspark.plans.scans import CONDITIONAL, types_sql
+from gridspark.sources import facts, files, grids, views, worlds
 
 C = F.col
 
@@ -131,3 +132,25 @@ def snk04_refuses_existing(spark, d):
 def prj08_canonical_raw(spark, d):
     raw = F.unhex(F.concat(F.lpad(F.hex("level"), 2, "0"), F.lpad(F.hex(C("kind") + 3), 2, "0")))
     return views.g_dense(spark, d).select("x", "y", F.lower(F.hex(project.canonical_raw(raw))).alias("raw"))
+
+
+@query(
+    f""", c AS (SELECT x, y, x // 100 AS world, active, type, shape, active AND wall % 5 <> 0 AS shown FROM g_tiles), {types_sql("cond", CONDITIONAL)}, {types_sql("plain", facts.ORDINARY)},
+v AS (SELECT world, type, shape, (coalesce((SELECT 1 FROM c p WHERE p.shown AND p.world = g.world AND p.x = g.x AND p.y = g.y - 1), 0) + coalesce((SELECT 2 FROM c p WHERE p.shown AND p.world = g.world AND p.x = g.x - 1 AND p.y = g.y), 0)
+    + coalesce((SELECT 4 FROM c p WHERE p.shown AND p.world = g.world AND p.x = g.x + 1 AND p.y = g.y), 0) + coalesce((SELECT 8 FROM c p WHERE p.shown AND p.world = g.world AND p.x = g.x AND p.y = g.y + 1), 0)) AS mask FROM c g WHERE shown),
+j AS (SELECT *, CASE WHEN type IN (373, 374, 375, 461, 709) THEN 'hidden' WHEN type IN (SELECT type FROM cond) OR type IN (SELECT type FROM plain) OR type = 353 THEN 'planned' ELSE 'unsupported' END AS state, type IN (SELECT type FROM plain) AS plain FROM v),
+k AS (SELECT *, state = 'planned' AND plain AND type % 3 = 0 AS missing, state = 'planned' AND plain AND type % 3 > 0 AND ([{', '.join(str(a) for a, _ in facts.BLOCK_FRAMES)}][mask + 1] + 16 > 180 OR [{', '.join(str(b) for _, b in facts.BLOCK_FRAMES)}][mask + 1] + 16 > 72) AS invalid FROM j)
+SELECT world, count(*) AS visible, count(*) FILTER (state = 'planned') AS planned, count(*) FILTER (state = 'hidden') AS hidden, count(*) FILTER (state = 'unsupported') AS unsupported, count(*) FILTER (missing) AS missing, count(*) FILTER (invalid) AS invalid,
+    count(*) FILTER (state = 'planned') - count(*) FILTER (missing) - count(*) FILTER (invalid) AS rendered, TRUE AS balanced FROM k GROUP BY world"""
+)
+def dm11_audit_of_files(spark, d):
+    """From world files to runs, cells, masks, frames and assets, to a JSON report that is read back."""
+    path, report = new_dir(spark, "worlds"), new_dir(spark, "report")
+    cells = views.g_tiles(spark, d).selectExpr("cast(x div 100 AS int) AS world", "cast(x % 100 AS int) AS x", "y", "active", "CASE WHEN active THEN type ELSE 0 END AS type", "CASE WHEN active THEN shape ELSE 0 END AS shape", "wall % 5 = 0 AS invisible_block")
+    worlds.write_worlds(cells, path, ["world"])
+    assets = spark.range(facts.TYPES).where("id % 3 > 0").select(F.format_string("Tiles_%d.png", "id").alias("asset"), F.lit(180).alias("width"), F.lit(72).alias("height"))
+    found = audit.audit_files(spark, path, assets)
+    number = F.regexp_extract("world_id", r"world-(\d+)\.wld$", 1).cast("long").alias("world")
+    found = found.select(number, *found.columns[1:])
+    grids.write_report(found, report)
+    return spark.read.schema(found.schema).json(report)
