@@ -14,6 +14,8 @@ from .ranks import with_place
 
 #: Rows over which a falling liquid fades, by kind.
 FALL_LENGTH = {1: 10, 2: 3, 3: 2, 4: 10}
+#: Columns that make a group of chained falls.
+COLUMNS = 64
 
 
 def vertical_context(cells: DataFrame, value: str, world: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +86,7 @@ def fall_levels_single(cells: DataFrame, length: int = 10, world: Sequence[str]
     return marked.withColumn("fallen", F.when(open_, fading).otherwise(F.lit(0).cast("long"))).drop("_s", "_b")
 
 
-def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, keys: Sequence[str] = ("x",)) -> DataFrame:
+def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, world: Sequence[str] = ()) -> DataFrame:
     """Chained falls. Adds ``fallen`` (0 to 1, single precision), ``fall_kind`` and ``opacity``.
 
     Every cell with a seed is a source for the ``lengths`` (by kind) rows under it, down to the first solid; what it gives is its own
@@ -92,8 +94,8 @@ def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, keys
     that it is given. An empty cell has the kind and the weight of the nearest source, other cells have their own kind and weight
     1. Solid cells that aren't full are at level 1 with opacity 0 and give nothing; a full seed takes nothing.
 
-    ``cells (keys, y, liquid, level, is_solid, full)`` with the seed ``level`` (0 to 1) and ``liquid``, its kind (see bridge_levels). What a
-    cell gives depends on all cells above it, so each column is one ordered pass and one group; a hole in a column stops falls.
+    ``cells (world, x, y, liquid, level, is_solid, full)`` with the seed ``level`` (0 to 1) and ``liquid``, its kind (see bridge_levels). What a
+    cell gives depends on all cells above it, so each column is one ordered pass; ``COLUMNS`` columns are a group. A hole stops falls.
     """
     f32 = np.float32
     weights = {}
@@ -105,14 +107,14 @@ def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, keys
     reach = max(lengths.values(), default=0)
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("y")
+        group = group.sort_by([("x", "ascending"), ("y", "ascending")])
         levels, kinds, shown = [], [], []
         above: list[tuple[np.float32, np.float32, int, bool]] = []  # nearest first: seed, level with what came from above, kind, solid
         last = None
-        for y, kind, seed, solid, full in zip(*(group[c].to_pylist() for c in ("y", "liquid", "level", "is_solid", "full"))):
-            if last is not None and y != last + 1:
+        for x, y, kind, seed, solid, full in zip(*(group[c].to_pylist() for c in ("x", "y", "liquid", "level", "is_solid", "full"))):
+            if last != (x, y - 1):
                 above = []
-            last, seed = y, f32(seed)
+            last, seed = (x, y), f32(seed)
             level, opacity, own = seed, 1.0 if seed else 0.0, kind
             if solid and not full:
                 level, opacity = f32(1), 0.0
@@ -132,10 +134,10 @@ def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, keys
             above = [(f32(0) if solid and not full else seed, level, kind, solid), *above[: reach - 1]]
         for name, column in (("fallen", pa.array(levels, pa.float32())), ("fall_kind", pa.array(kinds, pa.int32())), ("opacity", pa.array(shown, pa.float32()))):
             group = group.append_column(name, column)
-        return group
+        return group.drop_columns("_columns")
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
-    return cells.groupBy(*keys).applyInArrow(run, f"{kinds}, fallen float, fall_kind int, opacity float")
+    return cells.withColumn("_columns", F.floor(F.col("x") / F.lit(COLUMNS))).groupBy(*world, "_columns").applyInArrow(run, f"{kinds}, fallen float, fall_kind int, opacity float")
 
 
 def smooth121(cells: DataFrame, value: str, axis: str = "y", world: Sequence[str] = ()) -> DataFrame:
