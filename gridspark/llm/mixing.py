@@ -113,7 +113,7 @@ def mix(docs: DataFrame, seed: int = 1, size: Column | None = None, source: str
     """``docs`` with ``size``, ``source_size``, ``target`` (the source's) and ``copies`` (how often the mix takes the row).
 
     ``size`` is the words of ``text`` unless a column is given. Null texts have size 0; the null source is a source like any other; documents of sources without words are taken 0
-    times. Rows repeated in full are rows of their own. Columns of those four names in the input are replaced; all others stay.
+    times. Rows repeated in full are rows of their own, dealt out to many blocks where they are many. Columns of those four names in the input are replaced; all others stay.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
     sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
@@ -126,10 +126,12 @@ def mix(docs: DataFrame, seed: int = 1, size: Column | None = None, source: str
     settled, level = [rows.where(~is_open)], 0
     rest = rows.where(is_open)
     counts = rest.groupBy("_stratum").agg(F.count("*").alias("_n"))
+    rest = _salted(rest)
     while True:
         blocks = counts.select("_stratum", F.ceil(F.col("_n") / F.lit(BLOCK)).alias("_blocks"))
         dealt = rest.join(F.broadcast(blocks) if _few(blocks) else blocks, "_stratum").withColumn("_level", F.lit(level))
-        dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_hash", F.lit(level)), F.col("_blocks")))
+        place = F.xxhash64("_hash", F.lit(level)) if level else F.when(F.col("_salt") == 0, F.xxhash64("_hash", F.lit(level))).otherwise(F.xxhash64("_hash", F.lit(level), "_salt"))
+        dealt = dealt.withColumn("_block", F.pmod(place, F.col("_blocks")))
         moved = stored(dealt.groupBy("_stratum", "_block").applyInArrow(_one_block(seed), dealt.schema).select(rows.columns), "mixed")
         settled.append(moved.where(~is_open))
         rest, level = moved.where(is_open), level + 1
@@ -141,8 +143,17 @@ def mix(docs: DataFrame, seed: int = 1, size: Column | None = None, source: str
     return out.withColumn("copies", copies).drop("_stratum", "_sure", "_p", "_size", "_hash")
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    """Adds ``_salt``: 0, but for rows that are repeated more often than a block has rows a number that deals them out to as many blocks as they
+    fill. Such rows are alike, so it doesn't matter which of them gets which."""
+    often = rows.groupBy("_hash").agg(F.count("*").alias("_times")).where(F.col("_times") > BLOCK)
+    often = F.broadcast(often) if _few(often) else often
+    number = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_times") / F.lit(BLOCK)))
+    return rows.join(often, "_hash", "left").withColumn("_salt", F.coalesce(number, F.lit(0).cast("long"))).drop("_times")
+
+
 def _few(sources: DataFrame, most: int = 100_000) -> bool:
-    """Whether a table of one small row for each source is known to be small enough for a broadcast."""
+    """Whether a table of small rows is known to be small enough for a broadcast."""
     return sources.limit(most + 1).count() <= most
 
 

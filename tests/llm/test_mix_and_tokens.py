@@ -206,3 +206,16 @@ def test_stored_tables_are_deleted_with_their_scope(spark):
     assert exists(kept) and not exists(gone) and not exists(inner) and kept.count() == 4
     discard(kept)
     assert not exists(kept)
+
+
+def test_a_row_repeated_very_often_is_dealt_out(spark, monkeypatch):
+    from gridspark.llm import mixing as M
+
+    monkeypatch.setattr(M, "BLOCK", 50)
+    docs = spark.range(900).selectExpr("CASE WHEN id < 600 THEN 1 ELSE id END AS doc_id", "CASE WHEN id < 600 THEN 'same words here' ELSE concat('w ', id) END AS text", "CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS source")
+    salts = M._salted(docs.withColumn("_hash", F.xxhash64("doc_id", "text", "source"))).groupBy("doc_id", "source").agg(F.count_distinct("_salt").alias("n"), F.max("_salt").alias("most")).collect()
+    assert {(r.n, r.most) for r in salts if r.doc_id != 1} == {(1, 0)} and all(r.n == 6 for r in salts if r.doc_id == 1)
+    mixed = M.mix(docs)
+    assert mixed.count() == 900
+    for r in mixed.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).collect():
+        assert abs(r.taken - r.target) <= 6
