@@ -66,6 +66,15 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(find(keyed(pages), directory)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: SHA-1 in base32: every five hexadecimal digits are four letters.
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(hex, k // 4 * 5 + 1, 5))::INT >> (15 - k % 4 * 5)) % 32 + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d
+"""
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten largest integer inner products of every hundredth vector with all others."""
     from .topk import integer_vectors, top_k
@@ -152,4 +161,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate)}
-ORACLES = {"op1_url_filter": OP1_SQL, "op3_topk": OP3_SQL}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op3_topk": OP3_SQL}

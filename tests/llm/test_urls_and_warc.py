@@ -177,3 +177,20 @@ def test_archive_query_equals_a_plain_pass(spark):
     sha = lambda body: base64.b32encode(hashlib.sha1(body).digest()).decode()
     expected = sorted((page, len(body), sha(body), "response" if last[body] == page else "revisit", None if last[body] == page else last[body]) for page, body in pages)
     assert sorted(map(tuple, op2_warc(spark, folder).collect())) == expected
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_warc", "op3_topk"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from gridspark.llm import queries as Q
+
+    folder = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for table in ("pages", "labels", "embeddings"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    found = duck.execute(Q.ORACLES[name])
+    columns = [d[0] for d in found.description]
+    df = Q.QUERIES[name](spark, folder)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(map(repr, found.fetchall()))
