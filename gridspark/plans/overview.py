@@ -35,7 +35,8 @@ def query_viewports(requests: DataFrame, cells: DataFrame, commands: DataFrame,
     """For each request (request_id, rx, ry, rw, rh in cells): number and level of its cells, number and top-most of its commands.
 
     Cells are summed down each column once; a request takes the difference of the sums at its two edges in each of its columns, so
-    that cells aren't copied to requests. Commands come from the bucket join; requests without either stay.
+    that cells aren't copied to requests. Commands of one rectangle are counted first, and come from the bucket join; requests without
+    either stay.
     """
     rects = requests.withColumnRenamed("request_id", "rect_id")
     none = F.lit(None).cast(rects.schema["rect_id"].dataType)
@@ -47,7 +48,8 @@ def query_viewports(requests: DataFrame, cells: DataFrame, commands: DataFrame,
     found = sums.groupBy("rect_id").agg(F.sum(F.col("sign") * F.col("n")).alias("cells"), F.sum(F.col("sign") * F.col("level")).alias("level"))
     found = found.where("cells > 0")
     scaled = rects.select("rect_id", *[(F.col(c) * pixels).alias(c) for c in ("rx", "ry", "rw", "rh")])
-    drawn = rect_overlap(commands, scaled, bucket=256).groupBy("rect_id").agg(F.count("*").alias("commands"), F.max("seq").alias("top"))
+    places = commands.groupBy("dx", "dy", "dw", "dh").agg(F.count("*").alias("n"), F.max("seq").alias("seq"))  # commands of one rectangle meet the same requests
+    drawn = rect_overlap(places, scaled, bucket=256).groupBy("rect_id").agg(F.sum("n").alias("commands"), F.max("seq").alias("top"))
     joined = rects.select("rect_id").join(found, "rect_id", "left").join(drawn, "rect_id", "left")
     return joined.select(F.col("rect_id").alias("request_id"), F.coalesce("cells", F.lit(0)).alias("cells"), "level", F.coalesce("commands", F.lit(0)).alias("commands"), "top")
 
