@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -189,12 +190,12 @@ def polygon_of(shape: Column) -> Column:
 SQL_FUNCTIONS = {
     "grid_clamp": "(v DOUBLE, low DOUBLE, high DOUBLE) RETURNS DOUBLE RETURN greatest(least(v, high), low)",
     "grid_half_up": "(v DOUBLE) RETURNS BIGINT RETURN floor(v + 0.5)",
-    "grid_recipe_id": "(kind INT, type INT, variant INT, shape INT, paint INT) RETURNS BIGINT RETURN (((cast(kind AS BIGINT) * 1024 + type) * 32 + variant) * 6 + shape) * 32 + paint",
+    "grid_recipe_id": f"(kind INT, type INT, variant INT, shape INT, paint INT) RETURNS BIGINT RETURN {reduce(lambda left, part: f'({left} * {part[1]} + {part[0]})', RECIPE[-2::-1], 'cast(kind AS BIGINT)')}",
     "grid_asset_name": "(kind STRING, type INT) RETURNS STRING RETURN concat(kind, '_', type, '.png')",
     "grid_fill_height": "(level INT) RETURNS INT RETURN cast(ceil(level / 255.0D * 16) AS INT)",
     "grid_multiply": "(a INT, b INT) RETURNS INT RETURN cast(floor(a * b / 255.0D + 0.5) AS INT)",
     "grid_wall_variant": "(mask INT, x BIGINT, y BIGINT) RETURNS INT RETURN CASE WHEN mask = 15 THEN 15 + element_at(array(" + ", ".join(str(v) for row in WALL_TABLE for v in row) + "), cast(pmod(x, 3) * 3 + pmod(y, 3) + 1 AS INT)) ELSE mask END",
-    "grid_recipe_part": "(recipe BIGINT, part STRING) RETURNS BIGINT RETURN CASE part WHEN 'paint' THEN recipe % 32 WHEN 'shape' THEN recipe div 32 % 6 WHEN 'variant' THEN recipe div 192 % 32 WHEN 'type' THEN recipe div 6144 % 1024 WHEN 'kind' THEN recipe div 6291456 END",
+    "grid_recipe_part": f"(recipe BIGINT, part STRING) RETURNS BIGINT RETURN CASE part {' '.join(f"WHEN '{name}' THEN recipe div {prod(n for _, n in RECIPE[:k])}" + f' % {size}' * (name != 'kind') for k, (name, size) in enumerate(RECIPE))} END",
     "grid_frame_key": "(asset STRING, sx INT, sy INT, sw INT, sh INT) RETURNS STRING RETURN concat_ws(':', coalesce(asset, ''), coalesce(cast(sx AS STRING), ''), coalesce(cast(sy AS STRING), ''), coalesce(cast(sw AS STRING), ''), coalesce(cast(sh AS STRING), ''))",
     "grid_saturation": "(r INT, g INT, b INT) RETURNS DOUBLE RETURN CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / cast(greatest(r, g, b) AS DOUBLE) ELSE 0D END",
     "grid_hue": "(r INT, g INT, b INT) RETURNS DOUBLE RETURN CASE WHEN greatest(r, g, b) = least(r, g, b) THEN 0D ELSE pmod(CASE greatest(r, g, b) WHEN r THEN (g - b) / cast(greatest(r, g, b) - least(r, g, b) AS DOUBLE) WHEN g THEN 2 + (b - r) / cast(greatest(r, g, b) - least(r, g, b) AS DOUBLE) ELSE 4 + (r - g) / cast(greatest(r, g, b) - least(r, g, b) AS DOUBLE) END, 6D) / 6 END",

@@ -53,7 +53,10 @@ def _by_chunks(states: DataFrame, cells: DataFrame, advance: Advance, made: str,
     keys = [*world, "cx", "cy"]
 
     def run(mine: pa.Table, around: pa.Table) -> pa.Table:
-        code = dict(zip(zip(around["x"].to_pylist(), around["y"].to_pylist()), around["code"].to_pylist()))
+        code: dict[tuple[int, int], int] = {}
+        for x, y, c in zip(*(around[name].to_pylist() for name in ("x", "y", "code"))):
+            if c is not None and ((x, y) not in code or code[x, y] < c):  # of repeated cells the largest code
+                code[x, y] = c
         rows, left = [], []
         for state in mine.select(names).to_pylist():
             more, after = advance(state, lambda x, y: code.get((x, y)))
@@ -102,7 +105,7 @@ def trace_paths(origins: DataFrame, cells: DataFrame, max_steps: int, world: Seq
         _LIQUID: col("level", 0) > 0, _PLATFORM: type_ == LEVEL_PLATFORM, _LONG: col("active", True) & type_.isin(*LENGTHENING),
     }
     code = sum((F.when(is_, bit).otherwise(0) for bit, is_ in marks.items()), F.lit(0))
-    coded = cells.groupBy(*world, "x", "y").agg(F.max(code).alias("code"))
+    coded = cells.select(*world, "x", "y", code.alias("code"))
     extended = max_steps if longest is None else longest
 
     def advance(s: dict, cell: Callable[[int, int], int | None]) -> tuple[list[dict], dict | None]:
@@ -168,7 +171,7 @@ def trace_root(starts: DataFrame, cells: DataFrame, classes: Mapping[int, str],
 
     A stack that goes on after ``max_steps`` has no root: ``complete`` is false, the place is where the walk ended, the class is null.
     """
-    coded = cells.groupBy(*world, "x", "y").agg(F.max("kind").cast("int").alias("code"))
+    coded = cells.select(*world, "x", "y", F.col("kind").cast("int").alias("code"))
 
     def advance(s: dict, cell: Callable[[int, int], int | None]) -> tuple[list[dict], dict | None]:
         x, y, shifts, steps, kind = s["x"], s["y"], s["shifts"], s["steps"], s["kind"]
