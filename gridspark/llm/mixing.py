@@ -146,7 +146,7 @@ def mix(docs: DataFrame, seed: int = 1, size: Column | None = None, source: str
 def _salted(rows: DataFrame) -> DataFrame:
     """Adds ``_salt``: 0, but for rows that are repeated more often than a block has rows a number that deals them out to as many blocks as they
     fill. Such rows are alike, so it doesn't matter which of them gets which."""
-    often = rows.groupBy("_hash").agg(F.count("*").alias("_times")).where(F.col("_times") > BLOCK)
+    often = stored(rows.select("_hash").groupBy("_hash").agg(F.count("*").alias("_times")).where(F.col("_times") > BLOCK), "often")  # a pass of its own
     often = F.broadcast(often) if _few(often) else often
     number = F.pmod(F.monotonically_increasing_id(), F.ceil(F.col("_times") / F.lit(BLOCK)))
     return rows.join(often, "_hash", "left").withColumn("_salt", F.coalesce(number, F.lit(0).cast("long"))).drop("_times")
