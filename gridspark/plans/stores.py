@@ -40,7 +40,7 @@ def snk02_src03_fragments(spark, d):
     path = new_dir(spark, "fragments")
     cells = views.g_dense(spark, d).selectExpr("x", "y", "cast(x div 16 AS string) AS fragment_id", "cast(x % 16 * 64 + y AS int) AS index", "unhex(concat(lpad(hex(level % 64), 2, '0'), lpad(hex(kind + 3), 2, '0'))) AS raw")
     rect = F.struct((C("x0")).cast("int").alias("x"), F.lit(0).alias("y"), C("n").cast("int").alias("width"), F.lit(64).alias("height"))
-    source = F.struct(F.lit("relogic").alias("signature"), F.lit("grid").alias("name"), F.lit(1).alias("id"), F.lit(1 << 30).alias("width"), F.lit(64).alias("height"), F.lit(None).cast("double").alias("worldSurface"))
+    source = F.struct(F.lit(worlds.SIGNATURES[0].decode()).alias("signature"), F.lit("grid").alias("name"), F.lit(1).alias("id"), F.lit(1 << 30).alias("width"), F.lit(64).alias("height"), F.lit(None).cast("double").alias("worldSurface"))
     fragments = cells.groupBy("fragment_id").agg(F.min("x").alias("x0"), F.count_distinct("x").alias("n")).select("fragment_id", F.lit(300).alias("version"), rect.alias("rect"), source.alias("source"), F.array(F.lit(0), F.lit(1)).alias("important"))
     files.write_fragments(cells.select("fragment_id", "index", "raw"), fragments, path)
     return files.read_fragments(spark, path)[1].select(C("x").cast("long").alias("x"), C("y").cast("long").alias("y"), F.lower(F.hex("raw")).alias("raw"))
@@ -53,7 +53,7 @@ def src03_damaged_fragments(spark, d):
     cells = views.g_dense(spark, d).selectExpr("cast(x div 16 AS string) AS fragment_id", "x", "cast(x % 16 * 64 + y AS int) AS index", "unhex(lpad(hex(level % 64), 2, '0')) AS raw")
     size = cells.groupBy("fragment_id").agg(F.min("x").alias("x0"), F.count_distinct("x").alias("n"))
     fragments = size.select("fragment_id", F.lit(300).alias("version"), F.struct(C("x0").cast("int").alias("x"), F.lit(0).alias("y"), C("n").cast("int").alias("width"), F.lit(64).alias("height")).alias("rect"),
-        F.struct(F.lit("relogic").alias("signature"), F.concat(F.lit("part-"), "fragment_id").alias("name"), F.lit(1).alias("id"), F.lit(1 << 30).alias("width"), F.lit(64).alias("height"), F.lit(None).cast("double").alias("worldSurface")).alias("source"), F.array(F.lit(0)).alias("important"))
+        F.struct(F.lit(worlds.SIGNATURES[0].decode()).alias("signature"), F.concat(F.lit("part-"), "fragment_id").alias("name"), F.lit(1).alias("id"), F.lit(1 << 30).alias("width"), F.lit(64).alias("height"), F.lit(None).cast("double").alias("worldSurface")).alias("source"), F.array(F.lit(0)).alias("important"))
     lines = files.fragment_json(cells.select("fragment_id", "index", "raw"), fragments)
     damaged = F.when(C("fragment_id").cast("long") % 3 == 0, F.replace("json", F.lit('"name":"part-'), F.lit('"name":"Part-'))).otherwise(C("json"))
     lines.select(damaged.alias("value")).write.text(path)

@@ -231,11 +231,11 @@ def encode_record(tile: dict, repeats: int) -> bytes:
     """A record of a tile (fields of read_record; missing ones are empty) and its further repeats: the inverse of read_record."""
     t = tile.get
     flag = lambda *names: sum(bool(t(name)) << k for k, name in enumerate(names))
-    wall, liquid, shimmer = t("wall") or 0, t("liquid") or 0, t("liquid_kind") == 4
+    wall, liquid, fourth = t("wall") or 0, t("liquid") or 0, t("liquid_kind") == 4
     e = flag("invisible_block", "invisible_wall", "fullbright_block", "fullbright_wall") << 1
-    d = flag("actuator", "inactive") << 1 | bool(t("active") and t("paint")) << 3 | bool(wall and t("wall_paint")) << 4 | bool(t("wire_yellow")) << 5 | (wall > 255) << 6 | (shimmer and liquid > 0) << 7 | bool(e)
+    d = flag("actuator", "inactive") << 1 | bool(t("active") and t("paint")) << 3 | bool(wall and t("wall_paint")) << 4 | bool(t("wire_yellow")) << 5 | (wall > 255) << 6 | (fourth and liquid > 0) << 7 | bool(e)
     b = flag("wire_red", "wire_blue", "wire_green") << 1 | (t("shape") or 0) << 4 | bool(d)
-    a = bool(t("active")) << 1 | bool(wall) << 2 | ((1 if shimmer else t("liquid_kind")) << 3 if liquid else 0) | bool(t("active") and t("type") > 255) << 5 | (min(2, (repeats > 0) + (repeats > 255))) << 6 | bool(b)
+    a = bool(t("active")) << 1 | bool(wall) << 2 | ((1 if fourth else t("liquid_kind")) << 3 if liquid else 0) | bool(t("active") and t("type") > 255) << 5 | (min(2, (repeats > 0) + (repeats > 255))) << 6 | bool(b)
     out = bytes([a, b, d, e][: 1 + (a & 1) + (a & b & 1) + (a & b & d & 1)])
     if t("active"):
         out += struct.pack("<H" if t("type") > 255 else "B", t("type"))
