@@ -72,9 +72,9 @@ def liquid_candidates(cells: DataFrame, world: Sequence[str] = ()) -> DataFrame:
     return seen.select(*world, "x", "y", kind.alias("class"), bits.alias("bits"))
 
 
-def detect_sources(cells: DataFrame, cap: int, world: Sequence[str] = ()) -> DataFrame:
+def detect_sources(cells: DataFrame, cap: int | None, world: Sequence[str] = ()) -> DataFrame:
     """Cells that liquids spring from: world, x, y, fall (the kind of fall), source and ``idx`` in column-major order of the cells that
-    cause them, at most ``cap`` a world (the cap is the feature).
+    cause them, at most ``cap`` a world (the cap is the feature; None: all).
 
     ``halfbrick``: an active half cell under less than ``THIN`` of liquid or under a whole solid, with more than ``FEEDS`` on one
     side and an open side (dry, not a whole solid, no slope); its fall by the liquids above and beside, first of ``FALLS``.

@@ -93,7 +93,7 @@ SELECT idx, x, y + 1 + k AS y, (k + 1)::INT AS step, CASE WHEN stop = wall THEN
 )
 def dm06_trace_vertical(spark, d):
     """From every source of the grid."""
-    return tracing.trace_vertical(sources(spark, d, 1 << 30), views.g_tiles(spark, d), height=64, most=20)
+    return tracing.trace_vertical(sources(spark, d, None), views.g_tiles(spark, d), height=64, most=20)
 
 
 PATHS = """, c AS (SELECT x, y, active, type, shape, level > 0 AS wet, is_solid AND shape = 0 AND type <> 546 AS hard, shape IN (2, 3) AS top, shape IN (4, 5) AS bottom, shape = 1 AS half FROM g_tiles),
