@@ -115,7 +115,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base patterns and network findings in every document; the network learns from at most 4,000 of them and from plants in 4,000 contexts."""
+    """Base patterns and network findings in every document; the network learns from at most 4,000 of them, in about 100,000 documents, and
+    from plants in 4,000 contexts."""
     from .secrets import labelled_findings, scan_secrets, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
