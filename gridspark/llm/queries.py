@@ -161,5 +161,49 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate)}
-ORACLES = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op3_topk": OP3_SQL}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages all conversations by their keys' CRC-32 and repairs them at least cost."""
+    from .conversations import repair_conversations
+
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
+#: The same by a recursive query: by state the least text of cost and audit, row by row, an insert before each row and one at the end.
+OP13_SQL = r"""
+WITH RECURSIVE
+c0 AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS b FROM conversations),
+c1 AS (SELECT * EXCLUDE (b), list_transform(range(0, octet_length(b)), lambda i: ('0x' || substr(hex(b), 2 * i::INT + 1, 2))::BIGINT) AS bytes FROM c0),
+c2 AS (SELECT * EXCLUDE (bytes), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, v: list_reduce(list_prepend(xor(c, v), range(0, 8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 20 AS kind FROM c1),
+c3 AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c2),
+c4 AS (SELECT *, row_number() OVER w AS k, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM c3 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+c5 AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM c4),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM c5 GROUP BY conv_id),
+nxt(s, i, t, role) AS (VALUES (0, 's', 1, ''), (0, 'u', 2, 'user'), (1, 'u', 2, 'user'), (2, 'a', 3, 'assistant'), (3, 'u', 2, 'user')),
+wanted AS (SELECT s, t, role FROM nxt WHERE i <> 's'),
+lead0 AS (SELECT s, s AS m, 0 AS cost, '' AS let, NULL::VARCHAR AS ins FROM (SELECT DISTINCT s FROM nxt) UNION ALL SELECT s, t, 3, 'I', role FROM wanted),
+step AS (
+    SELECT l.s, l.m AS t, l.cost + 4 AS cost, l.let || 'D' AS let, ['b', 'd', 't', ''] AS faults, NULL::VARCHAR AS initial, l.ins, NULL::VARCHAR AS new FROM lead0 l
+    UNION ALL SELECT l.s, n.t, l.cost, l.let || 'K', ['t', ''], n.i, l.ins, NULL FROM lead0 l JOIN nxt n ON n.s = l.m
+    UNION ALL SELECT l.s, w.t, l.cost + 3, l.let || 'R', ['t', ''], NULL, l.ins, w.role FROM lead0 l JOIN wanted w ON w.s = l.m),
+walk AS (
+    SELECT conv_id, 0::BIGINT AS k, 0 AS s, '00000000' AS best, []::VARCHAR[] AS lines FROM facts
+    UNION ALL
+    (SELECT c.conv_id, c.k, p.t, min(lpad((left(w.best, 8)::INT + p.cost + CASE WHEN c.fault = 't' AND p.let NOT LIKE '%D' THEN 3 ELSE 0 END)::VARCHAR, 8, '0') || substr(w.best, 9) || p.let),
+        arg_min(w.lines || CASE WHEN p.ins IS NULL THEN [] ELSE [p.ins || ':'] END || CASE WHEN p.let LIKE '%D' THEN [] ELSE [coalesce(p.new, c.role) || ':' || c.text] END,
+            lpad((left(w.best, 8)::INT + p.cost + CASE WHEN c.fault = 't' AND p.let NOT LIKE '%D' THEN 3 ELSE 0 END)::VARCHAR, 8, '0') || substr(w.best, 9) || p.let)
+    FROM walk w JOIN c5 c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.k = w.k + 1 JOIN step p ON p.s = w.s AND list_contains(p.faults, c.fault) AND (p.initial IS NULL OR p.initial = c.initial)
+    GROUP BY c.conv_id, c.k, p.t)),
+done AS (
+    SELECT conv_id, best, lines FROM walk w JOIN facts f USING (conv_id) WHERE w.k = f.n AND w.s IN (0, 3)
+    UNION ALL SELECT conv_id, lpad((left(best, 8)::INT + 3)::VARCHAR, 8, '0') || substr(best, 9) || 'I', lines || ['assistant:'] FROM walk w JOIN facts f USING (conv_id) WHERE w.k = f.n AND w.s = 2),
+picked AS (SELECT conv_id, min(best) AS best, arg_min(lines, best) AS lines FROM done GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+    coalesce(left(best, 8)::BIGINT, 0) AS cost, coalesce(substr(best, 9), '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM ids i LEFT JOIN facts f USING (conv_id) LEFT JOIN picked p USING (conv_id)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate, op13_conversations)}
+ORACLES = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op3_topk": OP3_SQL, "op13_conversations": OP13_SQL}
