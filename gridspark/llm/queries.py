@@ -161,6 +161,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned in every document, with corpus-wide counts of id pairs."""
+    import public_tokenizers
+
+    from .alignment import align_tokenizers
+
+    found = align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Damages all conversations by their keys' CRC-32 and repairs them at least cost."""
     from .conversations import repair_conversations
@@ -205,5 +215,5 @@ FROM ids i LEFT JOIN facts f USING (conv_id) LEFT JOIN picked p USING (conv_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate, op12_alignment, op13_conversations)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op3_topk": OP3_SQL, "op13_conversations": OP13_SQL}
