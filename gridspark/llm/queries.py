@@ -161,6 +161,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled documents that aren't held out (20,000 at most)."""
+    from .quality import learn_quality, score_quality
+
+    out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~out)
+    found = score_quality(docs.withColumn("held_out", out), learn_quality(docs, labels))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two tokenizers aligned in every document, with corpus-wide counts of id pairs."""
     import public_tokenizers
@@ -215,5 +226,5 @@ FROM ids i LEFT JOIN facts f USING (conv_id) LEFT JOIN picked p USING (conv_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate, op12_alignment, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_warc, op3_topk, op4_language, op5_simhash, op6_secrets, op7_licenses, op8_mix, op9_token_output, op10_decontaminate, op11_quality, op12_alignment, op13_conversations)}
 ORACLES = {"op1_url_filter": OP1_SQL, "op2_warc": OP2_SQL, "op3_topk": OP3_SQL, "op13_conversations": OP13_SQL}
