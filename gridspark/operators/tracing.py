@@ -1,24 +1,27 @@
-"""Paths down a grid: straight falls by one window, winding ones chunk by chunk.
-
-A winding path moves inside its chunk of the grid, with the ring of cells around it, as far as it gets; only where it leaves the
-chunk is its state handed on. A round joins the open states with their chunks, so the rounds are as many as chunks that the
-longest path crosses, not as many as its steps. Each round is written to the shared folder: a lost executor repeats one at most.
+"""Paths down a grid: straight falls by one window, winding ones by tables of moves.
+
+What a path does in a cell depends on the cell's neighbourhood alone, so every cell gets the number of its move first, by windows inside
+chunks with a ring. A move, a direction and a count of turns give the next state by a fixed table. A chunk's moves are one array, and an open
+state walks in it inside the JVM (a higher-order function that looks the next cell up) until it ends, leaves the chunk, or has taken as many steps as
+the chunk is wide; then it is handed on. Rounds are chunks crossed, not steps, and each is written to the shared folder: a lost
+executor repeats one at most. Doubling the successor of every state would take the logarithm of the steps in rounds, but each of them a shuffle
+of six states for every cell of the grid, where here the cells move once and later rounds move open states alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .joins import CHUNK, halo_exchange
+from .joins import with_ring
 from .storage import discard, stored
 
+#: Side of the chunks that states walk in, and the most steps of a state in one round.
+SIDE = 64
+
 
 def trace_vertical(origins: DataFrame, cells: DataFrame, height: int, most: int, world: Sequence[str] = ()) -> DataFrame:
     """Straight falls from ``origins (idx, x, y)``: idx, x, y, step and the path's end ``reason``: solid, liquid, end (of the world) or limit.
@@ -40,152 +43,162 @@ def trace_vertical(origins: DataFrame, cells: DataFrame, height: int, most: int,
     return paths.select(*world, "idx", "x", (F.col("y") + F.col("step")).cast("long").alias("y"), "step", "reason")
 
 
-#: What advances a state inside a chunk: (state, code of a cell by place) gives its rows, and the state where it leaves, or None.
-Advance = Callable[[dict, Callable[[int, int], int | None]], tuple[list[dict], dict | None]]
+def _beside(cells: DataFrame, value: Column, directions: Sequence[str], world: Sequence[str]) -> DataFrame:
+    """``cells`` with ``_o`` (``value``) and that of the neighbours as ``_w``, ``_e``, ``_s`` and the diagonals ``_sw``, ``_se``, null where there is none.
+    Of repeated cells one counts."""
+    ring = with_ring(cells.dropDuplicates([*world, "x", "y"]).withColumn("_o", value), world)
+    down = Window.partitionBy(*world, "_cx", "_cy", "x").orderBy("y")
+    along = Window.partitionBy(*world, "_cx", "_cy", "y").orderBy("x")
+    ring = ring.withColumn("_s", F.when(F.lead("y").over(down) == F.col("y") + 1, F.lead("_o").over(down))).withColumn("_two", F.struct("_o", "_s"))
+    ring = ring.withColumns({"_left": F.when(F.lag("x").over(along) == F.col("x") - 1, F.lag("_two").over(along)), "_right": F.when(F.lead("x").over(along) == F.col("x") + 1, F.lead("_two").over(along))})
+    parts = {"_w": "_left._o", "_e": "_right._o", "_sw": "_left._s", "_se": "_right._s"}
+    return ring.where("_core").select(*[c for c in ring.columns if c not in ("_cx", "_cy", "_core", "_two", "_left", "_right")], *[F.col(parts[d]).alias(d) for d in directions])
 
 
-def _by_chunks(states: DataFrame, cells: DataFrame, advance: Advance, made: str, world: Sequence[str], chunk: int, most_rounds: int) -> DataFrame:
-    """All rows (``made``) that ``advance`` makes of ``states (world, x, y, ...)`` over ``cells (world, x, y, code)``."""
-    names = [f.name for f in states.schema.fields]
-    row_names = [part.split()[0] for part in made.split(", ")]
-    out = f"_row struct<{', '.join(': '.join(part.split()) for part in made.split(', '))}>, _open struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in states.schema.fields)}>"
-    ring = stored(halo_exchange(cells.select(*world, "x", "y", "code"), chunk, 1, world=world).drop("is_core"))
+def _chunked(cells: DataFrame, world: Sequence[str], side: int) -> DataFrame:
+    """(world, cx, cy, codes): one row a chunk, with the ``code`` of each place, column by column; -1 where there is no cell."""
     keys = [*world, "cx", "cy"]
+    at = lambda c: F.floor(F.col(c) / F.lit(side))
+    place = F.pmod(F.col("x"), F.lit(side)) * side + F.pmod(F.col("y"), F.lit(side))
+    own = cells.select(*world, at("x").alias("cx"), at("y").alias("cy"), place.cast("int").alias("place"), F.col("code").cast("int").alias("code")).repartition(*keys)
+    blank = own.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("place"), F.lit(-1).alias("code"))
+    full = own.union(blank).groupBy(*keys, "place").agg(F.max("code").alias("code"))
+    return full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("p")).select(*keys, F.expr("transform(p, q -> q.code)").alias("codes"))
 
-    def run(mine: pa.Table, around: pa.Table) -> pa.Table:
-        code: dict[tuple[int, int], int] = {}
-        for x, y, c in zip(*(around[name].to_pylist() for name in ("x", "y", "code"))):
-            if c is not None and ((x, y) not in code or code[x, y] < c):  # of repeated cells the largest code
-                code[x, y] = c
-        rows, left = [], []
-        for state in mine.select(names).to_pylist():
-            more, after = advance(state, lambda x, y: code.get((x, y)))
-            rows += more
-            left += [after] if after else []
-        rows = [{"_row": {k: r[k] for k in row_names}, "_open": None} for r in rows]
-        return pa.Table.from_pylist(rows + [{"_row": None, "_open": s} for s in left], schema)
-
-    schema = to_arrow_schema(T.StructType.fromDDL(out))
-    at = {"cx": F.floor(F.col("x") / F.lit(chunk)), "cy": F.floor(F.col("y") / F.lit(chunk))}
+
+def _walk(states: DataFrame, chunks: DataFrame, state: str, step: str, world: Sequence[str], side: int, most_rounds: int) -> DataFrame:
+    """``states (world, own, s)`` when they are done. ``s`` is a struct as in ``state``, with x, y, done and open; ``step`` is the SQL of the state after ``s``
+    in a cell with the code ``c``. States that leave their chunk, or aren't done after ``side`` steps, go on in another round."""
+    keys = [*world, "cx", "cy"]
+    inside = f"floor(s.x / {side}) = cx AND floor(s.y / {side}) = cy"
+    code = f"codes[cast(pmod(s.x, {side}) * {side} + pmod(s.y, {side}) AS int)]"
+    walked = F.expr(f"aggregate(sequence(1, {side}), s0, (s, i) -> IF(s.done OR NOT ({inside}), s, element_at(transform(array({code}), c -> cast({step} AS {state})), 1)))")
+    chunks = stored(chunks)
     open_, done = states, []
     for _ in range(most_rounds):
-        placed = open_.withColumns(at)
-        needed = ring.join(placed.select(*keys).distinct(), keys, "left_semi")
-        done.append(stored(placed.groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInArrow(run, out)))
-        open_ = done[-1].where("_open is not null").select("_open.*")
+        placed = open_.withColumns({"cx": F.expr(f"floor(s.x / {side})"), "cy": F.expr(f"floor(s.y / {side})")}).withColumnRenamed("s", "s0")
+        # a chunk without any cell: one place without a cell decides
+        joined = placed.join(chunks, keys, "left").withColumn("codes", F.expr(f"coalesce(codes, array_repeat(-1, {side * side}))"))
+        done.append(stored(joined.withColumn("s", walked).select(*states.columns)))
+        open_ = done[-1].where("NOT s.done")
         if open_.isEmpty():
             break
     else:
         raise RuntimeError(f"open after {most_rounds} rounds")
-    discard(ring)
-    return reduce(DataFrame.unionByName, done).where("_row is not null").select("_row.*")
+    discard(chunks)
+    return reduce(DataFrame.unionByName, done).where("s.done")
 
 
 #: Types beside a path that lengthen it; the type that never stops one; the platform that turns none.
 LENGTHENING, NEVER_SOLID, LEVEL_PLATFORM = (189, 196), 546, 19
-_SOLID, _RIGHT, _LEFT, _BOTTOM, _HALF, _ACTIVE, _LIQUID, _PLATFORM, _LONG = (1 << k for k in range(9))
 
-
-def trace_paths(origins: DataFrame, cells: DataFrame, max_steps: int, world: Sequence[str] = (), longest: int | None = None, chunk: int = CHUNK) -> DataFrame:
+#: The moves by falling precedence: when (over the cell _t and its neighbours _w, _e, _s), columns and rows gone, the direction afterwards and what becomes of the
+#: turns (kept, forgotten, or one more if the direction was the one named). ``d`` is the direction before.
+MOVES = (
+    ("_s.ramp = 1 AND _t.deep AND NOT _s.flat", "1", "1", "1", "kept"),
+    ("_s.ramp = -1 AND _t.deep AND NOT _s.flat", "-1", "1", "-1", "kept"),
+    ("_t.deep AND (_s.void OR NOT _s.active)", "0", "1", "d", "forgotten"),
+    ("_w.barrier AND NOT _e.shut", "1", "0", "1", "-1"),
+    ("_e.barrier AND NOT _w.shut", "-1", "0", "-1", "1"),
+    ("NOT _w.shut AND _t.ramp = 0 AND NOT _e.sunk", "d", "0", "d", "kept"),
+    ("true", "0", "0", "d", "any"),
+)
+#: Bits of a cell's code above the number of its move.
+_HARD, _EDGE, _WET, _LONG = 8, 16, 32, 64
+
+
+def move_table() -> list[int]:
+    """The state after each move, direction (-1, 0, 1) and count of turns (0, 1), as dx + 1, dy, direction + 1 and turns in 2, 1, 2 and 2 bits. A second turn takes
+    the other way."""
+    out = []
+    for _, dx, dy, after, turns in MOVES:
+        for d in (-1, 0, 1):
+            for had in (0, 1):
+                now = {"kept": had, "forgotten": 0, "any": had + 1}.get(turns)
+                now = had + (d == int(turns)) if now is None else now
+                back = -1 if now >= 2 else 1
+                go, to = (back * (d if v == "d" else int(v)) for v in (dx, after))
+                out.append((go + 1) | int(dy) << 2 | (to + 1) << 3 | now << 5)
+    return out
+
+
+PATH = "struct<x: bigint, y: bigint, step: int, dir: int, turns: int, most: int, done: boolean, reason: string, rows: array<struct<step: int, x: bigint, y: bigint, reason: string>>>"
+
+
+def trace_paths(origins: DataFrame, cells: DataFrame, max_steps: int, world: Sequence[str] = (), longest: int | None = None, side: int = SIDE) -> DataFrame:
     """Winding paths from ``origins (idx, x, y)``: world, idx, step, x, y and, on the last row of each path, ``reason``.
 
-    At each cell, in this order: over a slope (no platform, not in a half cell) the path goes down along it; where the cell
-    below is open it falls, and its turns are forgotten; beside a barrier (a whole solid, a slope's top, or liquid) it turns to the
-    other side, if that is free, and turning back counts; else it goes on in its direction if the left is free; else it stays, which counts
-    too. A second turn takes it one step the other way, and ends it there (``reversed``). It ends in a whole solid cell (``solid``), in liquid
-    (``liquid``, not in half cells), where it stays (``stationary``), and after ``max_steps`` (``distance``), or ``longest`` once it
-    passed a type that lengthens it. A path that needs a cell beyond the grid has no rows but its first, with the reason ``edge``.
+    At each cell the first of MOVES that fits is taken: down a slope (no platform, not in a half cell); down, where the cell below is open; away
+    from a barrier (a whole solid, a slope's top, or liquid) to a free side; on in its direction if the left is free; else it stays. Turning back and
+    staying count as turns, which a fall forgets. A second turn takes it one step the other way, and ends it there (``reversed``). It ends
+    in a whole solid cell (``solid``), in liquid (``liquid``, not in half cells), where it stays (``stationary``), and after ``max_steps``
+    (``distance``), or ``longest`` once it passed a type that lengthens it. A path that needs a cell beyond the grid has no rows but its
+    first, with the reason ``edge``.
 
     ``cells (x, y, active, type, shape, level, is_solid)``, is_solid being the material's; null and absent facts count as none.
     """
     col = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in cells.columns else F.lit(default)
-    shape, type_ = col("shape", 0), col("type", -1)
-    marks = {
-        _SOLID: col("is_solid", False) & (shape == 0) & (type_ != NEVER_SOLID), _RIGHT: shape == 2, _LEFT: shape == 3, _BOTTOM: shape.isin(4, 5), _HALF: shape == 1, _ACTIVE: col("active", True),
-        _LIQUID: col("level", 0) > 0, _PLATFORM: type_ == LEVEL_PLATFORM, _LONG: col("active", True) & type_.isin(*LENGTHENING),
+    shape, type_, active, wet = col("shape", 0), col("type", -1), col("active", True), col("level", 0) > 0
+    hard = col("is_solid", False) & (shape == 0) & (type_ != NEVER_SOLID)
+    ramp = F.when(shape == 2, 1).when(shape == 3, -1).otherwise(0)
+    facts = {
+        "hard": hard, "wet": wet, "ramp": ramp, "deep": shape != 1, "flat": type_ == LEVEL_PLATFORM, "active": active, "void": ~(hard | shape.isin(4, 5)), "shut": hard | wet, "barrier": hard | wet | (ramp != 0), "sunk": hard & wet,
+        "long": active & type_.isin(*LENGTHENING),
     }
-    code = sum((F.when(is_, bit).otherwise(0) for bit, is_ in marks.items()), F.lit(0))
-    coded = cells.select(*world, "x", "y", code.alias("code"))
+    coded = _beside(cells.select(*world, "x", "y", F.struct(*[v.alias(k) for k, v in facts.items()]).alias("_f")), F.col("_f"), ["_w", "_e"], world).withColumnRenamed("_o", "_t")
+    number = "CASE " + " ".join(f"WHEN {when} THEN {k}" for k, (when, *_) in enumerate(MOVES)) + " END"
+    edge = "_w IS NULL OR _e IS NULL OR _s IS NULL"
+    code = f"IF({edge}, {_EDGE}, {number} + IF(_t.wet AND _t.deep, {_WET}, 0) + IF(_w.long OR _e.long OR _s.long, {_LONG}, 0)) + IF(_t.hard, {_HARD}, 0)"
+    chunks = _chunked(coded.select(*world, "x", "y", F.expr(code).alias("code")), world, side)
     extended = max_steps if longest is None else longest
-
-    def advance(s: dict, cell: Callable[[int, int], int | None]) -> tuple[list[dict], dict | None]:
-        rows, x, y, step, direction, turns, limit = [], s["x"], s["y"], s["step"], s["dir"], s["turns"], s["most"]
-        home = x // chunk, y // chunk
-        own = {k: s[k] for k in (*world, "idx")}
-        add = lambda reason: rows.append(own | {"step": step, "x": x, "y": y, "reason": reason})
-        while True:
-            if (x // chunk, y // chunk) != home:
-                return rows, s | {"x": x, "y": y, "step": step, "dir": direction, "turns": turns, "most": limit}
-            if step >= limit:
-                add("distance")
-                return rows, None
-            if turns >= 2:
-                add("reversed")
-                return rows, None
-            t = cell(x, y)
-            if t is not None and t & _SOLID:
-                add("solid")
-                return rows, None
-            w, e, b = cell(x - 1, y), cell(x + 1, y), cell(x, y + 1)
-            if t is None or w is None or e is None or b is None:
-                add("edge")
-                return rows, None
-            top = _RIGHT | _LEFT
-            dx = dy = 0
-            if b & top and not t & _HALF and not b & _PLATFORM:
-                dx = direction = 1 if b & _RIGHT else -1
-                dy = 1
-            elif not t & _HALF and (not b & (_SOLID | _BOTTOM) or not b & _ACTIVE):
-                turns, dy = 0, 1
-            elif w & (_SOLID | top | _LIQUID) and not e & (_SOLID | _LIQUID):
-                turns += direction == -1
-                dx = direction = 1
-            elif e & (_SOLID | top | _LIQUID) and not w & (_SOLID | _LIQUID):
-                turns += direction == 1
-                dx = direction = -1
-            elif (not (e & _SOLID or t & top) or not e & _LIQUID) and not w & (_SOLID | _LIQUID) and not t & top:
-                dx = direction
-            else:
-                turns += 1
-            if turns >= 2:
-                direction, dx = -direction, -dx
-            reason = "stationary" if not dx and not dy else "liquid" if t & _LIQUID and not t & _HALF else None
-            add(reason)
-            if reason:
-                return rows, None
-            x, y, step = x + dx, y + dy, step + 1
-            if (w | e | b) & _LONG:
-                limit = extended
-
-    start = origins.select(*world, F.col("idx").cast("long").alias("idx"), F.lit(0).alias("step"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.lit(0).alias("dir"), F.lit(0).alias("turns"), F.lit(max_steps).alias("most"))
-    keys = "".join(f"{name} {origins.schema[name].dataType.simpleString()}, " for name in world)
-    found = _by_chunks(start, coded, advance, f"{keys}idx long, step int, x long, y long, reason string", world, chunk, max(max_steps, extended) + 2)
-    failed = found.where("reason = 'edge'").select(*world, "idx", F.col("reason").alias("_edge"))
-    first = found.join(failed, [*world, "idx"], "left").where("_edge is null or step = 0")
-    return first.select(*world, "idx", "step", "x", "y", F.coalesce("_edge", "reason").alias("reason"))
-
-
-def trace_root(starts: DataFrame, cells: DataFrame, classes: Mapping[int, str], max_steps: int, world: Sequence[str] = (), chunk: int = CHUNK) -> DataFrame:
-    """Root of each connected stack from ``starts (x0, y0, kind)``: down cells of the same kind, with one sideways shift at most (left
-    first). Gives root_x, root_y, steps and the class of the kind under the root; null for unlisted kinds and nothing.
+    after = f"array({', '.join(map(str, move_table()))})[(c & 7) * 6 + (s.dir + 1) * 2 + s.turns]"
+    why = (
+        f"CASE WHEN s.step >= s.most THEN 'distance' WHEN s.turns >= 2 THEN 'reversed' WHEN c = -1 THEN 'edge' WHEN c & {_HARD} <> 0 THEN 'solid' WHEN c & {_EDGE} <> 0 THEN 'edge' WHEN n & 7 = 1 THEN 'stationary' WHEN c & {_WET} <> 0 THEN 'liquid' END"
+    )
+    last = "r IS NOT NULL"
+    moved = (
+        f"struct(IF({last}, s.x, s.x + (n & 3) - 1) AS x, IF({last}, s.y, s.y + (shiftright(n, 2) & 1)) AS y, IF({last}, s.step, s.step + 1) AS step, IF({last}, s.dir, (shiftright(n, 3) & 3) - 1) AS dir, IF({last}, s.turns, shiftright(n, 5)) AS turns,"
+        f" IF(c & {_LONG} <> 0, {extended}, s.most) AS most, {last} AS done, r AS reason, concat(s.rows, array(struct(s.step AS step, s.x AS x, s.y AS y, r AS reason))) AS rows)"
+    )
+    one = f"element_at(transform(array(IF(c < 0 OR s.turns > 1, 0, {after})), n -> element_at(transform(array({why}), r -> {moved}), 1)), 1)"
+    first = f"cast(struct(x, y, 0 AS step, 0 AS dir, 0 AS turns, {max_steps} AS most, false AS done, cast(NULL AS string) AS reason, array() AS rows) AS {PATH})"
+    start = origins.select(*world, F.col("idx").cast("long").alias("idx"), F.expr(first).alias("s"))
+    found = _walk(start, chunks, PATH, one, world, side, max(max_steps, extended) + 2)
+    rows = found.withColumn("rows", F.expr("IF(s.reason = 'edge', array(named_struct('step', 0, 'x', s.rows[0].x, 'y', s.rows[0].y, 'reason', 'edge')), s.rows)"))
+    return rows.select(*world, "idx", F.explode("rows").alias("r")).select(*world, "idx", "r.step", "r.x", "r.y", "r.reason")
+
+
+ROOT = "struct<x: bigint, y: bigint, steps: int, done: boolean, complete: boolean>"
+
+
+def trace_root(starts: DataFrame, cells: DataFrame, classes: Mapping[int, str], max_steps: int, world: Sequence[str] = (), side: int = SIDE) -> DataFrame:
+    """Root of each connected stack from ``starts (x0, y0, kind)``: down cells of the same kind. Where the cell below is of another kind the stack goes on
+    one column beside, left first, if both the cell beside and the one under it are of its kind, and never more than one column from its start.
+    Gives root_x, root_y, steps and the class of the kind under the root; null for unlisted kinds and nothing.
 
     A stack that goes on after ``max_steps`` has no root: ``complete`` is false, the place is where the walk ended, the class is null.
     """
-    coded = cells.select(*world, "x", "y", F.col("kind").cast("int").alias("code"))
-
-    def advance(s: dict, cell: Callable[[int, int], int | None]) -> tuple[list[dict], dict | None]:
-        x, y, shifts, steps, kind = s["x"], s["y"], s["shifts"], s["steps"], s["kind"]
-        home = x // chunk, y // chunk
-        while (x // chunk, y // chunk) == home:
-            near = next((d for d in ((0, -1, 1) if not shifts else (0,)) if cell(x + d, y + 1) == kind), None)
-            if near is None or steps >= max_steps:
-                row = {k: s[k] for k in (*world, "x0", "y0")} | {"root_x": x, "root_y": y, "steps": steps, "base": cell(x, y + 1), "complete": near is None}
-                return [row], None
-            x, y, shifts, steps = x + near, y + 1, shifts + abs(near), steps + 1
-        return [], s | {"x": x, "y": y, "shifts": shifts, "steps": steps}
-
-    start = starts.select(*world, *[F.col(c).cast("long").alias(c) for c in ("x0", "y0")], F.col("kind").cast("int").alias("kind"), F.col("x0").cast("long").alias("x"), F.col("y0").cast("long").alias("y"), F.lit(0).alias("shifts"), F.lit(0).alias("steps"))
-    keys = "".join(f"{name} {starts.schema[name].dataType.simpleString()}, " for name in world)
-    found = _by_chunks(start, coded, advance, f"{keys}x0 long, y0 long, root_x long, root_y long, steps int, base int, complete boolean", world, chunk, max_steps + 2)
+    near = _beside(cells.select(*world, "x", "y", F.col("kind").cast("int").alias("kind")), F.col("kind"), ["_w", "_e", "_sw", "_se"], world)
+    bit = lambda same, value: F.when(F.coalesce(same, F.lit(False)), value).otherwise(0)
+    own = F.col("kind")
+    code = bit(F.col("_s") == own, 1) + bit((F.col("_w") == own) & (F.col("_sw") == own), 2) + bit((F.col("_e") == own) & (F.col("_se") == own), 4)
+    chunks = _chunked(near.select(*world, "x", "y", code.alias("code")), world, side)
+    go = "CASE WHEN c & 1 = 1 THEN 0 WHEN c & 2 = 2 AND s.x >= x0 THEN -1 WHEN c & 4 = 4 AND s.x <= x0 THEN 1 END"
+    one = f"element_at(transform(array(IF(c < 0, NULL, {go})), d -> IF(d IS NULL OR s.steps >= {max_steps}, struct(s.x AS x, s.y AS y, s.steps AS steps, true AS done, d IS NULL AS complete), struct(s.x + d AS x, s.y + 1 AS y, s.steps + 1 AS steps, false AS done, false AS complete))), 1)"
+    first = f"cast(struct(x0 AS x, y0 AS y, 0 AS steps, false AS done, false AS complete) AS {ROOT})"
+    start = starts.select(*world, F.col("x0").cast("long").alias("x0"), F.col("y0").cast("long").alias("y0"), F.expr(first).alias("s"))
+    found = _walk(start, chunks, ROOT, one, world, side, max_steps + 2)
+    under = cells.select(*world, F.col("x").alias("root_x"), (F.col("y") - 1).alias("root_y"), F.col("kind").cast("int").alias("_base")).dropDuplicates([*world, "root_x", "root_y"])
+    rooted = found.select(*world, "x0", "y0", F.col("s.x").alias("root_x"), F.col("s.y").alias("root_y"), F.col("s.steps").alias("steps"), F.col("s.complete").alias("complete")).join(under, [*world, "root_x", "root_y"], "left")
     names = F.create_map(*[F.lit(v) for pair in classes.items() for v in pair])
-    return found.select(*world, "x0", "y0", "root_x", "root_y", "steps", F.when(F.col("complete"), F.try_element_at(names, F.col("base"))).alias("class"), "complete")
+    return rooted.select(*world, "x0", "y0", "root_x", "root_y", "steps", F.when(F.col("complete"), F.try_element_at(names, F.col("_base"))).alias("class"), "complete")
+
+
+def stack_ground(cells: DataFrame, stack: Column, solid: Column, most: int = 20, world: Sequence[str] = ()) -> DataFrame:
+    """Adds ``ground_y``: the first solid cell at or under the first cell of a stack, both at most ``most`` rows below a cell (which counts itself); null
+    without. The grounds of plants are looked up so."""
+    down = Window.partitionBy(*world, "x").orderBy("y")
+    next_solid = F.min(F.when(solid, F.col("y"))).over(down.rangeBetween(0, most))
+    found = F.min(F.when(stack, F.struct(F.col("y").alias("at"), F.col("_solid").alias("ground")))).over(down.rangeBetween(0, most))
+    marked = cells.withColumn("_solid", next_solid).withColumn("_found", found)
+    return marked.withColumn("ground_y", F.when(F.col("_found.ground") <= F.col("y") + most, F.col("_found.ground"))).drop("_solid", "_found")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import asset_name
@@ -13,6 +13,7 @@ from gridspark.operators.joins import frame_lookup, with_masks
 from gridspark.operators.order import draw_order
 from gridspark.operators.project import supported, visible_block
 from gridspark.operators.runs import expand_runs
+from gridspark.plans import planner
 from gridspark.sources import facts, views
 from gridspark.sources.worlds import ingest_worlds
 
@@ -30,16 +31,18 @@ class Plan:
     omissions: DataFrame
 
 
-def plan(cells: DataFrame, dim: DataFrame, world: Sequence[str] = ()) -> Plan:
-    """Commands of the ordinary tiles of ``cells (world, x, y, kind, level)`` by type facts and 4-masks; every other cell has a reason."""
+def plan(cells: DataFrame, dim: DataFrame, world: Sequence[str] = (), hidden: Column | None = None, bad_shape: Column | None = None) -> Plan:
+    """Commands of the ordinary tiles of ``cells (world, x, y, kind, level)`` by type facts and 4-masks; every other cell has a reason. ``hidden`` and
+    ``bad_shape`` say which cells aren't shown or can't be drawn (None: none). The planner of world files' cells is in planner.py."""
     facts = dim.select("kind", "layer", "family_mask")
     known = with_masks(cells, {"mask": F.col("kind") >= 0}, world).join(facts, "kind", "left")
+    no = F.lit(False)
     reason = (
         F.when(F.col("kind") == -1, "invisible")
-        .when(F.col("level") % 13 == 0, "hidden")
+        .when(no if hidden is None else hidden, "hidden")
         .when(F.col("layer").isNull(), "unknown layer")
         .when(F.col("family_mask").bitwiseAND(PLANNED_FAMILIES) == 0, "unsupported family")
-        .when(F.col("level") % 17 == 0, "unsupported shape")
+        .when(no if bad_shape is None else bad_shape, "unsupported shape")
     )
     judged = known.withColumns({"reason": reason, "asset": asset_name(F.lit("tile"), F.col("kind") + 3), "sx": F.col("mask") % 4 * 18, "sy": F.floor(F.col("mask") / F.lit(4)).cast("int") * 18})
     commands = judged.where("reason is null").select(*world, "x", "y", "asset", "layer", "sx", "sy")
@@ -48,25 +51,16 @@ def plan(cells: DataFrame, dim: DataFrame, world: Sequence[str] = ()) -> Plan:
 
 
 def numbered(commands: DataFrame, world: Sequence[str] = ()) -> DataFrame:
-    """Commands with ``seq``, their place in their world's drawing order: each column of a phase is numbered apart, and starts where
-    the rows before it end."""
+    """Commands with ``seq``, their place in their world's drawing order."""
     phase = F.when(F.col("layer") == "solid", "solid tile").otherwise("non-solid tile")
-    keyed = draw_order(commands, phase, ["x", "y"])
-    sized = keyed.groupBy(*world, "phase_no", "x").agg(F.count("*").alias("_n"))  # one row a phase and column
-    phases = sized.groupBy(*world, "phase_no").agg(F.sum("_n").alias("_p"))  # one row a phase
-    earlier = Window.partitionBy(*(world or [F.lit(0)])).orderBy("phase_no").rowsBetween(Window.unboundedPreceding, -1)
-    phases = phases.withColumn("_base", F.coalesce(F.sum("_p").over(earlier), F.lit(0))).drop("_p")
-    before = Window.partitionBy(*world, "phase_no").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(phases, [*world, "phase_no"])
-    place = F.row_number().over(Window.partitionBy(*world, "phase_no", "x").orderBy("y")) - 1
-    joined = keyed.withColumn("_place", place).join(starts.drop("_n"), [*world, "phase_no", "x"])
-    return joined.select(*world, "x", "y", "asset", "layer", "sx", "sy", (F.col("_base") + F.col("_start") + F.col("_place")).alias("seq"))
-
-
-def audit(cells: DataFrame, dim: DataFrame, assets: DataFrame) -> DataFrame:
+    keyed = planner.numbered(draw_order(commands, phase, ["x", "y"]), world)
+    return keyed.select(*world, "x", "y", "asset", "layer", "sx", "sy", "seq")
+
+
+def audit(cells: DataFrame, dim: DataFrame, assets: DataFrame, **rules: Column) -> DataFrame:
     """Exact accounting of each world of ``cells (world_id, x, y, kind, level)``, whose grids may overlap: visible, planned, hidden,
-    unsupported, missing, invalid, rendered, and whether it balances."""
-    judged = plan(cells, dim, ["world_id"]).cells.join(assets, "asset", "left")
+    unsupported, missing, invalid, rendered, and whether it balances. ``rules``: see plan."""
+    judged = plan(cells, dim, ["world_id"], **rules).cells.join(assets, "asset", "left")
     missing = F.col("width").isNull()
     invalid = ~missing & ((F.col("sx") + 16 > F.col("width")) | (F.col("sy") + 16 > F.col("height")))
     planned = F.col("reason").isNull()
@@ -83,20 +77,23 @@ def audit(cells: DataFrame, dim: DataFrame, assets: DataFrame) -> DataFrame:
 ASSETS = [("tile_1.png", 72, 72), ("tile_4.png", 60, 72)]
 
 
+def view_rules() -> dict[str, Column]:
+    """What the test view's levels stand for: cells that aren't shown, and shapes that can't be drawn."""
+    return {"hidden": F.col("level") % 13 == 0, "bad_shape": F.col("level") % 17 == 0}
+
+
 def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of the dense grid, in worlds of 100 columns each."""
     cells = views.g_dense(spark, sf_dir).withColumn("world_id", F.expr("x div 100"))
-    return audit(cells, views.d_kind(spark), spark.createDataFrame(ASSETS, "asset string, width int, height int"))
+    return audit(cells, views.d_kind(spark), spark.createDataFrame(ASSETS, "asset string, width int, height int"), **view_rules())
 
 
 def overlapping_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit of the same grid cut into worlds of 100 columns that all begin at column 0."""
     cells = views.g_dense(spark, sf_dir).withColumn("world_id", F.expr("x div 100")).withColumn("x", F.expr("x % 100"))
-    return audit(cells, views.d_kind(spark), spark.createDataFrame(ASSETS, "asset string, width int, height int"))
+    return audit(cells, views.d_kind(spark), spark.createDataFrame(ASSETS, "asset string, width int, height int"), **view_rules())
 
 
-#: Types that are never drawn.
-HIDDEN_TYPES = (373, 374, 375, 461, 709)
 
 
 def audit_cells(cells: DataFrame, assets: DataFrame) -> DataFrame:
@@ -110,7 +107,7 @@ def audit_cells(cells: DataFrame, assets: DataFrame) -> DataFrame:
     facts_of = facts.families(spark)
     known = with_masks(cells, {"mask": shown}, ["world_id"]).join(facts_of, "type", "left").where(shown)
     ok = supported(F.col("shape"), F.col("frame_x"), F.col("frame_y"), facts.conditional_type(F.col("type")), F.col("stored"), F.col("ordinary") | (F.col("type") == 353))
-    hidden = F.col("type").isin(*HIDDEN_TYPES)
+    hidden = F.col("type").isin(*planner.EMITTERS)
     state = F.when(hidden, "hidden").when(ok, "planned").otherwise("unsupported")
     block = (state == "planned") & F.col("ordinary") & F.col("frame_x").isNull()
     judged = frame_lookup(known.withColumns({"state": state, "asset": F.when(block, asset_name(F.lit("Tiles"), F.col("type")))}), facts.block_frames(spark)).join(assets, "asset", "left")
@@ -126,3 +123,14 @@ def audit_files(spark: SparkSession, path: str, assets: DataFrame) -> DataFrame:
     """From world files to the accounting of their tiles; a file that breaks the format is an error."""
     _, runs, _ = ingest_worlds(spark, path, mode="failfast")
     return audit_cells(expand_runs(runs), assets)
+
+
+def report_of_files(spark: SparkSession, path: str, assets: DataFrame) -> DataFrame:
+    """From world files to all reports of the planner's entries (see planner.audit_report)."""
+    _, runs, _ = ingest_worlds(spark, path, mode="failfast")
+    return planner.audit_report(planner.plan_cells(named_as_planned(expand_runs(runs)), ["world_id"]), assets)
+
+
+def named_as_planned(cells: DataFrame) -> DataFrame:
+    """Cells of world files with the planner's names: a liquid's amount is its level, its kind the liquid."""
+    return cells.withColumnsRenamed({"liquid": "level", "liquid_kind": "liquid"})

@@ -122,18 +122,27 @@ def dm07_trace_paths(spark, d):
 
 
 @query(
-    """, c AS (SELECT x, y, kind, level FROM g_dense), o AS (SELECT x AS x0, y AS y0, kind FROM g_dense WHERE level % 11 = 0),
-t AS (SELECT x0, y0, kind, x0 AS x, y0 AS y, 0 AS shifts, 0 AS step FROM o
-UNION ALL SELECT t.x0, t.y0, t.kind, n.x, n.y, t.shifts + (n.x <> t.x)::INT, t.step + 1 FROM t JOIN LATERAL (SELECT q.x, q.y FROM c q WHERE q.kind = t.kind AND q.y = t.y + 1 AND (q.x = t.x OR (t.shifts = 0 AND abs(q.x - t.x) = 1)) ORDER BY q.x <> t.x, q.x LIMIT 1) n ON TRUE WHERE t.step < 5),
-f AS (SELECT x0, y0, kind, arg_max(x, step) AS x, arg_max(y, step) AS y, max(step) AS steps, arg_max(shifts, step) AS shifts FROM t GROUP BY x0, y0, kind),
-g AS (SELECT f.*, NOT EXISTS (SELECT 1 FROM c q WHERE q.kind = f.kind AND q.y = f.y + 1 AND (q.x = f.x OR (f.shifts = 0 AND abs(q.x - f.x) = 1))) AS complete FROM f)
-SELECT x0, y0::BIGINT AS y0, g.x AS root_x, g.y::BIGINT AS root_y, steps::INT AS steps, CASE WHEN complete THEN CASE b.kind WHEN -2 THEN 'rock' WHEN -1 THEN 'soil' WHEN 0 THEN 'sand' WHEN 1 THEN 'snow' END END AS class, complete FROM g LEFT JOIN c b ON b.x = g.x AND b.y = g.y + 1"""
+    """, c AS (SELECT x, y, (kind // 2)::INT AS kind FROM g_dense), o AS (SELECT x AS x0, y AS y0, (kind // 2)::INT AS kind FROM g_dense WHERE level % 11 = 0),
+b AS (SELECT c.x, c.y, c.kind, d.kind AS base, coalesce(d.kind = c.kind, FALSE) AS down, coalesce(w.kind = c.kind AND dw.kind = c.kind, FALSE) AS l, coalesce(e.kind = c.kind AND de.kind = c.kind, FALSE) AS r FROM c LEFT JOIN c d ON d.x = c.x AND d.y = c.y + 1
+    LEFT JOIN c w ON w.x = c.x - 1 AND w.y = c.y LEFT JOIN c dw ON dw.x = c.x - 1 AND dw.y = c.y + 1 LEFT JOIN c e ON e.x = c.x + 1 AND e.y = c.y LEFT JOIN c de ON de.x = c.x + 1 AND de.y = c.y + 1),
+t AS (SELECT x0, y0, x0 AS x, y0 AS y, 0 AS step FROM o
+UNION ALL SELECT t.x0, t.y0, CASE WHEN b.down THEN b.x WHEN b.l AND b.x >= t.x0 THEN b.x - 1 ELSE b.x + 1 END, b.y + 1, t.step + 1 FROM t JOIN b ON b.x = t.x AND b.y = t.y AND (b.down OR (b.l AND b.x >= t.x0) OR (b.r AND b.x <= t.x0)) WHERE t.step < 5),
+f AS (SELECT x0, y0, arg_max(x, step) AS x, arg_max(y, step) AS y, max(step) AS steps FROM t GROUP BY x0, y0)
+SELECT x0, y0::BIGINT AS y0, f.x AS root_x, f.y::BIGINT AS root_y, steps::INT AS steps, NOT (b.down OR (b.l AND b.x >= x0) OR (b.r AND b.x <= x0)) AS complete, CASE WHEN NOT (b.down OR (b.l AND b.x >= x0) OR (b.r AND b.x <= x0)) THEN CASE b.base WHEN -1 THEN 'rock' WHEN 0 THEN 'sand' END END AS class FROM f JOIN b ON b.x = f.x AND b.y = f.y"""
 )
 def dm08_trace_root(spark, d):
     """Stacks of more than five cells have no root within the limit."""
-    cells = views.g_dense(spark, d).select("x", "y", "kind")
-    classes = {-2: "rock", -1: "soil", 0: "sand", 1: "snow"}
-    return tracing.trace_root(views.g_dense(spark, d).where("level % 11 = 0").selectExpr("x AS x0", "y AS y0", "kind"), cells, classes, 5)
+    cells = views.g_dense(spark, d).selectExpr("x", "y", "cast(kind / 2 AS int) AS kind", "level")
+    starts = cells.where("level % 11 = 0").selectExpr("x AS x0", "y AS y0", "kind")
+    return tracing.trace_root(starts, cells.drop("level"), {-1: "rock", 0: "sand"}, 5)
+
+
+@query(
+    """ SELECT x, y, (SELECT min(b.y) FROM g_dense b WHERE b.x = g.x AND b.kind = -2 AND b.y <= g.y + 20 AND b.y >= (SELECT min(a.y) FROM g_dense a WHERE a.x = g.x AND a.kind = 1 AND a.y BETWEEN g.y AND g.y + 20)) AS ground_y FROM g_dense g"""
+)
+def dm08_stack_ground(spark, d):
+    """Ground of the stacks at or under every cell, within 20 rows."""
+    return tracing.stack_ground(views.g_dense(spark, d).select("x", "y", "kind"), C("kind") == 1, C("kind") == -2).select("x", "y", "ground_y")
 
 
 @query(
@@ -152,12 +161,12 @@ a AS (SELECT x, y, kind, level, mask, CASE WHEN kind = -1 THEN 'invisible' WHEN
 
 @query(PLAN_SQL + " SELECT x, y, concat('tile_', kind + 3, '.png') AS asset, layer, mask % 4 * 18 AS sx, mask // 4 * 18 AS sy, (row_number() OVER (ORDER BY CASE layer WHEN 'solid' THEN 7 ELSE 3 END, x, y) - 1)::BIGINT AS seq FROM a WHERE reason IS NULL")
 def dm10_plan_commands(spark, d):
-    return audit.numbered(audit.plan(views.g_dense(spark, d), views.d_kind(spark)).commands)
+    return audit.numbered(audit.plan(views.g_dense(spark, d), views.d_kind(spark), **audit.view_rules()).commands)
 
 
 @query(PLAN_SQL + " SELECT reason, kind, count(*) AS cells, first(x ORDER BY x // 128, y // 128, x, y) AS x, first(y ORDER BY x // 128, y // 128, x, y) AS y FROM a WHERE reason IS NOT NULL AND reason NOT IN ('invisible', 'hidden') GROUP BY reason, kind")
 def dm10_plan_omissions(spark, d):
-    found = audit.plan(views.g_dense(spark, d), views.d_kind(spark)).omissions
+    found = audit.plan(views.g_dense(spark, d), views.d_kind(spark), **audit.view_rules()).omissions
     return aggs.first_example(found, ["reason", "kind"]).select("reason", "kind", F.col("n").alias("cells"), "x", "y")
 
 
@@ -183,7 +192,7 @@ def dm11_audit_of_overlapping_worlds(spark, d):
 @query(PLAN_SQL.replace("p.x = g.x - 1 ", "p.x = g.x - 1 AND p.x // 100 = g.x // 100 ").replace("p.x = g.x + 1 ", "p.x = g.x + 1 AND p.x // 100 = g.x // 100 ") + " SELECT x // 100 AS world_id, x % 100 AS x, y, concat('tile_', kind + 3, '.png') AS asset, layer, mask % 4 * 18 AS sx, mask // 4 * 18 AS sy, (row_number() OVER (PARTITION BY x // 100 ORDER BY CASE layer WHEN 'solid' THEN 7 ELSE 3 END, x, y) - 1)::BIGINT AS seq FROM a WHERE reason IS NULL")
 def dm10_plan_commands_by_world(spark, d):
     cells = views.g_dense(spark, d).withColumn("world_id", F.expr("x div 100")).withColumn("x", F.expr("x % 100"))
-    return audit.numbered(audit.plan(cells, views.d_kind(spark), ["world_id"]).commands, ["world_id"])
+    return audit.numbered(audit.plan(cells, views.d_kind(spark), ["world_id"], **audit.view_rules()).commands, ["world_id"])
 
 
 @query(OMISSIONS + ", m AS (SELECT x, y, bit_or(code) AS code FROM om GROUP BY x, y) SELECT i % 128 AS x, i // 128 AS y, coalesce(code, 0) AS code, CASE WHEN code IS NULL THEN 'covered' ELSE concat_ws('+', CASE WHEN code & 1 <> 0 THEN 'row' END, CASE WHEN code & 2 <> 0 THEN 'column' END, CASE WHEN code & 4 <> 0 THEN 'wide' END, CASE WHEN code & 8 <> 0 THEN 'low' END) END AS legend FROM range(0, 8192) t(i) LEFT JOIN m ON m.x = i % 128 AND m.y = i // 128")

@@ -33,7 +33,7 @@ def jn02_dispatch_family(spark, d):
     return joins.dispatch_family(views.g_dense(spark, d), views.d_kind(spark), level % 2 == 0, level % 3 == 0, level % 5 == 0).select("x", "y", "family")
 
 
-SOLID_SQL = " OR ".join(f"type BETWEEN {a} AND {b}" for a, b in facts.SOLID)
+SOLID_SQL = f"type IN ({', '.join(map(str, facts.SOLID))})"
 
 
 @query(

@@ -24,5 +24,5 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    for name in ("scans", "neighbours", "counts", "ordered", "values", "composite", "verify", "streams", "stores"):
+    for name in ("scans", "neighbours", "counts", "ordered", "values", "composite", "layered", "verify", "streams", "stores"):
         importlib.import_module(f"gridspark.plans.{name}")

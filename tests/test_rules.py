@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import scalars as S
 from gridspark.operators import joins, project, terrain, tracing, windows
-from gridspark.plans import audit
+from gridspark.plans import audit, planner
 from gridspark.sources import facts, worlds
 
 PAINTED = [
@@ -174,11 +174,11 @@ PATHS = [  # a world's cells, and where the path from (120, 80) goes and how it
 ]
 
 
-@pytest.mark.parametrize("chunk", [256, 7])
-def test_winding_paths(spark, chunk):
+@pytest.mark.parametrize("side", [64, 7])
+def test_winding_paths(spark, side):
     rows = [(k, x, y, *(CELL | own.get((x, y), {})).values()) for k, (own, *_) in enumerate(PATHS) for x in range(100, 140) for y in range(70, 100)]
     origins = spark.createDataFrame([(k, 7, 120, 80) for k in range(len(PATHS))], "w int, idx long, x long, y long")
-    found = tracing.trace_paths(origins, spark.createDataFrame(rows, "w int, " + TILES), 100, ["w"], chunk=chunk).orderBy("w", "step").collect()
+    found = tracing.trace_paths(origins, spark.createDataFrame(rows, "w int, " + TILES), 100, ["w"], side=side).orderBy("w", "step").collect()
     for k, (_, places, reason) in enumerate(PATHS):
         mine = [r for r in found if r.w == k]
         assert ([(r.x, r.y) for r in mine], mine[-1].reason, [r.step for r in mine]) == (places, reason, list(range(len(places)))), k
@@ -192,13 +192,124 @@ def test_long_paths_beside_clouds(spark):
 
 
 def test_roots_and_stacks_without_end(spark):
-    cells = spark.createDataFrame([(5, y, 1) for y in range(6)] + [(6, 6, 1), (6, 7, 2)] + [(9, y, 3) for y in range(20)], "x long, y long, kind int")
+    cells = spark.createDataFrame([(5, y, 1) for y in range(6)] + [(6, 5, 1), (6, 6, 1), (6, 7, 2)] + [(9, y, 3) for y in range(20)], "x long, y long, kind int")
     starts = spark.createDataFrame([(5, 0, 1), (9, 0, 3)], "x0 long, y0 long, kind int")
-    for chunk in (256, 3):
-        found = {r.x0: tuple(r)[2:] for r in tracing.trace_root(starts, cells, {2: "sand"}, 8, chunk=chunk).collect()}
+    for side in (64, 3):
+        found = {r.x0: tuple(r)[2:] for r in tracing.trace_root(starts, cells, {2: "sand"}, 8, side=side).collect()}
         assert found == {5: (6, 6, 6, "sand", True), 9: (9, 8, 8, None, False)}
 
 
+def test_roots_need_the_cell_beside(spark):
+    """A stack doesn't go to a cell diagonally below, and stays within one column of its start."""
+    cells = spark.createDataFrame([(5, 0, 1), (6, 1, 1), (6, 2, 2)] + [(x, y, 1) for x, y in ((20, 0), (20, 1), (21, 1), (21, 2), (22, 2), (22, 3))] + [(21, 3, 2)], "x long, y long, kind int")
+    starts = spark.createDataFrame([(5, 0, 1), (20, 0, 1)], "x0 long, y0 long, kind int")
+    found = {r.x0: tuple(r)[2:] for r in tracing.trace_root(starts, cells, {2: "sand"}, 8).collect()}
+    assert found == {5: (5, 0, 0, None, True), 20: (21, 2, 2, "sand", True)}
+
+
+def test_moves_are_in_the_table():
+    table = tracing.move_table()
+    state = lambda move, d, turns: table[move * 6 + (d + 1) * 2 + turns]
+    shown = lambda n: ((n & 3) - 1, n >> 2 & 1, (n >> 3 & 3) - 1, n >> 5)
+    assert shown(state(0, -1, 1)) == (1, 1, 1, 1)  # down a slope: its direction, turns kept
+    assert shown(state(2, -1, 1)) == (0, 1, -1, 0)  # a fall forgets turns
+    assert shown(state(3, -1, 1)) == (-1, 0, -1, 2)  # a second turn goes the other way
+    assert shown(state(3, 1, 1)) == (1, 0, 1, 1)
+    assert shown(state(6, 1, 0)) == (0, 0, 1, 1)
+
+
+PLANNED = "x long, y long, active boolean, type int, shape int, level long, liquid int, wall int, frame_x int, frame_y int, paint int, inactive boolean, invisible_block boolean, invisible_wall boolean"
+
+
+def plan_of(spark, own, size=(7, 7), **how):
+    """Entries of a small grid by place and kind."""
+    blank = dict(active=False, type=0, shape=0, level=0, liquid=0, wall=0, frame_x=None, frame_y=None, paint=0, inactive=False, invisible_block=False, invisible_wall=False)
+    rows = [(x, y, *(blank | own.get((x, y), {})).values()) for x in range(size[0]) for y in range(size[1])]
+    return {(r.x, r.y, r.kind): r for r in planner.plan_cells(spark.createDataFrame(rows, PLANNED), **how).collect()}
+
+
+def tile(type=1, **more):
+    return dict(active=True, type=type) | more
+
+
+def test_blocks_by_their_like(spark):
+    near = {(3, 2): 1, (2, 3): 2, (4, 3): 4, (3, 4): 8}
+    own = {}
+    for mask in range(16):  # one grid beside the other
+        at = 10 * mask
+        own |= {(at + x, y): tile(1, invisible_block=not mask & bit) for (x, y), bit in near.items()}  # hidden blocks don't count
+        own |= {(at + 3, 3): tile(1, paint=9), (at + 3, 5): tile(2)}
+    found = plan_of(spark, own, (160, 7))
+    for mask in range(16):
+        row = found[10 * mask + 3, 3, "tile"]
+        assert (row.sx, row.sy, row.asset, row.paint, row.phase) == (*facts.BLOCK_FRAMES[mask], "Tiles_1.png", 9, "solid tile")
+
+
+def test_walls_their_variants_and_hidden_ones(spark):
+    own = {(x, y): dict(wall=4) for x in range(7) for y in range(7)} | {(0, 0): dict(wall=318), (6, 6): dict(wall=4, invisible_wall=True)}
+    found = plan_of(spark, own)
+    variants = [[2, 0, 0], [0, 1, 4], [0, 3, 0]]
+    for x in range(1, 6):
+        for y in range(1, 6):
+            if (x, y) not in ((1, 0), (0, 1), (5, 6), (6, 5)):
+                row = found[x, y, "wall"]
+                assert (row.sx, row.sy) == tuple(36 * v for v in facts.WALL_FRAMES[15 + variants[x % 3][y % 3]]) and (row.dx, row.dy, row.dw) == (x * 16 - 8, y * 16 - 8, 32)
+    assert found[0, 0, "wall"].entry == found[6, 6, "wall"].entry == "hidden" and found[1, 0, "wall"].sx == 36 * facts.WALL_FRAMES[4 + 8][0]
+    assert plan_of(spark, own, reveal=True)[6, 6, "wall"].entry == "command"
+
+
+def test_shapes_stored_frames_ropes_and_reasons(spark):
+    own = {
+        (0, 0): tile(1, shape=1), (1, 0): tile(1, shape=3), (2, 0): tile(1, shape=6), (3, 1): tile(4, frame_x=22, frame_y=0), (3, 0): tile(1), (5, 0): tile(353), (5, 1): tile(353), (0, 2): tile(373), (1, 2): tile(5), (2, 2): tile(28, shape=1),
+        (3, 2): tile(900), (4, 2): tile(18, frame_x=2052, frame_y=0), (5, 2): tile(21, frame_x=0, frame_y=18), (6, 2): tile(1, frame_x=0, frame_y=0), (0, 4): tile(1, invisible_block=True), (1, 4): tile(11, frame_x=18, frame_y=0),
+    }
+    found = {k[:2]: r for k, r in plan_of(spark, own).items() if k[2] == "tile"}
+    at = lambda x, y, *names: tuple(found[x, y][n] for n in names)
+    assert at(0, 0, "sh", "dy", "dh", "shape") == (8, 8, 8, 1) and at(1, 0, "sh", "shape") == (16, 3)
+    assert at(2, 0, "entry", "reason") == ("omitted", "unimplemented-type") == at(3, 2, "entry", "reason") == at(6, 2, "entry", "reason")
+    assert at(3, 1, "sx", "sw", "sh", "dx", "dy", "fidelity") == (22, 20, 20, 46, 20, "stored-frame")
+    assert at(5, 0, "fidelity", "sx", "sy") == ("approximate-rope", *facts.BLOCK_FRAMES[8]) and at(5, 1, "sx", "sy") == facts.BLOCK_FRAMES[1]
+    assert at(0, 2, "entry", "reason") == ("hidden", "particle-emitter-without-tile-body") and at(1, 2, "reason") == ("family-tree",) and at(2, 2, "reason") == ("shaped-static-object",)
+    assert at(4, 2, "sx", "sy") == (36, 20) and at(5, 2, "sh") == (18,) and at(0, 4, "reason") == ("invisible",) and at(1, 4, "phase") == ("solid tile",)
+
+
+def test_liquids_flat_full_and_refused(spark):
+    wet = lambda level=255, kind=1: dict(level=level, liquid=kind)
+    pool = {(x, y): wet() for x in range(1, 6) for y in range(2, 6)}
+    found = plan_of(spark, pool)
+    at = lambda f, x, y, *names: tuple(f[x, y, "liquid"][n] for n in names)
+    assert at(found, 3, 2, "sx", "sy", "sh") == (16, 0, 16) and at(found, 1, 2, "sx", "sy") == (0, 0) and at(found, 5, 3, "sx", "sy") == (32, 16) and at(found, 3, 4, "sx", "sy", "asset") == (16, 48, "water_0.png")
+    assert at(plan_of(spark, pool, surface=10.0), 3, 2, "sy") == (1280,)
+    low = plan_of(spark, {(3, 3): wet(100, 2)})
+    assert at(low, 3, 3, "sx", "sy", "sh", "dy", "asset") == (16, 16 + 9, 7, 48 + 9, "water_1.png")
+    assert at(plan_of(spark, {(3, 3): wet(255, 4)}), 3, 3, "reason") == ("shimmer",)
+    assert at(plan_of(spark, pool | {(3, 3): wet(9, 2)}), 3, 2, "reason") == ("mixed-liquid-neighborhood",)
+    assert at(plan_of(spark, pool | {(2, 3): tile(379)}), 3, 3, "reason") == ("special-tile-neighborhood",)
+    assert at(plan_of(spark, pool | {(2, 3): tile(900)}), 3, 3, "reason") == ("unknown-solid-neighborhood",)
+    assert at(plan_of(spark, pool | {(3, 4): tile(1) | wet()}), 3, 4, "entry", "reason") == ("hidden", "inside-solid")
+    half = plan_of(spark, pool | {(3, 4): tile(1, shape=1, wall=4) | wet()})
+    assert at(half, 3, 4, "fidelity", "sy", "sh") == ("static-wet-halfbrick-top", 56, 8) and at(half, 3, 3, "fidelity") == ("static-full-liquid-near-shape",)
+    slope = plan_of(spark, pool | {(3, 5): tile(1, shape=2)})
+    assert at(slope, 3, 5, "reason", "type") == ("liquid-shape-geometry", 1)  # dry, but beside wet cells
+
+
+def test_reports_count_each_entry_once(spark):
+    own = {(0, 0): tile(1), (1, 0): tile(1), (2, 0): tile(5), (3, 0): tile(900), (4, 0): tile(900, shape=9), (5, 0): tile(373), (6, 0): tile(1, invisible_block=True), (0, 6): dict(wall=7)}
+    blank = dict(active=False, type=0, shape=0, level=0, liquid=0, wall=0, frame_x=None, frame_y=None, paint=0, inactive=False, invisible_block=False, invisible_wall=False)
+    rows = [(w, x, y, *(blank | own.get((x, y), {})).values()) for w in (1, 2) for x in range(7) for y in range(7)]
+    entries = planner.plan_cells(spark.createDataFrame(rows, "world_id int, " + PLANNED), ["world_id"])
+    report = planner.audit_report(entries, spark.createDataFrame([("Tiles_1.png", 180, 60)], "asset string, width int, height int"))
+    found = {(r.report, r.key): (r.n, r.x, r.y) for r in report.where("world_id = 2").collect()}
+    assert found == {
+        ("visible", ""): (6, 0, 0), ("planned", ""): (2, 0, 0), ("commands", "tile"): (2, 0, 0), ("commands", "wall"): (1, 0, 6), ("unsupported types", "5"): (1, 2, 0), ("unsupported types", "900"): (2, 3, 0), ("unsupported reasons", "family-tree"): (1, 2, 0),
+        ("unsupported reasons", "unimplemented-type"): (2, 3, 0), ("hidden types", "373"): (1, 5, 0), ("missing assets", "Wall_7.png"): (1, 0, 6), ("invalid crops", "Tiles_1.png"): (1, 1, 0), ("required assets", "Tiles_1.png"): (2, 0, 0),
+        ("required assets", "Wall_7.png"): (1, 0, 6),
+    }
+    assert all(r.balanced and (r.visible, r.planned, r.hidden, r.unsupported) == (6, 2, 1, 3) for r in planner.balance(report).collect())
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(world_id#") >= 2  # the cells once, then counts
+
+
 def test_bridges(spark):
     cells = lambda own: tiles(spark, own).withColumn("half", F.col("shape") == 1)
     one = lambda own: windows.bridge_levels(cells(own)).where("x = 120 and y = 80").first()
