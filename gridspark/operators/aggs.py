@@ -112,23 +112,50 @@ def fully_covered(commands: DataFrame, safe: DataFrame, size: int = 16) -> DataF
 def compose(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ordered source-over of premultiplied ``samples (seq, value, alpha)``: value and alpha of each key.
 
-    Under a sample of alpha a, what is there keeps round(t * (255 - a) / 255); sums stop at 255. The list of a key holds the samples of
-    one output cell.
+    Under a sample of alpha a, what is there keeps round(t * (255 - a) / 255); sums stop at 255. An opaque sample leaves nothing of those under it, so
+    they are cut before any list is made: a key's list holds its last opaque sample and the translucent ones above it.
     """
+    own = Window.partitionBy(*keys)
+    opaque = F.max(F.when(F.col("alpha") >= 255, F.col("seq"))).over(own)
+    seen = samples.select(*keys, "seq", "value", "alpha", opaque.alias("_opaque")).where(F.col("_opaque").isNull() | (F.col("seq") >= F.col("_opaque")))
     ordered = F.sort_array(F.collect_list(F.struct("seq", "value", "alpha")))
     keep = lambda t, a: F.floor((t * (255 - a) * 2 + 255) / F.lit(510))
     zero = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).cast("long").alias("alpha"))
     step = lambda t, s: F.struct(F.least(F.lit(255), s["value"] + keep(t["value"], s["alpha"])).cast("long").alias("value"), F.least(F.lit(255), s["alpha"] + keep(t["alpha"], s["alpha"])).cast("long").alias("alpha"))
-    out = samples.groupBy(*keys).agg(F.aggregate(ordered, zero, step).alias("_out"))
+    out = seen.groupBy(*keys).agg(F.aggregate(ordered, zero, step).alias("_out"))
     return out.select(*keys, F.col("_out.value").alias("value"), F.col("_out.alpha").alias("alpha"))
 
 
-def summed_area(cells: DataFrame, value: str, world: Sequence[str] = ()) -> DataFrame:
-    """Two-dimensional prefix sums of a dense grid: ``total`` of all cells up to and with (x, y)."""
-    down = Window.partitionBy(*world, "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*world, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    sums = cells.select(*world, "x", "y", F.sum(value).over(down).alias("_down"))
-    return sums.select(*world, "x", "y", F.sum("_down").over(across).alias("total"))
+#: Side of the chunks that prefix sums are made in.
+SUM_CHUNK = 256
+
+
+def summed_area(cells: DataFrame, value: str, world: Sequence[str] = (), chunk: int = SUM_CHUNK) -> DataFrame:
+    """Two-dimensional prefix sums of a dense grid: ``total`` of all cells up to and with (x, y).
+
+    Two levels: sums inside chunks, and what lies above, left and above left of a chunk, from its edges. Cells are shuffled to their chunks once; the
+    edges' tables are a ``chunk``-th of the grid, and come back to a chunk as one row of two arrays, by place from the chunk's first column
+    and row. No window holds more than a chunk's row, or one place of a row of chunks.
+    """
+    keys = [*world, "_cx", "_cy"]
+    here = cells.select(*world, "x", "y", F.col(value).alias("_v"), F.floor(F.col("x") / F.lit(chunk)).alias("_cx"), F.floor(F.col("y") / F.lit(chunk)).alias("_cy"))
+    upto = lambda by, order: Window.partitionBy(*keys, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inner = here.repartition(*keys).withColumn("_down", F.sum("_v").over(upto(["x"], "y"))).withColumn("_own", F.sum("_down").over(upto(["y"], "x")))
+
+    def edge(along: str, chunk_along: str, chunk_across: str, name: str) -> DataFrame:
+        """By chunk: for each place along an axis, the sum of all cells of the same stripe of chunks before the chunk, up to that place."""
+        line = here.groupBy(*keys, along).agg(F.sum("_v").alias("_s"))
+        upto_here = line.withColumn("_s", F.sum("_s").over(Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)))
+        before = Window.partitionBy(*world, chunk_along, along).orderBy(chunk_across).rowsBetween(Window.unboundedPreceding, -1)
+        summed = upto_here.withColumn("_s", F.coalesce(F.sum("_s").over(before), F.lit(0)))
+        return summed.groupBy(*keys).agg(F.expr(f"transform(array_sort(collect_list(struct({along} AS at, _s AS s))), q -> q.s)").alias(name), F.min(along).alias(f"_first_{name}"))
+
+    total = here.groupBy(*keys).agg(F.sum("_v").alias("_s"))  # one row a chunk
+    exclusive = lambda by, order: Window.partitionBy(*world, by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    corner = total.withColumn("_s", F.coalesce(F.sum("_s").over(exclusive("_cx", "_cy")), F.lit(0))).withColumn("_corner", F.coalesce(F.sum("_s").over(exclusive("_cy", "_cx")), F.lit(0))).drop("_s")
+    around = edge("x", "_cx", "_cy", "_above").join(edge("y", "_cy", "_cx", "_left"), keys).join(corner, keys)
+    added = F.expr("_own + _above[cast(x - _first__above AS int)] + _left[cast(y - _first__left AS int)] + _corner")
+    return inner.join(around, keys).select(*world, "x", "y", added.alias("total"))
 
 
 def rect_count(sums: DataFrame, rects: DataFrame, world: Sequence[str] = ()) -> DataFrame:

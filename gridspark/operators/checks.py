@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggs import exact_cover
 from .joins import diff_cells, halo_exchange
 from .project import in_rect
 
@@ -21,6 +23,42 @@ def verify_manifest(manifest: DataFrame, actual: DataFrame, key: str, columns: S
     return both.select(key, reason.alias("reason")).where("reason is not null")
 
 
+#: Pixels of a cell, the largest piece, and the names that pieces may have.
+CELL, LARGEST_WIDTH, LARGEST_HEIGHT, PIECE_NAME = 16, 4032, 512, r"^tile-\d+-\d+\.png$"
+
+
+def verify_pieces(manifest: DataFrame, files: DataFrame, world: tuple[int, int, int, int]) -> DataFrame:
+    """Whether pieces make up a whole: (file, x, y, reason). ``world`` is the whole's x, y, width and height in cells.
+
+    ``manifest (file, x, y, width, height, world_x, world_y, world_width, world_height, bytes, sha256)`` has pixels and cells of each piece, ``files (file,
+    width, height, bytes, sha256)`` what is there. The first reason of a piece counts: repeated, name, missing, dimensions, bytes, sha256, alignment (of pixels
+    to cells), size (none, or too large), position (pixels that aren't the cells' place), outside; files that no piece names are additional.
+    Cells that pieces cover twice or not at all are ``overlap`` or ``hole`` at their x and y, without a file: the cover is counted in one
+    shuffle of the cells.
+    """
+    left, top, width, height = world
+    there = files.select("file", *[F.col(c).alias(f"_{c}") for c in ("width", "height", "bytes", "sha256")]).withColumn("_there", F.lit(True))
+    named = manifest.withColumn("_n", F.count("*").over(Window.partitionBy("file"))).join(there, "file", "left")
+    c = F.col
+    differs = lambda *names: ~reduce(lambda a, b: a & b, [c(n).eqNullSafe(c(f"_{n}")) for n in names])
+    aligned = reduce(lambda a, b: a & b, [F.coalesce(c(n) % CELL == 0, F.lit(False)) for n in ("x", "y", "width", "height")])
+    sized = c("width").between(1, LARGEST_WIDTH) & c("height").between(1, LARGEST_HEIGHT)
+    placed = (c("x") == (c("world_x") - left) * CELL) & (c("y") == (c("world_y") - top) * CELL) & (c("width") == c("world_width") * CELL) & (c("height") == c("world_height") * CELL)
+    inside = (c("x") >= 0) & (c("y") >= 0) & (c("x") + c("width") <= width * CELL) & (c("y") + c("height") <= height * CELL)
+    no = lambda test: ~F.coalesce(test, F.lit(False))
+    reason = (
+        F.when(c("_n") > 1, "repeated").when(no(c("file").rlike(PIECE_NAME)), "name").when(c("_there").isNull(), "missing").when(differs("width", "height"), "dimensions").when(differs("bytes"), "bytes").when(differs("sha256"), "sha256")
+        .when(~aligned, "alignment").when(no(sized), "size").when(no(placed), "position").when(no(inside), "outside")
+    )
+    nowhere = F.lit(None).cast("long")
+    bad = named.select("file", nowhere.alias("x"), nowhere.alias("y"), reason.alias("reason")).where("reason is not null")
+    more = files.join(manifest.select("file"), "file", "left_anti").select("file", nowhere.alias("x"), nowhere.alias("y"), F.lit("additional").alias("reason"))
+    in_cells = manifest.where(aligned & sized).selectExpr(f"x div {CELL} AS x", f"y div {CELL} AS y", f"width div {CELL} AS width", f"height div {CELL} AS height")
+    all_cells = manifest.sparkSession.range(width * height).selectExpr(f"id div {height} AS x", f"id % {height} AS y")
+    cover = exact_cover(in_cells, all_cells).select(F.lit(None).cast("string").alias("file"), c("x").cast("long").alias("x"), c("y").cast("long").alias("y"), F.when(c("times") > 1, "overlap").otherwise("hole").alias("reason"))
+    return bad.unionByName(more).unionByName(cover)
+
+
 def verify_bindings(recorded: DataFrame, current: DataFrame, key: str, digest: str) -> DataFrame:
     """What makes a stored result stale: key and ``reason``: changed, gone or new."""
     r, c = recorded.select(key, F.col(digest).alias("_r")), current.select(key, F.col(digest).alias("_c"))

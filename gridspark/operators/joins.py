@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Side of a bucket of the rectangle join.
-BUCKET = 64
+#: Side of the smallest buckets of the rectangle join, and how many times as wide those of the next level are.
+BUCKET, SPREAD = 64, 8
 
 #: Direction: (dx, dy, bit). The first four make the 4-mask.
 DIRECTIONS = {"n": (0, -1, 1), "w": (-1, 0, 2), "e": (1, 0, 4), "s": (0, 1, 8), "nw": (-1, -1, 16), "ne": (1, -1, 32), "sw": (-1, 1, 64), "se": (1, 1, 128)}
@@ -156,21 +156,36 @@ def runs_join(a: DataFrame, b: DataFrame, value: str = "kind", stride: int = 16,
 
 
 def rect_overlap(commands: DataFrame, rects: DataFrame, bucket: int = BUCKET, world: Sequence[str] = ()) -> DataFrame:
-    """Commands (dx, dy, dw, dh, ...) that meet each rectangle (rect_id, rx, ry, rw, rh), with local_x and local_y.
+    """Commands (dx, dy, dw, dh, ...) that meet each rectangle (rect_id, rx, ry, rw, rh), with local_x and local_y. Empty ones meet nothing.
 
-    Both sides go to the buckets that they touch; a pair counts in the bucket of its overlap's top left corner, so no distinct is
-    needed. Coordinates may be below zero.
+    Buckets have levels: those of the next are ``SPREAD`` times as wide. A rectangle lies on the first level where it is no longer than SPREAD buckets,
+    so it touches (SPREAD + 1) squared at most, however large it is. Pairs meet on the larger one's level, where the smaller touches fewer: each side is also
+    sent to the higher levels that the other side has. A pair counts in the bucket of its overlap's top left corner, so no distinct is needed.
+    Coordinates may be below zero. Both sides are shuffled: their sizes after the spread aren't known beforehand.
     """
 
-    def spread(df: DataFrame, x: str, y: str, w: str, h: str) -> DataFrame:
-        cells = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / F.lit(bucket)), F.floor((F.col(at) + F.col(size) - 1) / F.lit(bucket))))
-        return df.where((F.col(w) > 0) & (F.col(h) > 0)).withColumn("_bx", cells(x, w)).withColumn("_by", cells(y, h))
-
-    pairs = spread(commands, "dx", "dy", "dw", "dh").join(spread(rects, "rx", "ry", "rw", "rh"), [*world, "_bx", "_by"])
-    left, top = F.greatest("dx", "rx"), F.greatest("dy", "ry")
-    meets = (left < F.least(F.col("dx") + F.col("dw"), F.col("rx") + F.col("rw"))) & (top < F.least(F.col("dy") + F.col("dh"), F.col("ry") + F.col("rh")))
-    once = (F.floor(left / F.lit(bucket)) == F.col("_bx")) & (F.floor(top / F.lit(bucket)) == F.col("_by"))
-    return pairs.where(meets & once).withColumns({"local_x": F.col("dx") - F.col("rx"), "local_y": F.col("dy") - F.col("ry")}).drop("_bx", "_by")
+    def sized(df: DataFrame, w: str, h: str) -> DataFrame:
+        longest = F.greatest(F.col(w), F.col(h)).cast("double")
+        return df.where((F.col(w) > 0) & (F.col(h) > 0)).withColumn("_own", F.greatest(F.lit(0), F.ceil(F.log(longest / (bucket * SPREAD)) / F.log(F.lit(float(SPREAD))) - 1e-9)).cast("int"))
+
+    left, right = sized(commands, "dw", "dh"), sized(rects, "rw", "rh")
+    levels = lambda df: sorted(r._own for r in df.select("_own").distinct().collect())  # noqa: E731  # a few numbers: logarithms of sizes
+    have = levels(left), levels(right)
+
+    def spread(df: DataFrame, x: str, y: str, w: str, h: str, others: list[int]) -> DataFrame:
+        """A row for each bucket of the own level, and of the higher ones that the other side has."""
+        higher = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col("_own"))
+        placed = df.withColumn("_level", F.explode(F.array_union(F.array("_own"), higher))).withColumn("_side", F.pow(F.lit(float(SPREAD)), F.col("_level")).cast("long") * bucket)
+        cells = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / F.col("_side")), F.floor((F.col(at) + F.col(size) - 1) / F.col("_side"))))
+        return placed.withColumn("_bx", cells(x, w)).withColumn("_by", cells(y, h))
+
+    a = spread(left, "dx", "dy", "dw", "dh", have[1]).withColumnRenamed("_own", "_a")
+    b = spread(right, "rx", "ry", "rw", "rh", have[0]).withColumnRenamed("_own", "_b").drop("_side")
+    pairs = a.hint("shuffle_hash").join(b.hint("shuffle_hash"), [*world, "_level", "_bx", "_by"]).where(F.col("_level") == F.greatest("_a", "_b"))
+    x0, y0 = F.greatest("dx", "rx"), F.greatest("dy", "ry")
+    meets = (x0 < F.least(F.col("dx") + F.col("dw"), F.col("rx") + F.col("rw"))) & (y0 < F.least(F.col("dy") + F.col("dh"), F.col("ry") + F.col("rh")))
+    once = (F.floor(x0 / F.col("_side")) == F.col("_bx")) & (F.floor(y0 / F.col("_side")) == F.col("_by"))
+    return pairs.where(meets & once).withColumns({"local_x": F.col("dx") - F.col("rx"), "local_y": F.col("dy") - F.col("ry")}).drop("_bx", "_by", "_level", "_side", "_a", "_b")
 
 
 def has_origin(cells: DataFrame, origins: DataFrame, complete: bool = True, world: Sequence[str] = ()) -> DataFrame:

@@ -119,14 +119,23 @@ def canonical_raw(raw: Column) -> Column:
     return F.when(F.length(raw) > 0, F.concat(F.unhex(F.lpad(F.hex(head), 2, "0")), F.substring(raw, F.lit(2), F.length(raw)))).otherwise(raw)
 
 
-def cull(commands: DataFrame, x: int, y: int, width: int, height: int, guard: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(kept, counts): the commands whose rectangle meets the output or its guard, and how many of each kind were kept and culled.
+def cull(commands: DataFrame, x: int, y: int, width: int, height: int, guard: int = 1, size: int = 16, unknown: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, counts): the commands that may show in the output, and how many of each kind were kept and culled. ``commands (kind, dx, dy, dw, dh, ...)``.
 
-    Required assets are to be taken before the cull.
+    A command goes if its rectangle (of positive size) lies beyond the output and its guard, and its owner, the cell (owner_x, owner_y) of
+    ``size`` pixels, isn't inside. Owners are looked at only where the columns are there; a null owner stays, and so does what ``unknown`` marks (such
+    as types of no known layer, which later steps must still report). Required assets are to be taken before the cull.
     """
-    meets = (F.col("dx") < x + width + guard) & (F.col("dx") + F.col("dw") > x - guard) & (F.col("dy") < y + height + guard) & (F.col("dy") + F.col("dh") > y - guard)
-    counts = commands.groupBy("kind").agg(F.count_if(meets).alias("kept"), F.count_if(~meets).alias("culled"))
-    return commands.where(meets), counts
+    beyond = (F.col("dw") > 0) & (F.col("dh") > 0) & ((F.col("dx") + F.col("dw") + guard <= x) | (F.col("dy") + F.col("dh") + guard <= y) | (F.col("dx") - guard >= x + width) | (F.col("dy") - guard >= y + height))
+    goes = F.coalesce(beyond, F.lit(False))
+    if {"owner_x", "owner_y"} <= set(commands.columns):
+        left, top = F.col("owner_x") * size, F.col("owner_y") * size
+        inside = (left < x + width) & (top < y + height) & (left + size > x) & (top + size > y)
+        goes = goes & ~(inside | left.isNull() | top.isNull())
+    if unknown is not None:
+        goes = goes & ~F.coalesce(unknown, F.lit(True))
+    counts = commands.groupBy("kind").agg(F.count_if(~goes).alias("kept"), F.count_if(goes).alias("culled"))
+    return commands.where(~goes), counts
 
 
 def assign_chunk(cells: DataFrame, width: int = 128, height: int = 128) -> DataFrame:

@@ -22,12 +22,33 @@ def expand_runs(runs: DataFrame) -> DataFrame:
     return cells.drop("y0", "run_len")
 
 
-def compress_cells(cells: DataFrame, columns: Sequence[str], world: Sequence[str] = ()) -> DataFrame:
+#: Rows of a column that are sorted together.
+BAND_ROWS = 4096
+
+
+def compress_cells(cells: DataFrame, columns: Sequence[str], world: Sequence[str] = (), rows: int = BAND_ROWS) -> DataFrame:
     """Runs of vertically adjacent cells that agree on ``columns``: the keys, y0, run_len, columns. Nulls agree with nulls.
 
-    One sort of each column; only the first and the last cell of a run are kept, and each first cell then finds its last as the next row.
+    Columns are sorted in bands of ``rows``, so that a long one lies in many tasks. In a band only the first and the last cell of a run are
+    kept, and each first cell finds its last as the next row. Runs that touch a band's edge, two a band at most, are stitched: by one sort
+    of a column's edge runs.
     """
     column = [*world, "x"]
+    first = (F.col("y0") == F.col("_band") * rows) | (F.col("y0") + F.col("run_len") == (F.col("_band") + 1) * rows)
+    banded = _runs_of(cells.select(*column, "y", *columns, F.floor(F.col("y") / F.lit(rows)).alias("_band")), columns, [*column, "_band"])
+    marked = banded.withColumn("_edge", first)
+    order = Window.partitionBy(*column).orderBy("y0")
+    follows = F.lag(F.col("y0") + F.col("run_len")).over(order) == F.col("y0")
+    for c in columns:
+        follows &= F.col(c).eqNullSafe(F.lag(c).over(order))
+    edges = marked.where("_edge").withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_new").over(order))
+    stitched = edges.groupBy(*column, "_run").agg(F.min("y0").alias("y0"), F.sum("run_len").cast("int").alias("run_len"), *[F.first(c).alias(c) for c in columns])
+    names = [*column, "y0", "run_len", *columns]
+    return marked.where("NOT _edge").select(*names).unionByName(stitched.select(*names))
+
+
+def _runs_of(cells: DataFrame, columns: Sequence[str], column: Sequence[str]) -> DataFrame:
+    """Runs of the cells of one group of keys each: one sort of every group."""
     order = Window.partitionBy(*column).orderBy("y")
 
     def agrees(f: Callable[[str], Column], step: int) -> Column:
@@ -36,7 +57,7 @@ def compress_cells(cells: DataFrame, columns: Sequence[str], world: Sequence[str
             same &= F.col(c).eqNullSafe(f(c).over(order))
         return F.coalesce(same, F.lit(False))
 
-    ends = cells.select(*column, "y", *columns).withColumns({"_first": ~agrees(F.lag, -1), "_last": ~agrees(F.lead, 1)}).where("_first or _last")
+    ends = cells.withColumns({"_first": ~agrees(F.lag, -1), "_last": ~agrees(F.lead, 1)}).where("_first or _last")
     length = F.when(F.col("_last"), 1).otherwise(F.lead("y").over(order) - F.col("y") + 1).cast("int")
     return ends.withColumn("run_len", length).where("_first").select(*column, F.col("y").alias("y0"), "run_len", *columns)
 

@@ -48,15 +48,30 @@ def connect8(cells: DataFrame, rules: DataFrame, attaches: Column, world: Sequen
     return bits.select(*world, "x", "y", F.col("_b").bitwiseAND(15).alias("mask"), (corner(3, 16) + corner(5, 32) + corner(10, 64) + corner(12, 128)).alias("corners"))
 
 
-def liquid_surface(cells: DataFrame, world: Sequence[str] = ()) -> DataFrame:
-    """Wet cells with their openings, fill height and whether they are a surface. ``cells (x, y, level, is_solid)``.
+def liquid_atlas(left: Column, right: Column, top: Column, y: Column) -> tuple[Column, Column]:
+    """Column and row of a flat liquid's source rectangle by its open sides."""
+    sx = F.when(left & right, 16).when(left, 0).when(right, 32).otherwise(16)
+    by_row = F.when(F.pmod(y, F.lit(2)) == 0, 32).otherwise(16)
+    return sx, F.when(left & right, F.when(top, 16).otherwise(32)).when(top, 0).when(left | right, by_row).otherwise(48)
 
-    A side is open where its cell is there, dry and not solid.
+
+def at_surface(sx: Column, base: Column, y: Column, surface: float | None) -> Column:
+    """Whether a flat liquid is the world's surface: middle column, open above, below 40 rows over ``surface``; none is where that isn't known."""
+    return (sx == 16) & (base == 0) & (y > surface - 40) if surface is not None else F.lit(False)
+
+
+def liquid_surface(cells: DataFrame, world: Sequence[str] = (), surface: float | None = None) -> DataFrame:
+    """Wet cells: liquid, openings, the atlas' column and row (``sx``, ``base``), fill height and whether they are the world's surface (whose row is
+    ``surface``, if known). ``cells (x, y, level, liquid, is_solid)``.
+
+    A side is closed by a solid cell and by liquid of the same kind; dry cells, other liquids and the grid's edge leave it open.
     """
-    seen = _seen(cells, ["w", "e", "n"], ["level", "is_solid"], world).where("level > 0")
-    open_ = lambda d: ~F.coalesce(F.col(f"at_{d}.is_solid") | (F.col(f"at_{d}.level") > 0), F.lit(True))
-    surface = F.coalesce(F.col("at_n.level"), F.lit(0)) == 0
-    return seen.select(*world, "x", "y", "level", open_("w").alias("open_left"), open_("e").alias("open_right"), open_("n").alias("open_top"), fill_height(F.col("level")).alias("height"), surface.alias("surface"))
+    seen = _seen(cells, ["w", "e", "n"], ["level", "liquid", "is_solid"], world).where("level > 0")
+    closed = lambda d: F.col(f"at_{d}.is_solid") | ((F.col(f"at_{d}.level") > 0) & (F.col(f"at_{d}.liquid") == F.col("liquid")))
+    opened = seen.withColumns({f"open_{name}": ~F.coalesce(closed(d), F.lit(False)) for name, d in (("left", "w"), ("right", "e"), ("top", "n"))})
+    sx, base = liquid_atlas(F.col("open_left"), F.col("open_right"), F.col("open_top"), F.col("y"))
+    shown = opened.withColumns({"sx": sx, "base": base}).withColumn("surface", at_surface(F.col("sx"), F.col("base"), F.col("y"), surface))
+    return shown.select(*world, "x", "y", "liquid", "level", "open_left", "open_right", "open_top", "sx", "base", fill_height(F.col("level")).alias("height"), "surface")
 
 
 def liquid_candidates(cells: DataFrame, world: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from gridspark.plans import audit, overview
 from gridspark.plans.counts import CELLS, MEANS, OMISSIONS, omissions
 from gridspark.plans.neighbours import ASSETS_SQL, MASK4, REQUESTED_SQL, assets, requested
 from gridspark.operators.ranks import with_place
-from gridspark.plans.registry import query
+from gridspark.plans.registry import at, query
 from gridspark.sources import views
 
 C = F.col
@@ -41,18 +41,20 @@ def dm02_connect8(spark, d):
 
 
 @query(
-    """, c AS (SELECT x, y, CASE WHEN kind >= 0 THEN level ELSE 0 END AS wet, kind = -2 AS solid FROM g_dense)
-SELECT c.x, c.y, c.wet AS level, NOT coalesce(l.solid OR l.wet > 0, TRUE) AS open_left, NOT coalesce(r.solid OR r.wet > 0, TRUE) AS open_right, NOT coalesce(u.solid OR u.wet > 0, TRUE) AS open_top,
-    ceil(c.wet / 255.0::DOUBLE * 16)::INT AS height, coalesce(u.wet, 0) = 0 AS surface FROM c LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 WHERE c.wet > 0"""
+    f""", o AS (SELECT *, {{{{'k': liquid, 'wet': level > 0, 'solid': is_solid}}}} AS own FROM g_tiles), n AS (SELECT *, {at('own', 'x', -1)} AS w, {at('own', 'x', 1)} AS e, {at('own', 'y', -1)} AS u FROM o),
+p AS (SELECT *, NOT coalesce(w.solid OR (w.wet AND w.k = liquid), FALSE) AS open_left, NOT coalesce(e.solid OR (e.wet AND e.k = liquid), FALSE) AS open_right, NOT coalesce(u.solid OR (u.wet AND u.k = liquid), FALSE) AS open_top FROM n WHERE level > 0),
+q AS (SELECT *, CASE WHEN open_left AND open_right THEN 16 WHEN open_left THEN 0 WHEN open_right THEN 32 ELSE 16 END AS sx,
+    CASE WHEN open_left AND open_right THEN CASE WHEN open_top THEN 16 ELSE 32 END WHEN open_top THEN 0 WHEN open_left OR open_right THEN CASE WHEN y % 2 = 0 THEN 32 ELSE 16 END ELSE 48 END AS base FROM p)
+SELECT x, y, liquid, level, open_left, open_right, open_top, sx, base, ceil(level / 255.0::DOUBLE * 16)::INT AS height, sx = 16 AND base = 0 AND y > 70 - 40 AS surface FROM q""".replace("{{", "{").replace("}}", "}")
 )
 def dm03_liquid_surface(spark, d):
-    cells = views.g_dense(spark, d).selectExpr("x", "y", "CASE WHEN kind >= 0 THEN level ELSE 0L END AS level", "kind = -2 AS is_solid")
-    return terrain.liquid_surface(cells)
+    """Openings and atlas places of the liquids of world files; the surface is row 70."""
+    return terrain.liquid_surface(views.g_tiles(spark, d), surface=70.0)
 
 
 @query(
-    """, c AS (SELECT x, y, CASE WHEN kind >= 0 THEN level ELSE 0 END AS wet, kind = -2 AS solid, level % 6 = 0 AS half FROM g_dense),
-n AS (SELECT c.*, coalesce(u.wet > 0, FALSE) AS uw, coalesce(l.wet > 0, FALSE) AS lw, coalesce(r.wet > 0, FALSE) AS rw, coalesce(d.half, FALSE) AS dh FROM c LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c d ON d.x = c.x AND d.y = c.y + 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y)
+    f""", o AS (SELECT x, y, CASE WHEN kind >= 0 THEN level ELSE 0 END AS wet, kind = -2 AS solid, level % 6 = 0 AS half FROM g_dense),
+n AS (SELECT *, coalesce({at('wet', 'y', -1)} > 0, FALSE) AS uw, coalesce({at('wet', 'x', -1)} > 0, FALSE) AS lw, coalesce({at('wet', 'x', 1)} > 0, FALSE) AS rw, coalesce({at('half', 'y', 1)}, FALSE) AS dh FROM o)
 SELECT x, y, CASE WHEN wet = 0 AND NOT (uw OR lw OR rw) THEN 'dry' WHEN solid AND NOT half THEN 'occluded' WHEN half OR dh THEN 'full rules' ELSE 'ordinary' END AS class, uw::INT + 2 * lw::INT + 4 * rw::INT AS bits FROM n"""
 )
 def dm04_liquid_candidates(spark, d):

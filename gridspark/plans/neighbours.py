@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import wall_variant
 from gridspark.operators import joins
-from gridspark.plans.registry import query
+from gridspark.plans.registry import at, query
 from gridspark.sources import facts, views
 
 C = F.col
 
 MASK4 = """(coalesce((SELECT 1 FROM p WHERE p.x = g.x AND p.y = g.y - 1), 0) + coalesce((SELECT 2 FROM p WHERE p.x = g.x - 1 AND p.y = g.y), 0)
     + coalesce((SELECT 4 FROM p WHERE p.x = g.x + 1 AND p.y = g.y), 0) + coalesce((SELECT 8 FROM p WHERE p.x = g.x AND p.y = g.y + 1), 0))::INT"""
-EIGHT = {"n": "g.x, g.y - 1", "w": "g.x - 1, g.y", "e": "g.x + 1, g.y", "s": "g.x, g.y + 1", "nw": "g.x - 1, g.y - 1", "ne": "g.x + 1, g.y - 1", "sw": "g.x - 1, g.y + 1", "se": "g.x + 1, g.y + 1"}
-EIGHT_JOINS = " ".join(f"LEFT JOIN g_dense t_{d} ON t_{d}.x = {at.split(', ')[0]} AND t_{d}.y = {at.split(', ')[1]}" for d, at in EIGHT.items())
+#: The kinds above and below each cell, and then those of the columns beside.
+TALL = f", v AS (SELECT x, y, kind, {at('kind', 'y', -1)} AS n, {at('kind', 'y', 1)} AS s FROM g_dense)"
+EIGHT = ", ".join(f"{at(value, 'x', step)} AS {prefix}{side}" for prefix, value in (("", "kind"), ("n", "n"), ("s", "s")) for side, step in (("w", -1), ("e", 1)))
 
 
 @query("SELECT x, y, CASE WHEN level % 9 = 0 OR level % 11 = 0 THEN FALSE ELSE solid END AS is_solid FROM g_dense LEFT JOIN d_kind USING (kind)")
@@ -68,7 +69,7 @@ def jn03_neighbors4_sparse(spark, d):
     return joins.neighbors4(views.g_sparse(spark, d), F.col("kind") != "R")
 
 
-@query(f"SELECT g.x, g.y, {', '.join(f't_{k}.kind AS {k}' for k in EIGHT)} FROM g_dense g {EIGHT_JOINS}")
+@query(f"{TALL} SELECT x, y, n, s, {EIGHT} FROM v")
 def jn04_neighbors8(spark, d):
     return joins.neighbors8(views.g_dense(spark, d), "kind")
 
@@ -103,7 +104,7 @@ def jn07_rect_overlap(spark, d):
     return joins.rect_overlap(views.cmds(spark, d), rects).select("seq", "rect_id", "local_x", "local_y")
 
 
-@query("SELECT x, y, CASE WHEN hit THEN TRUE END AS has_origin FROM g_dense LEFT JOIN (SELECT x, y, TRUE AS hit FROM g_dense WHERE kind = 1 AND level > 150) o USING (x, y)")
+@query("SELECT x, y, CASE WHEN bool_or(kind = 1 AND level > 150) OVER (PARTITION BY x, y) THEN TRUE END AS has_origin FROM g_dense")
 def jn08_has_origin(spark, d):
     cells = views.g_dense(spark, d)
     return joins.has_origin(cells, cells.where("kind = 1 AND level > 150"), complete=False).select("x", "y", "has_origin")
@@ -128,7 +129,8 @@ def jn10_invalid_crops(spark, d):
     return joins.invalid_crops(crops, assets(spark)).select("seq", "asset")
 
 
-@query("SELECT g.x, g.y, CASE WHEN p.x IS NULL THEN g.kind ELSE p.kind END AS kind, coalesce(p.level, g.level) AS level FROM g_dense g LEFT JOIN (SELECT * FROM g_dense WHERE x < 100 AND y < 30) p ON g.x = p.x + 20 AND g.y = p.y + 10")
+@query(f""", p AS (SELECT *, CASE WHEN x < 100 AND y < 30 THEN kind END AS pk, CASE WHEN x < 100 AND y < 30 THEN level END AS pl FROM g_dense), q AS (SELECT *, {at('pk', 'y', -10)} AS qk, {at('pl', 'y', -10)} AS ql FROM p)
+SELECT x, y, coalesce({at('qk', 'x', -20)}, kind) AS kind, coalesce({at('ql', 'x', -20)}, level) AS level FROM q""")
 def jn11_overlay(spark, d):
     cells = views.g_dense(spark, d)
     return joins.overlay(cells, cells.where("x < 100 AND y < 30"), 20, 10, ["kind", "level"])
@@ -192,7 +194,7 @@ def jn17_frame_lookup(spark, d):
     return joins.frame_lookup(blocks.withColumn("variant", wall_variant(C("mask"), C("x"), C("y")).cast("int")), walls, "variant").select("x", "y", "mask", "sx", "sy", "variant", "wall_sx", "wall_sy")
 
 
-@query("SELECT g.x, g.y, CASE WHEN g.kind = 1 THEN coalesce(nullif(w.kind, -1), nullif(e.kind, -1), nullif(n.kind, -1)) END AS chosen FROM g_dense g LEFT JOIN g_dense w ON w.x = g.x - 1 AND w.y = g.y LEFT JOIN g_dense e ON e.x = g.x + 1 AND e.y = g.y LEFT JOIN g_dense n ON n.x = g.x AND n.y = g.y - 1")
+@query(f"SELECT x, y, CASE WHEN kind = 1 THEN coalesce(nullif({at('kind', 'x', -1)}, -1), nullif({at('kind', 'x', 1)}, -1), nullif({at('kind', 'y', -1)}, -1)) END AS chosen FROM g_dense")
 def jn18_neighbor_priority(spark, d):
     return joins.neighbor_priority(views.g_dense(spark, d), "kind", ["w", "e", "n"], F.col("kind") == 1, none=-1)
 

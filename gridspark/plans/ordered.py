@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridspark.operators import order, sets, windows
-from gridspark.plans.registry import query
+from gridspark.plans.registry import at, query
 from gridspark.sources import facts, views
 
 
@@ -38,11 +38,12 @@ def wn04_first_appearance_rank(spark, d):
 
 #: Wet, solid and half cells, with the liquids of world files.
 WET_SQL = """, c AS (SELECT x, y, liquid, level, is_solid, shape = 1 AND type NOT IN (19, 427, 435, 436, 437, 438, 439) AS half, (level / 255.0::DOUBLE)::FLOAT AS v FROM g_tiles),
-j AS (SELECT c.x, c.y, c.liquid, c.level, c.is_solid, c.v, c.half AND coalesce(u.level > 0, FALSE) AS whole, u.liquid AS uk, l.liquid AS lk,
-    CASE WHEN u.level > 0 AND d.level > 0 AND u.liquid = d.liquid AND NOT u.is_solid AND NOT d.is_solid THEN u.v + d.v END AS down, CASE WHEN l.level > 0 AND r.level > 0 AND l.liquid = r.liquid AND NOT l.is_solid AND NOT r.is_solid THEN l.v + r.v END AS across
-    FROM c LEFT JOIN c u ON u.x = c.x AND u.y = c.y - 1 LEFT JOIN c d ON d.x = c.x AND d.y = c.y + 1 LEFT JOIN c l ON l.x = c.x - 1 AND l.y = c.y LEFT JOIN c r ON r.x = c.x + 1 AND r.y = c.y),
+k AS (SELECT *, {'level': level, 'liquid': liquid, 'is_solid': is_solid, 'v': v} AS own FROM c),
+n AS (SELECT *, @NEAR@ FROM k),
+j AS (SELECT x, y, liquid, level, is_solid, v, half AND coalesce(u.level > 0, FALSE) AS whole, u.liquid AS uk, l.liquid AS lk,
+    CASE WHEN u.level > 0 AND d.level > 0 AND u.liquid = d.liquid AND NOT u.is_solid AND NOT d.is_solid THEN u.v + d.v END AS down, CASE WHEN l.level > 0 AND r.level > 0 AND l.liquid = r.liquid AND NOT l.is_solid AND NOT r.is_solid THEN l.v + r.v END AS across FROM n),
 s AS (SELECT x, y, (CASE WHEN whole THEN 1 WHEN level > 0 OR is_solid THEN v ELSE greatest(coalesce(down, 0::FLOAT), coalesce(across, 0::FLOAT)) * 0.5::FLOAT END)::FLOAT AS bridged, whole, is_solid,
-    CASE WHEN whole AND level = 0 THEN uk WHEN whole OR level > 0 OR is_solid THEN liquid WHEN across IS NOT NULL THEN lk WHEN down IS NOT NULL THEN uk ELSE liquid END AS bridge_kind FROM j)"""
+    CASE WHEN whole AND level = 0 THEN uk WHEN whole OR level > 0 OR is_solid THEN liquid WHEN across IS NOT NULL THEN lk WHEN down IS NOT NULL THEN uk ELSE liquid END AS bridge_kind FROM j)""".replace("@NEAR@", ", ".join(f"{at('own', axis, step)} AS {name}" for name, axis, step in (("u", "y", -1), ("d", "y", 1), ("l", "x", -1), ("r", "x", 1))))
 
 
 @query(WET_SQL + ' SELECT x, y, bridged, bridge_kind, whole AS "full" FROM s')
@@ -87,7 +88,7 @@ def wn06_fall_levels_chained(spark, d):
     return windows.fall_levels(seeds).select("x", "y", "fallen", "fall_kind", "opacity")
 
 
-@query("SELECT g.x, g.y, CASE WHEN a.x IS NOT NULL AND b.x IS NOT NULL THEN (2 * g.level + a.level + b.level) / 4.0::DOUBLE ELSE g.level::DOUBLE END AS smooth FROM g_dense g LEFT JOIN g_dense a ON a.y = g.y AND a.x = g.x - 1 LEFT JOIN g_dense b ON b.y = g.y AND b.x = g.x + 1")
+@query(f", n AS (SELECT *, {at('level', 'x', -1)} AS a, {at('level', 'x', 1)} AS b FROM g_dense) SELECT x, y, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (2 * level + a + b) / 4.0::DOUBLE ELSE level::DOUBLE END AS smooth FROM n")
 def wn07_smooth121(spark, d):
     return windows.smooth121(views.g_dense(spark, d), "level", "x").select("x", "y", "smooth")
 

@@ -18,6 +18,7 @@ from gridspark.functions.scalars import asset_name, fill_height, wall_variant
 from gridspark.operators.joins import FAMILIES, with_ring
 from gridspark.operators.order import draw_order
 from gridspark.operators.project import visible_block, visible_wall
+from gridspark.operators.terrain import at_surface, liquid_atlas
 from gridspark.sources import facts
 
 #: Particle emitters have no body; types that liquids need more context for; textures of water, lava and honey.
@@ -103,18 +104,6 @@ def _with_walls(cells: DataFrame, reveal: bool) -> DataFrame:
     return mask.withColumn("_wall", F.when(F.col("wall") > 0, entry)).drop("_wm")
 
 
-def liquid_atlas(left: Column, right: Column, top: Column, y: Column) -> tuple[Column, Column]:
-    """Column and row of a flat liquid's source rectangle by its open sides."""
-    sx = F.when(left & right, 16).when(left, 0).when(right, 32).otherwise(16)
-    by_row = F.when(F.pmod(y, F.lit(2)) == 0, 32).otherwise(16)
-    return sx, F.when(left & right, F.when(top, 16).otherwise(32)).when(top, 0).when(left | right, by_row).otherwise(48)
-
-
-def at_surface(sx: Column, base: Column, y: Column, surface: float | None) -> Column:
-    """Whether a flat liquid is the world's surface: middle column, open above, below 40 rows over ``surface``; none is where that isn't known."""
-    return (sx == 16) & (base == 0) & (y > surface - 40) if surface is not None else F.lit(False)
-
-
 def _with_liquids(cells: DataFrame, water_style: int, surface: float | None) -> DataFrame:
     """Adds ``_pool``: the entry of a cell's liquid, or of a dry solid shape's beside wet cells: refused by the first reason around it, full beside
     shapes, or flat."""

@@ -11,6 +11,12 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
+def at(value: str, axis: str, step: int) -> str:
+    """SQL of ``value`` at the cell ``step`` further along an axis of a grid; null where there is none."""
+    other, far, way = "y" if axis == "x" else "x", abs(step), "FOLLOWING" if step > 0 else "PRECEDING"
+    return f"max({value}) OVER (PARTITION BY {other} ORDER BY {axis} RANGE BETWEEN {far} {way} AND {far} {way})"
+
+
 def query(sql: str | None = None):
     """Registers a function (spark, sf_dir) under its own name; ``sql`` may use the views."""
 

@@ -153,6 +153,19 @@ def prj09_cull(spark, d):
     return counts.join(sums, "kind", "left").select("kind", "kept", "culled", F.coalesce("kept_seq", F.lit(0).cast("long")).alias("kept_seq"))
 
 
+@query(
+    """, o AS (SELECT *, CASE WHEN seq % 50 <> 0 THEN dx // 16 + seq % 41 - 20 END AS ox, dy // 16 + seq % 3 - 1 AS oy, dx < 801 AND dx + dw > 99 AND dy < 601 AND dy + dh > 199 AS meets FROM cmds),
+k AS (SELECT *, meets OR ox IS NULL OR (ox * 16 < 800 AND oy * 16 < 600 AND ox * 16 + 16 > 100 AND oy * 16 + 16 > 200) OR seq % 97 = 0 AS keep FROM o)
+SELECT kind, count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS culled, count(*) FILTER (keep AND NOT meets) AS by_owner FROM k GROUP BY kind"""
+)
+def prj09_cull_by_owner(spark, d):
+    """Commands outside the output stay where their owner is inside or unknown, or their layer is."""
+    owned = views.cmds(spark, d).selectExpr("*", "CASE WHEN seq % 50 <> 0 THEN dx div 16 + seq % 41 - 20 END AS owner_x", "dy div 16 + seq % 3 - 1 AS owner_y")
+    kept, counts = project.cull(owned, 100, 200, 700, 400, unknown=F.col("seq") % 97 == 0)
+    more = kept.where("NOT (dx < 801 AND dx + dw > 99 AND dy < 601 AND dy + dh > 199)").groupBy("kind").agg(F.count("*").alias("by_owner"))
+    return counts.join(more, "kind", "left").select("kind", "kept", "culled", F.coalesce("by_owner", F.lit(0).cast("long")).alias("by_owner"))
+
+
 @query("SELECT x, y, x // 128 AS cx, (y // 128)::BIGINT AS cy FROM g_dense")
 def prj10_assign_chunk(spark, d):
     return project.assign_chunk(views.g_dense(spark, d)).select("x", "y", "cx", "cy")

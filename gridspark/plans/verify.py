@@ -23,6 +23,31 @@ def vf01_verify_manifest(spark, d):
     return checks.verify_manifest(m, a, "doc_id", ["bytes", "sha"])
 
 
+#: Pieces of 32 by 16 cells of the dense grid, some of them damaged by their number.
+PIECES = """, g AS (SELECT x // 32 AS cx, y // 16 AS cy, min(x) AS wx, min(y) AS wy, max(x) - min(x) + 1 AS ww, max(y) - min(y) + 1 AS wh, sum(level)::BIGINT AS bytes FROM g_dense GROUP BY 1, 2), k AS (SELECT *, cx * 4 + cy AS k, concat('tile-', cx, '-', cy, '.png') AS file FROM g),
+m AS (SELECT k, CASE k % 23 WHEN 1 THEN concat('piece-', cx, '-', cy, '.png') ELSE file END AS file, wx * 16 + CASE k % 23 WHEN 2 THEN 8 WHEN 3 THEN 16 ELSE 0 END AS x, wy * 16 AS y, ww * 16 AS width, wh * 16 AS height, wx AS world_x, wy AS world_y, ww AS world_width, wh AS world_height, bytes FROM k WHERE k % 23 <> 4
+    UNION ALL SELECT k, file, wx * 16, wy * 16, ww * 16, wh * 16, wx, wy, ww, wh, bytes FROM k WHERE k % 23 = 5),
+f AS (SELECT k, CASE k % 23 WHEN 1 THEN concat('piece-', cx, '-', cy, '.png') ELSE file END AS file, ww * 16 + CASE k % 23 WHEN 6 THEN 16 ELSE 0 END AS width, wh * 16 AS height, bytes + CASE k % 23 WHEN 7 THEN 1 ELSE 0 END AS bytes FROM k WHERE k % 23 <> 8)"""
+PIECES_SPARK = PIECES.lstrip(", ").replace("x // 32", "x div 32").replace("y // 16", "y div 16").replace("::BIGINT", "")
+
+
+@query(
+    PIECES + """, r AS (SELECT m.file, CASE WHEN count(*) OVER (PARTITION BY m.file) > 1 THEN 'repeated' WHEN m.file LIKE 'piece%' THEN 'name' WHEN f.file IS NULL THEN 'missing' WHEN f.width <> m.width THEN 'dimensions' WHEN f.bytes <> m.bytes THEN 'bytes' WHEN m.x % 16 <> 0 THEN 'alignment'
+    WHEN m.x <> world_x * 16 THEN 'position' WHEN m.x + m.width > (SELECT max(x) + 1 FROM g_dense) * 16 THEN 'outside' END AS reason FROM m LEFT JOIN f USING (file)),
+t AS (SELECT gx AS x, gy AS y, count(*) AS times FROM m, LATERAL (SELECT unnest(range(m.x // 16, (m.x + m.width) // 16)) AS gx), LATERAL (SELECT unnest(range(m.y // 16, (m.y + m.height) // 16)) AS gy) WHERE m.x % 16 = 0 GROUP BY 1, 2)
+SELECT file, NULL::BIGINT AS x, NULL::BIGINT AS y, reason FROM r WHERE reason IS NOT NULL UNION ALL SELECT file, NULL, NULL, 'additional' FROM f WHERE file NOT IN (SELECT file FROM m)
+UNION ALL SELECT NULL, coalesce(g.x, t.x)::BIGINT, coalesce(g.y, t.y)::BIGINT, CASE WHEN times > 1 THEN 'overlap' ELSE 'hole' END FROM g_dense g FULL JOIN t ON g.x = t.x AND g.y = t.y WHERE coalesce(times, 0) <> 1 OR g.x IS NULL"""
+)
+def vf01_verify_pieces(spark, d):
+    """The pieces of a grid with repeated, misnamed, missing, resized, changed, misaligned, moved and additional ones, and the cells that they cover wrongly."""
+    grid = views.g_dense(spark, d)
+    made = lambda name, *more: spark.sql(f"WITH {PIECES_SPARK} SELECT * FROM {name}".replace("FROM g_dense", "FROM {grid}"), grid=grid).selectExpr("file", "width", "height", "bytes", "sha2(cast(bytes AS string), 256) AS sha256", *more)
+    place = ("x", "y", "world_x", "world_y", "world_width", "world_height")
+    side = grid.agg(F.max("x").alias("x"), F.max("y").alias("y")).first()
+    files = made("f").withColumn("sha256", F.sha2(F.col("bytes").cast("string"), 256))
+    return checks.verify_pieces(made("m", *place), files, (0, 0, side.x + 1, side.y + 1))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 29 = 0 THEN 'gone' WHEN doc_id % 31 = 0 THEN 'new' ELSE 'changed' END AS reason FROM documents WHERE (doc_id % 29 = 0) <> (doc_id % 31 = 0) OR (doc_id % 13 = 0 AND doc_id % 29 <> 0 AND doc_id % 31 <> 0)")
 def vf02_verify_bindings(spark, d):
     docs = views.table(spark, d, "documents").selectExpr("doc_id", "sha2(cast(text AS binary), 256) AS sha")
