@@ -5,17 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import beside, with_ring
 from .ranks import with_place
+from .storage import discard, stored
 
 #: Rows over which a falling liquid fades, by kind.
 FALL_LENGTH = {1: 10, 2: 3, 3: 2, 4: 10}
-#: Columns that make a group of chained falls.
-COLUMNS = 64
+#: Rows of a column that chained falls are folded over at once.
+FALL_ROWS = 256
 
 
 def vertical_context(cells: DataFrame, value: str, world: Sequence[str] = ()) -> DataFrame:
@@ -89,7 +89,24 @@ def fall_levels_single(cells: DataFrame, length: int = 10, world: Sequence[str]
     return marked.withColumn("fallen", F.when(open_, fading).otherwise(F.lit(0).cast("long"))).drop("_s", "_b")
 
 
-def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, world: Sequence[str] = ()) -> DataFrame:
+FALL_CELL = "struct<seed: float, total: float, kind: int, hard: boolean>"
+FALL_STATE = f"struct<last: bigint, above: array<{FALL_CELL}>, out: array<struct<fallen: float, kind: int, opacity: float>>>"
+
+
+def _weights(lengths: Mapping[int, int]) -> str:
+    """SQL of the weights by kind and distance: one less one equal step a row, each rounded to single precision."""
+    rows = []
+    for kind in range(max(lengths, default=0) + 1):
+        weight, out = np.float32(1), []
+        step = np.float32(1 / (lengths[kind] + 1)) if kind in lengths else None
+        for _ in range(lengths.get(kind, 0)):
+            weight = np.float32(weight - step)
+            out.append(f"float('{weight}')")
+        rows.append(f"array({', '.join(out)})" if out else "cast(array() AS array<float>)")
+    return f"array({', '.join(rows)})"
+
+
+def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, world: Sequence[str] = (), rows: int = FALL_ROWS) -> DataFrame:
     """Chained falls. Adds ``fallen`` (0 to 1, single precision), ``fall_kind`` and ``opacity``.
 
     Every cell with a seed is a source for the ``lengths`` (by kind) rows under it, down to the first solid; what it gives is its own
@@ -97,50 +114,45 @@ def fall_levels(cells: DataFrame, lengths: Mapping[int, int] = FALL_LENGTH, worl
     that it is given. An empty cell has the kind and the weight of the nearest source, other cells have their own kind and weight
     1. Solid cells that aren't full are at level 1 with opacity 0 and give nothing; a full seed takes nothing.
 
-    ``cells (world, x, y, liquid, level, is_solid, full)`` with the seed ``level`` (0 to 1) and ``liquid``, its kind (see bridge_levels). What a
-    cell gives depends on all cells above it, so each column is one ordered pass; ``COLUMNS`` columns are a group. A hole stops falls.
+    ``cells (world, x, y, liquid, level, is_solid, full)`` with the seed ``level`` (0 to 1) and ``liquid``, its kind (see bridge_levels). A hole stops
+    falls. What a cell gives depends on all above it, so this is a scan, in bands of ``rows`` rows: each is folded in the JVM, first as if nothing fell into
+    it, then again with what the band above hands on (its last rows that still give), as long as that changes. A solid, a full cell or a few rows without
+    a seed end what is handed on, so there are few rounds, and no column is in one task.
     """
-    f32 = np.float32
-    weights = {}
-    for kind, length in lengths.items():
-        step, own = f32(1 / (length + 1)), [f32(1)]
-        for _ in range(length):
-            own.append(f32(own[-1] - step))
-        weights[kind] = own
     reach = max(lengths.values(), default=0)
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("x", "ascending"), ("y", "ascending")])
-        levels, kinds, shown = [], [], []
-        above: list[tuple[np.float32, np.float32, int, bool]] = []  # nearest first: seed, level with what came from above, kind, solid
-        last = None
-        for x, y, kind, seed, solid, full in zip(*(group[c].to_pylist() for c in ("x", "y", "liquid", "level", "is_solid", "full"))):
-            if last != (x, y - 1):
-                above = []
-            last, seed = (x, y), f32(seed)
-            level, opacity, own = seed, 1.0 if seed else 0.0, kind
-            if solid and not full:
-                level, opacity = f32(1), 0.0
-            elif seed != 1:
-                nearest = None
-                for distance, (source, total, other, hard) in enumerate(above, 1):
-                    if source and distance <= lengths.get(other, 0):
-                        level = max(level, f32(total * weights[other][distance]))
-                        nearest = nearest or (other, float(weights[other][distance]))
-                    if hard:
-                        break
-                if nearest and not seed:
-                    own, opacity = nearest
-            levels.append(float(level))
-            kinds.append(own)
-            shown.append(opacity)
-            above = [(f32(0) if solid and not full else seed, level, kind, solid), *above[: reach - 1]]
-        for name, column in (("fallen", pa.array(levels, pa.float32())), ("fall_kind", pa.array(kinds, pa.int32())), ("opacity", pa.array(shown, pa.float32()))):
-            group = group.append_column(name, column)
-        return group.drop_columns("_columns")
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields)
-    return cells.withColumn("_columns", F.floor(F.col("x") / F.lit(COLUMNS))).groupBy(*world, "_columns").applyInArrow(run, f"{kinds}, fallen float, fall_kind int, opacity float")
+    keys = [*world, "x", "_band"]
+    names = ["y", *[c for c in cells.columns if c not in {*world, "x", "y"}]]
+    own = F.floor(F.col("y") / F.lit(rows)).alias("_band")
+    bands = stored(cells.select(*world, "x", own, F.struct(*names).alias("_c")).groupBy(*keys).agg(F.array_sort(F.collect_list("_c")).alias("_cells")))
+    hits = (
+        "filter(transform(slice(above, 1, coalesce(nullif(array_position(transform(above, a -> a.hard), true), 0), size(above))),"
+        f" (a, i) -> struct(cast(a.total * get(get({_weights(lengths)}, a.kind), i) AS float) AS v, get(get({_weights(lengths)}, a.kind), i) AS w, a.kind AS k, a.seed AS seed)), h -> h.seed > 0 AND h.w IS NOT NULL)"
+    )
+    fall = "IF(shut, float(1), IF(seed = 1, seed, greatest(seed, array_max(transform(hits, h -> h.v)))))"
+    lent = "NOT shut AND seed = 0 AND size(hits) > 0"
+    made = f"struct({fall} AS fallen, IF({lent}, hits[0].k, c.liquid) AS kind, IF(shut, float(0), IF({lent}, hits[0].w, IF(seed <> 0, float(1), float(0)))) AS opacity)"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    after = f"cast(struct(c.y AS last, slice(concat(array(struct(IF(shut, float(0), seed) AS seed, m.fallen AS total, c.liquid AS kind, c.is_solid AS hard)), above), 1, {max(reach, 1)}) AS above, concat(s.out, array(m)) AS out) AS {FALL_STATE})"
+    step = let("above", f"IF(s.last = c.y - 1, s.above, cast(array() AS array<{FALL_CELL}>))", let("seed", "cast(c.level AS float)", let("shut", "c.is_solid AND NOT c.full", let("hits", hits, let("m", made, after)))))
+    folded = F.expr(f"aggregate(_cells, cast(struct(_band * {rows} - 1 AS last, _in AS above, array() AS out) AS {FALL_STATE}), (s, c) -> {step})")
+    # what still gives below a band: its last rows down to the first solid, if any of them is a source
+    gives = "transform(slice(above, 1, coalesce(nullif(array_position(transform(above, a -> a.hard), true), 0), size(above))), a -> a)"
+    handed = f"IF(_s.last = (_band + 1) * {rows} - 1 AND exists({gives.replace('above', '_s.above')}, a -> a.seed > 0), _s.above, cast(array() AS array<{FALL_CELL}>))"
+    run = lambda df: df.withColumn("_s", folded).select(*keys, "_in", F.col("_s.out").alias("_out"), F.expr(handed).alias("_on"))
+    nothing = F.expr(f"cast(array() AS array<{FALL_CELL}>)")
+    done = stored(run(bands.withColumn("_in", nothing)))
+    while True:
+        into = done.where("size(_on) > 0").select(*world, "x", (F.col("_band") + 1).alias("_band"), F.col("_on").alias("_now"))
+        due = done.drop("_out", "_on").join(into, keys, "left").where(~F.coalesce("_now", nothing).eqNullSafe(F.col("_in"))).select(*keys, F.coalesce("_now", nothing).alias("_in"))
+        again = stored(run(bands.join(due, keys)))
+        if again.isEmpty():
+            discard(again)
+            break
+        last, done = done, stored(done.join(again.select(*keys), keys, "left_anti").unionByName(again))
+        discard(last, again)
+    both = bands.join(done.select(*keys, "_out"), keys).select(*world, "x", F.explode(F.arrays_zip("_cells", "_out")).alias("_z"))
+    added = [F.col("_z._out.fallen").alias("fallen"), F.col("_z._out.kind").alias("fall_kind"), F.col("_z._out.opacity").alias("opacity")]
+    return both.select(*[F.col(c) if c in {*world, "x"} else F.col(f"_z._cells.{c}").alias(c) for c in cells.columns], *added)
 
 
 def smooth121(cells: DataFrame, value: str, axis: str = "y", world: Sequence[str] = ()) -> DataFrame:
