@@ -14,7 +14,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -113,6 +114,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(df: DataFrame, name: str = "_row") -> Column:
+    """All columns of ``df`` in one struct: what is carried so can't clash with an operator's own columns."""
+    return F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns]).alias(name)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of ``df`` with more fields."""
     return T.StructType(df.schema.fields + [T.StructField(k, T.StructType.fromDDL(f"{k} {v}")[k].dataType) for k, v in kinds.items()])

@@ -10,6 +10,7 @@ The benchmark is held in blocks of at most ``BLOCK_WORDS`` words, each scanned o
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, whole_row
 from .words import words_of
 
-#: Words of benchmark items that a task holds at once.
-BLOCK_WORDS = 500_000
+#: Words of benchmark items that a task holds at once, and items' lengths that are aligned at once.
+BLOCK_WORDS, WINDOWS = 500_000, 8
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment: +1 for equal words, -1 for others and for gaps. Returns the score and the end in the passage."""
@@ -79,13 +80,15 @@ class Items:
         for item, numbers in enumerate(self.posts):
             seen = df[numbers][df[numbers] > 0]
             if len(seen):
-                most = max(rare * documents, 4 * np.quantile(seen, 0.25) if len(self.words[item]) >= self.n else 1)
+                short = len(self.words[item]) < self.n  # matches as it is, however common
+                most = documents if short else max(rare * documents, 4 * np.quantile(seen, 0.25))
                 for offset, number in enumerate(numbers.tolist()):
                     if df[number] <= most:
                         self.places[number].append((item, offset))
 
     def matches(self, text: str | None, least: float) -> list[dict]:
-        """The passages of each item that score at least ``least``; of those that overlap the best, then the first."""
+        """The passages of each item that score at least ``least``: of a stretch with seeds the best (of equal ones the first), then those on its
+        left and right, until none is left. Of overlapping ones the best, then the first, stays."""
         words = self.numbers(text)
         at, numbers = self.hits(words)
         starts: dict[int, list[int]] = defaultdict(list)
@@ -96,18 +99,41 @@ class Items:
         for item, found in starts.items():
             own = self.words[item]
             found = np.unique(found)
-            passages = set()
+            passages: set[tuple[int, int, int]] = set()
             for group in np.split(found, np.flatnonzero(np.diff(found) > len(own) // 2) + 1):
                 low, high = max(0, int(group[0]) - len(own) // 2), min(len(words), int(group[-1]) + len(own) * 3 // 2 + 1)
-                score, end = align(own, words[low:high])
-                if score >= least * len(own):
-                    _, back = align(own[::-1], words[low : low + end][::-1])
-                    passages.add((-score, low + end - back, low + end))
-            kept: list[tuple[int, int]] = []
-            for score, start, end in sorted(passages):
-                if all(end <= a or b <= start for a, b in kept):
-                    kept.append((start, end))
-                    out.append({"item_id": self.names[item], "score": -score / len(own), "start_word": start, "end_word": end})
+                passages.update(self._passages(own, words, low, high, least))
+            begins: list[int] = []  # of the kept passages, and their ends, in order
+            ends: list[int] = []
+            for score, start, end in sorted(passages, key=lambda p: (-p[0], p[1], p[2])):
+                k = bisect_left(begins, start)
+                if (k == 0 or ends[k - 1] <= start) and (k == len(begins) or end <= begins[k]):
+                    begins.insert(k, start)
+                    ends.insert(k, end)
+                    out.append({"item_id": self.names[item], "score": score / len(own), "start_word": start, "end_word": end})
+        return out
+
+    def _passages(self, own: np.ndarray, words: np.ndarray, low: int, high: int, least: float) -> list[tuple[int, int, int]]:
+        """(score, start, end) of the passages in words[low:high], by start. Long stretches are read in windows of ``WINDOWS`` items' lengths that
+        overlap by two: alignments stay as long as an item and a window."""
+        fewest, out, step = max(1, int(np.ceil(least * len(own)))), [], WINDOWS * len(own)
+        while high - low >= fewest:
+            upto = min(high, low + step)
+            score, end = align(own, words[low:upto])
+            if score < least * len(own):
+                if upto == high:
+                    break
+                low = upto - 2 * len(own)
+                continue
+            _, back = align(own[::-1], words[low : low + end][::-1])
+            start, end = low + end - back, low + end
+            if end > upto - len(own) // 2 and upto < high and start > low + len(own):
+                out += self._passages(own, words, low, start, least)  # it may go on behind the window: read it again in the next
+                low = start - len(own) // 2
+                low = max(low, out[-1][2]) if out else low
+                continue
+            out += [*self._passages(own, words, low, start, least), (score, start, end)]
+            low = end
         return out
 
 
@@ -130,8 +156,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, rare: float
     """Items of ``benchmark (item_id, text)`` in documents of ``docs (doc_id, text)``: doc_id,
     item_id, score (0 to 1), start_word and end_word of a passage, one row for each passage.
 
-    Null texts hold nothing. Items with fewer than ``n`` words match as they are and only where they are rare (in one document, or a
-    share of ``rare``): such phrases are too common to tell anything else. Items without words match nothing. Repeated rows of
+    Null texts hold nothing. Items with fewer than ``n`` words match as they are, wherever they stand. Items without words match nothing. Repeated rows of
     either table give repeated rows; other columns are not read; empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -188,4 +213,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     Rows that share a doc_id with a contaminated row go with it.
     """
     bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("_id"), whole_row(docs))
+    return rows.join(bad, F.col("_id") == F.col("_bad"), "left_anti").select("_row.*")

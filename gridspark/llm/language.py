@@ -131,19 +131,19 @@ def learn_profiles(labelled: DataFrame, size: int = 400) -> Profiles:
     return Profiles(langs, codes, ranks, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) from the whole text alone; other columns stay as they are.
+def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` (0 to 1; both names may be chosen) from the whole text alone; other columns stay as they are.
 
     Null texts and texts without a letter are ``und`` with score 0; so is all if nothing was learned. Ties go to the first
-    language by code point. Columns named ``lang_pred`` or ``score`` in the input are replaced.
+    language by code point. Columns of these two names in the input are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
-    schema = with_fields(docs, lang_pred="string", score="double")
+    docs = docs.drop(lang_pred, score)
+    schema = with_fields(docs, **{lang_pred: "string", score: "double"})
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(x.as_py()) for x in batch[text]]
-            yield batch.append_column("lang_pred", pa.array([f[0] for f in found], pa.string())).append_column("score", pa.array([f[1] for f in found], pa.float64()))
+            yield batch.append_column(lang_pred, pa.array([f[0] for f in found], pa.string())).append_column(score, pa.array([f[1] for f in found], pa.float64()))
 
     return small_batches(docs).mapInArrow(run, schema)

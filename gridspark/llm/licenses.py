@@ -3,7 +3,7 @@
 Templates are cut into words; of every ``WINDOW`` successive ``GRAM``-word hashes the smallest is kept. An inverted
 index from these to (template, offset) meets the fingerprints of a document, which are made the same way: any shared
 stretch of ``GRAM + WINDOW - 1`` words shares one. Hits on near diagonals are a candidate; the longest common subsequence
-within a band around them gives the share of the template that is there and where it lies.
+within a band around them gives the share of the template that is there and where it lies. Bands have a bounded width, and each copy is aligned by itself.
 """
 
 from __future__ import annotations
@@ -41,23 +41,51 @@ class Index:
         get = self.vocab.get
         return np.array([get(w, 0) for w in words], np.int64)
 
-    def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, lowest and highest diagonal) of each cluster of hits."""
+    def hits(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """By template: the positions (first row) and diagonals (second) of all shared fingerprints, by diagonal, then position."""
         at, codes = winnow(words)
         if not len(at) or not len(self.codes):
-            return []
+            return {}
         near = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         hit = self.codes[near] == codes
-        diagonals: dict[int, list[int]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for pos, code in zip(at[hit].tolist(), codes[hit].tolist()):
             for k, offset in self.posts[code]:
-                diagonals[k].append(pos - offset)
-        out = []
-        for k, found in diagonals.items():
-            found = np.unique(found)
-            apart = max(2, len(self.words[k]) // 4)
-            out += [(k, int(g[0]), int(g[-1])) for g in np.split(found, np.flatnonzero(np.diff(found) > apart) + 1)]
-        return out
+                found[k].append((pos, pos - offset))
+        return {k: (lambda x: x[:, np.lexsort((x[0], x[1]))])(np.array(v, np.int64).T) for k, v in found.items()}
+
+
+def stretches(index: Index, k: int, hits: np.ndarray, words: np.ndarray, least: float) -> list[list[tuple[int, int]]]:
+    """The matched pairs of every stretch that covers at least ``least`` of template k.
+
+    Hits on near diagonals are a cluster, which is aligned in a band around it. A cluster that is wider than half the template, as copies chain where the
+    text repeats in itself, is aligned around its densest quarter only. What a match covers is taken out of the hits, or what was
+    aligned in vain, and the rest goes on: so a band has a bounded width, and each copy is found.
+    """
+    size, out = len(index.words[k]), []
+    apart, slack, widest = max(2, size // 4), max(2, size // 8), max(4, size // 2)
+    waiting = [hits]
+    while waiting:
+        hits = waiting.pop()
+        cuts = np.flatnonzero(np.diff(hits[1]) > apart) + 1
+        if len(cuts):
+            waiting += np.split(hits, cuts, axis=1)[::-1]
+            continue
+        low, high = int(hits[1, 0]), int(hits[1, -1])
+        if high - low > widest:
+            upto = np.searchsorted(hits[1], hits[1] + apart, "right")
+            first = int((upto - np.arange(len(upto))).argmax())
+            low, high = int(hits[1, first]), int(hits[1, upto[first] - 1])
+        pairs = banded(index.words[k], words, low - slack, high + slack)
+        gone = (hits[1] >= low) & (hits[1] <= high)
+        if pairs and len(pairs) >= least * size:
+            pairs = tightest(index.words[k], words, pairs[-1][1], low - slack, high + slack)
+            out.append(pairs)
+            covered = (hits[0] >= pairs[0][1]) & (hits[0] <= pairs[-1][1])
+            gone = covered if covered.any() else gone
+        if not gone.all():
+            waiting.append(hits[:, ~gone])
+    return out
 
 
 def winnow(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,18 +132,23 @@ def banded(template: np.ndarray, words: np.ndarray, low: int, high: int) -> list
     return pairs[::-1]
 
 
+def tightest(template: np.ndarray, words: np.ndarray, end: int, low: int, high: int) -> list[tuple[int, int]]:
+    """A longest common subsequence that ends at word ``end`` at the latest and begins as late as it can: the alignment of both, read backwards."""
+    last = len(template) - 1
+    back = banded(template[::-1], words[: end + 1][::-1], end - last - high, end - last - low)
+    return [(last - i, end - w) for i, w in reversed(back)]
+
+
 def matches(index: Index, text: str | None, least: float) -> list[dict]:
     """Each stretch of a text that covers at least ``least`` of a template, by start. Of stretches that overlap, the one with the
     most matched words times coverage stays, of equal ones the shortest, the first, then the first name."""
-    if not text or not index.candidates(index.numbers(words_of(text))):
+    if not text or not index.hits(index.numbers(words_of(text))):
         return []
     found, starts, ends = word_spans(text)
     words = index.numbers(found)
     out: dict[tuple[str, int, int], dict] = {}
-    for k, low, high in index.candidates(words):
-        slack = max(2, len(index.words[k]) // 8)
-        pairs = banded(index.words[k], words, low - slack, high + slack)
-        if pairs and len(pairs) >= least * len(index.words[k]):
+    for k, hits in index.hits(words).items():
+        for pairs in stretches(index, k, hits, words, least):
             start, end = starts[pairs[0][1]], ends[pairs[-1][1]]
             out[index.names[k], start, end] = {"license": index.names[k], "coverage": len(pairs) / len(index.words[k]), "matched": len(pairs), "start": start, "end": end}
     kept: list[dict] = []

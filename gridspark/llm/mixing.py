@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, whole_row
 
 #: Rows of a block, about.
 BLOCK = 1024
@@ -116,12 +116,13 @@ def mix(docs: DataFrame, seed: int = 1, size: Column | None = None, source: str
     times. Rows repeated in full are rows of their own, dealt out to many blocks where they are many. Columns of those four names in the input are replaced; all others stay.
     """
     docs = docs.drop("size", "source_size", "target", "copies")
-    sized = docs.withColumn("size", word_count(F.col("text")) if size is None else size)
-    targets = stored(source_targets(sized.select(F.col(source).alias("source"), "size"), **how), "targets").withColumnRenamed("source", "_source")
-    rows = sized.join(targets, F.col(source).eqNullSafe(F.col("_source"))).drop("_source").withColumnRenamed("stratum", "_stratum")
+    seen = F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    sized = docs.select(whole_row(docs), (word_count(F.col("text")) if size is None else size).alias("size"), F.col(source).alias("_of"), seen.alias("_hash"))
+    targets = stored(source_targets(sized.select(F.col("_of").alias("source"), "size"), **how), "targets").withColumnRenamed("source", "_source")
+    rows = sized.join(targets, F.col("_of").eqNullSafe(F.col("_source"))).drop("_source", "_of").withColumnRenamed("stratum", "_stratum")
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("_want", want).withColumn("_sure", F.floor(F.col("_want") + EPS)).withColumn("_p", F.greatest(F.lit(0.0), F.col("_want") - F.col("_sure")))
-    rows = rows.withColumn("_size", F.col("size")).withColumn("_hash", F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])).drop("_want")
+    rows = rows.withColumn("_size", F.col("size")).drop("_want")
     is_open = (F.col("_p") > EPS) & (F.col("_p") < 1 - EPS)
     settled, level = [rows.where(~is_open)], 0
     rest = rows.where(is_open)
@@ -140,7 +141,7 @@ def mix(docs: DataFrame, seed: int = 1, size: Column | None = None, source: str
             break
     out = reduce(DataFrame.unionByName, settled)
     copies = (F.col("_sure") + F.round("_p")).cast("long")
-    return out.withColumn("copies", copies).drop("_stratum", "_sure", "_p", "_size", "_hash")
+    return out.select("_row.*", "size", "source_size", "target", copies.alias("copies"))
 
 
 def _salted(rows: DataFrame) -> DataFrame:
@@ -158,5 +159,6 @@ def _few(sources: DataFrame, most: int = 100_000) -> bool:
 
 
 def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows that a mix takes, each as often as it takes it."""
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    """The rows that a mix takes, each as often as it takes it. Nulls and rows with 0 copies are left out; no rows give none."""
+    taken = mixed.where("copies > 0").select(F.struct(*columns).alias("_row"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("_row.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import parts
-from .common import discard, partitions, scratch, small_batches, stored, with_fields
+from .common import discard, partitions, scratch, small_batches, stored, whole_row, with_fields
 from .components import connected_components
 
 #: Fingerprints of a block; a group with more is dealt out by pairs of blocks.
@@ -235,10 +235,9 @@ def keep_one(docs: DataFrame, tau: int = 3, segments: int = 7, width: int = 5, s
         made.remove(edges)
     discard(first)
     kept = _named(nodes, "node", edges).select(F.col("component_id").alias("_kept")).distinct()
-    mine = known.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    mine = mine.withColumn("_copy", F.row_number().over(order)).where("_copy = 1").drop("_copy")
-    return mine.unionByName(docs.where("doc_id is null"))
+    rows = known.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), whole_row(known))
+    mine = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
+    return mine.where("_n = 1").select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def hexed(fp: str = "fp"):

@@ -101,7 +101,7 @@ def _search(data: DataFrame, queries: DataFrame, k: int, pivots: int | None) ->
         return run
 
     schema = "id long, v array<long>, cell int, far double"
-    data, queries = stored(data.mapInArrow(near(True), schema), "cells"), stored(queries.mapInArrow(near(False), schema), "queries")
+    data, queries = stored(data.mapInArrow(near(True), schema).withColumn("s", F.monotonically_increasing_id()), "cells"), stored(queries.mapInArrow(near(False), schema), "queries")
 
     order = Window.partitionBy("cell").orderBy("far")
     least = data.select("cell", "far").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).collect()  # k + 1 for each pivot
@@ -121,12 +121,13 @@ def _search(data: DataFrame, queries: DataFrame, k: int, pivots: int | None) ->
     if not rings:
         return spark.createDataFrame([], "query_id long, vec_id long, score long")
     ring = F.broadcast(spark.createDataFrame(rings, "cell int, group int, low double, high double, n_data int, n_query int"))  # at most pivots^2 rows
-    part = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
+    part = lambda n, *more: F.pmod(F.xxhash64("id", "v", *more), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     keys = ["cell", "group", "d", "q"]
     if merged:
         queries = queries.withColumn("cell", F.when(F.col("cell").isin(merged), F.lit(min(merged))).otherwise(F.col("cell")))
-    left = data.join(ring, "cell").where("far between low and high").withColumn("d", part("n_data")).withColumn("q", every("n_query")).select(*keys, "id", "v")
+    left = data.join(ring, "cell").where("far between low and high").withColumn("d", part("n_data", "s"))  # rows that repeat are dealt out by their stored number
+    left = left.withColumn("q", every("n_query")).select(*keys, "id", "v")
     right = queries.withColumnRenamed("cell", "group").join(ring, "group").withColumn("q", part("n_query")).withColumn("d", every("n_data")).select(*keys, "id", "v")
 
     def solve(candidates: pa.Table, asked: pa.Table) -> pa.Table:
