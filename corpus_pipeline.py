@@ -6,11 +6,10 @@ columns of ``documents``; the last returns each written document's place: doc_id
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import discard, scratch, stored, table
+from gridspark.llm.common import discard, free_name, scratch, stored, table
 from gridspark.llm.decontaminate import decontaminate
 from gridspark.llm.language import identify, learn_profiles
 from gridspark.llm.mixing import mix, repeated
@@ -28,7 +27,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     profiles = learn_profiles(docs.where(~held_out()).select("text", "lang"))
     if not profiles.langs:
         return docs
-    found = identify(docs, profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")  # the caller may have columns of these names
+    found = identify(docs, profiles, lang_pred=lang, score=score).where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE))
     return found.select(*docs.columns)
 
 
@@ -49,6 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and reads them back."""
+    import public_tokenizers
+
     return read_files(token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
