@@ -134,6 +134,21 @@ def ag16_summed_area(spark, d):
     return aggs.summed_area(views.g_dense(spark, d), "level")
 
 
+@query("SELECT 'x' AS field, count(x) AS n, min(x)::DOUBLE AS min, max(x)::DOUBLE AS max, TRUE AS whole, TRUE AS close FROM g_dense UNION ALL SELECT 'level', count(level), min(level), max(level), TRUE, TRUE FROM g_dense UNION ALL SELECT 'y', count(y), min(y), max(y), TRUE, TRUE FROM g_dense")
+def ag20_profile_of_sketches(spark, d):
+    """The profile of a grid from its chunks' sketches alone; ``close``: the estimated distinct values are within 5 % of the exact ones, and the median's rank is
+    within 3 % of a half."""
+    cells = views.g_dense(spark, d).select("x", "y", "level")
+    sketches = aggs.column_sketches(cells.withColumn("cx", F.expr("x div 128")), ["x", "y", "level"], ["cx"])
+    found = aggs.profile_of_sketches(sketches)
+    true = cells.unpivot([], ["x", "y", "level"], "field", "v").groupBy("field").agg(F.count_distinct("v").alias("d"))
+    both = found.join(true, "field")
+    ranks = cells.unpivot([], ["x", "y", "level"], "field", "v").join(found.select("field", F.col("quantiles")[0].alias("m")), "field")
+    ranked = ranks.groupBy("field").agg((F.count_if(F.col("v") <= F.col("m")) / F.count("*")).alias("up_to"), (F.count_if(F.col("v") < F.col("m")) / F.count("*")).alias("below"))
+    close = (F.abs(F.col("distinct") - F.col("d")) <= 0.05 * F.col("d")) & (F.col("below") <= 0.53) & (F.col("up_to") >= 0.47)
+    return both.join(ranked, "field").select("field", "n", "min", "max", "whole", close.alias("close"))
+
+
 SMALL_RECTS = "SELECT event_id AS rect_id, event_id * 37 % 400 AS rx, user_id * 11 % 40 AS ry, 1 + event_id % 90 AS rw, 1 + event_id % 20 AS rh FROM {} WHERE event_type = 'error'"
 
 

@@ -15,6 +15,25 @@ from gridspark.sources import facts, files, grids, views, worlds
 C = F.col
 
 
+@query("SELECT x, y, kind, level FROM g_dense WHERE x >= 70 AND x < 198 AND y >= 10 AND y < 50 AND kind IN (0, 1)")
+def src02_zoned_region(spark, d):
+    """A rectangle of some kinds from files in Z-order, by their zone map."""
+    path = new_dir(spark, "zoned")
+    grids.write_zoned(views.g_dense(spark, d), path, square=16)
+    return grids.read_zoned(spark, path, 70, 10, 128, 40, kinds=[0, 1]).select("x", "y", "kind", "level")
+
+
+@query("SELECT count(*) AS cells, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, list_sort(list(DISTINCT kind)) AS kinds, TRUE AS apart FROM g_dense")
+def snk01_zone_map(spark, d):
+    """The zone map of a written grid, summed up; ``apart``: its files' rectangles cover little more than the grid, so they hardly overlap."""
+    zones = grids.write_zoned(views.g_dense(spark, d), new_dir(spark, "zoned"), square=16)
+    area = F.sum((C("max_x") - C("min_x") + 1) * (C("max_y") - C("min_y") + 1))
+    return zones.agg(
+        F.sum("cells").alias("cells"), F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"), F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"),
+        (area <= 3 * F.sum("cells")).alias("apart"),
+    )
+
+
 @query(
     """SELECT x % 100 AS x, x // 100 AS world, sum(1) AS cells, count(*) FILTER (active) AS active, count(*) FILTER (level > 0) AS wet, coalesce(sum(type) FILTER (active), 0)::BIGINT AS types, sum(level)::BIGINT AS levels,
     sum(CASE WHEN active THEN shape ELSE 0 END)::BIGINT AS shapes, sum(wall)::BIGINT AS walls FROM g_tiles GROUP BY 1, 2"""

@@ -23,6 +23,14 @@ def str02_latest_request(spark, d):
     return inc.run_available(latest, "update", ["user_id"])
 
 
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def str02_latest_with_expiry(spark, d):
+    """The newest request of each user by keyed state that timers delete: one row each time it changes, of which the last is taken."""
+    with inc.with_rocksdb(spark):
+        latest = inc.latest_with_expiry(_events(spark, d), "user_id", "event_id", ["event_type", "value"], "ts", "1 day", 10_000 * 86_400_000)
+        return inc.run_available(latest, "update", ["user_id"])
+
+
 def _plain(df):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators.project import assign_chunk
@@ -32,6 +32,66 @@ def read_grid(spark: SparkSession, path: str, x: int | None = None, width: int |
     return df
 
 
+#: Side of the squares that zoned files are ordered by, rows of a row group, and of a file.
+SQUARE, GROUP_ROWS, FILE_ROWS = 128, 16_384, 2_000_000
+#: Files that a read names one by one; more are left to the scan's own pruning.
+MOST_FILES = 2_000
+
+
+def square_order(x: Column, y: Column, square: int = SQUARE) -> Column:
+    """Place of a cell's square on the Z-order curve: the bits of its column and row by turns (16 of each; beyond them places repeat)."""
+    part = lambda c: _spread(F.floor(c / F.lit(square)).bitwiseAND(0xFFFF))
+    return part(x).bitwiseOR(F.shiftleft(part(y), 1))
+
+
+def _spread(v: Column) -> Column:
+    """A number's 16 bits, each before a zero."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(mask)
+    return v
+
+
+def write_zoned(cells: DataFrame, path: str, kind: str = "kind", square: int = SQUARE) -> DataFrame:
+    """Cells in files ordered along a Z-order curve of squares, and their zone map, which is returned: one row a file with world_id, cells, the bounds of x and y,
+    and the kinds in it.
+
+    Squares next to each other lie next to each other in a file, so a rectangle is in few files, and in few row groups of them (GROUP_ROWS rows: about one
+    square). The map is made from what was written. An existing path is an error.
+    """
+    spark = cells.sparkSession
+    df = cells if "world_id" in cells.columns else cells.withColumn("world_id", F.lit("0"))
+    order = ["world_id", "_z", "x", "y"]
+    placed = df.withColumn("_z", square_order(F.col("x"), F.col("y"), square)).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order[:2]).sortWithinPartitions(*order).drop("_z")
+    placed.write.mode("errorifexists").option("maxRecordsPerFile", FILE_ROWS).option("parquet.block.row.count.limit", GROUP_ROWS).parquet(f"{path}/cells")
+    bounds = [f(c).alias(f"{name}_{c}") for c in ("x", "y") for name, f in (("min", F.min), ("max", F.max))]
+    zones = spark.read.parquet(f"{path}/cells").groupBy(F.col("_metadata.file_path").alias("file"), "world_id").agg(F.count("*").alias("cells"), *bounds, F.sort_array(F.collect_set(kind)).alias("kinds"))
+    zones.coalesce(1).write.parquet(f"{path}/zones")
+    return spark.read.parquet(f"{path}/zones")
+
+
+def zoned_files(spark: SparkSession, path: str, x: int, y: int, width: int, height: int, world_id=None, kinds: Sequence | None = None) -> DataFrame:
+    """Rows of the zone map of the files that a rectangle (and a world, and any of some kinds) may be in."""
+    zones = spark.read.parquet(f"{path}/zones").where((F.col("min_x") < x + width) & (F.col("max_x") >= x) & (F.col("min_y") < y + height) & (F.col("max_y") >= y))
+    if world_id is not None:
+        zones = zones.where(F.col("world_id") == world_id)
+    if kinds is not None:
+        zones = zones.where(F.arrays_overlap("kinds", F.array(*map(F.lit, kinds))))
+    return zones
+
+
+def read_zoned(spark: SparkSession, path: str, x: int, y: int, width: int, height: int, world_id=None, kinds: Sequence | None = None, kind: str = "kind") -> DataFrame:
+    """The cells of a rectangle. The zone map says which files are opened, up to MOST_FILES of them; of the rest, and inside files, row groups are
+    skipped by their minima and maxima."""
+    names = [r.file for r in zoned_files(spark, path, x, y, width, height, world_id, kinds).select("file").distinct().limit(MOST_FILES + 1).collect()]
+    schema = spark.read.parquet(f"{path}/cells").schema
+    df = spark.read.schema(schema).parquet(*(names if 0 < len(names) <= MOST_FILES else [f"{path}/cells"]))
+    if not names:
+        return df.limit(0)
+    df = df.where((F.col("x") >= x) & (F.col("x") < x + width) & (F.col("y") >= y) & (F.col("y") < y + height))
+    df = df if world_id is None else df.where(F.col("world_id") == world_id)
+    return df if kinds is None else df.where(F.col(kind).isin(*kinds))
+
+
 def heights_of(runs: DataFrame, world: Sequence[str] = ()) -> DataFrame:
     """Height and number of runs of each column."""
     return runs.groupBy(*world, "x").agg(F.sum("run_len").cast("int").alias("height"), F.count("*").alias("runs"))
