@@ -113,3 +113,17 @@ def test_oracles(spark, name):
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(repr(r) for r in found.fetchall())
 
 
+
+
+#: Names that operators use themselves.
+OWN_NAMES = "score lang_pred _p _hash _copy _kept _bad _salt _stratum _sure _want _size _block _blocks _level _row _id _n _text _of _source".split()
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_columns_of_any_name_stay_as_they_are(spark, stage):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    more = docs.select("*", *[(F.col("doc_id") * 100 + k).cast("string").alias(n) for k, n in enumerate(OWN_NAMES)])
+    found = P.STAGES[stage][1](spark, more, "/root/testdata/sf0.001")
+    rows = found.collect()
+    assert found.columns == more.columns and rows
+    assert all(r[n] == str(r.doc_id * 100 + k) for r in rows for k, n in enumerate(OWN_NAMES))

@@ -259,3 +259,13 @@ def test_query_groups_that_need_most_data_are_merged():
     rings, merged = _rings({0: {0: (0.0, 1.0), 1: (0.0, 2.0)}, 1: {0: (0.5, 3.0), 1: (1.0, 1.5)}, 2: {1: (0.1, 0.2)}}, {0: 60, 1: 40}, {0: 5, 1: 6, 2: 7})
     assert merged == [0, 1]
     assert sorted(r[:4] for r in rings) == [(0, 0, 0.0, 3.0), (1, 0, 0.0, 2.0), (1, 2, 0.1, 0.2)]
+
+
+def test_vectors_that_repeat_very_often(spark, monkeypatch):
+    """A vector repeated more often than a block has rows is dealt out to many blocks, and the smallest ids win."""
+    monkeypatch.setattr(K, "DATA_BLOCK", 50)
+    rows = [(k, [1.0, 2.0]) for k in range(400)] + [(400, [3.0, 3.0])]
+    vectors = K.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in K.top_k(vectors, vectors.where("id % 200 = 0")).collect())
+    expected = [(q, k + 1, v) for q in (0, 200, 400) for k, v in enumerate(([400] if q != 400 else []) + [v for v in range(12) if v != q][: 9 if q != 400 else 10])]
+    assert found == sorted(expected)

@@ -425,3 +425,49 @@ def test_licences_of_the_tables(spark):
         for r in found.get(doc, []):
             span = W.words_of(text[r.start : r.end])
             assert longest_common(templates[r.license], span) == r.matched and r.coverage == r.matched / len(templates[r.license]) >= 0.8
+
+
+LONG = " ".join(f"filler{k % 7}x" for k in range(400))
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "PostgreSQL", "UPL-1.0", "BSD-1-Clause", "BSL-1.0", "Zlib", "CDDL-1.0-notice", "GPL-2.0-notice", "MIT"])
+def test_every_copy_of_a_licence_is_a_row(name):
+    """Texts that repeat in themselves, one after another or apart."""
+    index, text = C.Index(C.TEMPLATES), dict(C.TEMPLATES)[name]
+    for between in (" ", " " + " ".join(LONG.split()[:3]) + " ", f" {LONG} "):
+        found = C.matches(index, between.join([text] * 3), 0.8)
+        assert [r["license"] for r in found] == [name] * 3
+        assert all(a["end"] <= b["start"] for a, b in zip(found, found[1:])) and min(r["coverage"] for r in found) == 1.0
+
+
+def test_many_copies_in_bounded_memory():
+    import tracemalloc
+
+    index, text = C.Index(C.TEMPLATES), dict(C.TEMPLATES)["BSD-1-Clause"]
+    tracemalloc.start()
+    assert len(C.matches(index, "\n".join([text] * 200), 0.8)) == 200
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def passages_of(item, text, n=4):
+    items = D.Items([(7, item)], n)
+    df = np.zeros(items.size, np.int64)
+    df[np.unique(items.hits(items.numbers(text))[1])] += 1
+    items.choose(df, 2, 0.001)
+    return [(r["start_word"], r["end_word"], r["score"]) for r in sorted(items.matches(text, 0.5), key=lambda r: r["start_word"])]
+
+
+@pytest.mark.parametrize("item", ["the small cat sat on the mat and then went home while the small cat sat on the chair", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"])
+@pytest.mark.parametrize("gap", [0, 4, 900])
+@pytest.mark.parametrize("times", [1, 3, 8, 60])
+def test_every_copy_of_an_item_is_a_row(item, gap, times):
+    size = len(item.split())
+    found = passages_of(item, (" " + "other " * gap).join([item] * times))
+    assert found == [(k * (size + gap), k * (size + gap) + size, 1.0) for k in range(times)]
+
+
+def test_short_items_match_as_they_are_however_common(spark):
+    docs = spark.createDataFrame([(k, "a red cat sat" if k % 2 else "red dog, cat") for k in range(40)], "doc_id long, text string")
+    found = D.contaminated(docs, spark.createDataFrame([(1, "Red cat"), (2, "...")], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.end_word, r.score) for r in found) == [(k, 1, 1, 3, 1.0) for k in range(1, 40, 2)]
