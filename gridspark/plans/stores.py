@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridspark.functions.scalars import harvestable
 from gridspark.operators import project
 from gridspark.operators.storage import new_dir
 from gridspark.plans import audit
@@ -15,6 +16,24 @@ from gridspark.sources import facts, files, grids, views, worlds
 C = F.col
 
 
+@query(
+    """, w AS (SELECT DISTINCT x // 100 AS world FROM g_tiles), h AS (SELECT s AS style, world * 7 % 64 AS y, world FROM w, range(0, 7) t(s))
+SELECT world, style::INT AS style, y::INT AS y, [world % 50, world % 50 + 5, 80] AS tree_x, (world * 3 % 200)::INT AS top, world % 2 = 0 AS remix_world, CASE WHEN style IN (2, 6) THEN FALSE WHEN style = 0 THEN world % 3 = 0 WHEN style = 1 THEN world % 3 <> 0 WHEN style = 3 THEN world % 3 <> 0 AND world % 8 = 0
+    WHEN style = 4 THEN world % 5 = 0 OR world % 4 > 0 WHEN style = 5 THEN (world % 5 <> 0 OR CASE WHEN world % 2 = 0 THEN y < 64 - 350 ELSE y > 20 END) AND 40000 + world * 100 > 40500 END AS ripe FROM h"""
+)
+def src01_scenes_of_worlds(spark, d):
+    """Trees, flags and the state of herbs from the headers of written world files, and whether herbs are ripe by them."""
+    path = new_dir(spark, "worlds")
+    cells = views.g_tiles(spark, d).selectExpr("cast(x div 100 AS int) AS world", "cast(x % 100 AS int) AS x", "y", "active", "CASE WHEN active THEN type ELSE 0 END AS type")
+    scene = ("array(world % 50, world % 50 + 5, 80) AS tree_x", "transform(sequence(0, 12), k -> world * 3 % 200) AS tree_tops", "cast(world % 2 = 0 AS int) AS remix_world", "20D AS world_surface", "40000D + world * 100 AS time", "cast(world % 3 = 0 AS int) AS day_time",
+             "world % 8 AS moon_phase", "0 AS blood_moon", "cast(world % 5 = 0 AS int) AS raining", "cast(world % 4 AS float) / 4 AS cloud_alpha")
+    worlds.write_worlds(cells, path, ["world"], cells.select("world").distinct().selectExpr("world", *scene))
+    found, _, _ = worlds.ingest_worlds(spark, path, mode="failfast")
+    herbs = found.withColumn("world", F.regexp_extract("world_id", r"world-(\d+)\.wld$", 1).cast("long")).withColumn("style", F.explode(F.array(*map(F.lit, range(7))))).withColumn("y", (C("world") * 7 % 64).cast("int"))
+    state = {k: C(k) for k in (*worlds.HERB, "remix_world", "world_surface")} | {"world_height": C("height")}
+    return herbs.select("world", "style", "y", "tree_x", C("tree_tops")[12].alias("top"), "remix_world", harvestable(C("style"), C("y"), state).alias("ripe"))
+
+
 @query("SELECT x, y, kind, level FROM g_dense WHERE x >= 70 AND x < 198 AND y >= 10 AND y < 50 AND kind IN (0, 1)")
 def src02_zoned_region(spark, d):
     """A rectangle of some kinds from files in Z-order, by their zone map."""

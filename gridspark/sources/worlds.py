@@ -7,7 +7,7 @@ the columns of all files are then dealt out and decoded. A file that breaks a ru
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -26,7 +26,25 @@ MAX_BYTES, MAX_CELLS, MAX_WIDTH, MAX_HEIGHT, MAX_TYPES, MAX_NAME = 64 << 20, 24_
 SLICE = 64
 
 TILE = "active boolean, type int, frame_x int, frame_y int, wall int, paint int, wall_paint int, liquid int, liquid_kind int, shape int, wire_red boolean, wire_blue boolean, wire_green boolean, wire_yellow boolean, actuator boolean, inactive boolean, invisible_block boolean, invisible_wall boolean, fullbright_block boolean, fullbright_wall boolean"
-WORLD = "world_id string, signature string, version int, name string, seed string, id int, width int, height int, world_surface double, tree_x array<int>, records long, sha256 string"
+#: The optional fields of a world's scene: trees, backgrounds, flags, and the state that herbs depend on; each group with why it isn't there.
+SCENE_FIELDS = (
+    "world_surface double, tree_x array<int>, tree_style array<int>, tree_tops array<int>, jungle_bg int, snow_bg int, hallow_bg int, drunk_world boolean, get_good_world boolean, tenth_anniversary_world boolean, dont_starve_world boolean,"
+    " not_the_bees_world boolean, remix_world boolean, no_traps_world boolean, zenith_world boolean, skyblock_world boolean, tree_error string, day_time boolean, time double, moon_phase int, blood_moon boolean, raining boolean,"
+    " cloud_alpha double, herb_error string"
+)
+WORLD = f"world_id string, signature string, version int, name string, seed string, id int, width int, height int, {SCENE_FIELDS}, records long, sha256 string"
+#: What follows a header's dimensions, in order: name (or none), format, first version that has it. ``text``: that many strings; ``skip``: that
+#: many times so many bytes, after a count of the format.
+SCENE = (
+    ("mode", "i", 0), ("drunk_world", "B", 0), ("get_good_world", "B", 0), ("tenth_anniversary_world", "B", 0), ("dont_starve_world", "B", 0), ("not_the_bees_world", "B", 0), ("remix_world", "B", 0), ("no_traps_world", "B", 0),
+    ("zenith_world", "B", 0), ("skyblock_world", "B", 302), (None, "8s", 0), (None, "8s", 284), (None, "B", 0), ("tree_x", "3i", 0), ("tree_style", "4i", 0), (None, "48s", 0), ("world_surface", "d", 0), (None, "d", 0), ("time", "d", 0),
+    ("day_time", "B", 0), ("moon_phase", "i", 0), ("blood_moon", "B", 0), ("eclipse", "B", 0), (None, "9s", 0), (None, "27s", 0), (None, "29s", 0), ("raining", "B", 0), (None, "i", 0), ("cloud_alpha", "f", 0), (None, "12s", 0),
+    ("backgrounds", "8B", 0), (None, "10s", 0), ("text", "i", 0), (None, "16s", 0), ("skip 4", "h", 0), ("skip 2", "h", 289), (None, "19s", 0), (None, "6s", 0), ("skip 4", "i", 0), (None, "30s", 0), ("tops", "i", 0), ("tree_tops", "13i", 0),
+)
+#: Most entries of a counted list, tree tops of a world, bounds of values.
+MOST_LISTED, TREE_TOPS, DAY = 10_000, 13, 86_400
+FLAGS = ("drunk_world", "get_good_world", "tenth_anniversary_world", "dont_starve_world", "not_the_bees_world", "remix_world", "no_traps_world", "zenith_world", "skyblock_world")
+HERB = ("day_time", "time", "moon_phase", "blood_moon", "raining", "cloud_alpha")
 
 
 class FormatError(ValueError):
@@ -136,17 +154,65 @@ def read_header(data: bytes) -> tuple[dict, bytes, tuple[int, int]]:
     height, width = c.take("ii")
     if not (0 < width <= MAX_WIDTH and 0 < height <= MAX_HEIGHT and width * height <= MAX_CELLS):
         raise FormatError("dimensions")
-    world = {"signature": signature.decode(), "version": version, "name": name, "seed": seed, "id": number, "width": width, "height": height, "world_surface": None, "tree_x": None}
-    try:  # optional scene fields: game mode, flags, dates, moon; then the trees' cuts, styles and backgrounds
-        c.take(f"{4 + (9 if version >= 302 else 8) + 8 + (8 if version >= 284 else 0) + 1}s")
-        cuts = c.take("3i")
-        c.take(f"{68 + 8 - 12}s")
-        surface = c.take("d")
-        if 0 <= surface <= height:
-            world |= {"world_surface": surface, "tree_x": list(cuts)}
-    except FormatError:
-        pass
-    return world, framed, (sections[1], sections[2])
+    world = {"signature": signature.decode(), "version": version, "name": name, "seed": seed, "id": number, "width": width, "height": height}
+    return world | read_scene(c, version, width, height), framed, (sections[1], sections[2])
+
+
+def read_scene(c: Cursor, version: int, width: int, height: int) -> dict:
+    """SCENE_FIELDS from where the dimensions end. What the header doesn't hold, or holds wrongly, is null, with a reason; that is no error of the file."""
+    got: dict = {}
+    broken = None
+    try:
+        for name, fmt, since in SCENE:
+            if version < since:
+                continue
+            value = c.take(fmt)
+            if name in ("text",) or (name or "").startswith("skip"):
+                if not 0 <= value <= MOST_LISTED:
+                    raise FormatError("count in the scene")
+                for _ in range(value):
+                    c.text() if name == "text" else c.take(f"{name[5:]}s")
+            elif name == "tops" and value != TREE_TOPS:
+                raise FormatError("number of tree tops")
+            elif name:
+                got[name] = list(value) if isinstance(value, tuple) else value
+    except FormatError as e:
+        broken = str(e)
+    out = dict.fromkeys((part.split()[0] for part in SCENE_FIELDS.split(", ")))
+    surface, cuts = got.get("world_surface"), got.get("tree_x")
+    grounded = surface is not None and 0 <= surface <= height
+    if grounded:
+        out |= {"world_surface": surface, "tree_x": cuts}
+    ordered = grounded and all(0 <= x <= width for x in cuts) and cuts == sorted(cuts) and all(0 <= t <= 255 for t in got.get("tree_tops", ()))
+    if "tree_tops" in got and ordered:
+        backs = got["backgrounds"]
+        out |= {k: got[k] for k in ("tree_style", "tree_tops")} | {k: bool(got[k]) for k in FLAGS if k in got} | {"jungle_bg": backs[2], "snow_bg": backs[3], "hallow_bg": backs[4]}
+    else:
+        out["tree_error"] = broken or "values of the trees"
+    flags = [got.get(k) for k in ("day_time", "blood_moon", "eclipse", "raining", "remix_world")]
+    valid = grounded and all(f in (0, 1) for f in flags) and 0 <= got.get("time", -1) <= DAY and 0 <= got.get("moon_phase", -1) <= 7 and 0 <= got.get("cloud_alpha", -1) <= 1
+    if valid:
+        out |= {k: bool(got[k]) if k in ("day_time", "blood_moon", "raining") else got[k] for k in HERB} | {"remix_world": bool(got["remix_world"])}
+    else:
+        out["herb_error"] = broken if broken and "cloud_alpha" not in got else "values of the herbs' state"
+    return out
+
+
+def encode_scene(scene: Mapping, version: int) -> bytes:
+    """The bytes of a scene: the inverse of read_scene; absent fields are zero, lists are empty."""
+    out = b""
+    for name, fmt, since in SCENE:
+        if version >= since:
+            value = scene.get(name) if name else None
+            if name == "tops":
+                value = TREE_TOPS
+            if name == "backgrounds":
+                value = [0, 0, *(scene.get(k) or 0 for k in ("jungle_bg", "snow_bg", "hallow_bg")), 0, 0, 0]
+            if value is None:
+                out += bytes(struct.calcsize("<" + fmt))
+            else:
+                out += struct.pack("<" + fmt, *(value if isinstance(value, (list, tuple)) else [value]))
+    return out
 
 
 def column_starts(data: bytes, framed: bytes, bounds: tuple[int, int], width: int, height: int) -> tuple[list[int], int]:
@@ -165,7 +231,7 @@ def column_starts(data: bytes, framed: bytes, bounds: tuple[int, int], width: in
     return [*starts, c.pos], records
 
 
-OPENED_SCHEMA = "world_id string, error string, signature string, version int, name string, seed string, id int, width int, height int, world_surface double, tree_x array<int>, records long, x0 int, ends array<int>, content binary, framed binary"
+OPENED_SCHEMA = f"world_id string, error string, signature string, version int, name string, seed string, id int, width int, height int, {SCENE_FIELDS}, records long, x0 int, ends array<int>, content binary, framed binary"
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,33 +314,44 @@ def encode_record(tile: dict, repeats: int) -> bytes:
     return out + (b"" if not repeats else bytes([repeats]) if repeats < 256 else struct.pack("<h", repeats))
 
 
-def encode_world(columns: list[list[bytes]], height: int, name: str, types: int, framed: Sequence[int] = (), version: int = VERSIONS[0]) -> bytes:
-    """A file of the columns' records, with the sections that read_header asks for."""
+def encode_world(cells: bytes, width: int, height: int, name: str, types: int, framed: Sequence[int] = (), version: int = VERSIONS[0], scene: Mapping | None = None) -> bytes:
+    """A file of the columns' records, with the sections that read_header asks for. Without a ``scene`` the header ends at the dimensions."""
     bits = sum(1 << k for k in framed).to_bytes((types + 7) // 8, "little")
     text = lambda s: bytes([len(s.encode())]) + s.encode()
     start = 4 + 7 + 1 + 12 + 2 + 12 + 2 + len(bits)
-    header = text(name) + text("") + bytes(24) + struct.pack("<i", 0) + bytes(16) + struct.pack("<ii", height, len(columns))
-    cells = b"".join(b"".join(c) for c in columns)
+    header = text(name) + text("") + bytes(24) + struct.pack("<i", 0) + bytes(16) + struct.pack("<ii", height, width) + (encode_scene(scene, version) if scene is not None else b"")
     sections = start, start + len(header), start + len(header) + len(cells)
     return struct.pack("<i7sB12sH3iH", version, SIGNATURES[0], 2, b"", 3, *sections, types) + bits + header + cells
 
 
-def write_worlds(cells: DataFrame, path: str, world: Sequence[str]) -> None:
-    """A file ``world-<keys>.wld`` for each world of ``cells (world..., x, y, <any fields of a tile>)``: dense columns from x = 0, y = 0. Runs are
-    made by Spark; a world, which the format bounds, is one group."""
+def write_worlds(cells: DataFrame, path: str, world: Sequence[str], scenes: DataFrame | None = None) -> None:
+    """A file ``world-<keys>.wld`` for each world of ``cells (world..., x, y, <any fields of a tile>)``: dense columns from x = 0, y = 0. ``scenes (world..., fields of
+    SCENE)`` has the scene of some or all worlds.
+
+    Runs are made by Spark and encoded in slices of SLICE columns; one group a world joins its slices' bytes, which the format bounds by MAX_BYTES.
+    """
     fields = [c for c in cells.columns if c not in (*world, "x", "y")]
-    runs = compress_cells(cells, fields, world)
-
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.sort_by([("x", "ascending"), ("y0", "ascending")]).to_pylist()
-        columns: list[list[bytes]] = []
-        height = 0
-        for r in rows:
-            if r["y0"] == 0:
-                columns.append([])
-            columns[-1].append(encode_record(r, r["run_len"] - 1))
-            height = max(height, r["y0"] + r["run_len"])
-        name = "-".join(str(rows[0][k]) for k in world)
-        return pa.Table.from_pylist([{"file": f"world-{name}.wld", "content": encode_world(columns, height, f"world {name}", MAX_TYPES)}], pa.schema([("file", pa.string()), ("content", pa.binary())]))
-
-    write_blobs(runs.groupBy(*world).applyInArrow(run, "file string, content binary"), path)
+    runs = compress_cells(cells, fields, world).withColumn("_slice", F.floor(F.col("x") / F.lit(SLICE)))
+    kinds = ", ".join(f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in world)
+
+    def encode(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("x", "ascending"), ("y0", "ascending")])
+        data = b"".join(encode_record(r, r["run_len"] - 1) for r in group.to_pylist())
+        first = group.slice(0, 1)
+        tall = max(y + n for y, n in zip(group["y0"].to_pylist(), group["run_len"].to_pylist()))
+        own = {k: first[k].combine_chunks() for k in (*world, "_slice")}
+        return pa.table(own | {"columns": pa.array([len(set(group["x"].to_pylist()))], pa.int32()), "height": pa.array([tall], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    def join(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_slice")
+        name = "-".join(str(group[k][0].as_py()) for k in world)
+        scene = group["_scene"][0].as_py()
+        content = encode_world(b"".join(group["data"].to_pylist()), sum(group["columns"].to_pylist()), max(group["height"].to_pylist()), f"world {name}", MAX_TYPES, scene=scene)
+        return pa.table({"file": pa.array([f"world-{name}.wld"]), "content": pa.array([content], pa.binary())})
+
+    slices = runs.groupBy(*world, "_slice").applyInArrow(encode, f"{kinds}, _slice long, columns int, height int, data binary")
+    if scenes is None:
+        slices = slices.withColumn("_scene", F.lit(None).cast("struct<mode: int>"))
+    else:
+        slices = slices.join(scenes.select(*world, F.struct(*[c for c in scenes.columns if c not in world]).alias("_scene")), list(world), "left")
+    write_blobs(slices.groupBy(*world).applyInArrow(join, "file string, content binary"), path)
