@@ -189,10 +189,7 @@ def intern_frames(commands: DataFrame, columns: Sequence[str]) -> tuple[DataFram
 def dictionary_encode(rows: DataFrame, value: str, position: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(palette, ids): distinct values with ids in the order of first appearance, and the rows with ``id`` in place of the value."""
     first = rows.groupBy(*by, value).agg(F.min(position).alias("first_at"))
-    if by:
-        palette = first.withColumn("id", F.row_number().over(Window.partitionBy(*by).orderBy("first_at", value)) - 1)
-    else:
-        palette = with_place(first, ["first_at", value], "id")
+    palette = with_place(first, ["first_at", value], "id", by)
     match = [F.col(f"_r.{c}").eqNullSafe(F.col(f"_p.{c}")) for c in (*by, value)]
     ids = rows.alias("_r").join(palette.alias("_p"), match).select("_r.*", "_p.id").drop(value)
     return palette, ids

@@ -30,12 +30,12 @@ def register_capped(candidates: DataFrame, cap: int | None, world: Sequence[str]
     counts = candidates.groupBy(*world).agg(F.count("*").alias("eligible"))
     least = F.least(F.col("eligible"), F.lit(cap)) if cap is not None else F.col("eligible")
     report = counts.withColumns({"registered": least, "capped": F.col("eligible") - least})
-    if cap is None and not world:
-        return with_place(candidates, list(order), "idx"), report  # by ranges, not in one window
+    if cap is None:
+        return with_place(candidates, list(order), "idx", world), report  # by ranges, not in one window
     column_major = Window.partitionBy(*(world or [F.lit(0)])).orderBy(*order)
     few = candidates if world else candidates.orderBy(*order).limit(cap)  # then the one window holds no more than the cap
     kept = few.withColumn("idx", F.row_number().over(column_major) - 1)
-    return (kept if cap is None else kept.where(F.col("idx") < cap)), report
+    return kept.where(F.col("idx") < cap), report
 
 
 def layer_stack(commands: DataFrame, origin: Sequence[str], order: str, asset: str = "asset") -> DataFrame:

@@ -75,7 +75,7 @@ def sources(spark, d, cap):
 
 @query(SOURCES + " SELECT x, y::BIGINT AS y, fall::INT AS fall, source, (n - 1)::INT AS idx FROM (SELECT *, row_number() OVER (ORDER BY x, by_y, k) AS n FROM h) WHERE n <= 300")
 def dm05_detect_sources(spark, d):
-    return sources(spark, d, 300).select("x", F.col("y").cast("long").alias("y"), "fall", "source", "idx")
+    return sources(spark, d, 300).select("x", F.col("y").cast("long").alias("y"), "fall", "source", F.col("idx").cast("int").alias("idx"))
 
 
 @query(SOURCES + " SELECT x // 100 AS world, x, y::BIGINT AS y, fall::INT AS fall, source, (n - 1)::INT AS idx FROM (SELECT *, row_number() OVER (PARTITION BY x // 100 ORDER BY x, by_y, k) AS n FROM h JOIN (SELECT x, y AS by_y FROM g_tiles WHERE x % 100 NOT IN (0, 99)) m USING (x, by_y)) WHERE n <= 40")

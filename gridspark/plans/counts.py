@@ -154,8 +154,7 @@ SMALL_RECTS = "SELECT event_id AS rect_id, event_id * 37 % 400 AS rx, user_id *
 
 @query(f", r AS ({SMALL_RECTS.format('events')}) SELECT rect_id, (SELECT sum(level)::BIGINT FROM g_dense WHERE x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh) AS total FROM r")
 def ag16_rect_count(spark, d):
-    views.table(spark, d, "events").createOrReplaceTempView("_events")
-    return aggs.rect_count(ag16_summed_area(spark, d), spark.sql(SMALL_RECTS.format("_events")))
+    return aggs.rect_count(ag16_summed_area(spark, d), spark.sql(SMALL_RECTS.format("{events}"), events=views.table(spark, d, "events")))
 
 
 @query(
@@ -169,13 +168,13 @@ def ag17_majority(spark, d):
 
 @query("SELECT seq, (dense_rank() OVER (ORDER BY f) - 1)::INT AS frame_id FROM (SELECT seq, min(seq) OVER (PARTITION BY asset, kind, dw) AS f FROM cmds)")
 def ag18_intern_frames(spark, d):
-    return aggs.intern_frames(views.cmds(spark, d), ["asset", "kind", "dw"])[1].select("seq", "frame_id")
+    return aggs.intern_frames(views.cmds(spark, d), ["asset", "kind", "dw"])[1].select("seq", F.col("frame_id").cast("int").alias("frame_id"))
 
 
 @query("SELECT doc_id, (dense_rank() OVER (ORDER BY f) - 1)::INT AS id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, lang) AS f FROM documents)")
 def ag19_dictionary_encode(spark, d):
     docs = views.table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("value"))
-    return aggs.dictionary_encode(docs, "value", "doc_id")[1].select("doc_id", "id")
+    return aggs.dictionary_encode(docs, "value", "doc_id")[1].select("doc_id", F.col("id").cast("int").alias("id"))
 
 
 @query("SELECT doc_id, concat_ws('/', source, lang) AS value FROM documents")

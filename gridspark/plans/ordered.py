@@ -33,7 +33,7 @@ def wn03_layer_stack(spark, d):
 
 @query("SELECT asset, min(seq) AS first_seq, (dense_rank() OVER (ORDER BY min(seq)))::INT AS place FROM cmds GROUP BY asset")
 def wn04_first_appearance_rank(spark, d):
-    return windows.first_appearance_rank(views.cmds(spark, d), "asset")
+    return windows.first_appearance_rank(views.cmds(spark, d), "asset").withColumn("place", F.col("place").cast("int"))
 
 
 #: Wet, solid and half cells, with the liquids of world files.

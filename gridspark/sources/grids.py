@@ -97,20 +97,21 @@ def heights_of(runs: DataFrame, world: Sequence[str] = ()) -> DataFrame:
     return runs.groupBy(*world, "x").agg(F.sum("run_len").cast("int").alias("height"), F.count("*").alias("runs"))
 
 
-def chunk_manifest(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """One row a chunk: cx, cy, cells, bounds, and ``content_hash`` and ``content_sum``, which don't depend on the order of rows; a row and
-    its copy cancel each other in the hash, but not in the sum."""
+def chunk_manifest(cells: DataFrame, width: int, height: int, world: Sequence[str] = ()) -> DataFrame:
+    """One row a chunk (of a world): cx, cy, cells, bounds, and ``content_hash`` and ``content_sum``, which don't depend on the order of rows; a row and
+    its copy cancel each other in the hash, but not in the sum (a decimal: it doesn't overflow)."""
     row = F.xxhash64(*sorted(cells.columns))
-    content = F.bit_xor(row).alias("content_hash"), F.sum(F.shiftrightunsigned(row, 24)).alias("content_sum")
+    content = F.bit_xor(row).alias("content_hash"), F.sum(F.shiftrightunsigned(row, 24).cast("decimal(20,0)")).alias("content_sum")
     at = [f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")]
-    return assign_chunk(cells, width, height).groupBy("cx", "cy").agg(F.count("*").alias("cells"), *at, *content)
+    return assign_chunk(cells, width, height).groupBy(*world, "cx", "cy").agg(F.count("*").alias("cells"), *at, *content)
 
 
-def write_chunked(cells: DataFrame, path: str, width: int = 128, height: int = 128) -> DataFrame:
-    """One folder a chunk, and the manifest of what was written. An existing path is an error; only complete writes are committed."""
-    assign_chunk(cells, width, height).repartition("cx", "cy").write.mode("errorifexists").partitionBy("cx", "cy").parquet(path)
-    written = cells.sparkSession.read.parquet(path).drop("cx", "cy")
-    return chunk_manifest(written, width, height)
+def write_chunked(cells: DataFrame, path: str, width: int = 128, height: int = 128, world: Sequence[str] = ()) -> DataFrame:
+    """One folder a chunk (of a world), and the manifest of what was written. An existing path is an error; only complete writes are committed."""
+    keys = [*world, "cx", "cy"]
+    assign_chunk(cells, width, height).repartition(*keys).write.mode("errorifexists").partitionBy(*keys).parquet(path)
+    written = cells.sparkSession.read.parquet(path).drop("cx", "cy").select(*cells.columns)
+    return chunk_manifest(written, width, height, world)
 
 
 def write_report(df: DataFrame, path: str) -> None:
