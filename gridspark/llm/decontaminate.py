@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_row
+from .common import free_name, small_batches
 from .words import words_of
 
 #: Words of benchmark items that a task holds at once, and items' lengths that are aligned at once.
@@ -212,6 +212,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
     Rows that share a doc_id with a contaminated row go with it.
     """
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    rows = docs.select(F.col("doc_id").alias("_id"), whole_row(docs))
-    return rows.join(bad, F.col("_id") == F.col("_bad"), "left_anti").select("_row.*")
+    name = free_name(docs, "_bad")
+    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import parts
-from .common import discard, partitions, scratch, small_batches, stored, whole_row, with_fields
+from .common import discard, free_name, partitions, scratch, small_batches, stored, with_fields
 from .components import connected_components
 
 #: Fingerprints of a block; a group with more is dealt out by pairs of blocks.
@@ -234,10 +234,11 @@ def keep_one(docs: DataFrame, tau: int = 3, segments: int = 7, width: int = 5, s
         edges = stored(near.union(equal).union(parts.similar(own, similarity, known, width)).where("u <> v").distinct(), "edges")
         made.remove(edges)
     discard(first)
-    kept = _named(nodes, "node", edges).select(F.col("component_id").alias("_kept")).distinct()
-    rows = known.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), whole_row(known))
-    mine = rows.join(kept, F.col("_id") == F.col("_kept"), "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_id").orderBy("_text")))
-    return mine.where("_n = 1").select("_row.*").unionByName(docs.where("doc_id is null"))
+    least, copy = free_name(docs, "_kept"), free_name(docs, "_copy")  # texts are carried once: no struct beside the columns
+    kept = _named(nodes, "node", edges).select(F.col("component_id").alias(least)).distinct()
+    mine = known.join(kept, F.col("doc_id") == F.col(least), "left_semi")
+    mine = mine.withColumn(copy, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(copy) == 1).drop(copy)
+    return mine.unionByName(docs.where("doc_id is null"))
 
 
 def hexed(fp: str = "fp"):

@@ -104,7 +104,7 @@ def test_oracles(spark, name):
     import duckdb
 
     duck = duckdb.connect()
-    for t in ("pages", "labels", "embeddings", "documents"):
+    for t in ("pages", "labels", "embeddings", "documents", "conversations"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     found = duck.execute(Q.ORACLES[name])
     columns = [d[0] for d in found.description]
