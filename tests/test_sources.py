@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridspark.operators import project
-from gridspark.sources import files, grids, worlds
+from gridspark.sources import files, grids, world_index, worlds
 from gridspark.streaming import incremental as inc
 
 
@@ -137,3 +137,34 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == [(0, 67), (1, 67), (2, 66)]
     newest = inc.run_available(inc.latest_request(stream(), "kind", "id", ["value"]), "update", ["kind"])
     assert sorted(map(tuple, newest.collect())) == [(0, 198, 48.0), (1, 199, 49.0), (2, 197, 47.0)]
+
+
+def test_index_and_byte_ranges(spark, folder):
+    """Runs by the index are those of whole files; with other columns' bytes overwritten the same runs come, so no other bytes are read."""
+    source, index = f"file://{folder}", f"file://{folder}-index"
+    made = world_index.index_worlds(spark, source, index)
+    name = lambda path: path.rsplit("/", 1)[1]
+    assert {name(r.world_id) for r in made.where("error is not null").collect()} == {"cut.wld", "long.wld", "old.wld", "tail.wld", "stub.wld"}
+    assert sorted((name(r.world_id), r.x0, r.columns, r.types, r.wet) for r in made.where("error is null").collect()) == [("a.wld", 0, 2, [0, 1, 21, 300], True), ("b.wld", 0, 64, [1, 2], False), ("b.wld", 64, 6, [1, 2], False)]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        world_index.index_worlds(spark, source, index)
+    _, runs, _ = worlds.ingest_worlds(spark, source)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    assert plain(world_index.read_columns(spark, index)) == plain(runs.drop("raw"))
+    some = world_index.read_columns(spark, index, x=65, width=2, y=299, height=5, fields=["type"])
+    assert sorted(tuple(r)[1:] for r in some.collect()) == [(65, 299, 2, 1), (65, 301, 3, 2), (66, 299, 2, 1), (66, 301, 3, 2)]
+    assert [tuple(r)[1:] for r in world_index.read_columns(spark, index, types=[300], fields=["wall", "liquid"]).collect()] == [(1, 1, 6, 317, 9)]
+    assert [tuple(r)[1:] for r in world_index.read_columns(spark, index, wet=True, fields=[]).collect()] == [(1, 1, 6)]
+    assert all(world_index.read_columns(spark, index, **none).count() == 0 for none in ({"types": []}, {"worlds": []}, {"width": 0}, {"height": 0}, {"x": 999}, {"y": 999}))
+    with pytest.raises(ValueError, match="no fields"):
+        world_index.read_columns(spark, index, fields=["colour"])
+    row = made.where("x0 = 64").first()
+    data = bytearray((folder / "b.wld").read_bytes())
+    for k in range(row.start):
+        data[k] = 255
+    data[row.start + row.ends[3] :] = b"\xff" * (len(data) - row.start - row.ends[3])
+    (folder / "b.wld").write_bytes(data)
+    assert sorted(tuple(r)[1:] for r in world_index.read_columns(spark, index, x=65, width=2, y=299, height=5, fields=["type"]).collect()) == sorted(tuple(r)[1:] for r in some.collect())
+    (folder / "b.wld").write_bytes(data + b"x")
+    with pytest.raises(Exception, match="has changed"):
+        some.collect()
