@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.scalars import harvestable
 from gridspark.operators import project
+from gridspark.operators.runs import expand_runs
 from gridspark.operators.storage import new_dir
 from gridspark.plans import audit
 from gridspark.plans.composite import AUDIT_SQL
 from gridspark.plans.registry import query
 from gridspark.plans.scans import CONDITIONAL, types_sql
-from gridspark.sources import facts, files, grids, views, worlds
+from gridspark.sources import facts, files, grids, views, world_index, worlds
 
 C = F.col
 
@@ -53,23 +54,68 @@ def snk01_zone_map(spark, d):
     )
 
 
-@query(
-    """SELECT x % 100 AS x, x // 100 AS world, sum(1) AS cells, count(*) FILTER (active) AS active, count(*) FILTER (level > 0) AS wet, coalesce(sum(type) FILTER (active), 0)::BIGINT AS types, sum(level)::BIGINT AS levels,
-    sum(CASE WHEN active THEN shape ELSE 0 END)::BIGINT AS shapes, sum(wall)::BIGINT AS walls FROM g_tiles GROUP BY 1, 2"""
-)
-def src01_ingest_worlds(spark, d):
-    """World files of 100 columns each, written from the grid's runs and ingested again: counters of every column."""
+def tile_worlds(spark, d) -> str:
+    """The folder of world files of 100 columns each, written from the grid of tiles."""
     path = new_dir(spark, "worlds")
     cells = views.g_tiles(spark, d).selectExpr(
         "cast(x div 100 AS int) AS world", "cast(x % 100 AS int) AS x", "y", "active", "CASE WHEN active THEN type ELSE 0 END AS type", "CASE WHEN active THEN shape ELSE 0 END AS shape",
         "cast(level AS int) AS liquid", "CASE WHEN level > 0 THEN liquid ELSE 0 END AS liquid_kind", "wall",
     )
     worlds.write_worlds(cells, path, ["world"])
-    _, runs, _ = worlds.ingest_worlds(spark, path, mode="failfast")
-    number = F.regexp_extract("world_id", r"world-(\d+)\.wld$", 1).cast("long").alias("world")
+    return path
+
+
+def number():
+    """The world of a file's name."""
+    return F.regexp_extract("world_id", r"world-(\d+)\.wld$", 1).cast("long").alias("world")
+
+
+@query(
+    """SELECT x % 100 AS x, x // 100 AS world, sum(1) AS cells, count(*) FILTER (active) AS active, count(*) FILTER (level > 0) AS wet, coalesce(sum(type) FILTER (active), 0)::BIGINT AS types, sum(level)::BIGINT AS levels,
+    sum(CASE WHEN active THEN shape ELSE 0 END)::BIGINT AS shapes, sum(wall)::BIGINT AS walls FROM g_tiles GROUP BY 1, 2"""
+)
+def src01_ingest_worlds(spark, d):
+    """World files of 100 columns each, written from the grid's runs and ingested again: counters of every column."""
+    _, runs, _ = worlds.ingest_worlds(spark, tile_worlds(spark, d), mode="failfast")
     times = lambda v: F.sum(v.cast("long") * C("run_len"))
     counted = {"cells": F.lit(1), "active": C("active").cast("int"), "wet": (C("liquid") > 0).cast("int"), "types": F.when(C("active"), C("type")).otherwise(0), "levels": C("liquid"), "shapes": F.when(C("active"), C("shape")).otherwise(0), "walls": C("wall")}
-    return runs.groupBy(C("x").cast("long").alias("x"), number).agg(*[times(v).alias(name) for name, v in counted.items()])
+    return runs.groupBy(C("x").cast("long").alias("x"), number()).agg(*[times(v).alias(name) for name, v in counted.items()])
+
+
+WANTED = (1, 21, 57, 300, 379, 518, 700)
+
+
+@query(
+    """SELECT x // 100 AS world, x % 100 AS x, count(*) AS cells, count(*) FILTER (active) AS active, coalesce(sum(type) FILTER (active), 0)::BIGINT AS types, sum(level)::BIGINT AS levels, sum(wall)::BIGINT AS walls
+FROM g_tiles WHERE x % 100 >= 30 AND x % 100 < 75 AND y >= 10 AND y < 50 GROUP BY 1, 2"""
+)
+def src01_indexed_region(spark, d):
+    """Columns 30 to 74 and rows 10 to 49 of every world file, by the index of slices and byte ranges: counters of every column."""
+    index = new_dir(spark, "index")
+    world_index.index_worlds(spark, tile_worlds(spark, d), index)
+    runs = world_index.read_columns(spark, index, x=30, width=45, y=10, height=40, fields=["active", "type", "liquid", "wall"])
+    times = lambda v: F.sum(v.cast("long") * C("run_len"))
+    counted = {"cells": F.lit(1), "active": C("active").cast("int"), "types": F.when(C("active"), C("type")).otherwise(0), "levels": C("liquid"), "walls": C("wall")}
+    return runs.groupBy(number(), C("x").cast("long").alias("x")).agg(*[times(v).alias(name) for name, v in counted.items()])
+
+
+@query(f"SELECT x // 100 AS world, x % 100 AS x, y, type, wall FROM g_tiles WHERE active AND type IN ({', '.join(map(str, WANTED))})")
+def src01_indexed_types(spark, d):
+    """All cells of some types in all world files: slices without them aren't opened."""
+    index = new_dir(spark, "index")
+    world_index.index_worlds(spark, tile_worlds(spark, d), index)
+    runs = world_index.read_columns(spark, index, types=WANTED, fields=["type", "wall"])
+    return expand_runs(runs).select(number(), C("x").cast("long").alias("x"), "y", "type", "wall")
+
+
+@query(
+    """, s AS (SELECT x // 100 AS world, x % 100 // 64 * 64 AS x0, count(DISTINCT x) AS columns, coalesce(list_sort(list(DISTINCT type) FILTER (active)), []) AS types, bool_or(level > 0) AS wet FROM g_tiles GROUP BY 1, 2)
+SELECT world, x0::INT AS x0, columns::INT AS columns, len(types)::INT AS kinds, types[1] AS least, types[-1] AS most, wet FROM s"""
+)
+def src01_index_of_worlds(spark, d):
+    """What the index says of each slice of columns."""
+    slices = world_index.index_worlds(spark, tile_worlds(spark, d), new_dir(spark, "index"))
+    return slices.select(number(), "x0", "columns", F.size("types").alias("kinds"), F.array_min("types").alias("least"), F.array_max("types").alias("most"), "wet")
 
 
 @query("SELECT x, y::BIGINT AS y, printf('%02x%02x', (level % 64)::INT, kind + 3) AS raw FROM g_dense")
