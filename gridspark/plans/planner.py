@@ -4,7 +4,7 @@ Facts of types come from one broadcast table. What a cell's neighbours must know
 the chunks' rings, and are read by two window sorts inside the chunks: up and down first, then the column of three sideways. A cell's entries
 are an array, exploded once, so commands, omissions and counters come from the same pass and one shuffle of the cells.
 
-Families with sprites of their own, and liquids beside shapes that need surface geometry, aren't drawn: they are omitted by name.
+Blocks and thorns that join their like, glowing ones with an overlay, and objects of saved frames are drawn by family. Other families with sprites of their own, and liquids beside shapes that need surface geometry, aren't drawn: they are omitted by name.
 """
 
 from __future__ import annotations
@@ -31,10 +31,14 @@ NEAR_REASONS = ("invalid-shape-neighborhood", "special-tile-neighborhood", "unkn
 #: Rows of stored frames with a higher sprite: type, modulus of frame_y (0: none), its value there.
 TALL_ROWS = ((14, 0, 18), (21, 0, 18), (15, 40, 18), (27, 74, 54), (172, 38, 18))
 DRAWABLE_ROPE, TORCH, BENCH = 353, 4, 18
+#: Crystals and gems that hang, long moss, and two piles whose frames wrap: at so many pixels, so far down (small piles in their second row alone).
+STALACTITE, GEM, MOSS, SMALL_PILE, LARGE_PILE = 165, 178, 184, 185, 187
+WRAPS = {BENCH: (2016, 20), SMALL_PILE: (1908, 18), LARGE_PILE: (1890, 36)}
 #: Reasons of entries that are no faults, and those of what isn't drawn here.
 INVISIBLE, EMITTER = "invisible", "particle-emitter-without-tile-body"
 INSIDE = "inside-solid"
 UNKNOWN_TYPE, SHAPED_OBJECT, LIQUID_SHAPE = "unimplemented-type", "shaped-static-object", "liquid-shape-geometry"
+FRAMED_BLOCK, SHAPED_THORN, UNFRAMED_OBJECT, UNKNOWN_SIDE = "framed-static-block", "shaped-thorn", "object-without-frame", "unknown-attachment"
 
 #: Fields of a cell and what an absent one, or a null, stands for.
 DEFAULTS = {
@@ -47,7 +51,7 @@ PACKED = {
 NEIGHBOURS = ("n", "s", "w", "e", "nw", "ne", "sw", "se")
 
 ENTRY = (
-    "struct<entry: string, kind: string, type: int, phase: string, asset: string, sx: int, sy: int, sw: int, sh: int, dx: bigint, dy: bigint, dw: int, dh: int, shape: int, paint: int, fidelity: string, reason: string>"
+    "struct<entry: string, kind: string, type: int, phase: string, asset: string, sx: int, sy: int, sw: int, sh: int, dx: bigint, dy: bigint, dw: int, dh: int, shape: int, paint: int, fidelity: string, flip: boolean, tint: array<int>, reason: string>"
 )
 
 
@@ -150,41 +154,63 @@ def _with_liquids(cells: DataFrame, water_style: int, surface: float | None) ->
 
 
 def _with_tiles(cells: DataFrame, reveal: bool) -> DataFrame:
-    """Adds ``_tile``: the entry of an active cell: a block by the 4-mask of its like, a stored frame, a rope, or why it is none."""
+    """Adds ``_tile``: the entry of an active cell: a block by the 4-mask of its like, an object or another stored frame, a rope, or why it is none; and
+    ``_glow``: the overlay of a block that glows, which is drawn right after it."""
     type_, shape, mask = F.col("type"), F.col("shape"), F.coalesce(F.col("family_mask"), F.lit(0))
     framed = F.coalesce((F.col("frame_x") >= 0) & (F.col("frame_y") >= 0), F.lit(False))
     in_family = lambda *names: mask.bitwiseAND(sum(bit for name, bit in FAMILIES if name in names)) != 0
     first = F.coalesce(*[F.when(mask.bitwiseAND(bit) != 0, f"family-{name}") for name, bit in FAMILIES])
     block = (mask == 0) & F.col("ordinary") & ~framed
+    of = lambda name: F.coalesce(first == f"family-{name}", F.lit(False))
+    joining, object_, thorn = of("block"), of("object"), type_.isin(*facts.THORN_GROUND)
     why = (
         F.when(~visible_block(F.col("active"), F.col("invisible_block"), reveal), INVISIBLE).when(~shape.between(0, 5), UNKNOWN_TYPE).when(block, None).when(type_.isin(*EMITTERS), EMITTER)
-        .when(in_family("object") & ~in_family("special", "plant", "furniture", "misc", "tree", "nature") & (shape != 0), SHAPED_OBJECT).when(mask != 0, first).when(framed & F.col("stored"), None).when(~framed & (type_ == DRAWABLE_ROPE), None)
+        .when(in_family("object") & ~in_family("special", "plant", "furniture", "misc", "tree", "nature") & (shape != 0), SHAPED_OBJECT).when(joining & (F.col("frame_x").isNotNull() | F.col("frame_y").isNotNull()), FRAMED_BLOCK)
+        .when(joining & thorn & (shape != 0), SHAPED_THORN).when(object_ & ~framed, UNFRAMED_OBJECT).when(object_ & (type_ == MOSS) & (F.col("frame_y") >= 4 * 54), UNKNOWN_SIDE).when(joining | object_, None).when(mask != 0, first).when(framed & F.col("stored"), None).when(~framed & (type_ == DRAWABLE_ROPE), None)
         .otherwise(UNKNOWN_TYPE)
     )
     up = _flag("rope", "_n")
     side = lambda d: _flag("side_rope", d) | (~up & _flag("side_block", d))
     roped = _mask({"n": up, "w": side("_w"), "e": side("_e"), "s": _flag("rope", "_s")})
-    wrap = F.when(type_ == BENCH, F.floor(F.col("frame_x") / F.lit(2016))).otherwise(0).cast("int")
-    known = cells.withColumns({"_why": F.when(F.col("active"), why), "_bm": F.when(type_ == DRAWABLE_ROPE, roped).otherwise(_mask({d: _bits("type", f"_{d}") == type_ + 1 for d in "nwes"})), "_wrap": wrap})
-    form = F.when(F.col("active") & F.col("_why").isNull(), F.when(block, "approximate").when(framed, "stored-frame").otherwise("approximate-rope"))
-    known = known.withColumns({"_form": form, "_fx": F.col("frame_x") - F.col("_wrap") * 2016, "_fy": F.col("frame_y") + F.col("_wrap") * 20})
-    stored, half = F.col("_form") == "stored-frame", (F.col("_form") == "approximate") & (shape == 1)
+    wraps = {t: (type_ == t) & ((F.col("frame_y") == 18) if t == SMALL_PILE else F.lit(True)) for t in WRAPS}
+    wrap = F.coalesce(*[F.when(wraps[t], F.floor(F.col("frame_x") / F.lit(at))) for t, (at, _) in WRAPS.items()], F.lit(0)).cast("int")
+    wrapped = lambda k: F.coalesce(*[F.when(wraps[t], F.col("_wrap") * by[k]) for t, by in WRAPS.items()], F.lit(0))
+    like = {d: _bits("type", f"_{d}") == type_ + 1 for d in "nwes"}
+    like["s"] = like["s"] | F.coalesce(_bits("type", "_s") == F.coalesce(*[F.when(type_ == t, under) for t, under in facts.THORN_GROUND.items()]) + 1, F.lit(False))
+    known = cells.withColumns({"_why": F.when(F.col("active"), why), "_bm": F.when(type_ == DRAWABLE_ROPE, roped).otherwise(_mask(like)), "_wrap": wrap})
+    form = F.when(F.col("active") & F.col("_why").isNull(), F.when(block, "approximate").when(joining & thorn, "approximate-static-thorn").when(joining, "approximate-static-block")
+        .when(object_ & type_.isin(*facts.TALL_PLANTS, MOSS), "static-zero-wind").when(object_, "static-stored-frame").when(framed, "stored-frame").otherwise("approximate-rope"))
+    known = known.withColumns({"_form": form, "_fx": F.col("frame_x") - wrapped(0), "_fy": F.col("frame_y") + wrapped(1)})
+    stored, half = F.col("_form") == "stored-frame", F.col("_form").isin("approximate", "approximate-static-block") & (shape == 1)
+    saved = F.col("_form").isin("stored-frame", "static-stored-frame", "static-zero-wind")
+    tall, moss, gem = (object_ & type_.isin(*facts.TALL_PLANTS)), object_ & (type_ == MOSS), object_ & (type_ == GEM)
+    side = F.floor(F.col("frame_y") / F.lit(54))  # what long moss hangs on
+    pull = F.when(F.col("frame_y") <= 36, 2).when(F.col("frame_y") <= 108, -2).otherwise(0)
     torch = stored & (type_ == TORCH)
     high = F.exists(F.array(*[(type_ == t) & ((F.col("_fy") % every if every else F.col("_fy")) == row) for t, every, row in TALL_ROWS]), lambda t: t)
-    height = F.when(half, 8).when(torch, 20).when(stored & high, 18).otherwise(16)
-    width = F.when(torch, 20).otherwise(16)
-    down = F.when(half, 8).when(torch & _flag("ceiling", "_n"), 4).otherwise(0)
-    entry = _entry(
-        "tile", type_, F.col("_form"), F.col("_why"), (INVISIBLE, EMITTER), phase=F.when(F.col("draw_layer") == "solid", "solid tile").otherwise("non-solid tile"), asset=asset_name(F.lit("Tiles"), type_),
-        sx=F.when(stored, F.col("_fx")).otherwise(_frame("_bm", facts.BLOCK_FRAMES, 0)), sy=F.when(stored, F.col("_fy")).otherwise(_frame("_bm", facts.BLOCK_FRAMES, 1)), sw=width, sh=height,
-        dx=F.col("x") * 16 - F.when(torch, 2).otherwise(0), dy=F.col("y") * 16 + down, dw=width, dh=height, shape=shape, paint=F.col("paint"), fidelity=F.col("_form"),
+    height = F.when(half, 8).when(torch, 20).when((stored & high) | (F.col("_form") == "approximate-static-thorn"), 18).when(tall, 32).otherwise(16)
+    width = F.when(torch | moss, 20).otherwise(16)
+    left = F.when(torch | (moss & (side != 3)), -2).when(moss, 2).otherwise(0)
+    down = (
+        F.when(half, 8).when(torch & _flag("ceiling", "_n"), 4).when(tall, -12).when(moss, F.when(side < 2, pull).otherwise(pull / 2)).when(gem, F.when(F.col("frame_y") <= 36, 2).otherwise(0)).when(object_ & (type_ != STALACTITE), 2).otherwise(0)
+    )
+    phase = F.when(F.col("draw_layer") == "solid", "solid tile").otherwise("non-solid tile")
+    place = dict(
+        phase=phase, sx=F.when(saved, F.col("_fx")).otherwise(_frame("_bm", facts.BLOCK_FRAMES, 0)), sy=F.when(saved, F.col("_fy")).otherwise(_frame("_bm", facts.BLOCK_FRAMES, 1)), sw=width, sh=height,
+        dx=F.col("x") * 16 + left, dy=F.col("y") * 16 + down, dw=width, dh=height, shape=shape,
     )
-    return known.withColumn("_tile", F.when(F.col("active"), entry))
+    flip = F.when(tall, F.col("x") % 2 == 0).otherwise(False)
+    entry = _entry("tile", type_, F.col("_form"), F.col("_why"), (INVISIBLE, EMITTER), asset=asset_name(F.lit("Tiles"), type_), paint=F.col("paint"), fidelity=F.col("_form"), flip=flip, **place)
+    number = F.coalesce(*[F.when(type_ == t, n) for t, (n, _) in facts.GLOW.items()])
+    tint = F.coalesce(*[F.when(type_ == t, F.array(*map(F.lit, color))) for t, (_, color) in facts.GLOW.items()])
+    glow = _entry("tile overlay", type_, F.col("_form"), F.lit(None), (), asset=asset_name(F.lit("Glow"), number), paint=0, fidelity="static-glow-mask", flip=False, tint=tint, **place)
+    lit = F.col("_form").isNotNull() & joining & type_.isin(*facts.GLOW)
+    return known.withColumns({"_tile": F.when(F.col("active"), entry), "_glow": F.when(lit, glow)})
 
 
 def plan_cells(cells: DataFrame, world: Sequence[str] = (), reveal: bool = False, water_style: int = 0, surface: float | None = None) -> DataFrame:
     """One row for each entry: world, x, y and the fields of ENTRY. ``entry`` is command (with its rectangles and ``phase``), hidden or omitted (with a
-    ``reason``); ``kind`` is wall, liquid or tile.
+    ``reason``); ``kind`` is wall, liquid, tile or tile overlay (always a command, with the vertex color ``tint``).
 
     ``cells (world, x, y, ...)`` are distinct and have the fields of DEFAULTS, frame_x and frame_y; absent ones and nulls stand for their default.
     Cells beyond the grid are no neighbours. ``reveal`` shows invisible blocks and walls; ``surface`` is the row of the world's surface.
@@ -211,7 +237,7 @@ def plan_cells(cells: DataFrame, world: Sequence[str] = (), reveal: bool = False
     packed = sum((F.shiftleft(v.cast("long"), PACKED[k][0]) for k, v in parts.items()), F.lit(0).cast("long"))
     near_by = with_neighbours(own, packed, world)
     layered = _with_tiles(_with_liquids(_with_walls(near_by, reveal), water_style, surface), reveal)
-    entries = F.explode(F.array_compact(F.array("_wall", "_pool", "_tile")))
+    entries = F.explode(F.array_compact(F.array("_wall", "_pool", "_tile", "_glow")))
     return layered.select(*world, "x", "y", entries.alias("e")).select(*world, "x", "y", "e.*")
 
 
@@ -219,18 +245,18 @@ def commands_in_order(entries: DataFrame, world: Sequence[str] = ()) -> DataFram
     """The commands of ``plan_cells`` with ``seq``, their place in their world's drawing order: by phase, x, y. Each column of a phase is numbered
     apart and starts where the rows before it end."""
     keyed = draw_order(entries.where("entry = 'command'"), F.col("phase"), ["x", "y"]).drop("draw_key", "entry", "reason")
-    return numbered(keyed, world)
+    return numbered(keyed, world, ("y", "kind"))
 
 
-def numbered(keyed: DataFrame, world: Sequence[str] = ()) -> DataFrame:
-    """``keyed (world, phase_no, x, y, ...)``, one row at most for each phase and cell, with ``seq`` in the order of phase_no, x, y."""
+def numbered(keyed: DataFrame, world: Sequence[str] = (), down: Sequence[str] = ("y",)) -> DataFrame:
+    """``keyed (world, phase_no, x, y, ...)``, one row at most for each phase, column and ``down``, with ``seq`` in the order of phase_no, x, ``down``."""
     sized = keyed.groupBy(*world, "phase_no", "x").agg(F.count("*").alias("_n"))  # one row a phase and column
     phases = sized.groupBy(*world, "phase_no").agg(F.sum("_n").alias("_p"))  # one row a phase
     earlier = Window.partitionBy(*(world or [F.lit(0)])).orderBy("phase_no").rowsBetween(Window.unboundedPreceding, -1)
     phases = phases.withColumn("_base", F.coalesce(F.sum("_p").over(earlier), F.lit(0))).drop("_p")
     before = Window.partitionBy(*world, "phase_no").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     starts = sized.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(phases, [*world, "phase_no"])
-    place = F.row_number().over(Window.partitionBy(*world, "phase_no", "x").orderBy("y")) - 1
+    place = F.row_number().over(Window.partitionBy(*world, "phase_no", "x").orderBy(*down)) - 1
     joined = keyed.withColumn("_place", place).join(starts.drop("_n"), [*world, "phase_no", "x"])
     return joined.withColumn("seq", F.col("_base") + F.col("_start") + F.col("_place")).drop("_base", "_start", "_place", "phase_no")
 

@@ -347,3 +347,39 @@ def test_records_round_trip():
             c = worlds.Cursor(worlds.encode_record(tile, repeats))
             found, again, _ = worlds.read_record(c, framed)
             assert again == repeats and c.pos == c.end and all(found[k] == v for k, v in tile.items()), (tile, found)
+
+
+def test_joining_blocks_thorns_and_glow(spark):
+    own = {
+        (0, 0): tile(158), (1, 0): tile(158, shape=1, paint=3), (2, 0): tile(158, frame_x=0), (4, 0): tile(32), (4, 1): tile(23), (6, 0): tile(32, shape=1), (0, 3): tile(381, paint=7), (0, 4): tile(381, shape=1), (3, 3): tile(158, invisible_block=True),
+        (3, 4): tile(158), (5, 4): tile(655), (5, 5): tile(60), (5, 3): tile(655, inactive=True),
+    }
+    found = plan_of(spark, own)
+    at = lambda x, y, *names, kind="tile": tuple(found[x, y, kind][n] for n in names)
+    assert at(0, 0, "sx", "sy", "sh", "fidelity") == (*facts.BLOCK_FRAMES[4], 16, "approximate-static-block")
+    assert at(1, 0, "sx", "sy", "sh", "dy", "shape", "paint") == (*facts.BLOCK_FRAMES[2 + 4], 8, 8, 1, 3) and at(2, 0, "entry", "reason") == ("omitted", "framed-static-block")
+    assert at(4, 0, "sx", "sy", "sh", "dh", "fidelity") == (*facts.BLOCK_FRAMES[8], 18, 18, "approximate-static-thorn") and at(6, 0, "reason") == ("shaped-thorn",)
+    assert at(3, 4, "sx", "sy") == facts.BLOCK_FRAMES[0] and at(5, 4, "sx", "sy") == facts.BLOCK_FRAMES[1 + 8]
+    assert at(0, 3, "asset", "paint", "tint") == ("Tiles_381.png", 7, None)
+    assert at(0, 3, "entry", "asset", "sx", "sy", "dx", "dy", "paint", "tint", "fidelity", kind="tile overlay") == ("command", "Glow_126.png", *facts.BLOCK_FRAMES[8], 0, 48, 0, [150, 100, 50, 0], "static-glow-mask")
+    assert at(0, 4, "sx", "sy", "sh", "dy", kind="tile overlay") == at(0, 4, "sx", "sy", "sh", "dy") == (*facts.BLOCK_FRAMES[1], 8, 72)
+    assert {k for k in found if k[2] == "tile overlay"} == {(0, 3, "tile overlay"), (0, 4, "tile overlay")}
+
+
+def test_objects_of_saved_frames(spark):
+    cases = [
+        (28, (36, 18), (36, 18, 16, 16, 0, 2)), (73, (18, 0), (18, 0, 16, 32, 0, -12)), (165, (18, 36), (18, 36, 16, 16, 0, 0)), (178, (0, 36), (0, 36, 16, 16, 0, 2)), (178, (0, 54), (0, 54, 16, 16, 0, 0)), (184, (22, 36), (22, 36, 20, 16, -2, 2)),
+        (184, (0, 54), (0, 54, 20, 16, -2, -2)), (184, (0, 108), (0, 108, 20, 16, -2, -1)), (184, (0, 126), (0, 126, 20, 16, -2, 0)), (184, (0, 162), (0, 162, 20, 16, 2, 0)), (184, (0, 216), "unknown-attachment"), (185, (1926, 18), (18, 36, 16, 16, 0, 2)),
+        (185, (1926, 0), (1926, 0, 16, 16, 0, 2)), (187, (3798, 18), (18, 90, 16, 16, 0, 2)), (506, None, "object-without-frame"), (105, (-18, 0), "object-without-frame"),
+    ]
+    own = {}
+    for k, (type_, frame, _) in enumerate(cases):
+        own |= {(3 * k + side, 2): tile(type_, **(dict(frame_x=frame[0], frame_y=frame[1]) if frame else {})) for side in (0, 1)}
+    found = plan_of(spark, own, (3 * len(cases), 4))
+    for k, (type_, _, expected) in enumerate(cases):
+        for x in (3 * k, 3 * k + 1):
+            r = found[x, 2, "tile"]
+            if isinstance(expected, str):
+                assert (r.entry, r.reason) == ("omitted", expected)
+            else:
+                assert (r.sx, r.sy, r.sw, r.sh, r.dx - 16 * x, r.dy - 32) == expected and r.flip == (type_ == 73 and x % 2 == 0)
