@@ -26,7 +26,12 @@ def src01_scenes_of_worlds(spark, d):
     """Trees, flags and the state of herbs from the headers of written world files, and whether herbs are ripe by them."""
     path = new_dir(spark, "worlds")
     cells = views.g_tiles(spark, d).selectExpr("cast(x div 100 AS int) AS world", "cast(x % 100 AS int) AS x", "y", "active", "CASE WHEN active THEN type ELSE 0 END AS type")
-    scene = ("array(world % 50, world % 50 + 5, 80) AS tree_x", "transform(sequence(0, 12), k -> world * 3 % 200) AS tree_tops", "cast(world % 2 = 0 AS int) AS remix_world", "20D AS world_surface", "40000D + world * 100 AS time", "cast(world % 3 = 0 AS int) AS day_time",
+    # all worlds are 100 wide: a header may name no column beyond its world, and the table's last world may have fewer
+    columns = cells.select("world", "x").distinct()
+    missing = columns.select("world").distinct().select("world", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("x")).join(columns, ["world", "x"], "left_anti")
+    cells = cells.unionByName(missing.select("world", "x", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("y"), F.lit(False).alias("active"), F.lit(0).alias("type")))
+    # a day has 86,400 ticks, so later worlds stand at its end
+    scene = ("array(world % 50, world % 50 + 5, 80) AS tree_x", "transform(sequence(0, 12), k -> world * 3 % 200) AS tree_tops", "cast(world % 2 = 0 AS int) AS remix_world", "20D AS world_surface", "least(40000D + world * 100, 86400D) AS time", "cast(world % 3 = 0 AS int) AS day_time",
              "world % 8 AS moon_phase", "0 AS blood_moon", "cast(world % 5 = 0 AS int) AS raining", "cast(world % 4 AS float) / 4 AS cloud_alpha")
     worlds.write_worlds(cells, path, ["world"], cells.select("world").distinct().selectExpr("world", *scene))
     found, _, _ = worlds.ingest_worlds(spark, path, mode="failfast")
