@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gridspark.operators import order, sets, windows
+from gridspark.operators.ranks import with_place
 from gridspark.plans.registry import at, query
 from gridspark.sources import facts, views
 
@@ -113,12 +114,10 @@ def so01_column_major(spark, d):
 SELECT seq, phase_no, row_number() OVER (ORDER BY phase_no, dx, dy, seq) AS place FROM p"""
 )
 def so02_draw_order(spark, d):
-    """The place of every command; the numbering window is for the comparison only."""
-    from pyspark.sql import Window
-
+    """The place of every command."""
     phase = F.expr("CASE kind WHEN 'F' THEN 'wall' WHEN 'O' THEN 'non-solid tile' END")
-    keyed = order.draw_order(views.cmds(spark, d), phase, ["dx", "dy", "seq"])
-    return keyed.select("seq", "phase_no", F.row_number().over(Window.orderBy("draw_key")).cast("long").alias("place"))
+    keyed = order.draw_order(views.cmds(spark, d), phase, ["dx", "dy", "seq"]).select("seq", "phase_no", "dx", "dy")
+    return with_place(keyed, ["phase_no", "dx", "dy", "seq"], "place").select("seq", "phase_no", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT o_orderkey AS k, 1 AS source FROM orders UNION ALL SELECT event_id, 0 FROM events WHERE event_type = 'error'")

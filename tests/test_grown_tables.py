@@ -33,3 +33,14 @@ def same_as_sql(spark, folder, name):
 def test_scenes_of_narrow_and_late_worlds(spark, tmp_path):
     vectors(tmp_path, [*range(160), *range(47_000, 47_060)])  # worlds 1 and 470 have 60 columns, and 470 is later than a day's ticks
     assert same_as_sql(spark, tmp_path, "src01_scenes_of_worlds") == 3 * 7
+
+
+def test_places_are_numbered_in_ranges(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, False)
+    try:
+        found = QUERIES["so02_draw_order"](spark, "/root/testdata/sf0.001")
+        assert found.rdd.getNumPartitions() > 1  # one window over everything is one task
+    finally:
+        spark.conf.unset(key)
+    assert same_as_sql(spark, "/root/testdata/sf0.001", "so02_draw_order") == 1500
