@@ -65,10 +65,24 @@ def reconcile(totals: DataFrame, whole: str, parts: Sequence[str]) -> DataFrame:
 
 
 def exact_cover(pieces: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells that ``pieces (x, y, width, height)`` cover not exactly once: x, y, times (0: a hole)."""
-    covered = pieces.withColumn("_x", F.explode(F.expr("sequence(x, x + width - 1)"))).withColumn("_y", F.explode(F.expr("sequence(y, y + height - 1)")))
-    times = covered.groupBy(F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.count("*").alias("times"))
-    return cells.select("x", "y").join(times, ["x", "y"], "full_outer").select("x", "y", F.coalesce("times", F.lit(0)).alias("times")).where("times <> 1")
+    """Cells that ``pieces (x, y, width, height)`` cover not exactly once: x, y, times (0: a hole). Pieces without width or height cover nothing; repeated
+    cells are one.
+
+    Cells and pieces become words (64 cells of a column as bits) before they meet, and only words that aren't covered exactly once are looked into. Pieces are
+    dealt out before they are spread, as few of them may stand for many cells. A word has 2,080 different parts at most, so its list is bounded.
+    """
+    deal = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.where("width > 0 AND height > 0").selectExpr("CAST(x AS BIGINT) AS x", "CAST(y AS BIGINT) AS y0", "x + width - 1L AS x1", "y + height - 1L AS y1").repartition(deal, "x", "y0")
+    spread = dealt.withColumn("x", F.expr("explode(sequence(x, x1))")).withColumn("_band", F.expr("explode(sequence(shiftright(y0, 6), shiftright(y1, 6)))"))
+    low, high = "greatest(y0 - _band * 64, 0L)", "least(y1 - _band * 64, 63L)"
+    parts = spread.withColumn("mask", F.expr(f"shiftleft(shiftrightunsigned(-1L, CAST(63 - {high} + {low} AS INT)), CAST({low} AS INT))")).groupBy("x", "_band", "mask").agg(F.count("*").alias("n"))
+    covered = parts.groupBy("x", "_band").agg(F.bit_or("mask").alias("_any"), F.expr("sum(n * bit_count(mask))").alias("_total"), F.collect_list(F.struct("mask", "n")).alias("_parts"))
+    bit = F.expr("shiftleft(1L, CAST(y & 63 AS INT))")
+    there = cells.select(F.col("x").cast("long").alias("x"), F.expr("shiftright(CAST(y AS BIGINT), 6)").alias("_band"), bit.alias("_bit")).groupBy("x", "_band").agg(F.bit_or("_bit").alias("_here"))
+    words = there.join(covered, ["x", "_band"], "full_outer").where("NOT (_here <=> _any AND _total = bit_count(_any))")
+    times = "aggregate(coalesce(_parts, array()), 0L, (n, p) -> n + IF(getbit(p.mask, k) = 1, p.n, 0L))"
+    odd = f"filter(transform(sequence(0, 63), k -> struct(k, coalesce(getbit(_here, k) = 1, false) AS there, {times} AS times)), c -> c.times > 1 OR (c.times = 0 AND c.there))"
+    return words.select("x", "_band", F.expr(f"explode({odd})").alias("c")).select("x", (F.col("_band") * 64 + F.col("c.k")).alias("y"), "c.times")
 
 
 def _mean_colour(keys: Sequence[Column]) -> list[Column]:

@@ -7,6 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from gridspark.operators import aggs
 from gridspark.plans.registry import ORACLES, QUERIES, load
 
 load()
@@ -44,3 +45,16 @@ def test_places_are_numbered_in_ranges(spark):
     finally:
         spark.conf.unset(key)
     assert same_as_sql(spark, "/root/testdata/sf0.001", "so02_draw_order") == 1500
+
+
+def test_cover_by_words(spark):
+    rnd = random.Random(3)
+    cells = sorted({(rnd.randint(-70, 70), rnd.randint(-140, 140)) for _ in range(9000)})
+    pieces = [(rnd.randint(-80, 60), rnd.randint(-150, 100), rnd.randint(0, 40), rnd.choice([0, 1, 63, 64, 65, 90])) for _ in range(60)] + [(0, 0, 9, 64)] * 3 + [(5, -64, 2, 192)]
+    times = dict.fromkeys(cells, 0)
+    for x, y, w, h in pieces:
+        for at in ((x + i, y + j) for i in range(w) for j in range(h)):
+            times[at] = times.get(at, 0) + 1
+    found = aggs.exact_cover(spark.createDataFrame(pieces, "x long, y long, width int, height int"), spark.createDataFrame(cells, "x long, y int"))
+    assert sorted(map(tuple, found.collect())) == sorted((*at, n) for at, n in times.items() if n != 1)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()  # a few pieces may be many cells: not in one task
