@@ -189,7 +189,8 @@ def src06_bench_runs(spark, d):
     runs = views.table(spark, d, "events").groupBy("user_id").agg((F.count("*") / 4).alias("seconds"), F.max("event_id").alias("peak"), F.count_if(C("event_type") == "click").alias("clicks"), F.count_if(C("event_type") != "click").alias("others"))
     timing = F.struct(C("seconds").alias("endToEndSeconds"), C("peak").alias("conservativeAggregatePeakRssBytes"), F.lit(True).alias("targetPassed"))
     render = F.struct(C("user_id").cast("string").alias("worldSha256"), F.create_map(F.lit("click"), "clicks", F.lit("other"), "others").alias("commandCounts"))
-    runs.select("user_id", F.to_json(F.struct(timing.alias("timing"), render.alias("render"))).alias("value")).repartition("user_id").write.partitionBy("user_id").text(path)
+    reports = runs.select(F.format_string("user-%d.json", "user_id").alias("file"), F.to_json(F.struct(timing.alias("timing"), render.alias("render"))).cast("binary").alias("content"))
+    files.write_blobs(reports.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file"), path)  # small rows, but a file each: dealt to all tasks
     counts = C("render.commandCounts")
     return files.read_bench_runs(spark, path).select(C("render.worldSha256").cast("long").alias("user_id"), C("timing.endToEndSeconds").alias("seconds"), C("timing.conservativeAggregatePeakRssBytes").alias("peak"), counts["click"].alias("clicks"), counts["other"].alias("others"))
 

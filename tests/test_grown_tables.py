@@ -47,6 +47,14 @@ def test_places_are_numbered_in_ranges(spark):
     assert same_as_sql(spark, "/root/testdata/sf0.001", "so02_draw_order") == 1500
 
 
+def test_reports_are_plain_files_of_one_folder(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("reports-*"))
+    users = QUERIES["src06_bench_runs"](spark, "/root/testdata/sf0.001").count()
+    (folder,) = set(shared.glob("reports-*")) - before
+    assert users > 1 and len([p for p in folder.glob("*.json") if p.is_file()]) == users and not [p for p in folder.iterdir() if p.is_dir()]  # no folder a user, whose files the driver would move one by one
+
+
 def test_cover_by_words(spark):
     rnd = random.Random(3)
     cells = sorted({(rnd.randint(-70, 70), rnd.randint(-140, 140)) for _ in range(9000)})
