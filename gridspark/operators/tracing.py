@@ -56,19 +56,20 @@ def _beside(cells: DataFrame, value: Column, directions: Sequence[str], world: S
 
 
 def _chunked(cells: DataFrame, world: Sequence[str], side: int) -> DataFrame:
-    """(world, cx, cy, codes): one row a chunk, with the ``code`` of each place, column by column; -1 where there is no cell."""
+    """(world, cx, cy, codes): one row a chunk, with the ``code`` (at most 127) of each place, column by column, as bytes; -1 where there is no cell."""
     keys = [*world, "cx", "cy"]
     at = lambda c: F.floor(F.col(c) / F.lit(side))
     place = F.pmod(F.col("x"), F.lit(side)) * side + F.pmod(F.col("y"), F.lit(side))
     own = cells.select(*world, at("x").alias("cx"), at("y").alias("cy"), place.cast("int").alias("place"), F.col("code").cast("int").alias("code")).repartition(*keys)
     blank = own.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("place"), F.lit(-1).alias("code"))
     full = own.union(blank).groupBy(*keys, "place").agg(F.max("code").alias("code"))
-    return full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("p")).select(*keys, F.expr("transform(p, q -> q.code)").alias("codes"))
+    return full.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "code"))).alias("p")).select(*keys, F.expr("transform(p, q -> cast(q.code AS tinyint))").alias("codes"))
 
 
 def _walk(states: DataFrame, chunks: DataFrame, state: str, step: str, world: Sequence[str], side: int, most_rounds: int) -> DataFrame:
     """``states (world, own, s)`` when they are done. ``s`` is a struct as in ``state``, with x, y, done and open; ``step`` is the SQL of the state after ``s``
-    in a cell with the code ``c``. States that leave their chunk, or aren't done after ``side`` steps, go on in another round."""
+    in a cell with the code ``c``. States that leave their chunk, or aren't done after ``side`` steps, go on in another round. Chunks are the whole grid, though small
+    as files: they are shuffled to the states, never collected to be broadcast in every round."""
     keys = [*world, "cx", "cy"]
     inside = f"floor(s.x / {side}) = cx AND floor(s.y / {side}) = cy"
     code = f"codes[cast(pmod(s.x, {side}) * {side} + pmod(s.y, {side}) AS int)]"
@@ -78,7 +79,7 @@ def _walk(states: DataFrame, chunks: DataFrame, state: str, step: str, world: Se
     for _ in range(most_rounds):
         placed = open_.withColumns({"cx": F.expr(f"floor(s.x / {side})"), "cy": F.expr(f"floor(s.y / {side})")}).withColumnRenamed("s", "s0")
         # a chunk without any cell: one place without a cell decides
-        joined = placed.join(chunks, keys, "left").withColumn("codes", F.expr(f"coalesce(codes, array_repeat(-1, {side * side}))"))
+        joined = placed.join(chunks.hint("merge"), keys, "left").withColumn("codes", F.expr(f"coalesce(codes, array_repeat(cast(-1 AS tinyint), {side * side}))"))
         done.append(stored(joined.withColumn("s", walked).select(*states.columns)))
         open_ = done[-1].where("NOT s.done")
         if open_.isEmpty():

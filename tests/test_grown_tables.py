@@ -7,7 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from gridspark.operators import aggs
+from gridspark.operators import aggs, tracing
 from gridspark.plans.registry import ORACLES, QUERIES, load
 
 load()
@@ -66,3 +66,18 @@ def test_cover_by_words(spark):
     found = aggs.exact_cover(spark.createDataFrame(pieces, "x long, y long, width int, height int"), spark.createDataFrame(cells, "x long, y int"))
     assert sorted(map(tuple, found.collect())) == sorted((*at, n) for at, n in times.items() if n != 1)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()  # a few pieces may be many cells: not in one task
+
+
+def test_chunks_of_paths_are_not_broadcast(spark, monkeypatch):
+    rounds, stored = [], tracing.stored
+
+    def seen(df):
+        if "s" in df.columns:
+            rounds.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(tracing, "stored", seen)
+    cells = spark.range(200).crossJoin(spark.range(6).toDF("y")).selectExpr("id AS x", "y", "y = 5 AND id % 70 < 60 AS is_solid", "cast(0 AS int) AS shape")
+    origins = spark.createDataFrame([(k, 3 + 9 * k, 0) for k in range(20)], "idx long, x long, y long")
+    assert {r.idx for r in tracing.trace_paths(origins, cells, 40).collect()} == set(range(20))
+    assert rounds and not any("Broadcast" in p for p in rounds)
