@@ -7,7 +7,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from gridspark.operators import aggs, tracing
+from gridspark.operators import aggs, joins, tracing
 from gridspark.plans.registry import ORACLES, QUERIES, load
 
 load()
@@ -81,3 +81,29 @@ def test_chunks_of_paths_are_not_broadcast(spark, monkeypatch):
     origins = spark.createDataFrame([(k, 3 + 9 * k, 0) for k in range(20)], "idx long, x long, y long")
     assert {r.idx for r in tracing.trace_paths(origins, cells, 40).collect()} == set(range(20))
     assert rounds and not any("Broadcast" in p for p in rounds)
+
+
+def test_copies_of_rectangles_meet_as_lists(spark):
+    rnd = random.Random(9)
+    shapes = [(w, rnd.randint(-90, 200), rnd.randint(-90, 200), rnd.choice([0, 16, 48, 700]), rnd.choice([16, 900])) for w in "ab" for _ in range(6)]
+    commands = [(*shapes[k % 12 if k % 3 else 0], k, f"a{k % 7}") for k in range(400)] + [(*shapes[1], 7, "twice")] * 50 + [("a", None, 0, 16, 16, 1, "")]
+    rects = [(w, k, rnd.randint(-90, 200), rnd.randint(-90, 200), rnd.randint(0, 150), rnd.randint(1, 90)) for w in "ab" for k in range(20)]
+    a = spark.createDataFrame(commands, "world string, dx long, dy long, dw long, dh long, seq long, asset string")
+    b = spark.createDataFrame(rects, "world string, rect_id long, rx long, ry long, rw long, rh long")
+    columns = ["world", "seq", "asset", "rect_id", "local_x", "local_y", "dw", "rh"]
+    expected = sorted((v, k, n, j, x - p, y - q, w, s) for v, x, y, w, h, k, n in commands for u, j, p, q, r, s in rects if u == v and x is not None and w and r and x < p + r and p < x + w and y < q + s and q < y + h)
+    for copies in (1, 8, 128):  # lists that are cut in sorted ranges and in slices
+        assert sorted(map(tuple, joins.copies_overlap(a, b, world=["world"], copies=copies).select(*columns).collect())) == expected
+    assert sorted(map(tuple, joins.copies_overlap(a.drop("seq", "asset"), b, world=["world"]).select("world", "rect_id", "local_x").collect())) == sorted((e[0], e[3], e[4]) for e in expected)
+
+
+def test_overlaps_of_many_copies_follow_in_repeats(spark, tmp_path):
+    events = [(e, u) for e in range(60_000) for u in range(900) if e * 37 % 1900 - 20 < 10 and u * 11 % 900 - 10 < 0 and (e + u) % 97 == 0][:60]
+    pq.write_table(pa.table({"event_id": [e for e, _ in events], "user_id": [u for _, u in events], "event_type": ["error"] * 60}), f"{tmp_path}/events.parquet")
+    pq.write_table(pa.table({"o_orderkey": [k * 192 for k in range(4000)], "o_custkey": [k % 5 for k in range(4000)], "o_orderpriority": ["a"] * 4000, "o_orderstatus": ["F"] * 4000}), f"{tmp_path}/orders.parquet")
+    pairs = same_as_sql(spark, tmp_path, "jn07_rect_overlap")
+    assert pairs > 100_000
+    found = QUERIES["jn07_rect_overlap"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not put together because the tables are small
+    rows = [(r.rect_id, r.local_x, r.local_y) for r in found.collect()]
+    assert sum(a != b for a, b in zip(rows, rows[1:])) < pairs / 64  # which files keep as run lengths
