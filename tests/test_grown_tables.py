@@ -1,6 +1,7 @@
 """Queries and steps on tables that are larger, or end elsewhere, than the smallest ones."""
 
 import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -107,3 +108,15 @@ def test_overlaps_of_many_copies_follow_in_repeats(spark, tmp_path):
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not put together because the tables are small
     rows = [(r.rect_id, r.local_x, r.local_y) for r in found.collect()]
     assert sum(a != b for a, b in zip(rows, rows[1:])) < pairs / 64  # which files keep as run lengths
+
+
+def test_lists_are_taken_apart_behind_the_join(spark):
+    a = spark.range(300).selectExpr("id AS seq", "id % 3 * 16 AS dx", "0L AS dy", "16L AS dw", "16L AS dh")
+    a = a.union(spark.sql("SELECT CAST(NULL AS LONG), 0L, 0L, 16L, 16L"))  # a command without a number is one, too
+    b = spark.range(50).selectExpr("id AS rect_id", "id AS rx", "0L AS ry", "8L AS rw", "8L AS rh")
+    found = joins.copies_overlap(a, b).select("seq", "rect_id")
+    expected = [(k, r) for k, x in [*((k, k % 3 * 16) for k in range(300)), (None, 0)] for r in range(50) if x < r + 8 and r < x + 16]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, expected))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    loops = [set(re.findall(rf"\*\((\d+)\) {step}", plan)) for step in (r"ShuffledHashJoin", r"Generate explode\(_own_of#\d+\), \[rect_id")]
+    assert all(loops) and not loops[0] & loops[1]  # in one loop, all rows of a list and the rectangles that it meets are held before the first is handed on
